@@ -99,7 +99,7 @@ MSG = f"""msg AS (
          'User' || CAST(user_id AS VARCHAR) AS display_name, event_type AS text,
          CASE WHEN event_type = 'purchase' THEN ['PogChamp'] ELSE CAST([] AS VARCHAR[]) END AS emotes,
          CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'en' ELSE 'de' END AS language,
-         user_id % 50 = 0 AS is_bot_likely, least(greatest((value - 50) / 50, -1), 1) AS score, {K} / 100 AS confidence
+         user_id % 50 = 0 AS is_bot_likely, least(greatest((value - 50) / 47, -1), 1) AS score, ({K} + 1) / 103 AS confidence
   FROM events),
 scored AS (
   SELECT *, CASE WHEN score > 0.15 THEN 'positive' WHEN score < -0.15 THEN 'negative' ELSE 'neutral' END AS label,
@@ -120,7 +120,7 @@ buckets AS (
 SEGMENTS = f"""seg AS (
   SELECT strftime(ts, '%Y-%m-%d') AS session_id, 'c' || CAST(user_id % 2 AS VARCHAR) AS channel_id, event_id AS segment_id,
          ts AS segment_start, ts + to_seconds(CAST({K} AS INTEGER) + 60) AS segment_end,
-         event_type || ' u' || CAST(user_id AS VARCHAR) AS text, {K} / 100 AS confidence, user_id AS speaker,
+         event_type || ' u' || CAST(user_id AS VARCHAR) AS text, ({K} + 1) / 103 AS confidence, user_id AS speaker,
          CAST({K} * 10 AS BIGINT) AS asr_latency_ms
   FROM events),
 segidx AS (

@@ -18,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The odd divisors keep means away from exact halves, where the summation order would decide the rounding.
+
+
 def _k(props: str = "props"):
     return F.get_json_object(props, "$.k").cast("double")
 
 
 def messages_from_events(events: DataFrame) -> DataFrame:
     """Scored chat messages: one per event; a session is a day, a channel the parity of the user."""
-    score = clamp((F.col("value") - 50) / 50, -1.0, 1.0)
+    score = clamp((F.col("value") - 50) / 47, -1.0, 1.0)
     return events.select(
         F.date_format("ts", "yyyy-MM-dd").alias("session_id"),
         F.concat(F.lit("c"), (F.col("user_id") % 2).cast("string")).alias("channel_id"),
@@ -41,7 +44,7 @@ def messages_from_events(events: DataFrame) -> DataFrame:
         F.lit(False).alias("is_mod"),
         (F.col("user_id") % 50 == 0).alias("is_bot_likely"),
         score.alias("score"),
-        (_k() / 100).alias("confidence"),
+        ((_k() + 1) / 103).alias("confidence"),
         sentiment_label(score).alias("label"),
     )
 
@@ -61,7 +64,7 @@ def segments_from_events(events: DataFrame) -> DataFrame:
         start.alias("segment_start"),
         end.alias("segment_end"),
         F.concat_ws(" ", "event_type", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("text"),
-        (_k() / 100).alias("confidence"),
+        ((_k() + 1) / 103).alias("confidence"),
         F.col("user_id").alias("speaker"),
         (_k() * 10).cast("long").alias("asr_latency_ms"),
     )
