@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdtide.catalog.common import TBUCKETS, half_away, register, rnd, us
+from crowdtide.catalog.common import TBUCKETS, half_away, register, rnd, rounded, us
 from crowdtide.catalog.timeline import ALIGN, LABELS, LAGS, SIGNAL, STREAM, chat, signal, speech, window_labels
 from crowdtide.operators import alignment, correlation, evaluation, proof
 from crowdtide.sources import adapters
+from crowdtide.sources.storage import settle
 
 HOUR = adapters.HOUR
 
@@ -29,7 +30,7 @@ HLABELS = """hl AS (
 hl1 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY session_id, window_start, window_end ORDER BY updated_at DESC, channel_id) AS rn FROM hl) WHERE rn = 1)"""
 
 
-def human_labels(spark, sf):
+def human_labels(buckets):
     s, n = F.col("chat_sentiment"), F.col("message_count")
     label = (
         F.when(s > 0.2, "hype_spike")
@@ -39,7 +40,7 @@ def human_labels(spark, sf):
         .otherwise("")
     )
     none = F.lit(None).cast("timestamp")
-    return chat(spark, sf).select(
+    return buckets.select(
         "session_id",
         F.when(n == 1, F.col("bucket_start") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("bucket_start")).alias("window_start"),
         F.col("bucket_end").alias("window_end"),
@@ -77,13 +78,13 @@ ev AS (SELECT * FROM jd WHERE outcome = 'evaluated')"""
 
 def judged(spark, sf):
     w = signal(spark, sf)
-    windows = evaluation.evaluation_windows(w, chat_with_subwindows(spark, sf))
-    return evaluation.judge(windows, human_labels(spark, sf))
+    windows = evaluation.evaluation_windows(w, chat_with_subwindows(chat(spark, sf)))
+    return settle(evaluation.judge(windows, human_labels(chat(spark, sf))).drop("w"), "judged")
 
 
-def chat_with_subwindows(spark, sf):
+def chat_with_subwindows(buckets):
     sub = "array<struct<window_start:timestamp,window_end:timestamp,reaction_score:double,reaction_type:string,target_type:string,target_text:string,source:string,event_hint:string,confidence:double,evidence_ids:array<string>>>"
-    return chat(spark, sf).withColumns({"subwindows": F.array().cast(sub), "peak_time": F.lit(None).cast("timestamp")})
+    return buckets.withColumns({"subwindows": F.array().cast(sub), "peak_time": F.lit(None).cast("timestamp")})
 
 
 @register(
@@ -130,7 +131,7 @@ def _(spark, sf):
     f"""WITH {SIGNAL}, {HLABELS} SELECT session_id, {us}(window_start) AS window_start, {us}(window_end) AS window_end, event_label, channel_id AS pos FROM hl1""",
 )
 def _(spark, sf):
-    return evaluation.latest_label(human_labels(spark, sf)).select("session_id", "window_start", "window_end", "event_label", "pos")
+    return evaluation.latest_label(human_labels(chat(spark, sf))).select("session_id", "window_start", "window_end", "event_label", "pos")
 
 
 @register(
@@ -239,8 +240,8 @@ def _(spark, sf):
         FROM t JOIN a USING (session_id) JOIN ({PRF} b) USING (session_id)""",
 )
 def _(spark, sf):
-    windows = evaluation.evaluation_windows(signal(spark, sf), chat_with_subwindows(spark, sf))
-    return evaluation.session_evaluation(windows, human_labels(spark, sf)).select(
+    windows = evaluation.evaluation_windows(signal(spark, sf), chat_with_subwindows(chat(spark, sf)))
+    return evaluation.session_evaluation(windows, human_labels(chat(spark, sf))).select(
         "session_id", "total_windows", "total_labeled_windows", "evaluated_windows", "unmatched_labels", "uncertain_labels", "invalid_labels",
         "false_positives_normal_chat", "event_accuracy", "event_precision", "event_recall", "event_f1", "coverage", "reaction_type_accuracy",
         "target_accuracy", "divergence_accuracy",
@@ -311,8 +312,8 @@ def _(spark, sf):
 SESS = """sess AS (SELECT session_id, count(*) FILTER (message_count > 2) + 5 AS rec_chat, 10 AS rec_t, 0 AS rec_a, min(bucket_start) AS started_at, CAST(NULL AS TIMESTAMP) AS ended_at FROM buckets GROUP BY 1)"""
 
 
-def sessions(spark, sf):
-    return chat(spark, sf).groupBy("session_id").agg(
+def sessions(buckets):
+    return buckets.groupBy("session_id").agg(
         F.min("channel_id").alias("channel_id"),
         (F.count_if(F.col("message_count") > 2) + 5).alias("chat_bucket_count"),
         F.lit(10).cast("long").alias("transcript_bucket_count"),
@@ -326,6 +327,12 @@ def aligned(spark, sf):
     return alignment.align(chat(spark, sf), speech(spark, sf), HOUR)
 
 
+def stored(spark, sf):
+    """Chat buckets, transcript buckets and alignments as tables, for queries that read them several times."""
+    c, t = settle(chat(spark, sf), "chat"), settle(speech(spark, sf), "speech")
+    return c, t, settle(alignment.align(c, t, HOUR), "aligned")
+
+
 CNT = """cc AS (SELECT session_id, count(*) AS n FROM buckets GROUP BY 1), ct AS (SELECT session_id, count(*) AS n FROM tbuckets GROUP BY 1), ca AS (SELECT session_id, count(*) AS n FROM al GROUP BY 1),
 cl AS (SELECT session_id, count(*) AS n FROM (SELECT DISTINCT session_id, label_start, label_end FROM lab) GROUP BY 1)"""
 
@@ -337,7 +344,8 @@ cl AS (SELECT session_id, count(*) AS n FROM (SELECT DISTINCT session_id, label_
         FROM sess s JOIN cc USING (session_id) JOIN ct USING (session_id) JOIN ca USING (session_id) JOIN cl USING (session_id)""",
 )
 def _(spark, sf):
-    out = proof.session_totals(sessions(spark, sf), chat(spark, sf), speech(spark, sf), aligned(spark, sf), window_labels(spark, sf))
+    c, t, al = stored(spark, sf)
+    out = proof.session_totals(sessions(c), c, t, al, window_labels(c))
     return out.select("session_id", "chat_bucket_count", "transcript_bucket_count", "alignment_count", "signal_window_label_count", "bucket_count", "partial")
 
 
@@ -348,7 +356,8 @@ def _(spark, sf):
         FROM sess s LEFT JOIN cc USING (session_id) LEFT JOIN ct USING (session_id) LEFT JOIN ca USING (session_id)""",
 )
 def _(spark, sf):
-    out = proof.session_history(sessions(spark, sf), chat(spark, sf), speech(spark, sf), aligned(spark, sf), window_labels(spark, sf))
+    c, t, al = stored(spark, sf)
+    out = proof.session_history(sessions(c), c, t, al, window_labels(c))
     return out.select("session_id", "chat_bucket_count", "transcript_bucket_count", "alignment_count", "label_count")
 
 
@@ -359,7 +368,8 @@ def _(spark, sf):
         SELECT session_id, {us}(min(x)) AS timeline_start, {us}(max(x)) AS timeline_end, CAST(floor((epoch_us(max(x)) - epoch_us(min(x))) / 1000) AS BIGINT) AS source_duration_ms FROM t GROUP BY 1""",
 )
 def _(spark, sf):
-    return proof.timeline_bounds(sessions(spark, sf), chat(spark, sf), speech(spark, sf), aligned(spark, sf))
+    c, t, al = stored(spark, sf)
+    return proof.timeline_bounds(sessions(c), c, t, al)
 
 
 KEYS = """wk AS (SELECT session_id, bucket_start AS s, bucket_end AS e FROM buckets UNION SELECT session_id, window_start, window_end FROM al)"""
@@ -371,7 +381,8 @@ KEYS = """wk AS (SELECT session_id, bucket_start AS s, bucket_end AS e FROM buck
         FROM (SELECT DISTINCT session_id, channel_id, window_start, window_end, chat_bucket_start, transcript_bucket_start FROM al) x GROUP BY session_id""",
 )
 def _(spark, sf):
-    return proof.distinct_windows(chat(spark, sf), aligned(spark, sf))
+    c, _, al = stored(spark, sf)
+    return proof.distinct_windows(c, al)
 
 
 @register(
@@ -382,12 +393,12 @@ def _(spark, sf):
           {r4("count(*) FILTER (w AND l) / nullif(count(*) FILTER (w), 0)")} AS label_coverage FROM j GROUP BY 1""",
 )
 def _(spark, sf):
-    return proof.label_coverage(chat(spark, sf), aligned(spark, sf), window_labels(spark, sf))
+    c, _, al = stored(spark, sf)
+    return proof.label_coverage(c, al, window_labels(c))
 
 
-def stored_speech(spark, sf):
+def stored_speech(t):
     """Transcript buckets with the completeness fields a store would hold."""
-    t = speech(spark, sf)
     n = F.col("segment_count")
     quality = F.to_json(F.struct(F.when(n % 5 == 0, "completed").alias("repair_status"), F.when(n % 5 == 0, 0.0).alias("repair_changed_ratio")))
     return t.withColumns(
@@ -420,7 +431,7 @@ COVER = """tc AS (SELECT *, CASE WHEN segment_count % 2 = 0 AND asr_latency_ms >
           {rnd("rc")} AS average_repair_changed_ratio, {r4("audio / expected")} AS audio_coverage, {r4("greatest(CASE WHEN repair_added_words > 0 THEN repair_added_words / word_count END, rc)")} AS repair_improvement FROM a""",
 )
 def _(spark, sf):
-    return proof.transcript_coverage(stored_speech(spark, sf))
+    return proof.transcript_coverage(stored_speech(speech(spark, sf)))
 
 
 @register(
@@ -429,7 +440,7 @@ def _(spark, sf):
         SELECT session_id, status, count(*) AS n FROM s GROUP BY ALL""",
 )
 def _(spark, sf):
-    return proof.transcript_status_counts(stored_speech(spark, sf)).select("session_id", F.explode("transcript_status_counts").alias("status", "n"))
+    return proof.transcript_status_counts(stored_speech(speech(spark, sf))).select("session_id", F.explode("transcript_status_counts").alias("status", "n"))
 
 
 @register(
@@ -466,15 +477,17 @@ def _(spark, sf):
 
 @register("session_proof")
 def _(spark, sf):
-    c = chat(spark, sf).withColumns({"analysis_latency_ms": F.col("message_count") * 7, "analysis_status": F.lit("python")})
-    return proof.session_proof(sessions(spark, sf), c, stored_speech(spark, sf), aligned(spark, sf), window_labels(spark, sf))
+    b, t, al = stored(spark, sf)
+    c = b.withColumns({"analysis_latency_ms": F.col("message_count") * 7, "analysis_status": F.lit("python")})
+    return proof.session_proof(sessions(b), c, stored_speech(t), al, window_labels(b))
 
 
 @register("session_report")
 def _(spark, sf):
     from crowdtide.plans import reports
 
-    c = chat_with_subwindows(spark, sf).withColumns(
+    b, t, al = stored(spark, sf)
+    c = chat_with_subwindows(b).withColumns(
         {
             "analysis_latency_ms": F.col("message_count") * 7,
             "analysis_status": F.lit("python"),
@@ -484,9 +497,9 @@ def _(spark, sf):
             "peak_evidence_messages": F.lit(None).cast("array<struct<message_id:string,text:string>>"),
         }
     )
-    sess = sessions(spark, sf)
+    sess = sessions(b)
     metrics = sess.select("session_id", F.lit("storage.queue_depth").alias("name"), F.lit(0.0).alias("value"), F.col("started_at").alias("recorded_at"))
-    return reports.session_report(sess, c, stored_speech(spark, sf), aligned(spark, sf), human_labels(spark, sf), metrics, HOUR)
+    return reports.session_report(sess, c, stored_speech(t), al, human_labels(b), metrics, HOUR)
 
 
 @register(
@@ -496,7 +509,7 @@ def _(spark, sf):
         UNION ALL SELECT session_id, 'replay_proof.transcript_empty_ratio', {rnd("v2")}, 'ratio' FROM a UNION ALL SELECT session_id, 'replay_proof.transcript_word_count', {rnd("v3")}, 'words' FROM a""",
 )
 def _(spark, sf):
-    wide = proof.transcript_coverage(stored_speech(spark, sf))
+    wide = proof.transcript_coverage(stored_speech(speech(spark, sf)))
     named = [("replay_proof.transcript_audio_coverage", "audio_coverage", "ratio"), ("replay_proof.transcript_empty_ratio", "empty_ratio", "ratio"), ("replay_proof.transcript_word_count", "word_count", "words")]
     return proof.wide_to_long(wide, ["session_id"], named)
 
@@ -535,7 +548,7 @@ def _(spark, sf):
 PAIRS = f"""{ALIGN}, {LABELS}, c AS (SELECT a.session_id, a.channel_id, a.window_start, a.window_end, lower(trim(event_label)) AS l, label_start, label_end
           FROM al a JOIN lab ON lab.session_id = a.session_id AND a.window_start < label_end AND label_start < a.window_end AND trim(event_label) <> ''),
 lr AS (SELECT *, row_number() OVER (PARTITION BY session_id, channel_id, window_start, window_end ORDER BY l = 'none', label_start, label_end, l) AS rn FROM c),
-pr0 AS (SELECT a.*, coalesce(r.l, '') AS label, a.relationship = 'diverged' OR abs(a.delta) >= 0.45 AS dd FROM al a LEFT JOIN lr r ON r.session_id = a.session_id AND r.channel_id = a.channel_id
+pr0 AS (SELECT a.* REPLACE ({rnd("a.chat_sentiment")} AS chat_sentiment, {rnd("a.transcript_sentiment")} AS transcript_sentiment), coalesce(r.l, '') AS label, a.relationship = 'diverged' OR abs(a.delta) >= 0.45 AS dd FROM al a LEFT JOIN lr r ON r.session_id = a.session_id AND r.channel_id = a.channel_id
           AND r.window_start = a.window_start AND r.window_end = a.window_end AND rn = 1),
 pr AS (SELECT *, label NOT IN ('', 'none') AS le, NOT dd AND label IN ('', 'none') AND quality >= 0.5 AND chat_message_count >= 5 AND len >= 40 AS calm, abs(delta) AS ad FROM pr0),
 co AS (SELECT *, 'all_aligned' AS cohort FROM pr UNION ALL SELECT *, 'calm_baseline' FROM pr WHERE calm UNION ALL SELECT *, 'detected_divergence' FROM pr WHERE dd
@@ -545,7 +558,11 @@ CFG = correlation.CohortConfig(minimum_quality=0.5)
 
 
 def pairs(spark, sf):
-    return correlation.sentiment_pairs(aligned(spark, sf), window_labels(spark, sf), CFG, HOUR)
+    """Stored pairs. Scores are cut to nine digits, so that equal means tie whatever the summation order was."""
+    c = settle(chat(spark, sf), "chat")
+    al = alignment.align(c, speech(spark, sf), HOUR)
+    out = correlation.sentiment_pairs(al, window_labels(c), CFG, HOUR)
+    return settle(out.withColumns({x: rounded(F.col(x)) for x in ("chat_sentiment", "transcript_sentiment")}), "pairs")
 
 
 def _rank(keys: str, v: str) -> str:
@@ -646,7 +663,7 @@ def _(spark, sf):
     return correlation.calibrate_threshold(pairs(spark, sf), (), CFG)
 
 
-LAGP = """lagp AS (SELECT CAST(l AS BIGINT) AS lag_seconds, a.chat_sentiment AS x, b.sentiment_score AS y FROM buckets a, (VALUES (-3600), (0), (3600)) g(l), tbuckets b WHERE a.session_id = b.session_id AND a.channel_id = b.channel_id
+LAGP = f"""lagp AS (SELECT CAST(l AS BIGINT) AS lag_seconds, {rnd("a.chat_sentiment")} AS x, {rnd("b.sentiment_score")} AS y FROM buckets a, (VALUES (-3600), (0), (3600)) g(l), tbuckets b WHERE a.session_id = b.session_id AND a.channel_id = b.channel_id
   AND epoch_us(least(a.bucket_end + to_seconds(l), b.bucket_end)) - epoch_us(greatest(a.bucket_start + to_seconds(l), b.bucket_start)) >= 1800e6)"""
 
 
@@ -657,7 +674,9 @@ LAGP = """lagp AS (SELECT CAST(l AS BIGINT) AS lag_seconds, a.chat_sentiment AS
         SELECT lag_seconds, pair_count, {rnd("ad")} AS average_abs_delta, {rnd("p")} AS pearson, {rnd("sp")} AS spearman, CAST(row_number() OVER (ORDER BY abs(p) DESC, lag_seconds) = 1 AS BIGINT) AS best FROM s""",
 )
 def _(spark, sf):
-    lagged = alignment.lag_pairs(chat(spark, sf), speech(spark, sf), LAGS, HOUR)
+    c = chat(spark, sf).withColumn("chat_sentiment", rounded(F.col("chat_sentiment")))
+    t = speech(spark, sf).withColumn("sentiment_score", rounded(F.col("sentiment_score")))
+    lagged = settle(alignment.lag_pairs(c, t, LAGS, HOUR), "lagged")
     return correlation.lag_summary(lagged, LAGS).drop("correlation_status")
 
 

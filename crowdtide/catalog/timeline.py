@@ -8,6 +8,7 @@ from crowdtide.catalog.common import BUCKETS, MSG, SEGMENTS, TBUCKETS, clamp_sql
 from crowdtide.functions import keys
 from crowdtide.operators import alignment, filters, intervals, signals, transcripts, windows
 from crowdtide.sources import adapters
+from crowdtide.sources.storage import settle
 
 HOUR = adapters.HOUR
 STREAM = intervals.STREAM
@@ -317,8 +318,7 @@ LABELS = """lab AS (
   SELECT session_id, bucket_start, bucket_end, CASE WHEN message_count > 7 THEN 'hype_spike' WHEN message_count > 5 THEN 'none' ELSE '' END FROM buckets)"""
 
 
-def window_labels(spark, sf):
-    b = chat(spark, sf)
+def window_labels(b):
     s = F.col("chat_sentiment")
     first = b.select(
         "session_id",
@@ -346,7 +346,7 @@ def window_labels(spark, sf):
 )
 def _(spark, sf):
     al = alignment.align(chat(spark, sf), speech(spark, sf), HOUR)
-    return alignment.overlap_label(al, window_labels(spark, sf), HOUR).select(*windows.RWINDOW, "label")
+    return alignment.overlap_label(al, window_labels(chat(spark, sf)), HOUR).select(*windows.RWINDOW, "label")
 
 
 @register(
@@ -359,7 +359,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     b = chat(spark, sf).select(*STREAM, F.col("bucket_start").alias("window_start"), F.col("bucket_end").alias("window_end"))
-    out = alignment.gold_label(b, window_labels(spark, sf), HOUR)
+    out = alignment.gold_label(b, window_labels(chat(spark, sf)), HOUR)
     return out.select(*STREAM, F.col("window_start").alias("bucket_start"), F.col("window_end").alias("bucket_end"), "gold_label")
 
 
@@ -379,8 +379,9 @@ evs AS (
 
 
 def signal(spark, sf):
-    al = alignment.align(chat(spark, sf), speech(spark, sf), HOUR)
-    return signals.signal_windows(chat(spark, sf), al, orphans=False)
+    buckets = settle(chat(spark, sf), "chat")
+    al = alignment.align(buckets, speech(spark, sf), HOUR)
+    return signals.signal_windows(buckets, al, orphans=False)
 
 
 @register(
