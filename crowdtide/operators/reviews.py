@@ -443,7 +443,7 @@ def speech_words(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: w != "")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     """Levenshtein distance of two word arrays. Built-ins only know it for characters.
 
