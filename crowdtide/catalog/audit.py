@@ -624,10 +624,10 @@ def _(spark, sf):
     f"""WITH r AS (SELECT l_returnflag, {_rank("l_returnflag", "l_quantity")} AS rx, {_rank("l_returnflag", "l_extendedprice")} AS ry FROM lineitem) SELECT l_returnflag, {rnd(half_away(_corr("rx", "ry"), 4))} AS spearman FROM r GROUP BY 1""",
 )
 def _(spark, sf):
-    from crowdtide.operators.ranks import average_rank
+    from crowdtide.operators.ranks import average_ranks
 
     li = adapters.table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    ranked = average_rank(average_rank(li, ["l_returnflag"], "l_quantity", "rx", 5), ["l_returnflag"], "l_extendedprice", "ry", 1000)
+    ranked = average_ranks(li, ["l_returnflag"], {"l_quantity": "rx", "l_extendedprice": "ry"}, {"l_quantity": 5, "l_extendedprice": 1000})
     return ranked.groupBy("l_returnflag").agg(correlation.r4(correlation.pearson("rx", "ry")).alias("spearman"))
 
 

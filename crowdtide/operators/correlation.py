@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from crowdtide.functions.numbers import ratio, round_half_away
 from crowdtide.functions.text import key_text, strip
 from crowdtide.operators.alignment import overlap_label
-from crowdtide.operators.ranks import average_rank, quantiles
+from crowdtide.operators.ranks import average_ranks, quantiles
+from crowdtide.sources.storage import settle
 
 COHORTS = ("all_aligned", "calm_baseline", "detected_divergence", "labeled_events", "labeled_none")
 
@@ -67,21 +68,31 @@ def with_cohorts(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("cohort", F.explode(names))
 
 
-def correlations(pairs: DataFrame, keys: Sequence[str], minimum: int, x: str = "chat_sentiment", y: str = "transcript_sentiment") -> DataFrame:
-    """Pearson and Spearman per key with their status, rounded to four digits."""
+def correlations(pairs: DataFrame, keys: Sequence[str], minimum: int, x: str = "chat_sentiment", ys: Sequence[str] = ("transcript_sentiment",)) -> DataFrame:
+    """Pearson and Spearman of x with each y per key, with their status, rounded to four digits.
+
+    Columns of the first y are plain (pearson, spearman, correlation_status); further ones carry its name as prefix.
+    """
     k = list(keys)
-    ranked = average_rank(average_rank(pairs.select(*k, x, y), k, x, "_rx"), k, y, "_ry")
-    out = ranked.groupBy(*k).agg(F.count("*").alias("n"), pearson(x, y).alias("p"), pearson("_rx", "_ry").alias("s"))
+    ranked = average_ranks(pairs.select(*k, x, *ys), k, {c: f"_r_{c}" for c in (x, *ys)})
+    aggs = [F.count("*").alias("n")]
+    for y in ys:
+        aggs += [pearson(x, y).alias(f"_p_{y}"), pearson(f"_r_{x}", f"_r_{y}").alias(f"_s_{y}")]
+    out = ranked.groupBy(*k).agg(*aggs)
     enough = F.col("n") >= minimum
-    p, s = F.when(enough, F.col("p")), F.when(enough, F.col("s"))
-    status = (
-        F.when(~enough, "insufficient_pairs")
-        .when(p.isNotNull() & s.isNotNull(), "computed")
-        .when(p.isNotNull(), "spearman_undefined")
-        .when(s.isNotNull(), "pearson_undefined")
-        .otherwise("constant_series")
-    )
-    return out.select(*k, r4(p).alias("pearson"), r4(s).alias("spearman"), status.alias("correlation_status"))
+    cols: list[Column] = []
+    for i, y in enumerate(ys):
+        p, s = F.when(enough, F.col(f"_p_{y}")), F.when(enough, F.col(f"_s_{y}"))
+        status = (
+            F.when(~enough, "insufficient_pairs")
+            .when(p.isNotNull() & s.isNotNull(), "computed")
+            .when(p.isNotNull(), "spearman_undefined")
+            .when(s.isNotNull(), "pearson_undefined")
+            .otherwise("constant_series")
+        )
+        prefix = "" if i == 0 else f"{y}_"
+        cols += [r4(p).alias(f"{prefix}pearson"), r4(s).alias(f"{prefix}spearman"), status.alias(f"{prefix}correlation_status")]
+    return out.select(*k, *cols)
 
 
 def count_map(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -203,10 +214,13 @@ def negative_control(pairs: DataFrame, keys: Sequence[str] = (), minimum: int =
     if not k:
         rotated = rotated.withColumn("_all", F.lit(1))
         k = ["_all"]
-    observed = correlations(rotated, k, minimum).select(*k, F.col("pearson").alias("observed_pearson"), F.col("spearman").alias("observed_spearman"))
-    shuffled = correlations(rotated, k, minimum, y="shuffled").select(*k, F.col("pearson").alias("shuffled_pearson"), F.col("spearman").alias("shuffled_spearman"))
+    # read by every rank of both correlations
+    rotated = settle(rotated.select(*k, "chat_sentiment", "transcript_sentiment", "shuffled", "effective"), "rotated")
+    found = correlations(rotated, k, minimum, ys=("transcript_sentiment", "shuffled")).withColumnsRenamed(
+        {"pearson": "observed_pearson", "spearman": "observed_spearman"}
+    )
     base = rotated.groupBy(*k).agg(F.count("*").alias("pair_count"), F.max("effective").alias("_eff"))
-    out = base.join(observed, k, "left").join(shuffled, k, "left")
+    out = base.join(found, k, "left")
     eff = F.col("_eff")
     out = out.withColumns({c: F.when(eff, F.col(c)) for c in ("shuffled_pearson", "shuffled_spearman")})
     out = out.withColumns(

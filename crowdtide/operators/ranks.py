@@ -35,10 +35,21 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, slice_width:
     )
 
 
+def average_ranks(df: DataFrame, keys: Sequence[str], wanted: dict[str, str], slice_width: float | dict[str, float] = 0.01) -> DataFrame:
+    """Attach the mean rank of each value within its key; ties share it. ``wanted``: value column to rank column.
+
+    All ranks come from the same input, so the plan grows by the number of columns and not by its power.
+    """
+    out = df
+    for value, name in wanted.items():
+        width = slice_width[value] if isinstance(slice_width, dict) else slice_width
+        mean = (F.col("before") + (F.col("cnt") + 1) / 2).alias(name)
+        out = out.join(value_positions(df, keys, value, width).select(*keys, value, mean), [*keys, value], "left")
+    return out
+
+
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, slice_width: float = 0.01) -> DataFrame:
-    """Attach the mean rank of each value within its key; ties share it."""
-    ranks = value_positions(df, keys, value, slice_width).select(*keys, value, (F.col("before") + (F.col("cnt") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    return average_ranks(df, keys, {value: out}, slice_width)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], slice_width: float = 0.01) -> DataFrame:

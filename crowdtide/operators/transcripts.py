@@ -159,25 +159,34 @@ def _most_repeated(items: DataFrame, key: list[str], out: str) -> DataFrame:
     return counts.groupBy(*key).agg(F.min_by("item", F.struct(-F.col("n"), "pos", "item")).alias(out))
 
 
-def transcript_target(texts: DataFrame, key: list[str], text: str = "text", stop_words: tuple[str, ...] = SIGNAL_STOP_WORDS) -> DataFrame:
-    """Repeated word pair of a text, else its most repeated word; '' when nothing repeats.
+def most_repeated_item(items: Column) -> Column:
+    """Item of an array seen most often, at least twice, the first seen on ties; NULL without one.
 
-    The words are exploded, so a long text is spread over the shuffle instead of being counted in one expression.
+    Sorting brings equal items together and one fold over the runs keeps the best, so a text never leaves its row.
     """
-    both = let(signal_terms(F.coalesce(F.col(text), F.lit("")), stop_words), lambda w: F.struct(w.alias("terms"), bigrams(w).alias("pairs")))
-    parts = texts.select(*key, both.alias("b"))
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("k"), i.alias("i"))))
+    none = F.lit(None).cast("string")
+    zero = F.lit(0)
+    start = F.struct(none.alias("k"), zero.alias("n"), zero.alias("i"), F.lit(1).alias("best_n"), zero.alias("best_i"), none.alias("best"))
 
-    def exploded(field: str) -> DataFrame:
-        return parts.select(*key, F.posexplode(f"b.{field}").alias("pos", "item"))
+    def step(acc: Column, e: Column) -> Column:
+        same = acc["k"].eqNullSafe(e["k"])
+        n = F.when(same, acc["n"] + 1).otherwise(F.lit(1))
+        first = F.when(same, acc["i"]).otherwise(e["i"])
+        better = (n > acc["best_n"]) | ((n > 1) & (n == acc["best_n"]) & (first < acc["best_i"]))
+        return F.struct(
+            e["k"].alias("k"), n.alias("n"), first.alias("i"), F.when(better, n).otherwise(acc["best_n"]).alias("best_n"),
+            F.when(better, first).otherwise(acc["best_i"]).alias("best_i"), F.when(better, e["k"]).otherwise(acc["best"]).alias("best"),
+        )
 
-    phrase = _most_repeated(exploded("pairs"), key, "_phrase")
-    term = _most_repeated(exploded("terms"), key, "_term")
-    return (
-        texts.select(*key)
-        .join(phrase, key, "left")
-        .join(term, key, "left")
-        .select(*key, F.coalesce("_phrase", "_term", F.lit("")).alias("target_text"))
-    )
+    return F.aggregate(keyed, start, step, lambda acc: acc["best"])
+
+
+def transcript_target(texts: DataFrame, key: list[str], text: str = "text", stop_words: tuple[str, ...] = SIGNAL_STOP_WORDS) -> DataFrame:
+    """Repeated word pair of a text, else its most repeated word; '' when nothing repeats. No shuffle."""
+    terms = signal_terms(F.coalesce(F.col(text), F.lit("")), stop_words)
+    target = let(terms, lambda w: F.coalesce(most_repeated_item(bigrams(w)), most_repeated_item(w), F.lit("")))
+    return texts.select(*key, target.alias("target_text"))
 
 
 def bucket_target(texts: DataFrame, key: list[str], stop_words: tuple[str, ...] = SIGNAL_STOP_WORDS) -> DataFrame:
