@@ -45,8 +45,8 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
 
 def keep_old_if_blank(new: str, version: str) -> Column:
     """Newest non-blank text."""
-    v = F.when(F.trim(new) != "", F.struct(F.col(version), F.col(new).alias("v")))
-    return F.max(v)["v"]
+    v = F.when(F.trim(new) != "", F.struct(F.col(version).alias("_at"), F.col(new).alias("_v")))
+    return F.max(v)["_v"]
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], version: str, policies: Mapping[str, str] | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], version:
         elif rule == "least":
             aggs.append(F.min(c).alias(c))
         elif rule == "first":
-            aggs.append(F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(version), F.col(c).alias("v"))))["v"].alias(c))
+            aggs.append(F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(version).alias("_at"), F.col(c).alias("_v"))))["_v"].alias(c))
         else:
             raise ValueError(f"unknown policy {rule}")
     merged = both.groupBy(*keys).agg(*aggs)
