@@ -69,12 +69,12 @@ CHAT_RANGE = ("chat_bucket_start", "chat_bucket_end")
 SPEECH_RANGE = ("transcript_bucket_start", "transcript_bucket_end")
 
 
-def align(chat: DataFrame, transcripts: DataFrame, window_seconds: int = 30) -> DataFrame:
+def align(chat: DataFrame, transcripts: DataFrame, window_seconds: int = 30, chunk_windows: int = 1024) -> DataFrame:
     """One-to-one pairs of scored transcript buckets and chat buckets overlapping by at least half a window."""
     speech = _speech_side(transcripts).where(F.col("transcript_sentiment").isNotNull())
     pairs = overlap_pairs(_chat_side(chat), speech, STREAM, CHAT_RANGE, SPEECH_RANGE, window_seconds)
     candidates = pairs.where(F.col("overlap_us") * 2 >= window_seconds * 1_000_000).withColumn("usable", F.lit(True))
-    matched = one_to_one(candidates, STREAM, SPEECH_RANGE, CHAT_RANGE)
+    matched = one_to_one(candidates, STREAM, SPEECH_RANGE, CHAT_RANGE, chunk_windows * window_seconds)
     delta = F.col("chat_sentiment") - F.col("transcript_sentiment")
     return with_alignment_quality(matched, window_seconds).select(
         *STREAM,
@@ -112,7 +112,7 @@ def lag_pairs(chat: DataFrame, transcripts: DataFrame, lags: Sequence[int] = DEF
     pairs = overlap_pairs(shifted, _speech_side(transcripts), STREAM, moved, SPEECH_RANGE, width)
     span = F.unix_micros(moved[1]) - F.unix_micros(moved[0])
     candidates = pairs.where(F.col("overlap_us") * 2 >= span).withColumn("usable", F.col("transcript_sentiment").isNotNull())
-    matched = one_to_one(candidates, ["lag_seconds", *STREAM], moved, SPEECH_RANGE)
+    matched = one_to_one(candidates, ["lag_seconds", *STREAM], moved, SPEECH_RANGE, 1024 * width)
     return matched.select(
         "lag_seconds", *STREAM, *CHAT_RANGE, *SPEECH_RANGE, "chat_sentiment", "transcript_sentiment",
         (F.col("chat_sentiment") - F.col("transcript_sentiment")).alias("delta"),

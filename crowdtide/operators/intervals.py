@@ -11,7 +11,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crowdtide.functions.keys import overlap_micros
 
@@ -98,9 +97,11 @@ def nearest_window(
     points = right.select(*on, mid(*r).alias("_m"), packed.alias("_row"), F.lit(True).alias("_is_right"))
     lefts = shifted.select(*key, mid(ls, le).alias("_m"))
     both = points.unionByName(lefts, allowMissingColumns=True)
-    order = Window.partitionBy(*on).orderBy("_m", F.col("_is_right").desc_nulls_last())
-    back = F.last("_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_row", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # both neighbours by growing frames: looking ahead is looking back in the reverse order
+    order = Window.partitionBy(*on).orderBy("_m", F.col("_is_right").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    reverse = Window.partitionBy(*on).orderBy(F.desc("_m"), F.col("_is_right").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last("_row", ignorenulls=True).over(order)
+    ahead = F.last("_row", ignorenulls=True).over(reverse)
     near = (
         both.withColumns({"_back": back, "_ahead": ahead})
         .where(F.col("_is_right").isNull())
@@ -123,31 +124,94 @@ def nearest_window(
     return out.withColumns({c: F.when(F.col("_exact").isNotNull(), F.col(f"_exact.{c}")).otherwise(F.col(c)) for c in keep}).drop("_exact")
 
 
-def _greedy(pickers: list[str], items: list[str]):
-    """One small island of rivals: pickers in order take their best item not yet taken."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*pickers, "overlap_us", *items], ascending=[True] * len(pickers) + [False] + [True] * len(items))
-        taken, done, keep = set(), set(), []
-        for row in pdf.itertuples():
-            who = tuple(getattr(row, c) for c in pickers)
-            what = tuple(getattr(row, c) for c in items)
-            if who in done or what in taken:
-                continue
-            done.add(who)
-            if row.usable:
-                taken.add(what)
-                keep.append(row.Index)
-        return pdf.loc[keep]
-
-    return pick
-
-
-def one_to_one(candidates: DataFrame, group: Sequence[str], picker: tuple[str, str], item: tuple[str, str]) -> DataFrame:
+MAX_SHARED = 8
+_PAIR = "array<struct<i0:bigint,i1:bigint>>"
+_PICK = "array<struct<p0:bigint,p1:bigint,i0:bigint,i1:bigint>>"
+
+
+def _greedy(rows: list[tuple], taken: set) -> list[tuple]:
+    """Pickers in time order take their best item that is still free. ``rows``: (p0, p1, i0, i1, overlap, usable)."""
+    done, picks = set(), []
+    for p0, p1, i0, i1, _, usable in rows:
+        who, what = (p0, p1), (i0, i1)
+        if who in done or what in taken:
+            continue
+        done.add(who)
+        if usable:
+            taken.add(what)
+            picks.append((p0, p1, i0, i1))
+    return picks
+
+
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    ordered = pdf.sort_values(["p0", "p1", "overlap_us", "i0", "i1"], ascending=[True, True, False, True, True])
+    return list(ordered[["p0", "p1", "i0", "i1", "overlap_us", "usable"]].itertuples(index=False, name=None))
+
+
+def _chunk_outcomes(keys: list[str]):
+    """All outcomes of one stretch of time: one row per set of items an earlier stretch may have taken."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _rows(pdf)
+        shared = sorted({(r.i0, r.i1) for r in pdf[pdf.first_chunk < pdf.chunk].itertuples()})
+        later = {(r.i0, r.i1) for r in pdf[pdf.last_chunk > pdf.chunk].itertuples()}
+        head = {k: pdf[k].iloc[0] for k in keys}
+        out = []
+        for mask in range(1 << len(shared)) if len(shared) <= MAX_SHARED else [-1]:
+            entry = [x for n, x in enumerate(shared) if mask >= 0 and mask >> n & 1]
+            taken = set(entry)
+            picks = _greedy(rows, taken) if mask >= 0 else []
+            out.append(
+                {
+                    **head,
+                    "chunk": pdf.chunk.iloc[0],
+                    "mask": mask,
+                    "shared": [{"i0": a, "i1": b} for a, b in shared],
+                    "exit": [{"i0": a, "i1": b} for a, b in sorted(taken & later)],
+                    "picks": [dict(zip(("p0", "p1", "i0", "i1"), x)) for x in picks],
+                }
+            )
+        return pd.DataFrame(out)
+
+    return run
+
+
+def _follow(keys: list[str]):
+    """Walk the stretches of one stream in order and name the outcome that really happened in each."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if (pdf["mask"] < 0).any():
+            return pdf.iloc[:0][[*keys, "chunk", "mask"]]
+        chosen, taken = [], set()
+        for _, part in pdf.sort_values(["chunk", "mask"]).groupby("chunk", sort=True):
+            shared = [(x["i0"], x["i1"]) for x in part["shared"].iloc[0]]
+            mask = sum(1 << n for n, x in enumerate(shared) if x in taken)
+            row = part[part["mask"] == mask].iloc[0]
+            taken |= {(x["i0"], x["i1"]) for x in row["exit"]}
+            chosen.append(row[[*keys, "chunk", "mask"]])
+        return pd.DataFrame(chosen)
+
+    return run
+
+
+def _whole(keys: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        picks = pd.DataFrame(_greedy(_rows(pdf), set()), columns=["p0", "p1", "i0", "i1"])
+        for k in keys:
+            picks[k] = pdf[k].iloc[0]
+        return picks[[*keys, "p0", "p1", "i0", "i1"]]
+
+    return run
+
+
+def one_to_one(candidates: DataFrame, group: Sequence[str], picker: tuple[str, str], item: tuple[str, str], chunk_seconds: int = 30_720) -> DataFrame:
     """Greedy matching of ranges: pickers by time, each taking the free item of largest overlap.
 
-    A candidate whose picker and item occur once is final as it stands. The rest is cut into islands, stretches of
-    time no rival range crosses, and only an island goes to Python. ``usable`` false means the pick yields nothing.
+    A candidate whose picker and item occur once is final as it stands. The contested rest is cut into stretches of
+    time, matched in parallel. What a stretch does depends only on the few items it shares with earlier ones, so it
+    reports its outcome for every combination of those, and a walk over these short reports picks the true one. No
+    task holds more than one stretch, however long a session is. Only overlapping item series, with more than
+    MAX_SHARED items across one border, are matched as a whole. ``usable`` false means the pick yields nothing.
     """
     g = list(group)
     rivals = candidates.withColumns(
@@ -158,21 +222,25 @@ def one_to_one(candidates: DataFrame, group: Sequence[str], picker: tuple[str, s
     )
     contested = (F.col("_np") > 1) | (F.col("_ni") > 1)
     plain = rivals.where(~contested & F.col("usable")).drop("_np", "_ni")
-    start = F.unix_micros(F.least(picker[0], item[0]))
-    end = F.unix_micros(F.greatest(picker[1], item[1]))
-    order = Window.partitionBy(*g).orderBy("_s", "_e")
-    islands = (
-        rivals.where(contested)
-        .drop("_np", "_ni")
-        .withColumns({"_s": start, "_e": end})
-        .withColumn("_reach", F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_new", F.when(F.col("_s") < F.col("_reach"), 0).otherwise(1))
-        .withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_s", "_e", "_reach", "_new")
+    ids = {"p0": picker[0], "p1": picker[1], "i0": item[0], "i1": item[1]}
+    rest = rivals.where(contested).drop("_np", "_ni").withColumns({k: F.unix_micros(c) for k, c in ids.items()})
+    per_item = Window.partitionBy(*g, "i0", "i1")
+    slim = (
+        rest.select(*g, *ids, "overlap_us", "usable")
+        .withColumn("chunk", F.floor(F.col("p0") / F.lit(chunk_seconds * 1_000_000)))
+        .withColumns({"first_chunk": F.min("chunk").over(per_item), "last_chunk": F.max("chunk").over(per_item)})
+    )
+    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    head = ", ".join(f"{k} {types[k]}" for k in g)
+    outcomes = slim.groupBy(*g, "chunk").applyInPandas(
+        _chunk_outcomes(g), f"{head}, chunk bigint, mask bigint, shared {_PAIR}, exit {_PAIR}, picks {_PICK}"
     )
-    schema = T.StructType([f for f in islands.schema.fields])
-    picked = islands.groupBy(*g, "_island").applyInPandas(_greedy(list(picker), list(item)), schema).drop("_island")
-    return plain.unionByName(picked)
+    true_ones = outcomes.select(*g, "chunk", "mask", "shared", "exit").groupBy(*g).applyInPandas(_follow(g), f"{head}, chunk bigint, mask bigint")
+    picks = outcomes.join(true_ones, [*g, "chunk", "mask"]).select(*g, F.inline("picks"))
+    dense = outcomes.where(F.col("mask") < 0).select(*g).distinct()
+    whole = slim.join(dense, g, "left_semi").groupBy(*g).applyInPandas(_whole(g), f"{head}, p0 bigint, p1 bigint, i0 bigint, i1 bigint")
+    won = rest.join(picks.unionByName(whole), [*g, *ids]).drop(*ids)
+    return plain.unionByName(won)
 
 
 def drop_superseded(provisional: DataFrame, committed: DataFrame, on: Sequence[str], child: tuple[str, str], parent: tuple[str, str], width: int) -> DataFrame:

@@ -49,7 +49,8 @@ def greedy(chats, speeches, window):
     return out
 
 
-def test_matches_sequential_greedy(spark):
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_matches_sequential_greedy(spark, chunk):
     rng = random.Random(11)
     cases, chats, speeches = {}, [], []
     for n in range(40):
@@ -63,13 +64,21 @@ def test_matches_sequential_greedy(spark):
     cases["chain"] = greedy(cs, ts, 30)
     chats += [("chain", a, b, 0.1) for a, b in cs]
     speeches += [("chain", a, b, 0.1) for a, b in ts]
-    got = epoch(alignment.align(chat(spark, chats), speech(spark, speeches), 30), "chat_bucket_start", "transcript_bucket_start")
+    got = epoch(alignment.align(chat(spark, chats), speech(spark, speeches), 30, chunk), "chat_bucket_start", "transcript_bucket_start")
     found = {k: set() for k in cases}
     for r in got.collect():
         found[r["session_id"]].add((r["chat_bucket_start"], r["transcript_bucket_start"]))
     assert found == cases
 
 
+def test_dense_item_series_are_matched_as_a_whole(spark):
+    cs = {(i, i + 60) for i in range(0, 300, 2)}
+    ts = {(i, i + 40) for i in range(0, 280, 7)}
+    want = greedy(cs, ts, 30)
+    got = epoch(alignment.align(chat(spark, [("s", a, b, 0.1) for a, b in cs]), speech(spark, [("s", a, b, 0.1) for a, b in ts]), 30, 1), "chat_bucket_start", "transcript_bucket_start")
+    assert {(r["chat_bucket_start"], r["transcript_bucket_start"]) for r in got.collect()} == want
+
+
 def test_unscored_transcript_blocks_a_lag_pair(spark):
     c = chat(spark, [("s", 0, 30, 0.5), ("s", 30, 60, 0.5)])
     t = speech(spark, [("s", 0, 30, None), ("s", 30, 60, 0.2)])
