@@ -403,6 +403,9 @@ def stored_speech(t):
     quality = F.to_json(F.struct(F.when(n % 5 == 0, "completed").alias("repair_status"), F.when(n % 5 == 0, 0.0).alias("repair_changed_ratio")))
     return t.withColumns(
         {
+            # whole seconds: sums of them cannot fall between two roundings
+            "audio_started_at": F.date_trunc("second", "audio_started_at"),
+            "audio_ended_at": F.date_trunc("second", "audio_ended_at"),
             "audio_seconds": F.when(n % 2 == 0, F.col("asr_latency_ms") * 3.0).otherwise(0.0),
             "word_count": F.when(n % 3 == 0, n * 2).otherwise(F.lit(0)),
             "empty_ratio": F.col("transcript_confidence") / 2,
@@ -417,7 +420,7 @@ def stored_speech(t):
     )
 
 
-COVER = """tc AS (SELECT *, CASE WHEN segment_count % 2 = 0 AND asr_latency_ms > 0 THEN asr_latency_ms * 3.0 ELSE (epoch_us(audio_ended_at) - epoch_us(audio_started_at)) / 1e6 END AS audio,
+COVER = """tc AS (SELECT *, CASE WHEN segment_count % 2 = 0 AND asr_latency_ms > 0 THEN asr_latency_ms * 3.0 ELSE (epoch_us(date_trunc('second', audio_ended_at)) - epoch_us(date_trunc('second', audio_started_at))) / 1e6 END AS audio,
    segment_count * 2 AS words, CASE WHEN segment_count % 4 = 0 THEN 1 ELSE 0 END AS added, CASE WHEN segment_count % 4 = 0 THEN transcript_confidence ELSE 0.0 END AS changed,
    transcript_confidence / 2 AS er FROM tbuckets)"""
 
