@@ -31,9 +31,9 @@ def _flag(ok: Column, yes: str, no: str) -> Column:
 
 
 def with_alignment_quality(pairs: DataFrame, window_seconds: float) -> DataFrame:
-    """Five-part quality score and four flags. Text length counts bytes."""
+    """Five-part quality score and four flags. Text length counts bytes without outer white space."""
     overlap = clamp01(F.col("overlap_us") / 1e6 / float(window_seconds))
-    length = F.octet_length(strip(F.coalesce("text", F.lit(""))))
+    length = F.col("trimmed_bytes")
     n, conf = F.col("message_count"), F.col("transcript_confidence")
     quality = clamp01(
         overlap * 0.35
@@ -59,9 +59,12 @@ def _chat_side(chat: DataFrame) -> DataFrame:
 
 
 def _speech_side(transcripts: DataFrame) -> DataFrame:
+    """Only the lengths of the texts take part in the join, not the texts."""
+    text = F.coalesce("text", F.lit(""))
     return transcripts.select(
         *STREAM, F.col("bucket_start").alias("transcript_bucket_start"), F.col("bucket_end").alias("transcript_bucket_end"),
-        F.col("sentiment_score").alias("transcript_sentiment"), F.coalesce("transcript_confidence", F.lit(0.0)).alias("transcript_confidence"), "text",
+        F.col("sentiment_score").alias("transcript_sentiment"), F.coalesce("transcript_confidence", F.lit(0.0)).alias("transcript_confidence"),
+        F.octet_length(text).cast("long").alias("text_bytes"), F.octet_length(strip(text)).cast("long").alias("trimmed_bytes"),
     )
 
 
@@ -87,7 +90,7 @@ def align(chat: DataFrame, transcripts: DataFrame, window_seconds: int = 30, chu
         F.col("message_count").alias("chat_message_count"),
         "transcript_sentiment",
         "transcript_confidence",
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("transcript_text_length"),
+        F.col("text_bytes").alias("transcript_text_length"),
         delta.alias("delta"),
         similarity(delta).alias("similarity"),
         relationship(delta).alias("relationship"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdtide.functions.keys import overlap_micros
+from crowdtide.sources.storage import settle
 
 STREAM = ["session_id", "channel_id"]
 
@@ -212,6 +213,8 @@ def one_to_one(candidates: DataFrame, group: Sequence[str], picker: tuple[str, s
     reports its outcome for every combination of those, and a walk over these short reports picks the true one. No
     task holds more than one stretch, however long a session is. Only overlapping item series, with more than
     MAX_SHARED items across one border, are matched as a whole. ``usable`` false means the pick yields nothing.
+
+    The candidates are read by every step, so they are stored first; without contested ones the matching is skipped.
     """
     g = list(group)
     rivals = candidates.withColumns(
@@ -220,10 +223,13 @@ def one_to_one(candidates: DataFrame, group: Sequence[str], picker: tuple[str, s
             "_ni": F.count("*").over(Window.partitionBy(*g, *item)),
         }
     )
+    rivals = settle(rivals, "candidates")
     contested = (F.col("_np") > 1) | (F.col("_ni") > 1)
     plain = rivals.where(~contested & F.col("usable")).drop("_np", "_ni")
     ids = {"p0": picker[0], "p1": picker[1], "i0": item[0], "i1": item[1]}
     rest = rivals.where(contested).drop("_np", "_ni").withColumns({k: F.unix_micros(c) for k, c in ids.items()})
+    if rest.isEmpty():
+        return plain
     per_item = Window.partitionBy(*g, "i0", "i1")
     slim = (
         rest.select(*g, *ids, "overlap_us", "usable")
