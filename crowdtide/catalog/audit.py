@@ -586,8 +586,9 @@ cs AS (SELECT cohort, count(*) AS pair_count, {half_away(_corr("chat_sentiment",
 
 @register(
     "cohort_summary",
-    f"""WITH {PAIRS}, {CORR} SELECT cohort, pair_count, {rnd("p")} AS pearson, {rnd("s")} AS spearman, {rnd("mc")} AS mean_chat_sentiment, {rnd("mt")} AS mean_transcript_sentiment, {rnd("md")} AS average_delta,
-        {rnd("mad")} AS average_abs_delta, {rnd("mq")} AS average_quality, {rnd("q50")} AS abs_delta_median, {rnd("q90")} AS abs_delta_p90, {rnd("q95")} AS abs_delta_p95 FROM cs""",
+    f"""WITH {PAIRS}, {CORR}, every(cohort) AS (VALUES ('all_aligned'), ('calm_baseline'), ('detected_divergence'), ('labeled_events'), ('labeled_none'))
+        SELECT cohort, coalesce(pair_count, 0) AS pair_count, {rnd("CASE WHEN pair_count >= 3 THEN p END")} AS pearson, {rnd("CASE WHEN pair_count >= 3 THEN s END")} AS spearman, {rnd("mc")} AS mean_chat_sentiment, {rnd("mt")} AS mean_transcript_sentiment, {rnd("md")} AS average_delta,
+        {rnd("mad")} AS average_abs_delta, {rnd("mq")} AS average_quality, {rnd("q50")} AS abs_delta_median, {rnd("q90")} AS abs_delta_p90, {rnd("q95")} AS abs_delta_p95 FROM every LEFT JOIN cs USING (cohort)""",
 )
 def _(spark, sf):
     return correlation.cohort_summary(pairs(spark, sf), (), CFG).drop("relationship_counts", "label_counts", "correlation_status")
