@@ -621,7 +621,10 @@ def _(spark, sf):
     return storage.append_metrics(o.where(F.col("value") >= 100000), path)
 
 
-@register("write_reports")
+@register(
+    "write_reports",
+    f"""WITH {BUCKETS} SELECT session_id, 'chat' AS name, {rnd("arg_max(chat_sentiment, (bucket_start, chat_sentiment))")} AS value FROM buckets GROUP BY 1""",
+)
 def _(spark, sf):
     from crowdtide.operators import proof
 
