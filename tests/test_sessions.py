@@ -157,3 +157,21 @@ def test_repair_change(spark):
     df = spark.createDataFrame([("so we go", "so, we now go!")], "live string, final string")
     r = reviews.repair_change(df, "live", "final").first()
     assert (r["repair_added_words"], r["repair_changed_ratio"]) == (1, 0.25)
+
+
+def test_reviews(tables):
+    c, t, al = (tables[x].drop("pos") for x in ("chat_buckets", "transcript_buckets", "alignments"))
+    ctx = reviews.with_context(reviews.review_windows(c, al, t), c, al, t)
+    rows = {(r["source_window_type"], r["window_start"].minute, r["window_start"].second): r for r in reviews.review_rows(ctx, tables["window_labels"]).collect()}
+    assert len(rows) == 4
+    sub = rows["reaction_subwindow", 0, 40]
+    assert (sub["suggested_event_label"], sub["reference_event_label"], sub["correctness"]) == ("audience_shift", "audience_shift", "correct")
+    # mean of 0.7, 0.8, 0.7, 0.8 and 0.9, raised for agreeing with the label
+    assert sub["confidence"] == 0.86 and sub["streamer_usefulness"] == 0.77
+    assert sub["reason"].startswith("suggested audience_shift against gold label audience_shift; chat sentiment 0.00 from 20 messages; confusion subwindow score 0.80")
+    assert [e["source"] for e in sub["evidence"]] == ["reaction", "transcript"]
+    pre = {(r["source_window_type"], r["window_start"].minute, r["window_start"].second): r for r in reviews.prescore_reviews(ctx).collect()}
+    hype, quiet, burst = pre["chat_bucket_30s", 0, 0], pre["chat_bucket_30s", 1, 0], pre["reaction_subwindow", 0, 40]
+    assert (hype["suggested_event_label"], hype["reaction_type"], hype["streamer_usefulness"]) == ("hype_spike", "hype", 0.95)
+    assert (quiet["suggested_event_label"], quiet["confidence"], quiet["streamer_usefulness"]) == ("none", 0.8, 0.08)
+    assert (burst["suggested_event_label"], burst["confidence"], burst["event_peak"].second) == ("audience_shift", 0.8, 43)
