@@ -6,27 +6,25 @@ Intermediate results that several branches read are written once to the shared f
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only a local session without one gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="crowdtide-")
-    return _LOCAL[app]
+    """One folder per application below ``spark.checkpoint.dir``, else below the session's warehouse.
+
+    Both are shared by all executors. Spark's file system deletes the folder when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/crowdtide-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -83,11 +81,6 @@ def changed_rows(current: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     return new.join(old, list(keys), "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("_new"))).drop("_old", "_new")
 
 
-def overwrite_partitions(table: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Replace only the partitions present in ``table``."""
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
 METRIC_COLUMNS = ["session_id", "name", "value", "unit", "recorded_at", "meta"]
 
 
