@@ -54,7 +54,7 @@ def distinct_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
+def ftrl(examples: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0, epochs: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, places and weights. One example: its distinct places, each of value 1. Order of the examples counts."""
     n_places = 1 << BITS
     z, n = np.zeros(n_places + 1), np.zeros(n_places + 1)
@@ -80,7 +80,7 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, alpha: float = 0.1, bet
     return float(weights(np.array([n_places]))[0]), live[w != 0], w[w != 0]
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[float, np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> tuple[float, np.ndarray, np.ndarray]:
     """Weights from at most ``max_rows`` labelled documents, those with the smallest hash of their id.
 
     Of several labels of an id the highest holds; null labels and ids are left out. Without any example the bias is 0.
@@ -110,7 +110,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[flo
     return float(model.loc[~inside, "weight"].iloc[0]), model.loc[inside, "place"].to_numpy(np.int64), model.loc[inside, "weight"].to_numpy()
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, parts: int = 5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, parts: int = 5) -> DataFrame:
     """One row per input row: doc_id, held_out, score in 0..1, predicted (1 if score >= 0.5).
 
     Learns from documents whose fold is not 0; only text enters a score. Null and empty texts score as the bias alone.
