@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time. A longer text is a chunk of its own, never cut.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20260117))
 _ODD = np.uint64(1)

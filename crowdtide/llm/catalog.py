@@ -1,6 +1,6 @@
 """All queries of the package: importing this module registers them."""
 
-from crowdtide.llm import language_id, line_dedup, token_counts, toxicity  # noqa: F401
+from crowdtide.llm import decontaminate, knn, language_id, line_dedup, packing, token_counts, toxicity  # noqa: F401
 from crowdtide.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
