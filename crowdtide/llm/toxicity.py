@@ -110,14 +110,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> tuple[fl
     return float(model.loc[~inside, "weight"].iloc[0]), model.loc[inside, "place"].to_numpy(np.int64), model.loc[inside, "weight"].to_numpy()
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, parts: int = 5) -> DataFrame:
-    """One row per input row: doc_id, held_out, score in 0..1, predicted (1 if score >= 0.5).
+def scored(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, parts: int = 5) -> DataFrame:
+    """All columns of ``docs`` with held_out, score in 0..1 and predicted (1 if score >= 0.5).
 
     Learns from documents whose fold is not 0; only text enters a score. Null and empty texts score as the bias alone.
-    Texts count whole whatever their length; repeated rows score alike; without labels every score is 0.5 or the bias.
-    An empty table gives an empty result; other columns are ignored.
+    Texts count whole whatever their length; repeated rows score alike; without labels every score is 0.5. An empty table
+    gives an empty result. Columns of ``docs`` named like the added ones are replaced.
     """
-    held = (fold("doc_id", parts) == 0).alias("held_out")
+    docs = docs.drop("held_out", "score", "predicted")
+    names = docs.columns
     bias, places, weights = learn(docs.where(fold("doc_id", parts) != 0), labels, max_rows)
     model = docs.sparkSession.sparkContext.broadcast((bias, places, weights.astype(np.float64)))
 
@@ -130,14 +131,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, pa
                 doc, place = distinct_features(data, offsets, wanted)
                 total = bias + np.bincount(doc, dense[place], minlength=part.num_rows)
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
-                )
+                found = [part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *found], [*names, "held_out", "score", "predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held, "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    held = (fold("doc_id", parts) == 0).alias("held_out")
+    return docs.select("*", held).mapInArrow(score, f"{schema}held_out boolean, score double, predicted int")
 
 
 @register("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return scored(docs, labels).select("doc_id", "held_out", "score", "predicted")
