@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crowdtide.functions.numbers import clamp01
 from crowdtide.functions.text import key_text, strip
-from crowdtide.operators.intervals import STREAM, one_to_one, overlap_pairs
+from crowdtide.operators.intervals import STREAM, numbered, one_to_one, overlap_pairs
 
 
 def relationship(delta: Column, converged: float = 0.15, split: float = 0.45) -> Column:
@@ -74,10 +74,11 @@ SPEECH_RANGE = ("transcript_bucket_start", "transcript_bucket_end")
 
 def align(chat: DataFrame, transcripts: DataFrame, window_seconds: int = 30, chunk_windows: int = 1024) -> DataFrame:
     """One-to-one pairs of scored transcript buckets and chat buckets overlapping by at least half a window."""
-    speech = _speech_side(transcripts).where(F.col("transcript_sentiment").isNotNull())
-    pairs = overlap_pairs(_chat_side(chat), speech, STREAM, CHAT_RANGE, SPEECH_RANGE, window_seconds)
+    speech = numbered(_speech_side(transcripts).where(F.col("transcript_sentiment").isNotNull()), [*STREAM, *SPEECH_RANGE], "_speech")
+    side = numbered(_chat_side(chat), [*STREAM, *CHAT_RANGE], "_chat")
+    pairs = overlap_pairs(side, speech, STREAM, CHAT_RANGE, SPEECH_RANGE, window_seconds)
     candidates = pairs.where(F.col("overlap_us") * 2 >= window_seconds * 1_000_000).withColumn("usable", F.lit(True))
-    matched = one_to_one(candidates, STREAM, SPEECH_RANGE, CHAT_RANGE, chunk_windows * window_seconds)
+    matched = one_to_one(candidates, STREAM, (*SPEECH_RANGE, "_speech"), (*CHAT_RANGE, "_chat"), chunk_windows * window_seconds)
     delta = F.col("chat_sentiment") - F.col("transcript_sentiment")
     return with_alignment_quality(matched, window_seconds).select(
         *STREAM,
@@ -109,13 +110,14 @@ def lag_pairs(chat: DataFrame, transcripts: DataFrame, lags: Sequence[int] = DEF
     A transcript without a score takes part as a candidate; when it is the best match the chat bucket yields nothing.
     The lags are a handful of literals, exploded on the chat side.
     """
-    shifted = _chat_side(chat).withColumn("lag_seconds", F.explode(F.array(*[F.lit(int(x)) for x in lags])))
+    shifted = numbered(_chat_side(chat), [*STREAM, *CHAT_RANGE], "_chat").withColumn("lag_seconds", F.explode(F.array(*[F.lit(int(x)) for x in lags])))
     shifted = shifted.withColumns({f"_{c}": F.timestamp_add("SECOND", F.col("lag_seconds"), F.col(c)) for c in CHAT_RANGE})
     moved = tuple(f"_{c}" for c in CHAT_RANGE)
-    pairs = overlap_pairs(shifted, _speech_side(transcripts), STREAM, moved, SPEECH_RANGE, width)
+    speech = numbered(_speech_side(transcripts), [*STREAM, *SPEECH_RANGE], "_speech")
+    pairs = overlap_pairs(shifted, speech, STREAM, moved, SPEECH_RANGE, width)
     span = F.unix_micros(moved[1]) - F.unix_micros(moved[0])
     candidates = pairs.where(F.col("overlap_us") * 2 >= span).withColumn("usable", F.col("transcript_sentiment").isNotNull())
-    matched = one_to_one(candidates, ["lag_seconds", *STREAM], moved, SPEECH_RANGE, 1024 * width)
+    matched = one_to_one(candidates, ["lag_seconds", *STREAM], (*moved, "_chat"), (*SPEECH_RANGE, "_speech"), 1024 * width)
     return matched.select(
         "lag_seconds", *STREAM, *CHAT_RANGE, *SPEECH_RANGE, "chat_sentiment", "transcript_sentiment",
         (F.col("chat_sentiment") - F.col("transcript_sentiment")).alias("delta"),

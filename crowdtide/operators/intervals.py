@@ -81,10 +81,12 @@ def nearest_window(
 ) -> DataFrame:
     """Largest overlap, else the right row whose midpoint is closest (the earlier one on ties).
 
-    The left range is shifted by ``offset_seconds``, rounded and held within two minutes; ``prefer`` (a match that
+    The left range is shifted by ``offset_seconds``, at most two minutes either way; ``prefer`` (a match that
     wins outright) is used only when there is no shift. Neighbours come from one sorted pass, never from all pairs.
     """
-    shift = max(-120, min(120, round(offset_seconds)))
+    shift = round(offset_seconds)
+    if abs(shift) > 120:
+        raise ValueError("offset_seconds lies within two minutes")
     move = F.expr(f"INTERVAL {shift} SECONDS")
     ls, le = "_ls", "_le"
     shifted = left.withColumns({ls: F.col(l[0]) + move, le: F.col(l[1]) + move})
@@ -125,96 +127,55 @@ def nearest_window(
     return out.withColumns({c: F.when(F.col("_exact").isNotNull(), F.col(f"_exact.{c}")).otherwise(F.col(c)) for c in keep}).drop("_exact")
 
 
-MAX_SHARED = 8
-_PAIR = "array<struct<i0:bigint,i1:bigint>>"
-_PICK = "array<struct<p0:bigint,p1:bigint,i0:bigint,i1:bigint>>"
+_ITEM, _PICKER = ["i0", "i1", "i2"], ["p0", "p1", "p2"]
 
 
-def _greedy(rows: list[tuple], taken: set) -> list[tuple]:
-    """Pickers in time order take their best item that is still free. ``rows``: (p0, p1, i0, i1, overlap, usable)."""
+def _greedy(pdf: pd.DataFrame, taken: set[tuple]) -> list[tuple]:
+    """Pickers in time order take their best item that is still free; an unusable one ends the search without taking."""
+    ordered = pdf.sort_values([*_PICKER, "overlap_us", *_ITEM], ascending=[True] * 3 + [False] + [True] * 3)
     done, picks = set(), []
-    for p0, p1, i0, i1, _, usable in rows:
-        who, what = (p0, p1), (i0, i1)
+    for *pair, usable in ordered[[*_PICKER, *_ITEM, "usable"]].itertuples(index=False, name=None):
+        who, what = tuple(pair[:3]), tuple(pair[3:])
         if who in done or what in taken:
             continue
         done.add(who)
         if usable:
             taken.add(what)
-            picks.append((p0, p1, i0, i1))
+            picks.append((*who, *what))
     return picks
 
 
-def _rows(pdf: pd.DataFrame) -> list[tuple]:
-    ordered = pdf.sort_values(["p0", "p1", "overlap_us", "i0", "i1"], ascending=[True, True, False, True, True])
-    return list(ordered[["p0", "p1", "i0", "i1", "overlap_us", "usable"]].itertuples(index=False, name=None))
-
-
-def _chunk_outcomes(keys: list[str]):
-    """All outcomes of one stretch of time: one row per set of items an earlier stretch may have taken."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(pdf)
-        shared = sorted({(r.i0, r.i1) for r in pdf[pdf.first_chunk < pdf.chunk].itertuples()})
-        later = {(r.i0, r.i1) for r in pdf[pdf.last_chunk > pdf.chunk].itertuples()}
-        head = {k: pdf[k].iloc[0] for k in keys}
-        out = []
-        for mask in range(1 << len(shared)) if len(shared) <= MAX_SHARED else [-1]:
-            entry = [x for n, x in enumerate(shared) if mask >= 0 and mask >> n & 1]
-            taken = set(entry)
-            picks = _greedy(rows, taken) if mask >= 0 else []
-            out.append(
-                {
-                    **head,
-                    "chunk": pdf.chunk.iloc[0],
-                    "mask": mask,
-                    "shared": [{"i0": a, "i1": b} for a, b in shared],
-                    "exit": [{"i0": a, "i1": b} for a, b in sorted(taken & later)],
-                    "picks": [dict(zip(("p0", "p1", "i0", "i1"), x)) for x in picks],
-                }
-            )
-        return pd.DataFrame(out)
+def _match_stretch(keys: list[str]):
+    """Match one stretch of time, given the items earlier stretches have taken."""
 
-    return run
-
-
-def _follow(keys: list[str]):
-    """Walk the stretches of one stream in order and name the outcome that really happened in each."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if (pdf["mask"] < 0).any():
-            return pdf.iloc[:0][[*keys, "chunk", "mask"]]
-        chosen, taken = [], set()
-        for _, part in pdf.sort_values(["chunk", "mask"]).groupby("chunk", sort=True):
-            shared = [(x["i0"], x["i1"]) for x in part["shared"].iloc[0]]
-            mask = sum(1 << n for n, x in enumerate(shared) if x in taken)
-            row = part[part["mask"] == mask].iloc[0]
-            taken |= {(x["i0"], x["i1"]) for x in row["exit"]}
-            chosen.append(row[[*keys, "chunk", "mask"]])
-        return pd.DataFrame(chosen)
+    def run(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        columns = [*_PICKER, *_ITEM]
+        picks = pd.DataFrame(_greedy(pdf, set(entry[_ITEM].itertuples(index=False, name=None))) if len(pdf) else [], columns=columns)
+        for k in (*keys, "chunk"):
+            picks[k] = pdf[k].iloc[0] if len(pdf) else None
+        return picks[[*keys, "chunk", *columns]]
 
     return run
 
 
-def _whole(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        picks = pd.DataFrame(_greedy(_rows(pdf), set()), columns=["p0", "p1", "i0", "i1"])
-        for k in keys:
-            picks[k] = pdf[k].iloc[0]
-        return picks[[*keys, "p0", "p1", "i0", "i1"]]
-
-    return run
+def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Tell rows with the same keys apart by a number from 0."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns))) - 1)
 
 
-def one_to_one(candidates: DataFrame, group: Sequence[str], picker: tuple[str, str], item: tuple[str, str], chunk_seconds: int = 30_720) -> DataFrame:
+def one_to_one(
+    candidates: DataFrame, group: Sequence[str], picker: tuple[str, str, str], item: tuple[str, str, str], chunk_seconds: int = 30_720
+) -> DataFrame:
     """Greedy matching of ranges: pickers by time, each taking the free item of largest overlap.
 
-    A candidate whose picker and item occur once is final as it stands. The contested rest is cut into stretches of
-    time, matched in parallel. What a stretch does depends only on the few items it shares with earlier ones, so it
-    reports its outcome for every combination of those, and a walk over these short reports picks the true one. No
-    task holds more than one stretch, however long a session is. Only overlapping item series, with more than
-    MAX_SHARED items across one border, are matched as a whole. ``usable`` false means the pick yields nothing.
+    ``picker`` and ``item``: start, end, and a number that tells equal ranges apart. ``usable`` false means that the
+    pick yields nothing.
 
-    The candidates are read by every step, so they are stored first; without contested ones the matching is skipped.
+    A candidate whose picker and item occur once is final as it stands. The contested rest is cut into stretches of
+    time, all matched at once as if nothing had been taken before them. What earlier stretches really took is then
+    compared with what each stretch assumed, and those that differ are matched again, until none does. A task never
+    holds more than one stretch, and each round settles at least the next stretch of every stream; usually two rounds
+    do. The rounds run while the result is built, on stored candidates.
     """
     g = list(group)
     rivals = candidates.withColumns(
@@ -226,26 +187,30 @@ def one_to_one(candidates: DataFrame, group: Sequence[str], picker: tuple[str, s
     rivals = settle(rivals, "candidates")
     contested = (F.col("_np") > 1) | (F.col("_ni") > 1)
     plain = rivals.where(~contested & F.col("usable")).drop("_np", "_ni")
-    ids = {"p0": picker[0], "p1": picker[1], "i0": item[0], "i1": item[1]}
-    rest = rivals.where(contested).drop("_np", "_ni").withColumns({k: F.unix_micros(c) for k, c in ids.items()})
-    if rest.isEmpty():
-        return plain
-    per_item = Window.partitionBy(*g, "i0", "i1")
-    slim = (
-        rest.select(*g, *ids, "overlap_us", "usable")
-        .withColumn("chunk", F.floor(F.col("p0") / F.lit(chunk_seconds * 1_000_000)))
-        .withColumns({"first_chunk": F.min("chunk").over(per_item), "last_chunk": F.max("chunk").over(per_item)})
-    )
+    ids = {**{k: F.unix_micros(c) for k, c in zip(("p0", "p1", "i0", "i1"), (*picker[:2], *item[:2]))}, "p2": F.col(picker[2]).cast("long"), "i2": F.col(item[2]).cast("long")}
+    rest = rivals.where(contested).drop("_np", "_ni").withColumns(ids)
+    slim = settle(rest.select(*g, *ids, "overlap_us", "usable").withColumn("chunk", F.floor(F.col("p0") / F.lit(chunk_seconds * 1_000_000))), "contested")
+    stretch = [*g, "chunk"]
     types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    head = ", ".join(f"{k} {types[k]}" for k in g)
-    outcomes = slim.groupBy(*g, "chunk").applyInPandas(
-        _chunk_outcomes(g), f"{head}, chunk bigint, mask bigint, shared {_PAIR}, exit {_PAIR}, picks {_PICK}"
-    )
-    true_ones = outcomes.select(*g, "chunk", "mask", "shared", "exit").groupBy(*g).applyInPandas(_follow(g), f"{head}, chunk bigint, mask bigint")
-    picks = outcomes.join(true_ones, [*g, "chunk", "mask"]).select(*g, F.inline("picks"))
-    dense = outcomes.where(F.col("mask") < 0).select(*g).distinct()
-    whole = slim.join(dense, g, "left_semi").groupBy(*g).applyInPandas(_whole(g), f"{head}, p0 bigint, p1 bigint, i0 bigint, i1 bigint")
-    won = rest.join(picks.unionByName(whole), [*g, *ids]).drop(*ids)
+    schema = ", ".join([f"{k} {types[k]}" for k in stretch] + [f"{k} bigint" for k in (*_PICKER, *_ITEM)])
+
+    def match(rows: DataFrame, entry: DataFrame) -> DataFrame:
+        return rows.groupBy(*stretch).cogroup(entry.groupBy(*stretch)).applyInPandas(_match_stretch(g), schema)
+
+    places = settle(slim.select(*g, *_ITEM, F.col("chunk").alias("_later")).distinct(), "places")
+    assumed = slim.select(*stretch, *_ITEM).where(F.lit(False))
+    picks = settle(match(slim, assumed), "picks")
+    while True:
+        taken = picks.select(*g, *_ITEM, "chunk").join(places, [*g, *_ITEM]).where(F.col("_later") > F.col("chunk"))
+        entry = settle(taken.select(*g, F.col("_later").alias("chunk"), *_ITEM).distinct(), "entry")
+        differing = entry.unionByName(assumed).groupBy(*stretch, *_ITEM).count().where("count = 1").select(*stretch).distinct()
+        differing = settle(differing, "differing")
+        if differing.isEmpty():
+            break
+        again = match(slim.join(differing, stretch, "left_semi"), entry.join(differing, stretch, "left_semi"))
+        picks = settle(picks.join(differing, stretch, "left_anti").unionByName(again), "picks")
+        assumed = entry
+    won = rest.join(picks.drop("chunk"), [*g, *_PICKER, *_ITEM]).drop(*ids)
     return plain.unionByName(won)
 
 

@@ -49,7 +49,7 @@ def greedy(chats, speeches, window):
     return out
 
 
-@pytest.mark.parametrize("chunk", [2, 1024])
+@pytest.mark.parametrize("chunk", [100, 1024])
 def test_matches_sequential_greedy(spark, chunk):
     rng = random.Random(11)
     cases, chats, speeches = {}, [], []
@@ -71,12 +71,36 @@ def test_matches_sequential_greedy(spark, chunk):
     assert found == cases
 
 
-def test_dense_item_series_are_matched_as_a_whole(spark):
+def test_dense_item_series_stay_in_their_stretches(spark, tmp_path, monkeypatch):
+    """Many items shared across every border: the result is the sequential one, and no task sees two stretches."""
+    seen = tmp_path / "stretches"
+    seen.mkdir()
+    build = intervals._match_stretch
+
+    def watched(keys):
+        run = build(keys)
+
+        def record(pdf, entry):
+            import uuid
+
+            (seen / uuid.uuid4().hex).write_text(",".join(map(str, sorted(set(pdf["chunk"])))))
+            return run(pdf, entry)
+
+        return record
+
+    monkeypatch.setattr(intervals, "_match_stretch", watched)
     cs = {(i, i + 60) for i in range(0, 300, 2)}
     ts = {(i, i + 40) for i in range(0, 280, 7)}
-    want = greedy(cs, ts, 30)
-    got = epoch(alignment.align(chat(spark, [("s", a, b, 0.1) for a, b in cs]), speech(spark, [("s", a, b, 0.1) for a, b in ts]), 30, 1), "chat_bucket_start", "transcript_bucket_start")
-    assert {(r["chat_bucket_start"], r["transcript_bucket_start"]) for r in got.collect()} == want
+    got = epoch(alignment.align(chat(spark, [("s", a, b, 0.1) for a, b in cs]), speech(spark, [("s", a, b, 0.1) for a, b in ts]), 30, 2), "chat_bucket_start", "transcript_bucket_start")
+    assert {(r["chat_bucket_start"], r["transcript_bucket_start"]) for r in got.collect()} == greedy(cs, ts, 30)
+    stretches = [f.read_text() for f in seen.iterdir()]
+    assert len(set(stretches)) == 5 and all(s.count(",") == 0 for s in stretches)
+
+
+def test_repeated_ranges_take_a_bucket_each(spark):
+    c, t = chat(spark, [("s", 0, 30, 0.1), ("s", 5, 35, 0.2)]), speech(spark, [("s", 0, 30, 0.3), ("s", 0, 30, 0.4)])
+    got = epoch(alignment.align(c, t, 30), "chat_bucket_start").collect()
+    assert sorted(r["chat_bucket_start"] for r in got) == [0, 5] and {r["transcript_sentiment"] for r in got} == {0.3, 0.4}
 
 
 def test_unscored_transcript_blocks_a_lag_pair(spark):
