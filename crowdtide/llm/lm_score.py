@@ -11,6 +11,7 @@ table.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,28 +21,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdtide.llm.arrays import chunks, lists
-from crowdtide.llm.mixing import BLOCK, Block, Memo, Model
+from crowdtide.llm.mixing import BLOCK, N_CELLS, Block, Memo, Model
 from crowdtide.llm.registry import register, table
 from crowdtide.llm.toxicity import fold
 from crowdtide.sources.storage import settle
 
 #: Distinct words a task counts before it hands them on, and the longest word that is broadcast.
 COUNTED, LONGEST = 1 << 17, 32
+#: Cells of a model that are added up together; places in a range fit 16 bits.
+RANGE = 1 << 16
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of all texts of ``docs``."""
+    """The model of all texts of ``docs``.
+
+    A task hands on its cells in ranges of ``RANGE``, those that are not zero only. Each range is added up by one task
+    that holds one dense range at a time, so memory does not depend on the number of tasks that learned.
+    """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model().learn_all((data, offsets) for batch in batches for _, data, offsets in chunks(batch, "text", BLOCK))
-        place, a, b = model.rows()
-        step = 1 << 16
-        for i in range(0, len(place), step):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (place.astype(np.int32), a.astype(np.float64), b.astype(np.float64))], ["place", "a", "b"])
-
-    sums = docs.select("text").mapInArrow(learn, "place int, a double, b double").groupBy("place").agg(F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b"))
-    got = sums.toArrow()
-    return Model.of(*(got.column(c).to_numpy() for c in ("place", "a", "b")))
+        if not model.used.any():
+            return
+        cells = model.cells()
+        for part, start in enumerate(range(0, N_CELLS, RANGE)):
+            own = cells[start : start + RANGE]
+            live = np.flatnonzero(own.any(axis=1))
+            if len(live):
+                row = (live.astype(np.uint16).tobytes(), own[live].astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "place", "value"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "total"])
+
+        now, total = None, np.zeros((RANGE, 2))
+        for batch in batches:
+            for part, place, value in zip(*(batch.column(c) for c in ("part", "place", "value")), strict=True):
+                if part.as_py() != now:
+                    if now is not None:
+                        yield out()
+                    now, total = part.as_py(), np.zeros((RANGE, 2))
+                total[np.frombuffer(place.as_py(), np.uint16)] += np.frombuffer(value.as_py(), np.float32).reshape(-1, 2)
+        if now is not None:
+            yield out()
+
+    learned = docs.select("text").mapInArrow(learn, "part int, place binary, value binary")
+    ranges = (N_CELLS + RANGE - 1) // RANGE
+    sums = learned.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(add, "part int, total binary").collect()
+    cells = np.zeros((ranges * RANGE, 2), np.float32)
+    for r in sums:
+        cells[r["part"] * RANGE : (r["part"] + 1) * RANGE] = np.frombuffer(r["total"], np.float32).reshape(-1, 2)
+    return Model.of(cells[:N_CELLS])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -64,6 +95,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+#: The memo of this worker, kept from task to task.
+_MEMO: dict[str, Memo] = {}
+
+
 class _Terms(dict):
     """Term of each frequent word; other words are noted and add nothing."""
 
@@ -92,11 +127,14 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int =
     n_all, divisor = size["n"], size["n"] + size["v"] + 1
     top = vocabulary.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("n"), "token").limit(frequent).toArrow()
     terms = {t.encode(): math.log10((n + 1) / divisor) for t, n in zip(top.column("token").to_pylist(), top.column("n").to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((train(known), terms))
+    shared, name = spark.sparkContext.broadcast((train(known), terms)), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known_terms = shared.value
-        memo = Memo(model)
+        if name not in _MEMO:
+            _MEMO.clear()
+            _MEMO[name] = Memo(model)
+        memo = _MEMO[name]
         terms = _Terms(known_terms)
         term = terms.__getitem__
         for batch in batches:

@@ -1,9 +1,10 @@
 """Logistic context mixing over bytes, on whole arrays.
 
-The next byte is coded as eight binary decisions. Each predictor keeps counts of zeros and ones per (context, decisions so
-far), hashed into a table of fixed size: orders 0 to 4, and the letters of the word so far. A prediction enters the mixer
+The next byte is coded as binary decisions: five choose one of 31 bytes common in Latin text, or else the escape, after
+which eight spell the byte. Each predictor keeps counts of zeros and ones per (context, decisions so far), hashed into a
+table of fixed size: orders 1 to 3, and the letters of the word so far. A prediction enters the mixer
 as ln(ones/zeros), which is near 0 where little is known. The mixer adds predictions by weights; which weights is gated by
-the decision's place in the byte and by how much the two longest contexts have seen. A last stage corrects the mixed
+the decision's place and by how much the two longest contexts have seen. A last stage corrects the mixed
 probability by what came true at that probability and decision before.
 
 Texts are processed in blocks. Within a block, equal (contexts, byte) are handled once, with their number. A block is
@@ -20,21 +21,40 @@ import numpy as np
 from crowdtide.llm.arrays import BYTE_VALUES, LOWER, SOLID, _power_table, mix
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Most bytes of blocks learned from in one step.
 STEP = 1 << 23
 #: Place in the byte stream before, between and after texts. No UTF-8 text holds it.
 END = 255
 PAD = 4
 
-TABLE_BITS = (8, 16, 18, 19, 20, 21)
+#: The bytes that five decisions spell; any order gives a proper code, this one a short one.
+COMMON = b" etaoinshrdlucmfgypwbvkqj.,-\n\xc3" + bytes([END])
+FIRST, SPELLED = 5, 8
+PLACES, NODES = FIRST + SPELLED, 512
+
+#: Node and outcome of every decision of every byte; a common byte has the first five only.
+NODE, BIT = np.zeros((256, PLACES), np.int64), np.zeros((256, PLACES), np.int64)
+RARE = ~np.isin(np.arange(256), list(COMMON))
+_rank = np.full(256, len(COMMON))
+_rank[list(COMMON)] = np.arange(len(COMMON))
+for _t in range(FIRST):
+    NODE[:, _t] = (1 << _t) | (_rank >> (FIRST - _t))
+    BIT[:, _t] = (_rank >> (FIRST - 1 - _t)) & 1
+for _t in range(SPELLED):
+    NODE[:, FIRST + _t] = 256 | (1 << _t) | (np.arange(256) >> (SPELLED - _t))
+    BIT[:, FIRST + _t] = (np.arange(256) >> (SPELLED - 1 - _t)) & 1
+
+TABLE_BITS = (17, 19, 20, 22)
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
 N_SLOTS = int(STARTS[-1])
 N_INPUTS = len(TABLE_BITS)
 WORD_GATES, LONG_GATES, CELLS = 4, 3, 32
-N_SETS = 8 * WORD_GATES * LONG_GATES
+N_SETS = PLACES * WORD_GATES * LONG_GATES
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 PRIOR = 0.4
+#: Distinct rows handled at a time.
+PART = 1 << 15
 
 
 class Block:
@@ -61,7 +81,7 @@ class Block:
         np.maximum.accumulate(np.where(outside[:-1], np.arange(1, n), 0), out=start[1:])
         word = (total[at] - total[start[at]]) * inverse[start[at]]
         recent = np.zeros(len(at), np.uint64)
-        for k in range(1, 5):
+        for k in range(1, 4):
             recent |= stream[at - k].astype(np.uint64) << np.uint64(8 * (k - 1))
         byte = stream[at]
         key = (mix(word + recent * _GOLD) & ~np.uint64(255)) | byte
@@ -100,31 +120,40 @@ class Block:
         out.byte, out.word, out.recent = (np.concatenate([getattr(b, c) for b in blocks])[lead] for c in ("byte", "word", "recent"))
         return out
 
-    def contexts(self, part: slice) -> list[np.ndarray]:
+    def contexts(self, rows: slice | np.ndarray) -> list[np.ndarray]:
         """Hashed context of every predictor."""
-        recent = self.recent[part]
-        low = [np.zeros(len(recent), np.uint64), recent & np.uint64(0xFF)]
-        high = [mix((recent & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 40)) for k in (2, 3, 4)]
-        return [*low, *high, self.word[part]]
+        recent = self.recent[rows]
+        high = [mix((recent & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 40)) for k in (2, 3)]
+        return [recent & np.uint64(0xFF), *high, self.word[rows]]
 
 
 def slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """Place of each predictor's counts for the decision ``node`` (1 to 255)."""
+    """Place of each predictor's counts for a decision."""
     node = node.astype(np.uint64)
-    out = [node.astype(np.int64), (STARTS[1] + ((contexts[1] << np.uint64(8)) | node).astype(np.int64))]
-    for j in range(2, N_INPUTS):
+    out = [((contexts[0] << np.uint64(9)) | node).astype(np.int64)]
+    for j in range(1, N_INPUTS):
         h = (contexts[j] ^ (node * _GOLD)) * np.uint64(0xD6E8FEB86659FD93)
         out.append(STARTS[j] + (h >> np.uint64(64 - TABLE_BITS[j])).astype(np.int64))
     return out
 
 
+def decisions(byte: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """Every place, and the rows that have a decision there."""
+    rare = np.flatnonzero(RARE[byte])
+    for t in range(PLACES):
+        if t < FIRST:
+            yield t, slice(None)
+        elif len(rare):
+            yield t, rare
+
+
 class Model:
     def __init__(self):
         self.counts = np.zeros((N_SLOTS, 2), np.float32)
         self.weights = np.full((N_SETS, N_INPUTS), 0.3)
         self.squares = np.zeros((N_SETS, N_INPUTS))
         self.used = np.zeros(N_SETS)
-        self.came = np.zeros((256, CELLS, 2))
+        self.came = np.zeros((NODES, CELLS, 2))
 
     def decide(self, contexts: list[np.ndarray], node: np.ndarray, place: int) -> tuple:
         """Probability that the decision is 1, and what it was made from."""
@@ -153,45 +182,40 @@ class Model:
         final = np.clip(0.5 * p + 0.5 * corrected, 1e-6, 1 - 1e-6)
         return final, p, x, chosen, cell, where
 
-    def learn(self, block: Block, parts: int = 4, rate: float = 0.05) -> None:
-        """Predict, move the weights after each part, then count. The last decisions of a block are counted with it."""
-        n = len(block.byte)
-        kept: list[tuple] = []
-        for i in range(parts):
-            part = slice(n * i // parts, n * (i + 1) // parts)
+    def learn(self, block: Block, rate: float = 0.03) -> None:
+        """Part by part: predict, move the weights a step, then count."""
+        flat, came = self.counts.reshape(-1), self.came.reshape(-1)
+        for start in range(0, len(block.byte), PART):
+            part = slice(start, start + PART)
             contexts, byte, count = block.contexts(part), block.byte[part], block.count[part]
-            if not len(byte):
-                continue
             step, size = np.zeros((N_SETS, N_INPUTS)), np.zeros(N_SETS)
-            for t in range(8):
-                node = (1 << t) | (byte >> (8 - t))
-                bit = (byte >> (7 - t)) & 1
-                _, p, x, chosen, cell, where = self.decide(contexts, node, t)
-                wrong = (bit - p) * count
+            kept: list[tuple] = []
+            for t, rows in decisions(byte):
+                node, bit, times = NODE[byte[rows], t], BIT[byte[rows], t], count[rows]
+                _, p, x, chosen, cell, where = self.decide([c[rows] for c in contexts], node, t)
+                wrong = (bit - p) * times
                 for j in range(N_INPUTS):
                     step[:, j] += np.bincount(chosen, wrong * x[j], minlength=N_SETS)
-                size += np.bincount(chosen, count, minlength=N_SETS)
-                kept.append((where, bit, count.astype(np.float32), node, cell))
+                size += np.bincount(chosen, times, minlength=N_SETS)
+                kept.append((where, bit, times.astype(np.float32), (node * CELLS + cell) * 2 + bit))
             step /= np.maximum(size, 1)[:, None]
             self.squares += step * step
             self.weights += rate * step / np.sqrt(self.squares + 1e-8)
             self.used += size
-        flat, came = self.counts.reshape(-1), self.came.reshape(-1)
-        for where, bit, count, node, cell in kept:
-            for s in where:
-                np.add.at(flat, 2 * s + bit, count)
-            came += np.bincount((node * CELLS + cell) * 2 + bit, count, minlength=len(came))
+            for where, bit, times, at in kept:
+                for s in where:
+                    np.add.at(flat, 2 * s + bit, times)
+                np.add.at(came, at, times)
 
     def log10(self, block: Block) -> np.ndarray:
         """log10 probability of every distinct (contexts, byte)."""
         out = np.zeros(len(block.byte))
-        for start in range(0, len(out), 1 << 16):
-            part = slice(start, start + (1 << 16))
-            contexts, byte = block.contexts(part), block.byte[part]
-            for t in range(8):
-                node = (1 << t) | (byte >> (8 - t))
-                p = self.decide(contexts, node, t)[0]
-                out[part] += np.log10(np.where((byte >> (7 - t)) & 1 == 1, p, 1 - p))
+        for start in range(0, len(out), PART):
+            part = slice(start, start + PART)
+            contexts, byte, total = block.contexts(part), block.byte[part], out[part]
+            for t, rows in decisions(byte):
+                p = self.decide([c[rows] for c in contexts], NODE[byte[rows], t], t)[0]
+                total[rows] += np.log10(np.where(BIT[byte[rows], t] == 1, p, 1 - p))
         return out
 
     def learn_all(self, texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -210,32 +234,26 @@ class Model:
             self.learn(Block.merged(waiting))
         return self
 
-    # --- exchange of what tasks have learned: (place, a, b), summed over tasks ---
+    # --- exchange of what tasks have learned ---
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        live = np.flatnonzero(self.counts.any(axis=1))
-        came = self.came.reshape(-1, 2)
-        hit = np.flatnonzero(came.any(axis=1))
-        weighted = self.weights * self.used[:, None]
-        place = np.concatenate((live, N_SLOTS + hit, N_SLOTS + len(came) + np.arange(weighted.size)))
-        a = np.concatenate((self.counts[live, 0], came[hit, 0], weighted.reshape(-1)))
-        b = np.concatenate((self.counts[live, 1], came[hit, 1], np.repeat(self.used, N_INPUTS)))
-        return place, a, b
+    def cells(self) -> np.ndarray:
+        """Everything that adds up over tasks, as (cells, 2): counts, corrections, and weights by use with their use."""
+        weighted = np.stack([(self.weights * self.used[:, None]).reshape(-1), np.repeat(self.used, N_INPUTS)], axis=1)
+        return np.concatenate((self.counts, self.came.reshape(-1, 2), weighted))
 
     @classmethod
-    def of(cls, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> Model:
+    def of(cls, cells: np.ndarray) -> Model:
         out = cls()
-        slot = place < N_SLOTS
-        out.counts[place[slot], 0], out.counts[place[slot], 1] = a[slot], b[slot]
-        rest = place - N_SLOTS
-        came = (rest >= 0) & (rest < 256 * CELLS)
-        out.came.reshape(-1, 2)[rest[came]] = np.stack([a[came], b[came]], axis=1)
-        rest = rest - 256 * CELLS
-        mean = (rest >= 0) & (b > 0)
-        out.weights.reshape(-1)[rest[mean]] = a[mean] / b[mean]
+        out.counts[:] = cells[:N_SLOTS]
+        out.came.reshape(-1, 2)[:] = cells[N_SLOTS : N_SLOTS + NODES * CELLS]
+        total, used = cells[N_SLOTS + NODES * CELLS :].T.astype(np.float64)
+        out.weights.reshape(-1)[used > 0] = total[used > 0] / used[used > 0]
         return out
 
 
+N_CELLS = N_SLOTS + NODES * CELLS + N_SETS * N_INPUTS
+
+
 class Memo:
     """log10 probabilities under a finished model, each distinct (contexts, byte) worked out once per worker.
 
@@ -243,7 +261,7 @@ class Memo:
     forgotten, so memory is bounded and only time depends on what is kept.
     """
 
-    LIMIT, WAITING = 1 << 21, 1 << 18
+    LIMIT, WAITING = 1 << 21, 1 << 17
 
     def __init__(self, model: Model):
         self.model = model

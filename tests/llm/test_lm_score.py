@@ -35,13 +35,14 @@ def test_contexts_do_not_cross_texts():
     assert {*one.key[one.which[4:]].tolist()} == {*two.key[two.which].tolist()}
 
 
-def test_probabilities_add_up_to_one():
+def test_probabilities_add_up_to_hardly_less_than_one():
     model, text = trained()
     b = block(text)
     at = len(b.byte) // 2
     every = b.only(np.full(256, at))
     every.byte = np.arange(256)
-    assert abs((10.0 ** model.log10(every)).sum() - 1) < 1e-9
+    total = (10.0 ** model.log10(every)).sum()
+    assert 0.95 < total <= 1 + 1e-9  # a common byte could also be spelled out, and never is
 
 
 def test_learning_helps_and_survives_exchange():
@@ -49,7 +50,7 @@ def test_learning_helps_and_survives_exchange():
     b = block(text)
     bits = lambda m: -(m.log10(b)[b.which].sum()) / math.log10(2) / len(b.which)
     assert bits(model) < 2.2 < 6 < bits(Model())
-    again = Model.of(*model.rows())
+    again = Model.of(model.cells())
     assert abs(bits(again) - bits(model)) < 1e-3
     memo = Memo(model)
     assert np.allclose(memo.log10(b), model.log10(b), atol=1e-5) and np.allclose(memo.log10(b), model.log10(b), atol=1e-5)
