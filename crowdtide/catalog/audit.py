@@ -505,16 +505,31 @@ def _(spark, sf):
     return reports.session_report(sess, c, stored_speech(t), al, human_labels(b), metrics, HOUR)
 
 
+_REPLAY = {"audio_coverage": "transcript_audio_coverage", "empty_ratio": "transcript_empty_ratio", "word_count": "transcript_word_count"}
+
+
 @register(
     "proof_to_metrics",
-    f"""WITH {TBUCKETS}, {COVER}, a AS (SELECT session_id, {half_away("sum(audio) / (count(*) * 3600.0)", 4)} AS v1, {half_away("sum(er * audio) / sum(audio)", 4)} AS v2, CAST(sum(words) AS DOUBLE) AS v3 FROM tc GROUP BY 1)
-        SELECT session_id, 'replay_proof.transcript_audio_coverage' AS name, {rnd("v1")} AS value, 'ratio' AS unit FROM a
-        UNION ALL SELECT session_id, 'replay_proof.transcript_empty_ratio', {rnd("v2")}, 'ratio' FROM a UNION ALL SELECT session_id, 'replay_proof.transcript_word_count', {rnd("v3")}, 'words' FROM a""",
+    f"""WITH {TBUCKETS}, {COVER}, a AS (SELECT session_id, count(*) AS n, {half_away("sum(audio) / (count(*) * 3600.0)", 4)} AS v1, {half_away("sum(er * audio) / sum(audio)", 4)} AS v2, CAST(sum(words) AS DOUBLE) AS v3 FROM tc GROUP BY 1),
+        x AS (SELECT session_id, speed, n, ceil(n * 3600000 / speed) / 1000.0 AS seconds FROM a, (VALUES (1.0), (5.0), (10.0)) s(speed)),
+        m AS (SELECT session_id, 'transcript_audio_coverage' AS name, v1 AS value, 'ratio' AS unit, NULL AS speed FROM a
+          UNION ALL SELECT session_id, 'transcript_empty_ratio', v2, 'ratio', NULL FROM a UNION ALL SELECT session_id, 'transcript_word_count', v3, 'words', NULL FROM a
+          UNION ALL SELECT session_id, 'bucket_count', n * 3, 'buckets', NULL FROM a UNION ALL SELECT session_id, 'source_bucket_count', n * 2, 'buckets', NULL FROM a
+          UNION ALL SELECT session_id, 'signal_window_count', n, 'windows', NULL FROM a
+          UNION ALL SELECT session_id, 'estimated_replay_seconds', {half_away("seconds", 4)}, 'seconds', speed FROM x
+          UNION ALL SELECT session_id, 'windows_per_second', {half_away("n / seconds", 4)}, 'windows/s', speed FROM x)
+        SELECT session_id, 'replay_proof.' || name AS name, {rnd("value")} AS value, unit, {rnd("speed")} AS speed FROM m""",
 )
 def _(spark, sf):
-    wide = proof.transcript_coverage(stored_speech(speech(spark, sf)))
-    named = [("replay_proof.transcript_audio_coverage", "audio_coverage", "ratio"), ("replay_proof.transcript_empty_ratio", "empty_ratio", "ratio"), ("replay_proof.transcript_word_count", "word_count", "words")]
-    return proof.wide_to_long(wide, ["session_id"], named)
+    """A proof table of the speech side; figures it has no source for are absent, and so are their metrics."""
+    t = stored_speech(speech(spark, sf))
+    counts = t.groupBy("session_id").agg(F.count("*").alias("n"))
+    wide = proof.transcript_coverage(t).select("session_id", *[F.col(c).alias(name) for c, name in _REPLAY.items()]).join(counts, "session_id")
+    given = {c: F.col("n") for c in ("loaded_chat_bucket_count", "loaded_transcript_bucket_count", "loaded_alignment_count", "signal_window_count")}
+    wide = wide.withColumns({**given, "source_duration_ms": F.col("n") * HOUR * 1000})
+    used = {c.split(".")[0]: F.lit(None).cast("struct<average:double>" if "." in c else "double") for _, c, _ in proof.PROOF_METRICS}
+    absent = {c: v for c, v in used.items() if c not in wide.columns and c not in ("loaded_total", "loaded_source")}
+    return proof.proof_to_metrics(wide.withColumns(absent)).select("session_id", "name", "value", "unit", "speed")
 
 
 @register(
@@ -534,7 +549,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     o = adapters.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("session_id")).agg(F.max(F.col("o_orderdate").cast("timestamp")).alias("started_at"))
-    return proof.recent_sessions(o)
+    return proof.recent_sessions(o, 25)
 
 
 @register(

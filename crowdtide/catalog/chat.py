@@ -54,7 +54,7 @@ def _(spark, sf):
           FROM documents) WHERE text <> ''""",
 )
 def _(spark, sf):
-    return filters.clip_texts(adapters.documents(spark, sf).select("doc_id", "text"))
+    return filters.clip_texts(adapters.documents(spark, sf).select("doc_id", "text"), 280)
 
 
 @register(
@@ -282,7 +282,7 @@ def _(spark, sf):
         FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""",
 )
 def _(spark, sf):
-    return adapters.documents(spark, sf).select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+    return adapters.documents(spark, sf).select("doc_id", text.snippet(F.col("text"), 180).alias("snippet"))
 
 
 # --- tumbling windows -------------------------------------------------------

@@ -53,12 +53,15 @@ def _(spark, sf):
 
 @register(
     "stream_transcript_buckets",
-    f"""WITH {TBUCKETS} SELECT {KEY}, text, {us}(audio_ended_at) AS audio_ended_at, {rnd("transcript_confidence")} AS transcript_confidence, segment_count FROM tbuckets""",
+    f"""WITH {TBUCKETS}, said AS (SELECT session_id, channel_id, audio_start + to_seconds(idx * 3600) AS bucket_start, string_agg(text, ' ' ORDER BY segment_start, segment_id) FILTER (text NOT LIKE 'view%') AS said FROM segidx GROUP BY session_id, channel_id, audio_start, idx)
+        SELECT {KEY}, coalesce(said, '') AS text, {us}(audio_ended_at) AS audio_ended_at, {rnd("transcript_confidence")} AS transcript_confidence, segment_count FROM tbuckets JOIN said USING (session_id, channel_id, bucket_start)""",
 )
 def _(spark, sf):
+    """Segments of views are blank, the others have white space around them."""
     starts = transcripts.session_start(adapters.segments(spark, sf))
     segs = adapters.segments_from_events(event_stream(spark, sf)).join(starts, STREAM, "left")
     segs = segs.withColumn("audio_start", F.coalesce("audio_start", "segment_start"))
+    segs = segs.withColumn("text", F.when(F.col("text").startswith("view"), "  ").otherwise(F.concat(F.lit(" "), "text", F.lit("  "))))
     out = live.stream_transcript_buckets(segs, HOUR, "2 hours")
     _, path = live.run_to_end(out, "transcript-buckets")
     return spark.read.schema(out.schema).parquet(path).where(REAL).select(*windows.BUCKET, "text", "audio_ended_at", "transcript_confidence", "segment_count")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdtide.catalog.common import BUCKETS, MSG, SEGMENTS, TBUCKETS, clamp_sql, half_away, register, rnd, us
+from crowdtide.catalog.common import BUCKETS, EVENT_WEIGHTS_NEG, EVENT_WEIGHTS_POS, MSG, SEGMENTS, TBUCKETS, clamp_sql, half_away, register, rnd, us
 from crowdtide.functions import keys
 from crowdtide.operators import alignment, filters, intervals, signals, transcripts, windows
 from crowdtide.sources import adapters
@@ -403,7 +403,7 @@ def signal(spark, sf):
 def _(spark, sf):
     from crowdtide.plans.live import lexicon_events
 
-    return lexicon_events(adapters.messages(spark, sf), HOUR).select(*windows.RWINDOW, "type", "severity", "reaction_type")
+    return lexicon_events(adapters.messages(spark, sf), HOUR, {**EVENT_WEIGHTS_POS, "pogchamp": 0.9}, EVENT_WEIGHTS_NEG).select(*windows.RWINDOW, "type", "severity", "reaction_type")
 
 
 @register(

@@ -64,22 +64,21 @@ def _(spark, sf):
 @register(
     "merge_window_series",
     f"""WITH {BUCKETS}, {TBUCKETS}, t AS (SELECT session_id, channel_id, date_trunc('hour', bucket_start) AS bucket_start, date_trunc('hour', bucket_start) + INTERVAL 1 HOUR AS bucket_end, any_value(sentiment_score) AS s, any_value(segment_count * 2) AS w
-            FROM tbuckets WHERE segment_count % 4 <> 0 GROUP BY ALL)
+            FROM tbuckets GROUP BY ALL)
         SELECT {KEY}, {rnd("b.chat_sentiment")} AS chat, {rnd("t.s")} AS transcript, {rnd("CASE WHEN b.chat_sentiment IS NULL THEN t.s WHEN t.s IS NULL THEN b.chat_sentiment ELSE (b.chat_sentiment + t.s) / 2 END")} AS aggregate,
           CAST(greatest(coalesce(message_count, 0), coalesce(w, 0)) AS BIGINT) AS messages, CASE WHEN b.chat_sentiment IS NULL THEN 'transcript' ELSE 'chat' END AS source
-        FROM (SELECT * FROM buckets WHERE message_count % 5 <> 0) b FULL JOIN t USING (session_id, channel_id, bucket_start, bucket_end)""",
+        FROM buckets b FULL JOIN t USING (session_id, channel_id, bucket_start, bucket_end)""",
 )
 def _(spark, sf):
-    c = chat(spark, sf).where(F.col("message_count") % 5 != 0)
-    t = speech(spark, sf).where(F.col("segment_count") % 4 != 0).withColumn("bucket_start", F.date_trunc("hour", "bucket_start"))
-    return series.merge_window_series(c, t.withColumn("bucket_end", F.col("bucket_start") + F.expr("INTERVAL 1 HOUR")), None)
+    t = speech(spark, sf).withColumn("bucket_start", F.date_trunc("hour", "bucket_start"))
+    return series.merge_window_series(chat(spark, sf), t.withColumn("bucket_end", F.col("bucket_start") + F.expr("INTERVAL 1 HOUR")))
 
 
 @register(
     "caption_quality",
-    f"""WITH {SEGMENTS}, s AS (SELECT *, text LIKE 'view%' AS e, row_number() OVER (PARTITION BY session_id ORDER BY segment_start DESC, segment_id DESC) AS rn FROM seg)
+    f"""WITH {SEGMENTS}, s AS (SELECT *, text LIKE 'view%' AS e FROM seg)
         SELECT session_id, count(*) AS segment_count, CAST(quantile_disc(asr_latency_ms, 0.5) AS DOUBLE) AS p50_latency_ms, CAST(quantile_disc(asr_latency_ms, 0.95) AS DOUBLE) AS p95_latency_ms,
-          {rnd("quantile_disc(CASE WHEN NOT e THEN confidence END, 0.5)")} AS median_confidence, {rnd("count(*) FILTER (e) / count(*)")} AS empty_rate, {rnd("sum(1.0) / sum(5.0)")} AS drop_rate FROM s WHERE rn <= 80 GROUP BY 1""",
+          {rnd("quantile_disc(CASE WHEN NOT e THEN confidence END, 0.5)")} AS median_confidence, {rnd("count(*) FILTER (e) / count(*)")} AS empty_rate, {rnd("sum(1.0) / sum(5.0)")} AS drop_rate FROM s GROUP BY 1""",
 )
 def _(spark, sf):
     s = adapters.segments(spark, sf).withColumns(
@@ -162,9 +161,8 @@ def _(spark, sf):
 
 @register(
     "merge_committed_provisional",
-    f"""WITH {BUCKETS}, {SEGMENTS}, a AS (SELECT session_id, channel_id, bucket_start AS s, bucket_end AS e, 0 AS provisional FROM buckets UNION ALL SELECT session_id, channel_id, segment_start, segment_end, 1 FROM seg),
-        r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, e DESC, channel_id DESC) AS rn FROM a)
-        SELECT session_id, channel_id, {us}(s) AS window_start, {us}(e) AS window_end, CAST(provisional AS BIGINT) AS provisional FROM r WHERE rn <= 300""",
+    f"""WITH {BUCKETS}, {SEGMENTS}, a AS (SELECT session_id, channel_id, bucket_start AS s, bucket_end AS e, 0 AS provisional FROM buckets UNION ALL SELECT session_id, channel_id, segment_start, segment_end, 1 FROM seg)
+        SELECT session_id, channel_id, {us}(s) AS window_start, {us}(e) AS window_end, CAST(provisional AS BIGINT) AS provisional FROM a""",
 )
 def _(spark, sf):
     done = chat(spark, sf).select(*STREAM, F.col("bucket_start").alias("window_start"), F.col("bucket_end").alias("window_end"))
@@ -403,7 +401,7 @@ def manifest(spark, sf):
     "manifest_summary",
     f"""WITH {MAN}, s AS (SELECT task, count(*) AS records, count(*) FILTER (has_output) AS model_outputs_present, count(*) FILTER (NOT has_output) AS model_outputs_missing, count(*) FILTER (has_output) AS evaluated_records,
             {rnd(half_away("count(*) FILTER (gold = predicted) / nullif(count(*) FILTER (has_output), 0)", 4))} AS accuracy FROM man GROUP BY 1),
-        m AS (SELECT task, string_agg(example_id, '|' ORDER BY example_id) AS missing_examples FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY example_id) AS rn FROM man WHERE NOT has_output) WHERE rn <= 10 GROUP BY 1)
+        m AS (SELECT task, string_agg(example_id, '|' ORDER BY example_id) AS missing_examples FROM man WHERE NOT has_output GROUP BY 1)
         SELECT s.*, missing_examples, 'computed' AS status FROM s LEFT JOIN m USING (task)""",
 )
 def _(spark, sf):
@@ -524,11 +522,18 @@ _PAY = f"""'{{"type":"chat_bucket","session_id":"' || session_id || '","channel_
 
 @register(
     "make_envelope",
-    f"""WITH {BUCKETS}, p AS (SELECT {_PAY} AS payload, 'chat_bucket:' || session_id || ':' || channel_id || ':' || {_T.format(c="bucket_start")} || ':' || {_T.format(c="bucket_end")} AS key FROM buckets)
-        SELECT 'stream.chat_buckets.v1' AS topic, key, left(sha256('chat_bucket|' || key || '|' || payload), 32) AS event_id FROM p""",
+    f"""WITH {BUCKETS}, p AS (SELECT left({_PAY}, length({_PAY}) - 1) || ', "rate": 1.50}}' AS payload, 'chat_bucket:' || session_id || ':' || channel_id || ':' || {_T.format(c="bucket_start")} || ':' || {_T.format(c="bucket_end")} AS key, session_id, channel_id, {_T.format(c="bucket_start")} AS start FROM buckets)
+        SELECT 'stream.chat_buckets.v1' AS topic, key, left(sha256('chat_bucket|' || key || '|' || payload), 32) AS event_id, payload,
+          '{{"schema_version":"v1","event_id":"' || left(sha256('chat_bucket|' || key || '|' || payload), 32) || '","event_type":"chat_bucket","event_schema_version":"v1","source":"tests","session_id":"' || session_id
+            || '","channel_id":"' || channel_id || '","occurred_at":"' || start || '","payload":' || payload || '}}' AS value,
+          'event_id=' || left(sha256('chat_bucket|' || key || '|' || payload), 32) || '|event_type=chat_bucket|event_schema_version=v1|envelope_version=v1|source=tests' AS headers FROM p""",
 )
 def _(spark, sf):
-    return envelopes.make_envelope(payloads(spark, sf), "chat_bucket", "tests").select("topic", "key", "event_id")
+    """Payloads with their own spacing and number format, and one that is no JSON."""
+    own = payloads(spark, sf).select(F.regexp_replace("payload", r"\}$", ', "rate": 1.50}').alias("payload"))
+    made = envelopes.make_envelope(own.unionByName(own.limit(1).select(F.lit("{broken").alias("payload"))), "chat_bucket", "tests")
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), "|")
+    return made.select("topic", "key", "event_id", "payload", "value", headers.alias("headers"))
 
 
 def envelope_rows(spark, sf):
@@ -669,7 +674,7 @@ def _(spark, sf):
     badges = F.when(F.col("user_id") % 3 == 0, "moderator/1").otherwise("")
     tags = F.concat(
         F.lit("@badges="), badges, F.lit(";display-name=User\\s"), uid, F.lit(";emotes=25:"), (n + 1).cast("string"), F.lit("-"), (n + 5).cast("string"), F.lit(";id=id"), F.col("event_id").cast("string"),
-        F.lit(";mod=0;tmi-sent-ts="), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"),
+        F.lit(";mod=1;mod=0;tmi-sent-ts="), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"),
     )
     who = F.concat(F.when(F.col("user_id") % 4 == 0, "BotU").otherwise("u"), uid)
     cmd = F.when(F.col("event_type") == "view", "JOIN").otherwise("PRIVMSG")

@@ -141,7 +141,7 @@ def label_value(label: Column) -> Column:
     return F.when(label == "positive", 1.0).when(label == "negative", -1.0).otherwise(0.0)
 
 
-def snippet(text: Column, limit: int = 180) -> Column:
+def snippet(text: Column, limit: int) -> Column:
     """Collapsed white space, cut to limit - 3 characters plus dots when longer."""
     t = collapse_spaces(text)
     return F.when(F.char_length(t) > limit, F.concat(F.left(t, F.lit(limit - 3)), F.lit("..."))).otherwise(t)

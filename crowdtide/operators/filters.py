@@ -32,7 +32,7 @@ def filter_messages(messages: DataFrame, min_length: int = 2) -> DataFrame:
     )
 
 
-def clip_texts(messages: DataFrame, max_chars: int = 280) -> DataFrame:
+def clip_texts(messages: DataFrame, max_chars: int) -> DataFrame:
     """Strip, drop empty texts, cut and strip again."""
     text = strip(F.coalesce("text", F.lit("")))
     if max_chars > 0:

@@ -17,7 +17,7 @@ def r4(x: Column) -> Column:
     return round_half_away(x, 4)
 
 
-def first_n(table: DataFrame, start: str, n: int = 500, newest: bool = False) -> DataFrame:
+def first_n(table: DataFrame, start: str, n: int, newest: bool = False) -> DataFrame:
     """First (or newest) n rows per session in time order."""
     at = F.col(start)
     ties = [c for c in ("channel_id", "bucket_end", "window_end") if c in table.columns]
@@ -312,11 +312,7 @@ def latest_metric(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("session_id", "name").agg(F.max_by("value", F.struct("recorded_at", "value")).alias("value"))
 
 
-def recent_sessions(sessions: DataFrame, limit: int = 25) -> DataFrame:
-    cap = max(1, min(limit, 100))
+def recent_sessions(sessions: DataFrame, n: int) -> DataFrame:
+    """The n sessions seen last."""
     seen = [F.col(c) for c in ("last_seen", "updated_at", "started_at") if c in sessions.columns]
-    return sessions.orderBy(F.coalesce(*seen).desc(), "session_id").limit(cap)
-
-
-def empty_text(text: Column) -> Column:
-    return strip(F.coalesce(text, F.lit(""))) == ""
+    return sessions.orderBy(F.coalesce(*seen).desc(), "session_id").limit(n)

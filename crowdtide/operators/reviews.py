@@ -141,9 +141,10 @@ def usefulness(suggested: Column) -> Column:
     return F.when(suggested == "none", 0.08).otherwise(bround4(clamp01(score)))
 
 
-def compact_text(text: Column, limit: int) -> Column:
+def compact_text(text: Column, limit: int | None = None) -> Column:
+    """White space collapsed; cut only where the caller asks for it."""
     t = collapse_spaces(text)
-    return F.when(F.char_length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit - 3))), F.lit("..."))).otherwise(t)
+    return t if limit is None else F.when(F.char_length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit - 3))), F.lit("..."))).otherwise(t)
 
 
 def _item(ident: Column, source: str, at: Column, text: Column) -> Column:
@@ -155,7 +156,7 @@ def review_reason(suggested: Column, gold: Column) -> Column:
         F.lit("suggested "), suggested, F.when(gold.isNotNull(), F.concat(F.lit(" against gold label "), gold)).otherwise(" with no human label on this exact window")
     )
     rel = F.coalesce("alignment.relationship", F.lit(""))
-    speech = compact_text(F.coalesce("transcript.text", F.lit("")), 90)
+    speech = compact_text(F.coalesce("transcript.text", F.lit("")))
     parts = [
         F.when(F.col("bucket").isNotNull(), F.format_string("chat sentiment %.2f from %d messages", F.coalesce("bucket.chat_sentiment", F.lit(0.0)), F.coalesce("bucket.message_count", F.lit(0)))),
         F.when(F.col("sub").isNotNull(), F.format_string("%s subwindow score %.2f", F.coalesce("sub.reaction_type", F.lit("reaction")), F.coalesce("sub.reaction_score", F.lit(0.0)))),
@@ -166,7 +167,7 @@ def review_reason(suggested: Column, gold: Column) -> Column:
 
 
 def review_evidence(has_messages: bool) -> Column:
-    """Up to eight distinct items: messages, reaction window, speech, alignment."""
+    """Distinct items: messages, reaction window, speech, alignment."""
     none = F.array().cast(EVIDENCE)
     messages = none
     if has_messages:
@@ -175,15 +176,15 @@ def review_evidence(has_messages: bool) -> Column:
         def slim(c: str) -> Column:
             return F.coalesce(F.transform(c, lambda m: F.struct(m["message_id"], m["timestamp"], m["text"])), empty)
 
-        first = F.slice(F.concat(slim("bucket.message_scores"), slim("bucket.peak_evidence_messages")), 1, 5)
-        messages = F.transform(first, lambda m: _item(m["message_id"], "chat", rfc3339(m["timestamp"]), compact_text(F.coalesce(m["text"], F.lit("")), 180)))
+        first = F.concat(slim("bucket.message_scores"), slim("bucket.peak_evidence_messages"))
+        messages = F.transform(first, lambda m: _item(m["message_id"], "chat", rfc3339(m["timestamp"]), compact_text(F.coalesce(m["text"], F.lit("")))))
     at = rfc3339(F.coalesce("sub.window_start", "window_start"))
     sub_text = F.format_string("%d messages; reaction_type=%s; score=%s", F.coalesce("sub.message_count", F.lit(0)), F.coalesce("sub.reaction_type", F.lit("")), F.coalesce("sub.reaction_score", F.lit(0.0)).cast("string"))
     sub = F.when(F.col("sub").isNotNull(), F.array(_item(F.lit("reaction_subwindow"), "reaction", at, sub_text)))
     t_at = rfc3339(F.col("transcript.bucket_start"))
     speech = F.when(
         strip(F.coalesce("transcript.text", F.lit(""))) != "",
-        F.array(_item(F.concat(F.lit("transcript:"), t_at), "transcript", t_at, compact_text(F.col("transcript.text"), 220))),
+        F.array(_item(F.concat(F.lit("transcript:"), t_at), "transcript", t_at, compact_text(F.col("transcript.text")))),
     )
     a_at = rfc3339(F.col("alignment.window_start"))
     a_text = F.concat(F.lit("relationship="), F.coalesce("alignment.relationship", F.lit("")), F.lit("; delta="), F.col("alignment.delta").cast("string"), F.lit("; quality="), F.col("alignment.quality").cast("string"))
@@ -192,7 +193,7 @@ def review_evidence(has_messages: bool) -> Column:
     kept = F.filter(every, lambda e: e["text"] != "")
     # first occurrence per (source, id, text)
     keys = F.transform(kept, lambda e: F.struct(e["source"], e["id"], e["text"]))
-    return F.slice(F.filter(kept, lambda e, i: F.array_position(keys, F.struct(e["source"], e["id"], e["text"])) == i + 1), 1, 8)
+    return F.filter(kept, lambda e, i: F.array_position(keys, F.struct(e["source"], e["id"], e["text"])) == i + 1)
 
 
 def review_rows(contexts: DataFrame, labels: DataFrame, run_id: str = "run", width: int = 30, reviewer: str = "heuristic-agent-evaluator") -> DataFrame:
@@ -487,7 +488,7 @@ def repair_change(pairs: DataFrame, live: str, final: str) -> DataFrame:
     ).drop("_l", "_f", "_d")
 
 
-def manifest_summary(records: DataFrame, limit: int = 10) -> DataFrame:
+def manifest_summary(records: DataFrame) -> DataFrame:
     """Per task: records, outputs present, missing ids, accuracy. ``records``: task, example_id, gold, predicted, has_output."""
     both = (F.coalesce("gold", F.lit("")) != "") & (F.coalesce("predicted", F.lit("")) != "")
     right = F.count_if(both & (F.col("gold") == F.col("predicted")))
@@ -498,9 +499,7 @@ def manifest_summary(records: DataFrame, limit: int = 10) -> DataFrame:
         F.count_if(both).alias("evaluated_records"),
         round_half_away(ratio(right, F.count_if(both)), 4).alias("accuracy"),
     )
-    w = Window.partitionBy("task").orderBy("example_id")
-    missing = records.where(~F.col("has_output")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-    ids = missing.groupBy("task").agg(F.array_sort(F.collect_list("example_id")).alias("missing_examples"))
+    ids = records.where(~F.col("has_output")).groupBy("task").agg(F.array_sort(F.collect_list("example_id")).alias("missing_examples"))
     status = F.when(F.col("evaluated_records") > 0, "computed").otherwise("pending_model_outputs")
     return out.join(ids, "task", "left").withColumn("status", status)
 

@@ -15,7 +15,7 @@ STREAM = ["session_id", "channel_id"]
 BUCKET = [*STREAM, "bucket_start", "bucket_end"]
 
 
-def keep_latest(table: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 500) -> DataFrame:
+def keep_latest(table: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """Newest n rows per key; the limit runs before the shuffle as a window group limit."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return table.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
@@ -28,9 +28,9 @@ def forward_fill(points: DataFrame, keys: Sequence[str], order: Sequence[str], v
     return points.withColumn("filled", filled).where(F.col("filled").isNotNull())
 
 
-def series_range_and_trend(points: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 24) -> DataFrame:
-    """Spread and first-to-last change of the newest n filled points; 0 with fewer than two."""
-    filled = forward_fill(keep_latest(points, keys, order, n), keys, order, value)
+def series_range_and_trend(points: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int | None = None) -> DataFrame:
+    """Spread and first-to-last change of all filled points, or of the newest n; 0 with fewer than two."""
+    filled = forward_fill(points if n is None else keep_latest(points, keys, order, n), keys, order, value)
     at = F.struct(*order)
     enough = F.count("*") > 1
     return filled.groupBy(*keys).agg(
@@ -55,7 +55,7 @@ def rate_trend(buckets: DataFrame) -> DataFrame:
     return rated.withColumns({"trend_percent": change, "peak_rate": F.max("rate").over(Window.partitionBy(*STREAM))})
 
 
-def merge_window_series(chat: DataFrame, transcripts: DataFrame, n: int | None = 24) -> DataFrame:
+def merge_window_series(chat: DataFrame, transcripts: DataFrame, n: int | None = None) -> DataFrame:
     """Chat and transcript scores on one time line; the aggregate is the mean of what is present."""
     c = chat.select(*BUCKET, F.col("chat_sentiment").alias("chat"), F.col("message_count").alias("_m"))
     words = F.coalesce(F.col("word_count") if "word_count" in transcripts.columns else F.lit(None).cast("long"), F.size(F.filter(F.split(collapse_spaces("text"), " "), lambda t: t != "")).cast("long"))
@@ -71,9 +71,9 @@ def merge_window_series(chat: DataFrame, transcripts: DataFrame, n: int | None =
     return out if n is None else keep_latest(out, ["session_id"], ["bucket_start", "bucket_end", "channel_id"], n)
 
 
-def caption_quality(segments: DataFrame, n: int = 80) -> DataFrame:
-    """Latency, confidence, emptiness and drop rate over the newest n segments of each session."""
-    recent = keep_latest(segments, ["session_id"], ["segment_start", "segment_id"], n)
+def caption_quality(segments: DataFrame, n: int | None = None) -> DataFrame:
+    """Latency, confidence, emptiness and drop rate of each session, over all its segments or the newest n."""
+    recent = segments if n is None else keep_latest(segments, ["session_id"], ["segment_start", "segment_id"], n)
     empty = collapse_spaces(F.coalesce("text", F.lit(""))) == ""
     latency = F.coalesce("pipeline_latency_ms", "asr_latency_ms")
 
@@ -198,9 +198,9 @@ def transcript_reaction(partials: DataFrame, start: str = "window_start", end: s
     ).drop("_w", "_pos", "_neg", "_conf", "_frus")
 
 
-def merge_committed_provisional(committed: DataFrame, provisional: DataFrame, n: int = 300) -> DataFrame:
-    """Final and still provisional windows of a session, newest first."""
+def merge_committed_provisional(committed: DataFrame, provisional: DataFrame, n: int | None = None) -> DataFrame:
+    """Final and still provisional windows of a session: all, or the newest n."""
     both = committed.withColumn("provisional", F.lit(False)).unionByName(provisional.withColumn("provisional", F.lit(True)), allowMissingColumns=True)
-    return keep_latest(both, ["session_id"], ["window_start", "window_end", "channel_id"], n)
+    return both if n is None else keep_latest(both, ["session_id"], ["window_start", "window_end", "channel_id"], n)
 
 

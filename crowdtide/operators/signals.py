@@ -78,10 +78,12 @@ def _ids(messages: Column) -> Column:
     return F.transform(messages, lambda m: m["message_id"])
 
 
-def evidence_ids(limit: int = 5) -> Column:
-    """Peak evidence first, then scored messages until there are ``limit`` ids (at least one when there is any)."""
+def evidence_ids(limit: int | None = None) -> Column:
+    """Peak evidence first, then scored messages: all, or until there are ``limit`` ids (at least one when there is any)."""
     base = append_distinct(F.col("peak_evidence_ids"), F.col("_peak.evidence_ids"), _ids(F.col("peak_evidence_messages")))
     scored = append_distinct(_ids(F.col("message_scores")))
+    if limit is None:
+        return F.array_union(base, scored)
     room = F.greatest(F.lit(1), F.lit(limit) - F.size(base))
     return F.concat(base, F.slice(F.array_except(scored, base), F.lit(1), room))
 
@@ -247,7 +249,7 @@ def transcript_context(alignments: DataFrame, transcripts: DataFrame, width: int
     target = transcript_target(hit, SPEECH_KEY)
     return hit.join(target, SPEECH_KEY, "left").select(
         *SPEECH_KEY,
-        snippet(F.col("text")).alias("transcript_snippet"),
+        snippet(F.col("text"), 180).alias("transcript_snippet"),
         F.col("target_text").alias("_speech_target"),
         F.concat(F.lit("transcript:"), rfc3339(F.col("_ts"))).alias("_speech_id"),
     )

@@ -22,6 +22,12 @@ def bucket_index(seconds: int) -> Column:
     return F.floor(offset / F.lit(seconds * 1_000_000))
 
 
+def joined_text() -> Column:
+    """Aggregate: texts of the segments in time order, stripped, blank ones left out."""
+    spoken = F.when(strip("text") != "", F.struct("segment_start", "segment_id", strip("text").alias("text")))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(spoken)), lambda s: s["text"]), " ")
+
+
 def transcript_buckets(segments: DataFrame, seconds: int = 30, latency: str = "last") -> DataFrame:
     """Tumbling buckets counted from the first audio of a session, with the text joined in time order.
 
@@ -30,8 +36,6 @@ def transcript_buckets(segments: DataFrame, seconds: int = 30, latency: str = "l
     indexed = segments.join(session_start(segments), STREAM).withColumn("idx", bucket_index(seconds))
     at = F.timestamp_micros(F.unix_micros("audio_start") + F.col("idx") * seconds * 1_000_000)
     newest = F.struct("segment_start", "segment_id")
-    spoken = F.when(strip("text") != "", F.struct("segment_start", "segment_id", strip("text").alias("text")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(spoken)), lambda s: s["text"]), " ")
     asr = F.max_by("asr_latency_ms", newest) if latency == "last" else F.sum("asr_latency_ms")
     base = F.unix_micros("bucket_start")
     seg = F.struct(
@@ -44,7 +48,7 @@ def transcript_buckets(segments: DataFrame, seconds: int = 30, latency: str = "l
     return (
         indexed.groupBy(*STREAM, "bucket_start")
         .agg(
-            joined.alias("text"),
+            joined_text().alias("text"),
             F.min("segment_start").alias("audio_started_at"),
             F.max("segment_end").alias("audio_ended_at"),
             F.max("confidence").alias("transcript_confidence"),

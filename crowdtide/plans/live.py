@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crowdtide.functions.lexicons import CHAT_NEGATIVE, CHAT_POSITIVE
 from crowdtide.functions.text import lexicon_sentiment
 from crowdtide.operators import filters, signals, windows
 
-EVENT_POSITIVE = {"purchase": 1.0, "signup": 0.5, "pogchamp": 0.9}
-EVENT_NEGATIVE = {"error": -1.0}
-
-
 def score_messages(messages: DataFrame, positive: dict[str, float], negative: dict[str, float]) -> DataFrame:
     """Replace the score columns by lexicon sentiment."""
     scored = messages.withColumn("_s", lexicon_sentiment(F.col("text"), F.col("emotes"), positive, negative))
@@ -19,7 +16,7 @@ def score_messages(messages: DataFrame, positive: dict[str, float], negative: di
 
 
 def lexicon_events(messages: DataFrame, seconds: int = 30, positive: dict[str, float] | None = None, negative: dict[str, float] | None = None) -> DataFrame:
-    """Clean, score, bucket and report the events of every stream."""
+    """Clean, score, bucket and report the events of every stream. Word scores: the chat lexicon unless given."""
     kept = filters.filter_messages(filters.normalize_messages(messages))
-    scored = score_messages(kept, positive or EVENT_POSITIVE, negative or EVENT_NEGATIVE)
+    scored = score_messages(kept, positive or CHAT_POSITIVE, negative or CHAT_NEGATIVE)
     return signals.signal_events(signals.signal_windows(windows.chat_buckets(scored, seconds)))

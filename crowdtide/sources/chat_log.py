@@ -43,12 +43,14 @@ def parse_chat_log(lines: DataFrame, session_id: str, fallback_channel: str = ""
         return F.regexp_extract(F.col(column), LINE, i)
 
     parsed = raw.select(
-        F.str_to_map(group(1), F.lit(";"), F.lit("=")).alias("tags"), group(2).alias("prefix"), group(3).alias("target"), group(4).alias("text"),
+        F.split(group(1), ";").alias("tags"), group(2).alias("prefix"), group(3).alias("target"), group(4).alias("text"),
         (received if received is not None else F.current_timestamp()).alias("_now"),
     )
 
     def tag(name: str) -> Column:
-        return unescape(F.coalesce(F.try_element_at("tags", F.lit(name)), F.lit("")))
+        """Value of a tag; the last one counts where a key is repeated."""
+        given = F.filter("tags", lambda t: t.startswith(f"{name}=") | (t == name))
+        return unescape(F.regexp_replace(F.coalesce(F.try_element_at(given, F.lit(-1)), F.lit("")), "^[^=]*=?", ""))
 
     channel = F.regexp_replace(F.lower(F.trim("target")), "^#", "")
     login = tag("login")

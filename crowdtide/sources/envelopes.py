@@ -155,9 +155,22 @@ def infer_event_type(bodies: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def _is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
+def malformed_payloads(payloads: DataFrame) -> DataFrame:
+    """Dead letters of ``make_envelope``: payloads that are null or no JSON."""
+    return payloads.where(~F.coalesce(_is_json(F.col("payload")), F.lit(False)))
+
+
 def make_envelope(payloads: DataFrame, event_type: str, source: str) -> DataFrame:
-    """Envelopes of JSON payloads (column ``payload``) with deterministic ids, and the columns a Kafka sink takes."""
-    base = payloads.withColumns({"event_type": F.lit(event_type), "session_id": payload_text("session_id"), "channel_id": payload_text("channel_id")})
+    """Envelopes of JSON payloads (column ``payload``) with deterministic ids, and the columns a Kafka sink takes.
+
+    Payloads that are no JSON have no envelope; ``malformed_payloads`` returns them.
+    """
+    sound = payloads.where(_is_json(F.col("payload")))
+    base = sound.withColumns({"event_type": F.lit(event_type), "session_id": payload_text("session_id"), "channel_id": payload_text("channel_id")})
     keyed = bucket_key(base)
     part = F.concat_ws(":", "event_type", "_session", "_channel", rfc3339(F.col("_start")), rfc3339(F.col("_end")))
     full = F.col("_session").isNotNull() & F.col("_channel").isNotNull() & F.col("_start").isNotNull() & (F.col("_end") > F.col("_start"))
@@ -167,12 +180,14 @@ def make_envelope(payloads: DataFrame, event_type: str, source: str) -> DataFram
     ident = F.left(F.sha2(F.concat_ws("|", "event_type", key, "payload"), 256), F.lit(32))
     occurred = F.coalesce(payload_time("occurred_at"), payload_time("transcribed_at"), payload_time("bucket_start"), payload_time("window_start"), F.current_timestamp())
     out = keyed.withColumns({"event_id": ident, "occurred_at": occurred, "key": F.when(full | some, key).otherwise(ident)})
-    value = F.to_json(
+    head = F.to_json(
         F.struct(
             F.lit(VERSION).alias("schema_version"), "event_id", "event_type", F.lit(VERSION).alias("event_schema_version"), F.lit(source).alias("source"),
-            "session_id", "channel_id", rfc3339(F.col("occurred_at")).alias("occurred_at"), F.parse_json("payload").alias("payload"),
+            "session_id", "channel_id", rfc3339(F.col("occurred_at")).alias("occurred_at"),
         )
     )
+    # the payload is published as the text its id was computed from
+    value = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"payload":'), F.col("payload"), F.lit("}"))
     headers = {"event_id": F.col("event_id"), "event_type": F.col("event_type"), "event_schema_version": F.lit(VERSION), "envelope_version": F.lit(VERSION), "source": F.lit(source)}
     header = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value")) for k, v in headers.items()])
     return out.select(F.lit(TOPICS[event_type]).alias("topic"), "key", value.alias("value"), header.alias("headers"), "event_id", "event_type", "session_id", "channel_id", "occurred_at", "payload")

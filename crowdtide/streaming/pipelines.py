@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crowdtide.functions.lexicons import ReactionLexicon
-from crowdtide.operators import alignment, windows
+from crowdtide.operators import alignment, transcripts, windows
 from crowdtide.operators.intervals import STREAM, drop_superseded
 from crowdtide.operators.series import transcript_reaction
 from crowdtide.sources.storage import changed_rows, fresh_path, upsert
@@ -40,12 +40,11 @@ def stream_transcript_buckets(segments: DataFrame, seconds: int = 30, watermark:
     span = seconds * 1_000_000
     phase = F.unix_micros("audio_start") % span
     shifted = segments.withColumns({"phase": phase, "ets": F.timestamp_micros(F.unix_micros("segment_start") - phase)})
-    parts = F.array_sort(F.collect_list(F.struct("segment_start", "segment_id", "text")))
     agg = (
         shifted.withWatermark("ets", watermark)
         .groupBy(*STREAM, "phase", F.window("ets", f"{seconds} seconds").alias("window"))
         .agg(
-            F.array_join(F.transform(parts, lambda s: s["text"]), " ").alias("text"),
+            transcripts.joined_text().alias("text"),
             F.max("segment_end").alias("audio_ended_at"),
             F.max("confidence").alias("transcript_confidence"),
             F.count("*").alias("segment_count"),
