@@ -152,7 +152,19 @@ def _(spark, sf):
     return out.select(*windows.BUCKET, "previous_text", "next_text")
 
 
-@register("caption_blocks")
+@register(
+    "caption_blocks",
+    f"""WITH RECURSIVE {SEGMENTS},
+        n AS (SELECT session_id, channel_id, segment_start, segment_end, text AS t, row_number() OVER w AS rn, coalesce((epoch_us(segment_start) - epoch_us(lag(segment_end) OVER w)) / 1e6 > 600, true) AS far
+          FROM seg WINDOW w AS (PARTITION BY session_id, channel_id ORDER BY segment_start, segment_id)),
+        f AS (SELECT session_id, channel_id, rn, segment_start AS s, segment_end AS e, t AS text, true AS opened FROM n WHERE rn = 1
+          UNION ALL SELECT session_id, channel_id, rn, CASE WHEN own THEN segment_start ELSE s END, segment_end, CASE WHEN own THEN t ELSE merged END, own FROM (
+            SELECT *, far OR length(merged) > 145 AS own FROM (
+              SELECT n.*, f.s, CASE WHEN ends_with(f.text, n.t) THEN f.text WHEN starts_with(n.t, f.text) THEN n.t ELSE f.text || ' ' || n.t END AS merged
+              FROM f JOIN n ON n.session_id = f.session_id AND n.channel_id = f.channel_id AND n.rn = f.rn + 1))),
+        b AS (SELECT *, coalesce(lead(opened) OVER (PARTITION BY session_id, channel_id ORDER BY rn), true) AS last FROM f)
+        SELECT session_id, channel_id, {us}(s) AS start, {us}(e) AS "end", text FROM b WHERE last""",
+)
 def _(spark, sf):
     return transcripts.caption_blocks(adapters.segments(spark, sf), max_gap=600)
 

@@ -371,7 +371,26 @@ def _(spark, sf):
     return adapters.table(spark, sf, "orders").select("o_orderkey", ids.alias("ids"))
 
 
-@register("word_error_rate")
+def _distance(words: str) -> str:
+    """Word edit distance of each turn and the next one: the distance table row by row."""
+    return f"""RECURSIVE t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, {words} AS w FROM conversations),
+        p AS (SELECT a.session_id, a.turn, a.w AS l, b.w AS r FROM t a JOIN t b ON a.session_id = b.session_id AND b.turn = a.turn + 1),
+        d AS (SELECT *, 0 AS i, CAST(range(0, len(r) + 1) AS BIGINT[]) AS row FROM p
+          UNION ALL SELECT session_id, turn, l, r, i + 1, list_transform(e, lambda x, k: list_min(e[1:k]) + k) FROM (
+            SELECT *, list_transform(c, lambda x, k: x - k) AS e FROM (
+              SELECT *, list_prepend(i + 1, list_transform(range(1, len(r) + 1), lambda j: least(row[j] + CASE WHEN r[j] <> l[i + 1] THEN 1 ELSE 0 END, row[j + 1] + 1))) AS c
+              FROM d WHERE i < len(l)))),
+        x AS (SELECT session_id, turn, len(l) AS n, len(r) AS m, row[len(r) + 1] AS distance FROM d WHERE i = len(l))"""
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda v: v <> '')"
+_SPOKEN = r"list_filter(list_transform(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda v: regexp_replace(v, '[^a-z0-9]', '', 'g')), lambda v: v <> '')"
+
+
+@register(
+    "word_error_rate",
+    f"""WITH {_distance(_WORDS)} SELECT session_id, turn, distance AS word_distance, {rnd("CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 0.0 ELSE 1.0 END ELSE distance / n END")} AS wer FROM x""",
+)
 def _(spark, sf):
     """Each turn against the next one of its conversation, whole texts."""
     t = adapters.turns(spark, sf)
@@ -380,7 +399,10 @@ def _(spark, sf):
     return reviews.word_error_rate(pairs).select("session_id", "turn", "word_distance", "wer")
 
 
-@register("repair_change")
+@register(
+    "repair_change",
+    f"""WITH {_distance(_SPOKEN)} SELECT session_id, turn, CAST(greatest(0, m - n) AS BIGINT) AS repair_added_words, {rnd("coalesce(distance / nullif(greatest(n, m), 0), 0.0)")} AS repair_changed_ratio FROM x""",
+)
 def _(spark, sf):
     t = adapters.turns(spark, sf)
     nxt = t.select("session_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("final"))

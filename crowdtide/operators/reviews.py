@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -444,32 +442,28 @@ def speech_words(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, "[^a-z0-9]", "")), lambda w: w != "")
 
 
-@F.pandas_udf(T.LongType())
-def word_edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Levenshtein distance of two word arrays. Built-ins only know it for characters.
+def word_edit_distance(left: Column, right: Column) -> Column:
+    """Levenshtein distance of two word arrays.
 
-    One vectorised row of the distance table at a time: the running minimum takes care of insertions.
+    The distinct words of the pair become code points (from 256 on, without the surrogates), so the built-in distance of
+    strings counts words.
     """
+    known = F.array_distinct(F.concat(left, right))
 
-    def one(a: np.ndarray, b: np.ndarray) -> int:
-        codes = {w: i for i, w in enumerate(set(a) | set(b))}
-        y = np.array([codes[w] for w in b], dtype=np.int64)
-        steps = np.arange(len(y) + 1)
-        row = steps.copy()
-        for w in a:
-            new = np.empty_like(row)
-            new[0] = row[0] + 1
-            np.minimum(row[:-1] + (y != codes[w]), row[1:] + 1, out=new[1:])
-            row = np.minimum.accumulate(new - steps) + steps
-        return int(row[-1])
+    def coded(given: Column) -> Column:
+        def point(w: Column) -> Column:
+            n = F.array_position(known, w) + 255
+            return F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)])
+        return F.decode(F.unhex(F.array_join(F.transform(given, point), "")), "UTF-32")
+
+    return F.levenshtein(coded(left), coded(right)).cast("long")
 
 
 def word_error_rate(pairs: DataFrame, reference: str = "reference_text", hypothesis: str = "hypothesis") -> DataFrame:
     """Distance and rate per pair; the pairs are a table, so the work is spread over its rows."""
     w = pairs.withColumns({"_r": words(F.col(reference)), "_h": words(F.col(hypothesis))})
-    w = w.withColumn("word_distance", word_edit_distance("_r", "_h"))
+    w = w.withColumn("word_distance", word_edit_distance(F.col("_r"), F.col("_h")))
     n = F.size("_r")
     rate = F.when(n == 0, F.when(F.size("_h") == 0, 0.0).otherwise(1.0)).otherwise(ratio(F.col("word_distance"), n))
     return w.withColumn("wer", rate).drop("_r", "_h")
@@ -478,7 +472,7 @@ def word_error_rate(pairs: DataFrame, reference: str = "reference_text", hypothe
 def repair_change(pairs: DataFrame, live: str, final: str) -> DataFrame:
     """Added words and changed share of a repaired transcript."""
     w = pairs.withColumns({"_l": speech_words(F.col(live)), "_f": speech_words(F.col(final))})
-    w = w.withColumn("_d", word_edit_distance("_l", "_f"))
+    w = w.withColumn("_d", word_edit_distance(F.col("_l"), F.col("_f")))
     longest = F.greatest(F.size("_l"), F.size("_f"))
     return w.withColumns(
         {
