@@ -28,6 +28,21 @@ def event_stream(spark, sf):
     return rows.unionByName(spark.readStream.schema(schema).parquet(path))
 
 
+def played(out, name):
+    """The table a stream has written when all its input is read."""
+    path = fresh_path(out.sparkSession, name)
+    live.run_to_end(out, path)
+    return out.sparkSession.read.schema(out.schema).parquet(f"{path}/table")
+
+
+def stored_stream(df, name, per_trigger=None):
+    """A result written to files and played back as a stream."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path)
+
+
 REAL = "session_id <> '2100-01-01'"
 
 
@@ -37,8 +52,7 @@ REAL = "session_id <> '2100-01-01'"
 )
 def _(spark, sf):
     out = live.stream_chat_buckets(adapters.messages_from_events(event_stream(spark, sf)), HOUR, "1 hour")
-    _, path = live.run_to_end(out, "chat-buckets")
-    return spark.read.schema(out.schema).parquet(path).where(REAL).select(*windows.BUCKET, "message_count", "unique_chatters", "chat_sentiment", "positive", "negative")
+    return played(out, "chat-buckets").where(REAL).select(*windows.BUCKET, "message_count", "unique_chatters", "chat_sentiment", "positive", "negative")
 
 
 @register(
@@ -47,8 +61,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = live.stream_reaction_windows(adapters.messages_from_events(event_stream(spark, sf)), W, SLIDE, EVENT_LEXICON, "1 hour").select(*windows.REACTION_COLUMNS)
-    _, path = live.run_to_end(out, "reaction-windows")
-    return spark.read.schema(out.schema).parquet(path).where(REAL)
+    return played(out, "reaction-windows").where(REAL)
 
 
 @register(
@@ -63,8 +76,7 @@ def _(spark, sf):
     segs = segs.withColumn("audio_start", F.coalesce("audio_start", "segment_start"))
     segs = segs.withColumn("text", F.when(F.col("text").startswith("view"), "  ").otherwise(F.concat(F.lit(" "), "text", F.lit("  "))))
     out = live.stream_transcript_buckets(segs, HOUR, "2 hours")
-    _, path = live.run_to_end(out, "transcript-buckets")
-    return spark.read.schema(out.schema).parquet(path).where(REAL).select(*windows.BUCKET, "text", "audio_ended_at", "transcript_confidence", "segment_count")
+    return played(out, "transcript-buckets").where(REAL).select(*windows.BUCKET, "text", "audio_ended_at", "transcript_confidence", "segment_count")
 
 
 @register(
@@ -72,15 +84,10 @@ def _(spark, sf):
     f"""WITH {MSG} SELECT username, arg_max(text, CAST(substr(message_id, 2) AS BIGINT)) AS text, max(CAST(substr(message_id, 2) AS BIGINT)) AS version FROM msg GROUP BY 1""",
 )
 def _(spark, sf):
-    schema = adapters.table(spark, sf, "events").schema
-    path = fresh_path(spark, "changes")
-    adapters.table(spark, sf, "events").repartition(4, "event_type").write.parquet(path)
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = stored_stream(adapters.table(spark, sf, "events").repartition(4, "event_type"), "changes", 1)
     m = adapters.messages_from_events(rows)
     changes = m.select("username", "text", F.substring("message_id", 2, 20).cast("long").alias("version"))
-    table = live.LatestTable(spark, "latest", ["username"], "version")
-    live.stream_upsert_latest(changes, table)
-    return table.read()
+    return live.stream_upsert_latest(changes, fresh_path(spark, "latest"), ["username"], "version")
 
 
 @register(
@@ -91,11 +98,9 @@ def _(spark, sf):
     c, t = chat(spark, sf), speech(spark, sf).drop("segments")
     one = c.select(F.lit("chat").alias("kind"), F.lit(1).cast("long").alias("version"), F.struct(*c.columns).alias("chat"))
     two = t.select(F.lit("transcript").alias("kind"), F.lit(1).cast("long").alias("version"), F.struct(*t.columns).alias("speech"))
-    feed = settle(one.unionByName(two, allowMissingColumns=True).repartition(3, F.coalesce("chat.bucket_start", "speech.bucket_start")), "feed")
-    rows = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(feed.inputFiles()[0].rsplit("/", 1)[0])
-    sink = live.AlignOnTouch(spark, HOUR)
-    live.run_to_end(rows, "align", sink, "append")
-    return sink.result().select(*windows.RWINDOW, "chat_bucket_start", "transcript_bucket_start", "delta", "relationship")
+    both = one.unionByName(two, allowMissingColumns=True).repartition(3, F.coalesce("chat.bucket_start", "speech.bucket_start"))
+    out = live.stream_align(stored_stream(both, "feed", 2), fresh_path(spark, "live-align"), HOUR)
+    return out.select(*windows.RWINDOW, "chat_bucket_start", "transcript_bucket_start", "delta", "relationship")
 
 
 @register(
@@ -103,14 +108,9 @@ def _(spark, sf):
     f"""WITH {ALIGN} SELECT session_id, channel_id, {us}(chat_bucket_start) AS c_start, {us}(transcript_bucket_start) AS t_start FROM pairs""",
 )
 def _(spark, sf):
-    c, t = settle(chat(spark, sf), "chat"), settle(speech(spark, sf).drop("segments"), "speech")
-
-    def as_stream(df):
-        return spark.readStream.schema(df.schema).parquet(df.inputFiles()[0].rsplit("/", 1)[0])
-
-    out = live.stream_overlap_candidates(as_stream(c), as_stream(t), HOUR, "2 hours")
-    _, path = live.run_to_end(out, "candidates")
-    return spark.read.schema(out.schema).parquet(path).select(*STREAM, "c_start", "t_start")
+    c, t = stored_stream(chat(spark, sf), "chat"), stored_stream(speech(spark, sf).drop("segments"), "speech")
+    out = live.stream_overlap_candidates(c, t, HOUR, "2 hours")
+    return played(out, "candidates").select(*STREAM, "c_start", "t_start")
 
 
 @register(
@@ -123,13 +123,10 @@ def _(spark, sf):
     schema = adapters.table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     partials = adapters.segments_from_events(rows).withColumnsRenamed({"segment_start": "window_start", "segment_end": "window_end"})
-    out = fresh_path(spark, "provisional")
-
-    def sink(batch, batch_id):
-        live.provisional_then_final(batch, committed, HOUR).select("segment_id").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    live.run_to_end(partials, "provisional", sink, "append")
-    return spark.read.schema("segment_id BIGINT").parquet(out).select("segment_id")
+    path = fresh_path(spark, "provisional")
+    write = live.log_sink(f"{path}/log")
+    live.run_to_end(partials, path, lambda batch, i: write(live.provisional_then_final(batch, committed, HOUR).select("segment_id"), i))
+    return spark.read.schema("segment_id BIGINT").parquet(f"{path}/log").select("segment_id")
 
 
 @register(
@@ -150,5 +147,4 @@ def _(spark, sf):
     envelopes.make_envelope(payloads(spark, sf), "chat_bucket", "tests").select("value").write.text(path)
     decoded = envelopes.validate_envelope(envelopes.decode_envelope(envelopes.read_event_files(spark, path)).where("decode_error IS NULL"))
     good, _ = envelopes.split_valid(decoded)
-    _, out = live.run_to_end(good, "events")
-    return spark.read.schema(good.schema).parquet(out).groupBy("session_id", "channel_id", "event_type").agg(F.count("*").alias("n"))
+    return played(good, "events").groupBy("session_id", "channel_id", "event_type").agg(F.count("*").alias("n"))

@@ -12,12 +12,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from crowdtide.functions.lexicons import ReactionLexicon
 from crowdtide.operators import alignment, transcripts, windows
 from crowdtide.operators.intervals import STREAM, drop_superseded
 from crowdtide.operators.series import transcript_reaction
-from crowdtide.sources.storage import changed_rows, fresh_path, upsert
+from crowdtide.sources.storage import upsert
 
 BUCKET = [*STREAM, "bucket_start", "bucket_end"]
 
@@ -72,88 +73,70 @@ def stream_overlap_candidates(chat: DataFrame, transcripts: DataFrame, seconds:
 # --- sinks ------------------------------------------------------------------
 
 
-class LatestTable:
-    """Keyed table kept as versions in the shared folder: each micro-batch writes a new one and moves the pointer.
+def log_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Each micro-batch becomes a partition of a parquet log, named after its id: writing it again changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def read_log(spark: SparkSession, schema: StructType, path: str, upto: int | None = None) -> DataFrame:
+    """The log with its batch ids, up to a batch."""
+    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
+    return rows if upto is None else rows.where(F.col("batch") <= upto)
+
+
+def latest_rows(log: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """The newest version per key of a log."""
+    rows = log.drop("batch")
+    return upsert(rows.where(F.lit(False)), rows, keys, version)
 
-    The version is named after the batch id, so a replayed batch rewrites its own version from the previous one.
-    """
 
-    def __init__(self, spark: SparkSession, name: str, keys: Sequence[str], version: str):
-        self.spark, self.keys, self.version = spark, list(keys), version
-        self.root = fresh_path(spark, name)
-        self.current: tuple[int, str] | None = None
-        self.previous: tuple[int, str] | None = None
-        self.schema = None
-
-    def read(self) -> DataFrame | None:
-        return None if self.current is None else self.spark.read.schema(self.schema).parquet(self.current[1])
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Newest version per key wins; rows equal to the stored ones are no change."""
-        if self.current is not None and self.current[0] == batch_id:
-            self.current = self.previous
-        fresh = upsert(batch.limit(0), batch, self.keys, self.version)
-        old = self.read()
-        if old is not None:
-            fresh = upsert(old, changed_rows(old, fresh, self.keys), self.keys, self.version)
-        path = f"{self.root}/batch={batch_id}"
-        fresh.write.mode("overwrite").parquet(path)
-        self.previous, self.current, self.schema = self.current, (batch_id, path), batch.schema
-
-
-    def replace(self, batch: DataFrame, by: str, touched: DataFrame, batch_id: int) -> None:
-        """Swap all rows of the touched groups for the rows of ``batch``."""
-        if self.current is not None and self.current[0] == batch_id:
-            self.current = self.previous
-        old = self.read()
-        fresh = batch if old is None else old.join(touched, by, "left_anti").select(*batch.columns).unionByName(batch)
-        path = f"{self.root}/batch={batch_id}"
-        fresh.write.mode("overwrite").parquet(path)
-        self.previous, self.current, self.schema = self.current, (batch_id, path), batch.schema
-
-
-def run_to_end(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> tuple[StreamingQuery, str]:
-    """Process everything available with a checkpoint in the shared folder; parquet sink unless ``sink`` is given."""
-    spark = df.sparkSession
-    out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
-    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
-    writer = writer.foreachBatch(sink) if sink is not None else writer.format("parquet").option("path", out)
+def run_to_end(df: DataFrame, path: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> StreamingQuery:
+    """Process everything available. ``path`` belongs to the query: its checkpoint lies below, and so does its table
+    unless ``sink`` is given. A query started again with the same path goes on where the last one stopped."""
+    writer = df.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode(mode)
+    writer = writer.foreachBatch(sink) if sink is not None else writer.format("parquet").option("path", f"{path}/table")
     query = writer.start()
     query.awaitTermination()
-    return query, out
-
-
-def stream_upsert_latest(changes: DataFrame, table: LatestTable, name: str = "upsert") -> StreamingQuery:
-    """Versions of a row replace earlier ones in ``table``."""
-    return run_to_end(changes, name, table.merge, "append")[0]
-
-
-class AlignOnTouch:
-    """Keeps both bucket tables and re-aligns only the sessions a micro-batch touches."""
-
-    def __init__(self, spark: SparkSession, seconds: int):
-        key = BUCKET
-        self.seconds = seconds
-        self.chat = LatestTable(spark, "live-chat", key, "version")
-        self.speech = LatestTable(spark, "live-speech", key, "version")
-        self.aligned = LatestTable(spark, "live-aligned", [*STREAM, *alignment.SPEECH_RANGE], "version")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """``batch``: kind (chat or transcript), version, and struct columns chat and speech."""
-        batch.persist()
-        try:
-            self.chat.merge(batch.where(F.col("kind") == "chat").select("chat.*", "version"), batch_id)
-            self.speech.merge(batch.where(F.col("kind") == "transcript").select("speech.*", "version"), batch_id)
-            touched = batch.select(F.coalesce("chat.session_id", "speech.session_id").alias("session_id")).distinct()
-            c = self.chat.read().join(touched, "session_id", "left_semi")
-            t = self.speech.read().join(touched, "session_id", "left_semi")
-            # a better partner may turn up later, so the pairs of a touched session are replaced as a whole
-            self.aligned.replace(alignment.align(c, t, self.seconds), "session_id", touched, batch_id)
-        finally:
-            batch.unpersist()
-
-    def result(self) -> DataFrame:
-        return self.aligned.read()
+    return query
+
+
+def stream_upsert_latest(changes: DataFrame, path: str, keys: Sequence[str], version: str) -> DataFrame:
+    """Newest version per key of everything the stream has brought so far, in this and earlier runs."""
+    run_to_end(changes, path, log_sink(f"{path}/log"))
+    return latest_rows(read_log(changes.sparkSession, changes.schema, f"{path}/log"), keys, version)
+
+
+def stream_align(feed: DataFrame, path: str, seconds: int) -> DataFrame:
+    """Alignment of two bucket streams: a micro-batch re-aligns the sessions it touches.
+
+    ``feed``: kind (chat or transcript), version, and struct columns chat and speech. A better partner may turn up later,
+    so the pairs of a touched session are written anew as a whole; the batch that touched it last counts. All state is
+    in three parquet logs by batch id below ``path``, read up to the batch at hand, so that a replayed batch writes the same.
+    """
+    spark, schema = feed.sparkSession, feed.schema
+    log, aligned, touched = (f"{path}/{name}" for name in ("log", "aligned", "touched"))
+    session = F.coalesce("chat.session_id", "speech.session_id").alias("session_id")
+
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(latest_rows(rows.where(F.col("kind") == kind).select(f"{name}.*", "version"), BUCKET, "version") for kind, name in (("chat", "chat"), ("transcript", "speech")))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        log_sink(log)(batch, batch_id)
+        rows = read_log(spark, schema, log, batch_id)
+        now = rows.where(F.col("batch") == batch_id).select(session).distinct()
+        log_sink(touched)(now, batch_id)
+        c, t = sides(rows.withColumn("session_id", session).join(now, "session_id", "left_semi"))
+        log_sink(aligned)(alignment.align(c, t, seconds), batch_id)
+
+    run_to_end(feed, path, sink)
+    last = read_log(spark, StructType([StructField("session_id", StringType())]), touched).groupBy("session_id").agg(F.max("batch").alias("batch"))
+    empty = spark.createDataFrame([], schema)
+    pairs = read_log(spark, alignment.align(*sides(empty), seconds).schema, aligned)
+    return pairs.join(last, ["session_id", "batch"]).drop("batch")
 
 
 def provisional_then_final(partials: DataFrame, committed: DataFrame, seconds: int = 30) -> DataFrame:

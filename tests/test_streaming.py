@@ -16,14 +16,15 @@ CLOSING = message(999, 100000, "end", "z")
 
 
 def result(spark, out, path):
-    return spark.read.schema(out.schema).parquet(path)
+    return spark.read.schema(out.schema).parquet(f"{path}/table")
 
 
 def test_buckets_equal_the_batch(spark, tmp_path):
     rows = [message(i, i * 2, f"t{i % 4}", f"u{i % 5}", score=(i % 7) / 7) for i in range(60)]
     stream = feed(spark, tmp_path, rows[:30], rows[30:], [CLOSING])
     out = live.stream_chat_buckets(stream, 30)
-    _, path = live.run_to_end(out, "t")
+    path = str(tmp_path / "query")
+    live.run_to_end(out, path)
     want = windows.chat_buckets(messages(spark, rows), 30)
     got = result(spark, out, path).where(F.col("bucket_start") < F.lit(at(90000)))
     cols = ["bucket_start", "message_count", "unique_chatters"]
@@ -35,7 +36,8 @@ def test_reaction_windows_equal_the_batch(spark, tmp_path):
     rows = [message(i, i * 0.7, words[i % 5], f"u{i % 3}") for i in range(50)]
     stream = feed(spark, tmp_path, rows[:20], rows[20:], [CLOSING])
     out = live.stream_reaction_windows(stream, 5, 1).select(*windows.REACTION_COLUMNS)
-    _, path = live.run_to_end(out, "t")
+    path = str(tmp_path / "query")
+    live.run_to_end(out, path)
     got = result(spark, out, path).where(F.col("window_start") < F.lit(at(90000)))
     want = windows.reaction_core(messages(spark, rows), 5, 1).select(*windows.REACTION_COLUMNS)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -49,17 +51,55 @@ def test_late_messages_count_within_the_watermark_only(spark, tmp_path):
     fourth = [message(5, 20, "too late", "u5")]
     stream = feed(spark, tmp_path, first, second, third, fourth, [CLOSING])
     out = live.stream_chat_buckets(stream, 30, "60 seconds")
-    query, path = live.run_to_end(out, "t")
+    path = str(tmp_path / "query")
+    query = live.run_to_end(out, path)
     got = {r["bucket_start"]: r["message_count"] for r in result(spark, out, path).collect()}
     assert got[at(0).replace(tzinfo=None)] == 2
     assert live.late_rows(query) >= 1
 
 
-def test_latest_version_survives_a_replayed_batch(spark):
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
     schema = "k string, x string, version long"
-    table = live.LatestTable(spark, "t", ["k"], "version")
-    table.merge(spark.createDataFrame([("a", "old", 1), ("b", "b", 1)], schema), 0)
-    change = spark.createDataFrame([("a", "new", 2), ("b", "stale", 0)], schema)
-    table.merge(change, 1)
-    table.merge(change, 1)
-    assert {r["k"]: r["x"] for r in table.read().collect()} == {"a": "new", "b": "b"}
+    source, path = str(tmp_path / "in"), str(tmp_path / "query")
+
+    def run():
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        return {r["k"]: r["x"] for r in live.stream_upsert_latest(rows, path, ["k"], "version").collect()}
+
+    spark.createDataFrame([("a", "old", 1), ("b", "b", 1)], schema).coalesce(1).write.parquet(source)
+    assert run() == {"a": "old", "b": "b"}
+    spark.createDataFrame([("a", "new", 2), ("b", "stale", 0), ("c", "c", 1)], schema).coalesce(1).write.mode("append").parquet(source)
+    assert run() == run() == {"a": "new", "b": "b", "c": "c"}
+    # a batch that is written again replaces itself
+    again = spark.createDataFrame([("a", "new", 2), ("b", "stale", 0), ("c", "c", 1)], schema)
+    live.log_sink(f"{path}/log")(again, 1)
+    assert run() == {"a": "new", "b": "b", "c": "c"}
+
+
+def test_alignment_goes_on_after_a_restart(spark, tmp_path):
+    from crowdtide.operators import alignment
+    from tests.test_alignment import chat, speech
+
+    c = chat(spark, [("s", 0, 30, 0.1), ("s", 30, 60, 0.2), ("t", 0, 30, 0.3)])
+    t = speech(spark, [("s", 10, 40, 0.5), ("t", 0, 30, 0.4)])
+    later = speech(spark, [("s", 0, 30, 0.6)])
+    source, path = str(tmp_path / "in"), str(tmp_path / "query")
+
+    def rows(kind, name, df):
+        return df.select(F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("version"), F.struct(*df.columns).alias(name))
+
+    feed = rows("chat", "chat", c).unionByName(rows("transcript", "speech", t), allowMissingColumns=True)
+
+    def run():
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        out = live.stream_align(stream, path, 30)
+        return sorted((r["session_id"], r["chat_bucket_start"], r["transcript_bucket_start"]) for r in out.collect())
+
+    def want(speeches):
+        return sorted((r["session_id"], r["chat_bucket_start"], r["transcript_bucket_start"]) for r in alignment.align(c, speeches, 30).collect())
+
+    feed.coalesce(1).write.parquet(source)
+    assert run() == want(t)
+    more = rows("chat", "chat", c.limit(0)).unionByName(rows("transcript", "speech", later), allowMissingColumns=True)
+    more.select(*feed.columns).coalesce(1).write.mode("append").parquet(source)
+    assert run() == want(t.unionByName(later)) != want(t)
