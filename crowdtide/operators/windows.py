@@ -7,6 +7,8 @@ is therefore spread over many tasks. The same code runs on streams: no DISTINCT
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,11 +160,14 @@ def reaction_features(features: DataFrame, seconds: int = 5, slide: int = 1, wat
     """Sums, repeated texts and distinct chatters per sliding window, without a self join.
 
     Every message is emitted under two keys, its text and its author. The first aggregation is per
-    (window, kind, key) and its counts give both the repeats and the distinct chatters of the second.
+    (window, kind, key) and its counts give both the repeats and the distinct chatters of the second. A batch first adds
+    up its messages in panes, so that panes, not messages, are multiplied into windows; a stream, which cannot chain a
+    third aggregation on another time column, expands its messages.
     """
+    if watermark is None:
+        return _window_totals(_expand_panes(_panes(features, seconds, slide), seconds, slide))
     rows = as_current_and_previous(features, seconds)
-    if watermark is not None:
-        rows = rows.withWatermark("ets", watermark)
+    rows = rows.withWatermark("ets", watermark)
     kinds = F.array(
         F.struct(F.lit("text").alias("kind"), F.when(F.col("current"), F.col("_text")).alias("key")),
         F.struct(F.when(F.col("current"), "now").otherwise("before").alias("kind"), F.col("_chatter").alias("key")),
@@ -178,9 +183,56 @@ def reaction_features(features: DataFrame, seconds: int = 5, slide: int = 1, wat
     per_key = rows.groupBy(*STREAM, window, F.col("_fact.kind").alias("kind"), F.col("_fact.key").alias("key")).agg(
         F.sum(F.when(mine, 1).otherwise(0)).alias("n"),
         F.sum(F.when(is_text & ~F.col("current"), 1).otherwise(0)).alias("n_prev"),
-        *[total(c) for c in ("_hype", "_confusion", "_frustration", "_short", "_caps", "_punct", "_valence")],
+        *[total(c) for c in _SUMS],
         F.sum(F.when(mine & F.col("_valence").isNotNull(), 1).otherwise(0)).alias("_valence_n"),
     )
+    return _window_totals(per_key)
+
+
+_SUMS = ("_hype", "_confusion", "_frustration", "_short", "_caps", "_punct", "_valence")
+
+
+def _panes(features: DataFrame, seconds: int, slide: int) -> DataFrame:
+    """Messages added up per (pane, kind, key); a pane is the largest span that no window cuts."""
+    pane = math.gcd(seconds, slide)
+    kinds = F.array(F.struct(F.lit("text").alias("kind"), F.col("_text").alias("key")), F.struct(F.lit("user").alias("kind"), F.col("_chatter").alias("key")))
+    rows = features.withColumns({"pane": F.unix_micros(F.window("timestamp", f"{pane} seconds")["start"]), "_fact": F.explode(kinds)})
+    is_text = F.col("_fact.kind") == "text"
+    return rows.groupBy(*STREAM, "pane", F.col("_fact.kind").alias("kind"), F.col("_fact.key").alias("key")).agg(
+        F.count("*").alias("n"),
+        *[F.sum(F.when(is_text, F.col(c))).alias(c) for c in _SUMS],
+        F.count(F.when(is_text, F.col("_valence"))).alias("_valence_n"),
+    )
+
+
+def _expand_panes(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
+    """Each pane in the windows that hold it and, moved by one window length, as the past of the next ones."""
+    step, span, pane = slide * 1_000_000, seconds * 1_000_000, math.gcd(seconds, slide) * 1_000_000
+
+    def starts(at: Column) -> Column:
+        first, last = F.ceil((at + pane - span) / F.lit(step)), F.floor(at / F.lit(step))
+        # windows may leave gaps between them: then some panes are in none
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * step)).otherwise(F.array().cast("array<bigint>"))
+
+    def role(at: Column, current: bool) -> Column:
+        return F.transform(starts(at), lambda w: F.struct(w.alias("at"), F.lit(current).alias("current")))
+
+    p = F.col("pane").cast("long")
+    rows = panes.withColumn("_in", F.explode(F.concat(role(p, True), role(p + span, False))))
+    is_text, current = F.col("kind") == "text", F.col("_in.current")
+    mine = is_text & current
+    kind = F.when(is_text, "text").when(current, "now").otherwise("before")
+    start = F.timestamp_micros("_in.at")
+    window = F.struct(start.alias("start"), (start + F.expr(f"INTERVAL {seconds} SECONDS")).alias("end")).alias("window")
+    return rows.groupBy(*STREAM, window, kind.alias("kind"), F.when(~is_text | current, F.col("key")).alias("key")).agg(
+        F.sum(F.when(mine, F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.when(is_text & ~current, F.col("n")).otherwise(0)).alias("n_prev"),
+        *[F.sum(F.when(mine, F.col(c))).alias(c) for c in (*_SUMS, "_valence_n")],
+    )
+
+
+def _window_totals(per_key: DataFrame) -> DataFrame:
+    """Windows from their counts per (kind, key)."""
     named = F.col("key").isNotNull() & (F.col("key") != "")
     return (
         per_key.groupBy(*STREAM, "window")
@@ -190,7 +242,7 @@ def reaction_features(features: DataFrame, seconds: int = 5, slide: int = 1, wat
             F.sum(F.when((F.col("kind") == "text") & named & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("repeated"),
             F.sum(F.when((F.col("kind") == "now") & named, 1).otherwise(0)).alias("unique_chatters"),
             F.sum(F.when((F.col("kind") == "before") & named, 1).otherwise(0)).alias("previous_chatters"),
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c[1:]) for c in ("_hype", "_confusion", "_frustration", "_short", "_caps", "_punct", "_valence", "_valence_n")],
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c[1:]) for c in (*_SUMS, "_valence_n")],
         )
         .transform(_with_window_bounds)
         .where(F.col("message_count") > 0)
