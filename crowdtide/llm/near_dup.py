@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,17 +88,30 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int, counted: bool) ->
     return docs.mapInArrow(sign, "doc long, words long, seq_a long, seq_b long, sig binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, items, times): distinct shingles of every row, ascending, and how often each occurs."""
+def _sets(docs: DataFrame, size: int, counted: bool) -> DataFrame:
+    """(doc, items, times): distinct shingles of every row as ascending 64-bit numbers, and how often each occurs.
+
+    Both are packed arrays; ``times`` is there only if shingles are counted.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in chunks(batch, "text"):
                 key, doc, times = weighted(*shingles(words(data, offsets), part.num_rows, size))
                 cuts = per_doc(doc, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), lists(key.view(np.int64), cuts, pa.int64()), lists(times, cuts, pa.int32())], ["doc", "items", "times"])
 
-    return docs.mapInArrow(encode, "doc long, items array<long>, times array<int>")
+                def packed(values: np.ndarray) -> pa.Array:
+                    return pa.array([values[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())  # noqa: B023
+
+                columns = [part.column("doc"), packed(key)] + ([packed(times.astype(np.uint32))] if counted else [])
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc", "items", "times"] if counted else ["doc", "items"]
+    return docs.mapInArrow(encode, "doc long, items binary" + ", times binary" * counted)
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(v, kind) for v in column.to_pylist()]
 
 
 def similarity(a: np.ndarray, b: np.ndarray, a_times: np.ndarray | None = None, b_times: np.ndarray | None = None) -> float:
@@ -109,39 +121,38 @@ def similarity(a: np.ndarray, b: np.ndarray, a_times: np.ndarray | None = None,
     if a_times is None or b_times is None:
         both, total = len(hit), len(a) + len(b)
     else:
-        both, total = int(np.minimum(a_times[hit], b_times[at[hit]]).sum()), int(a_times.sum() + b_times.sum())
+        both, total = int(np.minimum(a_times[hit], b_times[at[hit]]).sum()), int(a_times.sum()) + int(b_times.sum())
     return both / (total - both) if total > both else 0.0
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, counted: bool) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. The larger side is attached and dealt by the other."""
-    left = sets.select(F.col("doc").alias("a"), F.col("items").alias("a_items"), F.col("times").alias("a_times"))
-    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("b_items"), F.col("times").alias("b_times"))
+    """The pairs (a, b) whose sets are similar enough."""
+    values = ["items", "times"] if counted else ["items"]
+    left, right = (sets.select(F.col("doc").alias(side), *[F.col(v).alias(f"{side}_{v}") for v in values]) for side in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for row in zip(*(batch.column(c) for c in ("a_items", "b_items", "a_times", "b_times")), strict=True):
-                x, y, s, t = (v.values.to_numpy() for v in row)
-                keep.append(similarity(x.view(np.uint64), y.view(np.uint64), *((s, t) if counted else ())) >= least - 1e-12)
+            given = [_unpacked(batch.column(f"{side}_{v}"), kind) for v, kind in zip(values, (np.uint64, np.uint32), strict=False) for side in "ab"]
+            keep = [similarity(*row) >= least - 1e-12 for row in zip(*given, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items", "a_times", "b_times").mapInArrow(test, "a long, b long")
+    columns = [f"{side}_{v}" for v in values for side in "ab"]
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *columns).mapInArrow(test, "a long, b long")
 
 
 def _block_links(least: float, counted: bool, agree: int):
     """Links between members of a bucket that no link joins yet, for one pair of blocks."""
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc", ignore_index=True)
-        n = len(group)
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in group["sig"]])
-        items = [np.asarray(v).view(np.uint64) for v in group["items"]]
-        times = [np.asarray(v) for v in group["times"]]
-        size = np.array([int(t.sum()) if counted else len(t) for t in times])
-        own, doc = group["own"].to_numpy(), group["doc"].to_numpy()
-        within = group["low"].iloc[0] == group["high"].iloc[0]
-        parent = {c: c for c in group["comp"]}
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc")
+        n = group.num_rows
+        sig = np.stack(_unpacked(group.column("sig"), np.uint32))
+        items = _unpacked(group.column("items"), np.uint64)
+        times = _unpacked(group.column("times"), np.uint32) if counted else None
+        size = np.array([int(t.sum()) for t in times] if counted else [len(v) for v in items])
+        own, doc, comp = (group.column(c).to_numpy() for c in ("own", "doc", "comp"))
+        within = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        parent = {c: c for c in comp.tolist()}
 
         def root(c: int) -> int:
             while parent[c] != c:
@@ -149,7 +160,6 @@ def _block_links(least: float, counted: bool, agree: int):
                 c = parent[c]
             return c
 
-        comp = group["comp"].to_numpy()
         found = []
         for i in range(n):
             j = np.arange(i + 1, n)
@@ -158,10 +168,12 @@ def _block_links(least: float, counted: bool, agree: int):
                 j = j[own[j] != own[i]]
             j = j[(sig[j] == sig[i]).sum(axis=1) >= agree] if len(j) else j
             for x in j.tolist():
-                if root(comp[i]) != root(comp[x]) and similarity(items[i], items[x], *((times[i], times[x]) if counted else ())) >= least - 1e-12:
-                    parent[root(comp[x])] = root(comp[i])
+                a, b = root(int(comp[i])), root(int(comp[x]))
+                if a != b and similarity(items[i], items[x], *((times[i], times[x]) if counted else ())) >= least - 1e-12:
+                    parent[b] = a
                     found.append((doc[i], doc[x]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return compare
 
@@ -187,7 +199,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     buckets = members.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(buckets, "key"), "buckets")
     met = members.select("doc").distinct()
-    sets = settle(_sets(sound.join(met, "doc", "left_semi"), size), "sets")
+    sets = settle(_sets(sound.join(met, "doc", "left_semi"), size, counted), "sets")
 
     pairs = members.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     links = settle(_verified(pairs, sets, least, counted), "links")
@@ -203,7 +215,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     # at similarity ``least`` the number of equal darts falls below this about once in 50000 pairs
     k = bands * rows
     agree = int(k * least - 4.1 * (k * least * (1 - least)) ** 0.5)
-    more = carried.groupBy("key", "low", "high").applyInPandas(_block_links(least, counted, agree), "a long, b long")
+    more = carried.groupBy("key", "low", "high").applyInArrow(_block_links(least, counted, agree), "a long, b long")
     classes = connected(links.unionByName(settle(more.distinct(), "links")))
 
     copies = worded.select("doc", "seq_a", "seq_b").join(reps.select("seq_a", "seq_b", F.col("doc").alias("node")), ["seq_a", "seq_b"])

@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,14 +95,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> tuple[fl
                 cuts = per_doc(doc, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("turn"), part.column("toxic"), lists(place.astype(np.int32), cuts, pa.int32())], ["doc_id", "turn", "toxic", "places"])
 
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["turn", "doc_id"])
-        bias, places, w = ftrl([np.asarray(p) for p in group["places"]], group["toxic"].to_numpy(float))
-        return pd.DataFrame({"place": np.append(places, -1), "weight": np.append(w, bias)})
+    def train(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+        examples = [v.values.to_numpy() for chunk in group.column("places").chunks for v in chunk]
+        bias, places, w = ftrl(examples, group.column("toxic").to_numpy().astype(float))
+        return pa.table({"place": np.append(places, -1).astype(np.int32), "weight": np.append(w, bias)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     encoded = rows.select("doc_id", F.xxhash64("doc_id").alias("turn"), "toxic", "text").mapInArrow(encode, f"doc_id {kind}, turn long, toxic int, places array<int>")
-    model = encoded.groupBy(F.lit(1).alias("one")).applyInPandas(train, "place int, weight double").toPandas()
+    model = encoded.groupBy(F.lit(1).alias("one")).applyInArrow(train, "place int, weight double").toPandas()
     if not len(model):
         return 0.0, np.zeros(0, np.int64), np.zeros(0)
     inside = model["place"] >= 0
