@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -101,3 +103,29 @@ def test_transcript_target_prefers_phrases(spark):
     df = spark.createDataFrame([(1, "boss fight again boss fight, wow dragon dragon dragon"), (2, "dragon here dragon"), (3, "nothing repeats")], "id long, text string")
     out = {r["id"]: r["target_text"] for r in transcripts.transcript_target(df, ["id"]).collect()}
     assert out == {1: "boss fight", 2: "dragon", 3: ""}
+
+
+def test_stored_tables_go_with_the_session(tmp_path):
+    """They lie in one folder below the shared one, which ends with the application."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from crowdtide.sources import storage\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"
+        "assert storage.settle(s.range(3), 'numbers').count() == 3\n"
+        "import glob\n"
+        f"assert len(glob.glob('{tmp_path}/crowdtide-*/numbers-*')) == 1\n"
+        "s.stop()\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_repeated_tags_and_raw_payloads(spark):
+    line = "@id=first;display-name=A;id=second;mod=1;mod=0 :u!u@h PRIVMSG #c :hello"
+    row = chat_log.parse_chat_log(spark.createDataFrame([(line,)], "value string"), "s").first()
+    assert (row["message_id"], row["is_mod"]) == ("second", False)
+    rows = spark.createDataFrame([('{"b": 1.50, "a": 2, "session_id": "s"}',), ("{broken",), (None,)], "payload string")
+    made = envelopes.make_envelope(rows, "chat_bucket", "t").collect()
+    assert len(made) == 1 and made[0]["value"].endswith(',"payload":{"b": 1.50, "a": 2, "session_id": "s"}}')
+    assert sorted(str(r["payload"]) for r in envelopes.malformed_payloads(rows).collect()) == ["None", "{broken"]
