@@ -118,7 +118,7 @@ def test_stored_tables_go_with_the_session(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
-    assert list(tmp_path.iterdir()) == []
+    assert list(tmp_path.glob("crowdtide-*")) == []
 
 
 def test_repeated_tags_and_raw_payloads(spark):
