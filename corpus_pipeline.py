@@ -30,7 +30,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, the one with the least id; of repeated ids one row stays."""
+    """One document of each class of near-duplicates stays, the one with the least id; rows that repeat its id stay with it."""
     classes = near_dup.near_duplicates(docs)
     gone = settle(classes.where(~F.col("kept")).select("doc_id").distinct(), "near_duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
