@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crowdtide.functions.numbers import ratio, round_half_away
 from crowdtide.functions.text import key_text, strip
 from crowdtide.operators.alignment import overlap_label
-from crowdtide.operators.ranks import average_ranks, quantiles
+from crowdtide.operators.ranks import average_ranks, quantiles, row_positions
 from crowdtide.sources.storage import settle
 
 COHORTS = ("all_aligned", "calm_baseline", "detected_divergence", "labeled_events", "labeled_none")
@@ -199,12 +199,12 @@ def lag_summary(lagged: DataFrame, lags: Sequence[int], keys: Sequence[str] = ()
 
 def rotate_within_session(pairs: DataFrame, value: str = "transcript_sentiment", out: str = "shuffled") -> DataFrame:
     """Each row receives the value half a session further on; a single row keeps its own."""
-    w = Window.partitionBy("session_id").orderBy("window_start", "window_end", "channel_id")
-    placed = pairs.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy("session_id"))})
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / 2)).cast("long")
+    tied = pairs.withColumn("_tie", F.struct("window_end", "channel_id"))
+    placed = row_positions(tied, ["session_id"], "window_start", "_tie", 3600, "_i", "_total").withColumn("_i", F.col("_i").cast("int")).drop("_tie")
+    step = F.greatest(F.lit(1), F.floor(F.col("_total") / 2)).cast("long")
     # the giver at position i serves the row that looks `step` ahead of itself
-    giver = placed.select("session_id", ((F.col("_i") - step + F.col("_n")) % F.col("_n")).cast("int").alias("_i"), F.col(value).alias(out))
-    return placed.join(giver, ["session_id", "_i"]).withColumn("effective", F.col("_n") > 1).drop("_i", "_n")
+    giver = placed.select("session_id", ((F.col("_i") - step + F.col("_total")) % F.col("_total")).cast("int").alias("_i"), F.col(value).alias(out))
+    return placed.join(giver, ["session_id", "_i"]).withColumn("effective", F.col("_total") > 1).drop("_i", "_total")
 
 
 def negative_control(pairs: DataFrame, keys: Sequence[str] = (), minimum: int = 3) -> DataFrame:

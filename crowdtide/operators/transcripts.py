@@ -12,6 +12,10 @@ from crowdtide.functions.text import bigrams, collapse_spaces, let, strip, token
 STREAM = ["session_id", "channel_id"]
 
 
+#: Tasks that share the segments of one stream when they meet its start.
+SALTS = 16
+
+
 def session_start(segments: DataFrame) -> DataFrame:
     """First audio of each stream; one small row per session."""
     return segments.groupBy(*STREAM).agg(F.min("segment_start").alias("audio_start"))
@@ -33,7 +37,10 @@ def transcript_buckets(segments: DataFrame, seconds: int = 30, latency: str = "l
 
     ``latency``: ``last`` keeps the newest recognition time of a bucket, ``sum`` adds them up (chunk mode).
     """
-    indexed = segments.join(session_start(segments), STREAM).withColumn("idx", bucket_index(seconds))
+    # the start of a stream is copied to several places, so that the segments of a long stream fill several tasks
+    starts = session_start(segments).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = segments.withColumn("_salt", F.pmod(F.xxhash64("segment_id", "segment_start"), F.lit(SALTS)).cast("int"))
+    indexed = salted.join(starts, [*STREAM, "_salt"]).drop("_salt").withColumn("idx", bucket_index(seconds))
     at = F.timestamp_micros(F.unix_micros("audio_start") + F.col("idx") * seconds * 1_000_000)
     newest = F.struct("segment_start", "segment_id")
     asr = F.max_by("asr_latency_ms", newest) if latency == "last" else F.sum("asr_latency_ms")
