@@ -26,6 +26,8 @@ from crowdtide.sources.storage import fresh_path, settle
 SPACE = b" \t\n\x0b\f\r"
 #: Owner of lines of documents without an id: after all others.
 NO_ID = (1 << 63) - 1
+#: Tasks that share the documents of one line.
+SALTS = 16
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -123,8 +125,10 @@ def dropped_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars:
             (known.isNotNull() | (F.col("first") != F.col("last"))).alias("repeated"),
         )
         name = runs.write(settled)
-        repeated = spark.table(name).where("repeated").select("key", "owner")
-        gone = settle(batch.join(repeated, "key").where(F.col("doc") != F.col("owner")).select("doc", "key"), "dropped_lines")
+        # repeated keys go to SALTS places each, so that the documents of a very common line meet it in several tasks
+        repeated = spark.table(name).where("repeated").select("key", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        dealt = batch.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        gone = settle(dealt.join(repeated, ["key", "salt"]).where(F.col("doc") != F.col("owner")).select("doc", "key"), "dropped_lines")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         runs.add(name)
     runs.forget()
