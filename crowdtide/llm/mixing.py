@@ -65,13 +65,13 @@ class Block:
         sizes = np.diff(offsets)
         n = len(data) + PAD * (n_docs + 1)
         stream = np.full(n, END, np.uint8)
-        doc = np.repeat(np.arange(n_docs), sizes)
-        stream[np.arange(len(data)) + PAD * (doc + 1)] = data
         # all bytes and one end of every text are scored
-        ends = offsets[1:] + PAD * np.arange(1, n_docs + 1)
-        at = np.sort(np.concatenate((np.arange(len(data)) + PAD * (doc + 1), ends)))
         self.doc = np.repeat(np.arange(n_docs), sizes + 1)
         self.n_docs = n_docs
+        at = np.arange(len(self.doc)) + (PAD - 1) * self.doc + PAD
+        inner = np.ones(len(at), bool)
+        inner[offsets[1:] + np.arange(n_docs)] = False
+        stream[at[inner]] = data
 
         power, inverse = _power_table(n + 1)
         total = np.zeros(n + 1, np.uint64)
