@@ -124,10 +124,11 @@ class _Terms(dict):
 
 
 def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int = 1 << 16) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    bits_per_byte.
 
     Learns from documents whose fold is not ``held``. score: log10 probability of the text's UTF-8 bytes and its end under
-    the byte model. base_score: sum of log10((c+1)/(N+V+1)) over words and end. Null and empty texts are an end alone.
+    the byte model; bits_per_byte is the same in bits, over bytes and end. base_score: sum of log10((c+1)/(N+V+1)) over words and end. Null and empty texts are an end alone.
     Texts count whole; repeated rows are scored alike and learned from each time; null ids count as empty text for the
     fold; an empty table gives an empty result; other columns are ignored.
     """
@@ -166,13 +167,13 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int =
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                        pa.array(base, pa.float64()), pa.array(total), lists([t.decode() for t in rare], np.array(cuts), pa.string()),
+                        pa.array(base, pa.float64()), pa.array(total), pa.array(-total / math.log10(2) / (np.diff(offsets) + 1)), lists([t.decode() for t in rare], np.array(cuts), pa.string()),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "bits_per_byte", "rare"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<string>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, bits_per_byte double, rare array<string>"
     scored = settle(rows.mapInArrow(score, schema), "scored")
     rest = scored.select("row", F.explode("rare").alias("token")).groupBy("token", "row").agg(F.count("*").alias("times"))
     found = F.coalesce("n", F.lit(0))
@@ -183,7 +184,7 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int =
     )
     return scored.drop("rare").join(added, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
     )
 
 

@@ -2,13 +2,14 @@
 
 The next byte is coded as binary decisions: five choose one of 31 bytes common in Latin text, or else the escape, after
 which eight spell the byte. Each predictor keeps counts of zeros and ones per (context, decisions so far), hashed into a
-table of fixed size: orders 1 to 3, and the letters of the word so far. A prediction enters the mixer
+table of fixed size: orders 0 to 4, and the letters of the word so far. A prediction enters the mixer
 as ln(ones/zeros), which is near 0 where little is known. The mixer adds predictions by weights; which weights is gated by
 the decision's place and by how much the two longest contexts have seen. A last stage corrects the mixed
 probability by what came true at that probability and decision before.
 
-Texts are processed in blocks. Within a block, equal (contexts, byte) are handled once, with their number. A block is
-predicted before its counts enter the tables, and weights move a step after each part of a block, so learning is online.
+Texts are processed in blocks. Within a block, equal (contexts, byte) are handled once, with their number. Learning is
+online, in steps of ``STEP`` bytes whatever a task holds: a step is predicted before its counts enter the tables, and
+weights move once after it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from crowdtide.llm.arrays import BYTE_VALUES, LOWER, SOLID, _power_table, mix
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 1 << 19
-#: Most bytes of blocks learned from in one step.
-STEP = 1 << 23
+#: Bytes and ends of text learned from in one step.
+STEP = 1 << 15
 #: Place in the byte stream before, between and after texts. No UTF-8 text holds it.
 END = 255
 PAD = 4
@@ -45,7 +46,7 @@ for _t in range(SPELLED):
     NODE[:, FIRST + _t] = 256 | (1 << _t) | (np.arange(256) >> (SPELLED - _t))
     BIT[:, FIRST + _t] = (np.arange(256) >> (SPELLED - 1 - _t)) & 1
 
-TABLE_BITS = (17, 19, 20, 22)
+TABLE_BITS = (9, 17, 19, 20, 21, 22)
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS]))).astype(np.int64)
 N_SLOTS = int(STARTS[-1])
 N_INPUTS = len(TABLE_BITS)
@@ -81,7 +82,7 @@ class Block:
         np.maximum.accumulate(np.where(outside[:-1], np.arange(1, n), 0), out=start[1:])
         word = (total[at] - total[start[at]]) * inverse[start[at]]
         recent = np.zeros(len(at), np.uint64)
-        for k in range(1, 4):
+        for k in range(1, 5):
             recent |= stream[at - k].astype(np.uint64) << np.uint64(8 * (k - 1))
         byte = stream[at]
         key = (mix(word + recent * _GOLD) & ~np.uint64(255)) | byte
@@ -97,6 +98,15 @@ class Block:
         self.byte = byte[lead].astype(np.int64)
         self.word, self.recent = mix(word[lead]), recent[lead]
 
+    def steps(self, sizes: list[int]) -> list[Block]:
+        """The block's places in order, cut into blocks of the given sizes, without places of their own."""
+        out = []
+        for which in np.split(self.which, np.cumsum(sizes)[:-1]):
+            rows, count = np.unique(which, return_counts=True)
+            out.append(self.only(rows))
+            out[-1].count, out[-1].which, out[-1].doc = count.astype(np.float64), None, None
+        return out
+
     def only(self, rows: np.ndarray) -> Block:
         """The given distinct rows alone."""
         out = copy(self)
@@ -123,15 +133,15 @@ class Block:
     def contexts(self, rows: slice | np.ndarray) -> list[np.ndarray]:
         """Hashed context of every predictor."""
         recent = self.recent[rows]
-        high = [mix((recent & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 40)) for k in (2, 3)]
-        return [recent & np.uint64(0xFF), *high, self.word[rows]]
+        high = [mix((recent & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 40)) for k in (2, 3, 4)]
+        return [np.zeros_like(recent), recent & np.uint64(0xFF), *high, self.word[rows]]
 
 
 def slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
     """Place of each predictor's counts for a decision."""
     node = node.astype(np.uint64)
-    out = [((contexts[0] << np.uint64(9)) | node).astype(np.int64)]
-    for j in range(1, N_INPUTS):
+    out = [STARTS[j] + ((contexts[j] << np.uint64(9)) | node).astype(np.int64) for j in (0, 1)]
+    for j in range(2, N_INPUTS):
         h = (contexts[j] ^ (node * _GOLD)) * np.uint64(0xD6E8FEB86659FD93)
         out.append(STARTS[j] + (h >> np.uint64(64 - TABLE_BITS[j])).astype(np.int64))
     return out
@@ -219,17 +229,19 @@ class Model:
         return out
 
     def learn_all(self, texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Model:
-        """Learn from (bytes, offsets) in steps that grow with what was learned, from one block to ``STEP`` bytes."""
+        """Learn from (bytes, offsets) in steps of ``STEP`` places, however the texts are cut into pieces."""
         waiting: list[Block] = []
-        size = learned = 0
+        free = STEP
         for data, offsets in texts:
             block = Block(data, offsets)
-            block.which = block.doc = None
-            waiting.append(block)
-            size += len(data)
-            if size >= min(STEP, max(BLOCK, learned)):
-                self.learn(Block.merged(waiting))
-                learned, size, waiting = learned + size, 0, []
+            n = len(block.which)
+            sizes = [min(free, n)] + [min(STEP, n - i) for i in range(free, n, STEP)]
+            for size, step in zip(sizes, block.steps(sizes), strict=True):
+                waiting.append(step)
+                free -= size
+                if not free:
+                    self.learn(Block.merged(waiting))
+                    waiting, free = [], STEP
         if waiting:
             self.learn(Block.merged(waiting))
         return self
@@ -239,7 +251,7 @@ class Model:
     def cells(self) -> np.ndarray:
         """Everything that adds up over tasks, as (cells, 2): counts, corrections, and weights by use with their use."""
         weighted = np.stack([(self.weights * self.used[:, None]).reshape(-1), np.repeat(self.used, N_INPUTS)], axis=1)
-        return np.concatenate((self.counts, self.came.reshape(-1, 2), weighted))
+        return np.concatenate((self.counts, self.came.reshape(-1, 2).astype(np.float32), weighted.astype(np.float32)))
 
     @classmethod
     def of(cls, cells: np.ndarray) -> Model:

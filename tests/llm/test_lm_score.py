@@ -56,6 +56,26 @@ def test_learning_helps_and_survives_exchange():
     assert np.allclose(memo.log10(b), model.log10(b), atol=1e-5) and np.allclose(memo.log10(b), model.log10(b), atol=1e-5)
 
 
+def test_a_byte_four_places_back_is_used():
+    rng = np.random.default_rng(5)
+    texts = ["   ".join("!?"[i] * 40) for i in rng.integers(0, 2, 60)]
+    raw = [t.encode() for t in texts]
+    model = Model().learn_all(iter([(np.frombuffer(x, np.uint8), np.array([0, len(x)])) for x in raw]))
+    b = block(texts[0])
+    score = model.log10(b)[b.which]
+    assert -score[4:157:4].mean() / math.log10(2) < 0.5  # without order 4 about one bit
+
+
+def test_steps_do_not_depend_on_pieces():
+    rng = np.random.default_rng(4)
+    raw = [sentence(rng, 60, 50).encode() for _ in range(2800)]
+    pieces = lambda n: iter([(np.frombuffer(b"".join(raw[i : i + n]), np.uint8), np.cumsum([0, *map(len, raw[i : i + n])])) for i in range(0, len(raw), n)])
+    one, many = Model().learn_all(pieces(len(raw))), Model().learn_all(pieces(7))
+    assert np.array_equal(one.counts, many.counts) and np.allclose(one.weights, many.weights)
+    places = sum(map(len, raw)) + len(raw)
+    assert one.used.reshape(13, -1).sum(axis=1)[0] == places  # every place is learned from once
+
+
 def test_merged_blocks_count_alike():
     a, b = block("the cat"), block("the cat", "a dog")
     both = block("the cat", "the cat", "a dog")
@@ -94,3 +114,11 @@ def test_nothing(spark):
     assert lm_score.score_texts(spark.createDataFrame([], DOCS)).count() == 0
     got = lm_score.score_texts(documents(spark, [(2, "held out alone?"), (3, None)])).collect()
     assert len(got) == 2
+
+
+def test_bits_per_byte(spark):
+    texts = ["the cat sat on the mat", "", None, "né", "a dog " * 50]
+    got = lm_score.score_texts(documents(spark, [*enumerate(texts)])).collect()
+    for r in got:
+        size = len((texts[r["doc_id"]] or "").encode()) + 1
+        assert abs(r["bits_per_byte"] + r["score"] / math.log10(2) / size) < 1e-9
