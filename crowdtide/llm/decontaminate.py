@@ -11,6 +11,9 @@ Every tile holds a seed (``seed`` words) that both sides share, so only document
 2. Stretches' seeds are joined with the items' seeds. Counts per pair leave those with seeds enough to reach the coverage.
 3. The pairs left are tiled, each in its own row, on word hashes.
 
+Items of fewer than ``seed`` words hold no seed. They are matched as one whole run of words, found by a bit table of their
+own and joined by their hash.
+
 Identical items are compared once, as one class.
 """
 
@@ -125,15 +128,59 @@ def _in_table(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _short_items(items: DataFrame, seed: int) -> DataFrame:
+    """(item, n, run): length and hash of every distinct item of 1 to ``seed`` - 1 words; item: the least id of its class."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch, "text"):
+                w = words(data, offsets)
+                sizes = np.diff(per_doc(w.doc, part.num_rows))
+                for n in np.unique(sizes[(sizes > 0) & (sizes < seed)]).tolist():
+                    g, at = grams(w, n)
+                    own = sizes[w.doc[at]] == n
+                    ids = part.column("item").take(pa.array(w.doc[at[own]]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(own.sum(), n, np.int32)), pa.array(g[own].view(np.int64))], ["item", "n", "run"])
+
+    return items.mapInArrow(encode, "item long, n int, run long").groupBy("n", "run").agg(F.min("item").alias("item"))
+
+
+def _short_leaks(docs: DataFrame, short: DataFrame) -> DataFrame | None:
+    """Pairs of (doc, text) with the items of ``_short_items`` that occur in them whole; None if there are no such items."""
+    sizes = sorted(r["n"] for r in short.select("n").distinct().collect())
+    if not sizes:
+        return None
+    table_bits = docs.sparkSession.sparkContext.broadcast(_bit_table(short.select(F.col("run").alias("seed")).distinct()))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in chunks(batch, "text"):
+                w = words(data, offsets)
+                for n in sizes:
+                    g, at = grams(w, n)
+                    hit = _in_table(g, table_bits.value)
+                    found = np.unique(np.stack([w.doc[at[hit]].astype(np.int64), g[hit].view(np.int64)], axis=1), axis=0)
+                    if len(found):
+                        ids = part.column("doc").take(pa.array(found[:, 0]))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(found), n, np.int32)), pa.array(found[:, 1])], ["doc", "n", "run"])
+
+    size = F.col("n").cast("long")
+    pairs = docs.mapInArrow(runs, "doc long, n int, run long").join(short, ["n", "run"]).select("doc", "item", "n").distinct()
+    return pairs.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), size.alias("item_words"), size.alias("covered_words"), F.lit(1).cast("long").alias("tiles"), F.lit(1.0).alias("coverage")
+    )
+
+
 def leaks(docs: DataFrame, items: DataFrame, seed: int = 5, coverage: float = 0.5) -> DataFrame:
     """One row per leaking pair: doc_id, item_id, item_words, covered_words, tiles, coverage.
 
-    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded. Null and empty texts, and items of
-    fewer than ``seed`` words, match nothing. Identical items are reported under their least item_id; rows without an
+    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded. Null and empty texts match
+    nothing; items of fewer than ``seed`` words match as a whole only. Identical items are reported under their least item_id; rows without an
     id are left out; rows that repeat a doc_id are one document whose stretches are taken together. Texts count whole.
     """
     spark = docs.sparkSession
-    coded = settle(_item_words(items.select(F.col("item_id").cast("long").alias("item"), "text").where("item IS NOT NULL"), seed), "items")
+    named = items.select(F.col("item_id").cast("long").alias("item"), "text").where("item IS NOT NULL")
+    coded = settle(_item_words(named, seed), "items")
     seeds = coded.select("item", F.size("words").alias("n"), F.explode(F.array_distinct("seeds")).alias("seed"))
     table_bits = spark.sparkContext.broadcast(_bit_table(seeds.select("seed").distinct()))
 
@@ -187,7 +234,9 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = 5, coverage: float = 0.
     tiled = ready.select("doc", "item", "doc_words", "item_words").mapInArrow(compare, "doc_id long, item_id long, item_words long, covered_words long, tiles long")
     best = tiled.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered_words", "tiles", "item_words")).alias("m"))
     share = F.col("m.covered_words") / F.col("m.item_words")
-    return best.where(share >= coverage - 1e-9).select("doc_id", "item_id", "m.item_words", "m.covered_words", "m.tiles", share.alias("coverage"))
+    out = best.where(share >= coverage - 1e-9).select("doc_id", "item_id", "m.item_words", "m.covered_words", "m.tiles", share.alias("coverage"))
+    more = _short_leaks(rows, settle(_short_items(named, seed), "short"))
+    return out if more is None else out.unionByName(more)
 
 
 @register("op1_decontamination")

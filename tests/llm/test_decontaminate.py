@@ -60,3 +60,11 @@ def test_repeated_ids_and_empty_tables(spark):
     assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(documents(spark, rows), item).collect()] == [(1, 7, 1.0)]
     assert decontaminate.leaks(spark.createDataFrame([], DOCS), item).count() == 0
     assert decontaminate.leaks(documents(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_short_items_match_as_a_whole(spark):
+    items = [(1, "Who wrote it?"), (2, "yes"), (3, "who  WROTE it"), (4, "four words are here"), (5, "a b c d e f g h"), (6, "?!"), (7, "never found")]
+    table = spark.createDataFrame([*items, (None, "yes")], "item_id long, text string")
+    texts = [(1, "so who wrote it, then"), (1, "Yes: yes"), (2, "who wrote that"), (3, "words are here four"), (4, "a b c d e f g h four words are here"), (5, None), (None, "yes")]
+    got = decontaminate.leaks(documents(spark, texts), table).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 3, 3, 1, 1.0), (1, 2, 1, 1, 1, 1.0), (4, 4, 4, 4, 1, 1.0), (4, 5, 8, 8, 1, 1.0)]
