@@ -20,6 +20,7 @@ import re
 import struct
 from collections.abc import Iterator
 from itertools import groupby
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -34,8 +35,8 @@ from crowdtide.llm.registry import register, table
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES, BYTE_FALLBACK = 2, 35
-#: Stretches and tested pairs a worker remembers, and the longest stretch it does.
-STRETCHES, PAIRS, LONGEST = 1 << 17, 1 << 18, 64
+#: Stretches a worker remembers in each of two generations, tested pairs it remembers, and the longest stretch it does.
+STRETCHES, PAIRS, LONGEST = 1 << 18, 1 << 19, 64
 
 
 def piece_bpe_path() -> str:
@@ -165,12 +166,17 @@ def read_model(data: bytes) -> Model:
 
 
 class Encoder(dict):
-    """Ids of stretches as bytes of 32-bit numbers; a stretch that is not known is encoded, and kept while there is room."""
+    """Ids of stretches as bytes of 32-bit numbers; one that is not known is encoded and kept.
+
+    When there is no room, what is known becomes the older generation, and the older one goes. Stretches met again come
+    back from there, so frequent ones stay.
+    """
 
     def __init__(self, model: Model):
         import ahocorasick
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for rank, text in enumerate(model.text):
@@ -180,6 +186,7 @@ class Encoder(dict):
         self.merges = {a * self.size + b: c for c, (a, b) in enumerate(zip(model.first, model.second)) if a != c}
         self.lengths = list(map(len, model.text))
         self.pairs: dict[int, bool] = {}
+        self.met = {pair for t in model.text for pair in map(add, t, t[1:])}
         self.cuts = self._cuts()
 
     def _cuts(self) -> re.Pattern:
@@ -191,22 +198,33 @@ class Encoder(dict):
         return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.encode_stretch(stretch), np.int32).tobytes()
+        ids = self.older.get(stretch)
+        if ids is None:
+            parts = self.parts(stretch)
+            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else np.array(self.encode_stretch(stretch), np.int32).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= STRETCHES:
+                self.older = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
 
+    def parts(self, stretch: str) -> list[str]:
+        """A stretch cut between characters that are neighbours in no piece."""
+        met, first, found = self.met, 0, []
+        for i, pair in enumerate(map(add, stretch, stretch[1:]), 1):
+            if pair not in met:
+                found.append(stretch[first:i])
+                first = i
+        found.append(stretch[first:])
+        return found
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the joined text of two pieces is encoded as just these two."""
-        key = a * self.size + b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(a, b)
-        return known
+        """Whether the joined text of two pieces is encoded as just these two; remembered in ``pairs``."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        fits = self.pairs[a * self.size + b] = self._compatible(a, b)
+        return fits
 
     def _compatible(self, a: int, b: int) -> bool:
         if a in self.model.spaces and b in self.model.spaces:
@@ -230,12 +248,18 @@ class Encoder(dict):
     def encode_stretch(self, s: str) -> list[int]:
         """Ids of a text that nothing outside can merge with."""
         last = [-1] * (len(s) + 1)
-        lengths, compatible = self.lengths, self.compatible
+        lengths, size, known, compatible = self.lengths, self.size, self.pairs.get, self.compatible
         for at, rank in self.automaton.iter(s):
             if last[at + 1] < 0:
                 before = last[at + 1 - lengths[rank]]
                 # no piece ends at a character that the model does not know, nor at the start
-                if before < 0 or compatible(before, rank):
+                if before < 0:
+                    last[at + 1] = rank
+                    continue
+                fits = known(before * size + rank)
+                if fits is None:
+                    fits = compatible(before, rank)
+                if fits:
                     last[at + 1] = rank
         ids, at = [], len(s)
         while at:
