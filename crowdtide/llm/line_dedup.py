@@ -103,11 +103,26 @@ def dropped_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars:
     """(doc, key): the keys each document loses to an earlier one. Documents without an id share one."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    ids = rows.select("doc")
-    bounds = sorted(set(ids.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     lines = settle(_split_lines(rows, min_chars), "lines")
-    runs, dropped = _Runs(spark, fanout), None
-    edges = [None, *[int(b) for b in bounds], None]
+    edges = [None, *_bounds(docs, batches), None]
+    runs = _Runs(spark, fanout)
+    try:
+        return _dropped_by_batch(spark, lines, edges, runs)
+    finally:
+        runs.forget()
+
+
+def _bounds(docs: DataFrame, batches: int) -> list[int]:
+    """Whole ids that cut the documents with an id into batches of about equal size."""
+    if batches < 2:
+        return []
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"))
+    cuts = ids.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or ()))
+
+
+def _dropped_by_batch(spark: SparkSession, lines: DataFrame, edges: list[int | None], runs: _Runs) -> DataFrame:
+    dropped = None
     for low, high in zip(edges, edges[1:], strict=False):
         batch = lines
         if low is not None:
@@ -131,12 +146,11 @@ def dropped_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars:
         gone = settle(dealt.join(repeated, ["key", "salt"]).where(F.col("doc") != F.col("owner")).select("doc", "key"), "dropped_lines")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         runs.add(name)
-    runs.forget()
     return dropped
 
 
 def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = 10) -> DataFrame:
-    """All columns of ``docs`` with ``text`` less its repeated lines, and n_lines, n_dropped.
+    """All columns of ``docs`` with ``text`` less its repeated lines, and n_lines, n_dropped. Ids are whole numbers.
 
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least ``min_chars``
     code points found in two documents or more keep their lines in the smallest doc_id only, all of them there. Null

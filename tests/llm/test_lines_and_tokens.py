@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from crowdtide.llm import line_dedup, token_counts
@@ -48,6 +49,26 @@ def test_line_dedup_repeated_and_missing_ids(spark):
     ]
 
 
+def test_line_dedup_with_mostly_null_and_very_large_ids(spark):
+    same = "the same line here"
+    rows = [(None, f"{same}\nown {i}") for i in range(8)] + [(2**63 - 2, same), (2**63 - 3, same), (-(2**63), same)]
+    got = line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "text").collect()
+    want = [(None, f"own {i}") for i in range(8)] + [(2**63 - 2, ""), (2**63 - 3, ""), (-(2**63), same)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    none = documents(spark, [(None, same), (None, same)])
+    assert [r["text"] for r in line_dedup.dedup_lines(none).collect()] == [same, same]
+
+
+def test_line_runs_leave_the_catalog_after_a_failure(spark, monkeypatch):
+    def fail(self, name):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(line_dedup._Runs, "add", fail)
+    with pytest.raises(RuntimeError):
+        line_dedup.dedup_lines(documents(spark, ["one and the same line", "one and the same line"]))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
