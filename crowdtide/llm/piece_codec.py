@@ -18,6 +18,7 @@ from __future__ import annotations
 import codecs
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 from operator import add
@@ -36,7 +37,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES, BYTE_FALLBACK = 2, 35
 #: Stretches a worker remembers in each of two generations, tested pairs it remembers, and the longest stretch it does.
-STRETCHES, PAIRS, LONGEST = 1 << 18, 1 << 19, 64
+STRETCHES, PAIRS, LONGEST = 1 << 19, 1 << 19, 64
 
 
 def piece_bpe_path() -> str:
@@ -190,18 +191,22 @@ class Encoder(dict):
         self.cuts = self._cuts()
 
     def _cuts(self) -> re.Pattern:
-        """Stretches: spaces with what follows them; line ends apart if no merge takes them."""
+        """Stretches: spaces with what follows them; line ends and marks after letters apart if no merge takes them."""
         inner = {c for t in self.model.text if len(t) > 1 for c in t}
         if any(SPACE in t.lstrip(SPACE) for t in self.model.text):
             return re.compile("(?s).+")
         alone = "".join(c for c in "\n\t\r" if c not in inner)
-        return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
+        letter = re.compile("[^\\W\\d_]")
+        taken = {pair[1] for pair in self.met if letter.match(pair)}
+        marks = "".join(c for c in ".,;:!?" if c not in taken)
+        word = f"{SPACE}*[^\\W\\d_]++(?![^{SPACE}{alone}{marks}])|" if marks else ""
+        return re.compile(f"{word}{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
         if ids is None:
             parts = self.parts(stretch)
-            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else np.array(self.encode_stretch(stretch), np.int32).tobytes()
+            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else array("i", self.encode_stretch(stretch)).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= STRETCHES:
                 self.older = dict(self)
