@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crowdtide.catalog.common import BUCKETS, EVENT_WEIGHTS_NEG, EVENT_WEIGHTS_POS, MSG, SEGMENTS, TBUCKETS, clamp_sql, half_away, register, rnd, us
 from crowdtide.functions import keys
-from crowdtide.operators import alignment, filters, intervals, signals, transcripts, windows
+from crowdtide.operators import alignment, captions, filters, intervals, signals, transcripts, windows
 from crowdtide.sources import adapters
 from crowdtide.sources.storage import settle
 
@@ -166,7 +166,7 @@ def _(spark, sf):
         SELECT session_id, channel_id, {us}(s) AS start, {us}(e) AS "end", text FROM b WHERE last""",
 )
 def _(spark, sf):
-    return transcripts.caption_blocks(adapters.segments(spark, sf), max_gap=600)
+    return captions.caption_blocks(adapters.segments(spark, sf), max_gap=600)
 
 
 # --- intervals --------------------------------------------------------------

@@ -210,51 +210,3 @@ def neighbour_context(buckets: DataFrame) -> DataFrame:
     """Text of the previous and next transcript bucket of the same session."""
     w = Window.partitionBy("session_id").orderBy("bucket_start", "bucket_end", "channel_id")
     return buckets.withColumns({"previous_text": F.lag("text").over(w), "next_text": F.lead("text").over(w)})
-
-
-CAPTION_END = r"""[.!?]["')\]]?$"""
-
-
-def merge_caption(previous: Column, following: Column) -> Column:
-    return (
-        F.when(previous == "", following)
-        .when(following == "", previous)
-        .when(previous.endswith(following), previous)
-        .when(following.startswith(previous), following)
-        .otherwise(F.concat_ws(" ", previous, following))
-    )
-
-
-def caption_blocks(segments: DataFrame, max_gap: float = 5.0, max_length: int = 145) -> DataFrame:
-    """Captions: neighbouring segments merged while the gap, the length and the sentence allow it.
-
-    Gaps and finished sentences cut the stream into islands with window functions. A segment may also sit inside the
-    text before it, so only the length cap is order-dependent; it is folded per island, which is at most one unbroken
-    run of speech.
-    """
-    w = Window.partitionBy(*STREAM).orderBy("segment_start", "segment_id")
-    text = collapse_spaces(F.coalesce("text", F.lit("")))
-    rows = segments.withColumn("_t", text).where(F.col("_t") != "")
-    end = F.coalesce("segment_end", "segment_start")
-    gap = (F.unix_micros("segment_start") - F.unix_micros(F.lag(end).over(w))) / 1e6
-    closed = F.lag("_t").over(w).rlike(CAPTION_END)
-    cut = F.when(gap.isNull() | (gap > max_gap) | closed, 1).otherwise(0)
-    islands = rows.withColumn("_cut", cut).withColumn("_island", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct("segment_start", "segment_id", end.alias("e"), F.col("_t").alias("t"))
-    grouped = islands.groupBy(*STREAM, "_island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.array().cast("array<struct<start:timestamp,end:timestamp,text:string>>")
-
-    def block(s: Column, e: Column, t: Column) -> Column:
-        return F.struct(s.alias("start"), e.alias("end"), t.alias("text"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.array(block(x["segment_start"], x["e"], x["t"]))
-        merged = merge_caption(last["text"], x["t"])
-        fits = (F.char_length(merged) <= max_length) & ~last["text"].rlike(CAPTION_END)
-        head = F.slice(acc, 1, F.size(acc) - 1)
-        return F.when(F.size(acc) == 0, own).otherwise(
-            F.when(fits, F.concat(head, F.array(block(last["start"], x["e"], merged)))).otherwise(F.concat(acc, own))
-        )
-
-    return grouped.select(*STREAM, F.explode(F.aggregate("items", empty, fold)).alias("b")).select(*STREAM, "b.*")

@@ -145,13 +145,6 @@ def provisional_then_final(partials: DataFrame, committed: DataFrame, seconds: i
     return drop_superseded(live, committed, STREAM, ("window_start", "window_end"), ("bucket_start", "bucket_end"), seconds)
 
 
-def recent_windows(found: DataFrame, minutes: int = 5) -> DataFrame:
-    """Windows that ended within the given minutes before the newest one of their stream."""
-    newest = found.groupBy(*STREAM).agg(F.max("window_end").alias("_newest"))
-    kept = found.join(newest, STREAM).where(F.col("window_end") >= F.col("_newest") - F.expr(f"INTERVAL {minutes} MINUTES"))
-    return kept.drop("_newest")
-
-
 def late_rows(query: StreamingQuery) -> int:
     """Rows the watermark dropped so far, from the query's progress reports."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in (p["stateOperators"] if isinstance(p, dict) else p.stateOperators))

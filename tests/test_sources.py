@@ -1,10 +1,12 @@
 import json
+import random
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
-from crowdtide.operators import transcripts
+from crowdtide.operators import captions, transcripts
 from crowdtide.sources import chat_log, contracts, envelopes, storage
 from tests.helpers import at, epoch
 
@@ -82,10 +84,30 @@ def reference_captions(rows, gap=5, cap=145):
 
 def test_caption_blocks(spark):
     rows = [(0, 2, "so the thing"), (2, 4, "so the thing is"), (4, 6, "is"), (6, 8, "done."), (9, 10, "next"), (30, 31, "later"), (31, 32, "x" * 100), (33, 34, "y" * 60), (35, 36, "z")]
-    got = epoch(transcripts.caption_blocks(segs(spark, rows)), "start", "end").orderBy("start").collect()
+    got = epoch(captions.caption_blocks(segs(spark, rows)), "start", "end").orderBy("start").collect()
     assert [(r["start"], r["end"], r["text"]) for r in got] == reference_captions(rows)
 
 
+@pytest.mark.parametrize("slices", [1, 3, 8, 40])
+def test_captions_of_one_long_stream_in_slices(spark, slices):
+    """All rows in one stream: long runs without any cut, texts that add nothing for whole slices, finished sentences."""
+    rng = random.Random(slices)
+    rows, t = [], 0
+    for i in range(600):
+        t += rng.choice((1, 1, 1, 2)) if i % 150 else 20
+        kind = i // 100
+        text = "yeah" if kind == 1 else "w" * rng.randint(1, 30) + ("." if kind == 3 and rng.random() < 0.2 else "") if kind != 4 else f"{'ab ' * (i % 7)}ab"
+        rows.append((t, t + rng.choice((0.5, 1)), text))
+    got = epoch(captions.caption_blocks(segs(spark, rows).repartition(5), slices=slices), "start", "end").orderBy("start").collect()
+    assert [(r["start"], r["end"], r["text"]) for r in got] == reference_captions(rows)
+
+
+def test_captions_of_nothing_and_of_blank_rows(spark):
+    assert captions.caption_blocks(segs(spark, [(0, 1, " "), (1, 2, "")])).count() == 0
+    got = captions.caption_blocks(segs(spark, [(0, 1, "a"), (1, 2, "  "), (2, 3, "b")])).collect()
+    assert [r["text"] for r in got] == ["a b"]
+
+
 def test_transcript_buckets_start_with_the_audio(spark):
     rows = [(7, 12, "one"), (36.9, 40, "two"), (37, 41, "three")]
     got = epoch(transcripts.transcript_buckets(segs(spark, rows), 30), "bucket_start", "audio_ended_at").orderBy("bucket_start").collect()

@@ -103,3 +103,50 @@ def test_alignment_goes_on_after_a_restart(spark, tmp_path):
     more = rows("chat", "chat", c.limit(0)).unionByName(rows("transcript", "speech", later), allowMissingColumns=True)
     more.select(*feed.columns).coalesce(1).write.mode("append").parquet(source)
     assert run() == want(t.unionByName(later)) != want(t)
+
+
+WINDOWS = "session_id string, channel_id string, window_start timestamp, window_end timestamp, message_count long, reaction_type string"
+
+
+def window_rows(seconds, session="s"):
+    return [(session, "c", at(x - 5), at(x), int(x), "hype") for x in seconds]
+
+
+def test_retention_keeps_the_last_minutes_in_state(spark, tmp_path):
+    """Three hundred and ten windows a second apart, five minutes kept; the query is stopped and goes on between files."""
+    from crowdtide.streaming import retention
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "query")
+
+    def bring(rows):
+        spark.createDataFrame(rows, WINDOWS).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        feed = spark.readStream.schema(WINDOWS).option("maxFilesPerTrigger", 1).parquet(source)
+        return retention.stream_retention(feed, path, 5, "60 seconds")
+
+    def kept(session):
+        return sorted(r["message_count"] for r in run().where(F.col("session_id") == session).collect())
+
+    bring(window_rows(range(1, 200)))
+    bring(window_rows([50, 60], "quiet"))
+    assert kept("s") == list(range(1, 200))
+    # a late window, one that comes again, and one that is too old by the time it comes
+    bring([("s", "c", at(150.5), at(155.5), 1555, "late"), ("s", "c", at(194), at(199), 1990, "again")])
+    bring(window_rows(range(200, 311)))
+    bring(window_rows([400], "other"))
+    want = [*range(10, 156), 1555, *range(156, 199), 1990, *range(200, 311)]
+    assert kept("s") == sorted(want) and len(want) == 302
+    # the quiet stream keeps what is recent by its own clock
+    assert kept("quiet") == [50, 60]
+    bring(window_rows([700, 1000]))
+    bring(window_rows([5000], "other"))
+    bring(window_rows([5200], "other"))
+    assert kept("s") == [700, 1000]
+    assert kept("other") == [5000, 5200]
+    assert run().count() == 6  # two of each session: the state holds nothing else
+    changes = spark.read.schema(retention.CHANGE).parquet(f"{path}/table")
+    gone = changes.where("session_id = 's' AND NOT kept")
+    assert gone.count() == 311 and gone.select("start", "stop").distinct().count() == 311
+    row = run().where("message_count = 700").first()
+    assert (row["reaction_type"], row["window_end"]) == ("hype", at(700).replace(tzinfo=None))
