@@ -247,6 +247,31 @@ def _(spark, sf):
     return out.select(*STREAM, "bucket_start", "transcript_bucket_start", "overlap_us")
 
 
+@register(
+    "nearest_window_exact",
+    f"""WITH {BUCKETS}, {TBUCKETS},
+        l AS (SELECT session_id, channel_id, bucket_start, bucket_start AS ls, bucket_start + INTERVAL 60 SECOND AS le, CASE WHEN message_count % 3 = 0 THEN bucket_start + INTERVAL 2 HOUR END AS hint FROM buckets),
+        t AS (SELECT session_id, channel_id, bucket_start AS ts, bucket_start + INTERVAL 5 MINUTE AS te, date_trunc('hour', bucket_start) AS name FROM tbuckets),
+        c AS (SELECT l.session_id, l.channel_id, l.bucket_start, t.ts, coalesce(hint = name, false) AS same,
+                greatest(0, least(epoch_us(le), epoch_us(te)) - greatest(epoch_us(ls), epoch_us(ts))) AS o,
+                abs((epoch_us(ls) + epoch_us(le)) / 2 - (epoch_us(ts) + epoch_us(te)) / 2) AS d
+              FROM l JOIN t ON l.session_id = t.session_id AND l.channel_id = t.channel_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY session_id, channel_id, bucket_start ORDER BY same DESC, CASE WHEN o > 0 THEN o ELSE -d END DESC, ts) AS rn FROM c)
+        SELECT session_id, channel_id, {us}(bucket_start) AS bucket_start, {us}(ts) AS transcript_bucket_start FROM r WHERE rn = 1""",
+)
+def _(spark, sf):
+    """A third of the chat buckets name the transcript bucket two hours on, which wins where it exists."""
+    c = chat(spark, sf).withColumn("bucket_end", F.col("bucket_start") + F.expr("INTERVAL 60 SECONDS"))
+    c = c.withColumn("hint", F.when(F.col("message_count") % 3 == 0, F.col("bucket_start") + F.expr("INTERVAL 2 HOURS")))
+    t = speech(spark, sf).select(
+        *STREAM, F.col("bucket_start").alias("transcript_bucket_start"), (F.col("bucket_start") + F.expr("INTERVAL 5 MINUTES")).alias("te"), F.date_trunc("hour", "bucket_start").alias("name")
+    )
+    out = intervals.nearest_window(
+        c, t, STREAM, ["bucket_start"], ("bucket_start", "bucket_end"), ("transcript_bucket_start", "te"), HOUR, ["transcript_bucket_start"], exact=("hint", "name")
+    )
+    return out.select(*STREAM, "bucket_start", "transcript_bucket_start")
+
+
 @register(
     "drop_superseded",
     f"""WITH {BUCKETS}, {SEGMENTS} SELECT segment_id FROM seg s WHERE NOT EXISTS (

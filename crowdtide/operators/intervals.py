@@ -67,6 +67,34 @@ def best_overlap(
     return left.join(best, key, "left").withColumns({c: F.col(f"_best.{c}") for c in [*keep, "overlap_us"]}).drop("_best")
 
 
+def _nearest_points(lefts: DataFrame, points: DataFrame, on: Sequence[str], key: Sequence[str], width: int) -> DataFrame:
+    """(key, _near): the row of ``points`` whose ``_m`` is closest to each left ``_m``, the earlier one on ties.
+
+    Both sides are cut into slices of time. A slice is lent the last point before it and the first one after it, which
+    come from one row per slice; then neighbours are found inside slices, so no task sorts a whole stream.
+    """
+    slice_ = F.floor(F.col("_m") / F.lit(width * 1_000_000)).alias("_slice")
+    lefts, points = lefts.select(*key, "_m", slice_), points.select(*on, "_m", "_row", slice_)
+    ends = points.groupBy(*on, "_slice").agg(F.min(F.struct("_m", "_row")).alias("_first"), F.min(F.struct((-F.col("_m")).alias("_n"), "_row")).alias("_last"))
+    wanted = lefts.select(*on, "_slice", F.lit(True).alias("_wanted")).distinct()
+    slices = ends.unionByName(wanted, allowMissingColumns=True).groupBy(*on, "_slice")
+    slices = slices.agg(F.max("_wanted").alias("_wanted"), F.first("_first", ignorenulls=True).alias("_first"), F.first("_last", ignorenulls=True).alias("_last"))
+    stream = Window.partitionBy(*on)
+    before = F.last("_last._row", ignorenulls=True).over(stream.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("_first._row", ignorenulls=True).over(stream.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1))
+    lent = slices.withColumns({"_before": before, "_after": after}).where("_wanted").withColumn("_row", F.explode(F.array("_before", "_after")))
+    lent = lent.where("_row IS NOT NULL").select(*on, "_slice", F.col("_row.m").alias("_m"), "_row")
+    right = points.unionByName(lent).withColumn("_is_right", F.lit(True))
+    # both neighbours by growing frames: looking ahead is looking back in the reverse order; of equal points the least row is last
+    first = [F.col("_is_right").desc_nulls_last(), F.desc("_row")]
+    inside = Window.partitionBy(*on, "_slice")
+    back = F.last("_row", ignorenulls=True).over(inside.orderBy("_m", *first).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.last("_row", ignorenulls=True).over(inside.orderBy(F.desc("_m"), *first).rowsBetween(Window.unboundedPreceding, 0))
+    both = right.unionByName(lefts, allowMissingColumns=True).withColumns({"_back": back, "_ahead": ahead}).where("_is_right IS NULL")
+    closer = F.col("_ahead").isNull() | (F.col("_m") - F.col("_back.m") <= F.col("_ahead.m") - F.col("_m"))
+    return both.select(*key, F.when(closer, F.col("_back")).otherwise(F.col("_ahead")).alias("_near"))
+
+
 def nearest_window(
     left: DataFrame,
     right: DataFrame,
@@ -77,12 +105,13 @@ def nearest_window(
     width: int,
     keep: Sequence[str],
     offset_seconds: float = 0.0,
-    prefer: Column | None = None,
+    exact: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Largest overlap, else the right row whose midpoint is closest (the earlier one on ties).
 
-    The left range is shifted by ``offset_seconds``, at most two minutes either way; ``prefer`` (a match that
-    wins outright) is used only when there is no shift. Neighbours come from one sorted pass, never from all pairs.
+    The left range is shifted by ``offset_seconds``, at most two minutes either way. ``exact`` names a left and a right
+    column; a right row of the same stream in which they are equal wins outright, the least one of several, unless there
+    is a shift. ``width``: seconds in a slice of time.
     """
     shift = round(offset_seconds)
     if abs(shift) > 120:
@@ -97,34 +126,16 @@ def nearest_window(
         return (F.unix_micros(a) + F.unix_micros(b)) / 2
 
     packed = F.struct(mid(*r).alias("m"), *[F.col(c) for c in keep])
-    points = right.select(*on, mid(*r).alias("_m"), packed.alias("_row"), F.lit(True).alias("_is_right"))
-    lefts = shifted.select(*key, mid(ls, le).alias("_m"))
-    both = points.unionByName(lefts, allowMissingColumns=True)
-    # both neighbours by growing frames: looking ahead is looking back in the reverse order
-    order = Window.partitionBy(*on).orderBy("_m", F.col("_is_right").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    reverse = Window.partitionBy(*on).orderBy(F.desc("_m"), F.col("_is_right").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    back = F.last("_row", ignorenulls=True).over(order)
-    ahead = F.last("_row", ignorenulls=True).over(reverse)
-    near = (
-        both.withColumns({"_back": back, "_ahead": ahead})
-        .where(F.col("_is_right").isNull())
-        .withColumn(
-            "_near",
-            F.when(F.col("_ahead").isNull() | (F.col("_m") - F.col("_back.m") <= F.col("_ahead.m") - F.col("_m")), F.col("_back")).otherwise(
-                F.col("_ahead")
-            ),
-        )
-        .select(*key, "_near")
-    )
+    near = _nearest_points(shifted.select(*key, mid(ls, le).alias("_m")), right.select(*on, mid(*r).alias("_m"), packed.alias("_row")), on, key, width)
     out = hit.join(near, key, "left")
     for c in keep:
         out = out.withColumn(c, F.when(F.col("overlap_us").isNotNull(), F.col(c)).otherwise(F.col(f"_near.{c}")))
     out = out.withColumn("overlap_us", F.coalesce("overlap_us", F.lit(0))).drop("_near", ls, le)
-    if prefer is None or shift != 0:
+    if exact is None or shift != 0:
         return out
-    exact = left.join(right.select(*on, *keep), list(on)).where(prefer).groupBy(*key).agg(F.min(F.struct(*keep)).alias("_exact"))
-    out = out.join(exact, key, "left")
-    return out.withColumns({c: F.when(F.col("_exact").isNotNull(), F.col(f"_exact.{c}")).otherwise(F.col(c)) for c in keep}).drop("_exact")
+    same = right.where(F.col(exact[1]).isNotNull()).groupBy(*on, F.col(exact[1]).alias("_same")).agg(F.min(F.struct(*keep)).alias("_exact"))
+    out = out.withColumn("_same", F.col(exact[0])).join(same, [*on, "_same"], "left")
+    return out.withColumns({c: F.when(F.col("_exact").isNotNull(), F.col(f"_exact.{c}")).otherwise(F.col(c)) for c in keep}).drop("_exact", "_same")
 
 
 _ITEM, _PICKER = ["i0", "i1", "i2"], ["p0", "p1", "p2"]

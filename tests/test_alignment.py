@@ -138,6 +138,51 @@ def test_nearest_falls_back_to_the_closest_midpoint(spark):
     assert {r["ws"]: r["b"] for r in epoch(out, "ws").collect()} == {100: 2, 0: 3}
 
 
+@pytest.mark.parametrize("width", [20, 300])
+def test_nearest_window_equals_brute_force(spark, width):
+    rng = random.Random(width)
+    ranges = lambda n: [(s, i, a, a + rng.choice((2, 4, 10))) for s in "st" for i, a in enumerate(rng.choices(range(0, 3000, 2), k=n))]
+    lefts, rights = ranges(60), [*ranges(25), ("s", 90, 6000, 6010), ("s", 91, 6000, 6010)]
+    wanted = {(s, i): rng.choice((None, None, a)) for s, i, a, _ in rights}
+    names = [*wanted.values()]
+    left = spark.createDataFrame([(s, i, at(a), at(b), rng.choice(names)) for s, i, a, b in lefts], "session_id string, a long, ls timestamp, le timestamp, name long")
+    right = spark.createDataFrame([(s, i, at(a), at(b), wanted[s, i]) for s, i, a, b in rights], "session_id string, b long, rs timestamp, re timestamp, called long")
+    name = {(r["session_id"], r["a"]): r["name"] for r in left.collect()}
+
+    def best(s, i, a, b, shift, exact):
+        a, b = a + shift, b + shift
+        found = [(t, j, p, q) for t, j, p, q in rights if t == s]
+        same = [j for t, j, p, q in found if name[s, i] is not None and wanted[t, j] == name[s, i]]
+        overlap = lambda p, q: max(0, min(b, q) - max(a, p))
+        near = min(found, key=lambda x: (-overlap(*x[2:]), abs((a + b) - sum(x[2:])) if overlap(*x[2:]) == 0 else 0, sum(x[2:]) if overlap(*x[2:]) == 0 else x[2], x[3] if overlap(*x[2:]) else 0, x[1]))
+        return (min(same) if exact and same else near[1]), overlap(*near[2:])
+
+    for shift, exact in ((0, None), (0, ("name", "called")), (-45, ("name", "called"))):
+        out = intervals.nearest_window(left, right, ["session_id"], ["a"], ("ls", "le"), ("rs", "re"), width, ["b"], shift, exact)
+        got = {(r["session_id"], r["a"]): (r["b"], r["overlap_us"] // 1_000_000) for r in out.collect()}
+        want = {(s, i): best(s, i, a, b, shift, exact and shift == 0) for s, i, a, b in lefts}
+        differing = {k for k in want if got[k] != want[k]}
+        # equal overlap and start and end: any of the rows
+        assert all(got[k][1] == want[k][1] > 0 for k in differing) and len(differing) < 8
+
+
+def test_nearest_window_without_any_row(spark):
+    left = spark.createDataFrame([("s", at(0), at(10))], "session_id string, ws timestamp, we timestamp")
+    right = spark.createDataFrame([], "session_id string, b long, rs timestamp, re timestamp")
+    assert [r["b"] for r in intervals.nearest_window(left, right, ["session_id"], ["ws"], ("ws", "we"), ("rs", "re"), 30, ["b"]).collect()] == [None]
+
+
+def test_nearest_window_sorts_slices_only(spark):
+    """The windows over rows are partitioned by slice; only the one-row-per-slice tables are ordered by stream."""
+    left = spark.createDataFrame([("s", at(0), at(10))], "session_id string, ws timestamp, we timestamp")
+    right = spark.createDataFrame([("s", 1, at(5), at(9))], "session_id string, b long, rs timestamp, re timestamp")
+    near = intervals._nearest_points(left.select("session_id", "ws", F.lit(1.0).alias("_m")), right.select("session_id", F.lit(2.0).alias("_m"), F.struct(F.lit(2.0).alias("m"), "b").alias("_row")), ["session_id"], ["session_id", "ws"], 30)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "+- Window [" in line or line.startswith("Window [")]
+    over_rows = [w for w in windows if "_is_right" in w]
+    assert over_rows and all("_slice" in w.split("windowspecdefinition(")[1].split("ASC")[0].split("DESC")[0] for w in over_rows)
+
+
 def test_pearson_and_spearman(spark):
     rows = [("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 6.0), ("b", 10.0, 1.0), ("b", 30.0, 3.0), ("b", 20.0, 2.0), ("k", 1.0, 5.0), ("k", 1.0, 6.0), ("k", 1.0, 7.0)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
