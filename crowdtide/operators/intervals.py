@@ -174,6 +174,26 @@ def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns))) - 1)
 
 
+#: Rounds of dominant pairs before what is left is matched in stretches of time.
+ROUNDS = 3
+
+
+def _dominant(candidates: DataFrame, group: Sequence[str], picker: Sequence[str], item: Sequence[str]) -> DataFrame:
+    """Candidates with ``_final`` (the pair is decided) and ``_open`` (nothing about it is decided yet).
+
+    A pair is decided if the item is the first choice of its picker and no earlier picker has the item among its
+    candidates: nobody can take it away, whatever the others do. The picker's other candidates are void then, and so are
+    the item's, unless the pick yields nothing.
+    """
+    by_picker, by_item = Window.partitionBy(*group, *picker), Window.partitionBy(*group, *item)
+    choice = by_picker.orderBy(F.desc("overlap_us"), *item)
+    flagged = candidates.withColumn("_first", F.row_number().over(by_item.orderBy(*picker)) == 1)
+    flagged = flagged.withColumn("_final", (F.row_number().over(choice) == 1) & F.col("_first"))
+    flagged = flagged.withColumn("_served", F.max("_final").over(by_picker))
+    flagged = flagged.withColumn("_taken", F.max(F.col("_final") & F.col("usable")).over(by_item))
+    return flagged.withColumn("_open", ~F.col("_served") & ~F.col("_taken")).drop("_first", "_served", "_taken")
+
+
 def one_to_one(
     candidates: DataFrame, group: Sequence[str], picker: tuple[str, str, str], item: tuple[str, str, str], chunk_seconds: int = 30_720
 ) -> DataFrame:
@@ -182,24 +202,35 @@ def one_to_one(
     ``picker`` and ``item``: start, end, and a number that tells equal ranges apart. ``usable`` false means that the
     pick yields nothing.
 
-    A candidate whose picker and item occur once is final as it stands. The contested rest is cut into stretches of
-    time, all matched at once as if nothing had been taken before them. What earlier stretches really took is then
-    compared with what each stretch assumed, and those that differ are matched again, until none does. A task never
-    holds more than one stretch, and each round settles at least the next stretch of every stream; usually two rounds
-    do. The rounds run while the result is built, on stored candidates.
+    Each round decides all dominant pairs at once, in SQL, on what earlier rounds left; a candidate without a rival is
+    decided in the first one. Only a chain in which each pick waits for the one before it outlasts ``ROUNDS`` rounds. It
+    is matched in stretches of time, see ``_match_in_stretches``. The rounds run while the result is built; each stores
+    its candidates once, and there is one table where nothing is contested.
+    """
+    won, left = None, candidates
+    for _ in range(ROUNDS):
+        flagged = settle(_dominant(left, group, picker, item), "candidates")
+        mine = flagged.where("_final AND usable").drop("_final", "_open")
+        won = mine if won is None else won.unionByName(mine)
+        left = flagged.where("_open").drop("_final", "_open")
+        if left.isEmpty():
+            return won
+    return won.unionByName(_match_in_stretches(left, group, picker, item, chunk_seconds))
+
+
+def _match_in_stretches(
+    rest: DataFrame, group: Sequence[str], picker: tuple[str, str, str], item: tuple[str, str, str], chunk_seconds: int
+) -> DataFrame:
+    """Greedy matching of chains.
+
+    The candidates are cut into stretches of time, all matched at once as if nothing had been taken before them. What
+    earlier stretches really took is then compared with what each stretch assumed, and those that differ are matched
+    again, until none does. A task never holds more than one stretch, and each round settles at least the next stretch
+    of every stream; usually two rounds do.
     """
     g = list(group)
-    rivals = candidates.withColumns(
-        {
-            "_np": F.count("*").over(Window.partitionBy(*g, *picker)),
-            "_ni": F.count("*").over(Window.partitionBy(*g, *item)),
-        }
-    )
-    rivals = settle(rivals, "candidates")
-    contested = (F.col("_np") > 1) | (F.col("_ni") > 1)
-    plain = rivals.where(~contested & F.col("usable")).drop("_np", "_ni")
     ids = {**{k: F.unix_micros(c) for k, c in zip(("p0", "p1", "i0", "i1"), (*picker[:2], *item[:2]))}, "p2": F.col(picker[2]).cast("long"), "i2": F.col(item[2]).cast("long")}
-    rest = rivals.where(contested).drop("_np", "_ni").withColumns(ids)
+    rest = rest.withColumns(ids)
     slim = settle(rest.select(*g, *ids, "overlap_us", "usable").withColumn("chunk", F.floor(F.col("p0") / F.lit(chunk_seconds * 1_000_000))), "contested")
     stretch = [*g, "chunk"]
     types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
@@ -221,8 +252,7 @@ def one_to_one(
         again = match(slim.join(differing, stretch, "left_semi"), entry.join(differing, stretch, "left_semi"))
         picks = settle(picks.join(differing, stretch, "left_anti").unionByName(again), "picks")
         assumed = entry
-    won = rest.join(picks.drop("chunk"), [*g, *_PICKER, *_ITEM]).drop(*ids)
-    return plain.unionByName(won)
+    return rest.join(picks.drop("chunk"), [*g, *_PICKER, *_ITEM]).drop(*ids)
 
 
 def drop_superseded(provisional: DataFrame, committed: DataFrame, on: Sequence[str], child: tuple[str, str], parent: tuple[str, str], width: int) -> DataFrame:
