@@ -418,7 +418,8 @@ tg AS (SELECT c.session_id, c.channel_id, c.window_start, c.window_end, CASE WHE
 EVID = """
 ev AS (SELECT *, row_number() OVER (PARTITION BY session_id, channel_id, window_start ORDER BY
           CASE text WHEN 'purchase' THEN 1.2 + 0.4 WHEN 'signup' THEN 1.2 WHEN 'click' THEN 1.1 WHEN 'error' THEN 1.1 ELSE 0 END DESC, ts, message_id) AS rn FROM ends),
-eg AS (SELECT session_id, channel_id, window_start, window_start + INTERVAL 1 HOUR AS window_end, string_agg(message_id, '|' ORDER BY rn) AS evidence_ids FROM ev WHERE rn <= 5 GROUP BY ALL)"""
+eg AS (SELECT session_id, channel_id, window_start, window_start + INTERVAL 1 HOUR AS window_end, string_agg(message_id, '|' ORDER BY rn) AS evidence_ids,
+         string_agg(message_id || ' ' || CAST(epoch_us(ts) AS VARCHAR) || ' ' || username || ' ' || display_name || ' ' || text, '|' ORDER BY rn) AS evidence_messages FROM ev WHERE rn <= 5 GROUP BY ALL)"""
 
 
 @register("window_target", f"WITH {REACT}, {TARGET} SELECT {WKEY}, target_text FROM tg")
@@ -426,25 +427,32 @@ def _(spark, sf):
     return windows.window_target(adapters.messages(spark, sf), W, SLIDE, EVENT_LEXICON)
 
 
-@register("top_evidence", f"WITH {REACT}, {EVID} SELECT {WKEY}, evidence_ids FROM eg")
+def shown(messages: str):
+    """Evidence messages as one text each, for comparison."""
+    return F.transform(messages, lambda m: F.concat_ws(" ", m["message_id"], F.unix_micros(m["timestamp"]).cast("string"), m["username"], m["display_name"], m["text"]))
+
+
+@register("top_evidence", f"WITH {REACT}, {EVID} SELECT {WKEY}, evidence_ids, evidence_messages FROM eg")
 def _(spark, sf):
-    return windows.top_evidence(adapters.messages(spark, sf), W, SLIDE, 5, EVENT_LEXICON)
+    found = windows.top_evidence(adapters.messages(spark, sf), W, SLIDE, 5, EVENT_LEXICON)
+    return found.withColumn("evidence_messages", shown("evidence_messages"))
 
 
 FULL_RW = f"""{REACT}, {TARGET}, {EVID},
 full_rw AS (SELECT *, CASE WHEN target_text = '' THEN reaction_type ELSE reaction_type || ':' || target_text END AS event_hint, {half_away("raw_confidence")} AS confidence,
          greatest(intensity_score, hype_score, confusion_score, frustration_score) AS reaction_score
-  FROM (SELECT rw.*, CASE WHEN reaction_type = 'neutral' OR raw_confidence < 0.35 THEN '' ELSE coalesce(tg.target_text, '') END AS target_text, eg.evidence_ids
+  FROM (SELECT rw.*, CASE WHEN reaction_type = 'neutral' OR raw_confidence < 0.35 THEN '' ELSE coalesce(tg.target_text, '') END AS target_text, eg.evidence_ids, eg.evidence_messages
         FROM rw LEFT JOIN tg USING (session_id, channel_id, window_start) LEFT JOIN eg USING (session_id, channel_id, window_start)))"""
 
 
 @register(
     "reaction_windows",
     f"""WITH {FULL_RW} SELECT {WKEY}, message_count, unique_chatters, {_RW_COLS}, reaction_type, {rnd("confidence")} AS confidence, 'unknown' AS target_type, target_text,
-        'chat' AS source, event_hint, evidence_ids FROM full_rw""",
+        'chat' AS source, event_hint, evidence_ids, evidence_messages FROM full_rw""",
 )
 def _(spark, sf):
-    return windows.reaction_windows(adapters.messages(spark, sf), W, SLIDE, EVENT_LEXICON)
+    found = windows.reaction_windows(adapters.messages(spark, sf), W, SLIDE, EVENT_LEXICON)
+    return found.withColumn("evidence_messages", shown("evidence_messages"))
 
 
 PEAKS = f"""{FULL_RW},
@@ -457,7 +465,7 @@ b4 AS (SELECT session_id, channel_id, time_bucket(INTERVAL 4 HOUR, ts) AS bucket
     "attach_peaks",
     f"""WITH {PEAKS} SELECT session_id, channel_id, {us}(bucket_start) AS bucket_start, message_count, coalesce(subwindow_count, 0) AS subwindow_count,
         {rnd("p.reaction_score")} AS peak_reaction_score, p.reaction_type AS peak_reaction_type, p.target_text AS peak_target_text, p.event_hint AS peak_event_hint,
-        {rnd("p.confidence")} AS peak_confidence, coalesce(p.evidence_ids, '') AS peak_evidence_ids, {us}(p.window_start) AS peak_window_start, {us}(p.window_end) AS peak_time
+        {rnd("p.confidence")} AS peak_confidence, coalesce(p.evidence_ids, '') AS peak_evidence_ids, coalesce(p.evidence_messages, '') AS peak_evidence_messages, {us}(p.window_start) AS peak_window_start, {us}(p.window_end) AS peak_time
         FROM b4 LEFT JOIN pk USING (session_id, channel_id, bucket_start)""",
 )
 def _(spark, sf):
@@ -467,5 +475,5 @@ def _(spark, sf):
     return windows.attach_peaks(buckets, rw, 4 * HOUR).select(
         "session_id", "channel_id", "bucket_start", "message_count", F.coalesce(F.size("subwindows"), F.lit(0)).alias("subwindow_count"),
         "peak_reaction_score", "peak_reaction_type", "peak_target_text", "peak_event_hint", "peak_confidence", "peak_evidence_ids",
-        "peak_window_start", "peak_time",
+        shown("peak_evidence_messages").alias("peak_evidence_messages"), "peak_window_start", "peak_time",
     )

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdtide.catalog.chat import REACT, SLIDE, W, WKEY, _RW_COLS
-from crowdtide.catalog.common import BUCKETS, EVENT_LEXICON, MSG, SEGMENTS, TBUCKETS, half_away, register, rnd, us
+from crowdtide.catalog.chat import FULL_RW, REACT, SLIDE, W, WKEY, _RW_COLS, shown
+from crowdtide.catalog.common import BUCKETS, EVENT_LEXICON, MSG, SEGMENTS, TBUCKETS, register, rnd, us
 from crowdtide.catalog.timeline import ALIGN, KEY, STREAM, chat, speech
 from crowdtide.catalog.workflow import payloads
 from crowdtide.operators import transcripts, windows
@@ -58,11 +58,12 @@ def _(spark, sf):
 
 @register(
     "stream_reaction_windows",
-    f"""WITH {REACT} SELECT {WKEY}, message_count, unique_chatters, {_RW_COLS}, reaction_type, {rnd(half_away("raw_confidence"))} AS confidence FROM rw""",
+    f"""WITH {FULL_RW} SELECT {WKEY}, message_count, unique_chatters, {_RW_COLS}, reaction_type, {rnd("confidence")} AS confidence, 'unknown' AS target_type, target_text,
+        'chat' AS source, event_hint, evidence_ids, evidence_messages FROM full_rw""",
 )
 def _(spark, sf):
-    out = live.stream_reaction_windows(adapters.messages_from_events(event_stream(spark, sf)), W, SLIDE, EVENT_LEXICON, "1 hour").select(*windows.REACTION_COLUMNS)
-    return played(out, "reaction-windows").where(REAL)
+    out = live.stream_reaction_windows(adapters.messages_from_events(event_stream(spark, sf)), W, SLIDE, EVENT_LEXICON, "1 hour")
+    return played(out, "reaction-windows").where(REAL).withColumn("evidence_messages", shown("evidence_messages"))
 
 
 @register(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,18 +166,16 @@ def review_reason(suggested: Column, gold: Column) -> Column:
     return F.concat_ws("; ", verdict, *parts)
 
 
-def review_evidence(has_messages: bool) -> Column:
-    """Distinct items: messages, reaction window, speech, alignment."""
+def review_evidence(lists: Sequence[str]) -> Column:
+    """Distinct items: messages of the bucket's ``lists``, reaction window, speech, alignment."""
     none = F.array().cast(EVIDENCE)
-    messages = none
-    if has_messages:
-        empty = F.array().cast("array<struct<message_id:string,timestamp:timestamp,text:string>>")
+    empty = F.array().cast("array<struct<message_id:string,timestamp:timestamp,text:string>>")
 
-        def slim(c: str) -> Column:
-            return F.coalesce(F.transform(c, lambda m: F.struct(m["message_id"], m["timestamp"], m["text"])), empty)
+    def slim(c: str) -> Column:
+        return F.coalesce(F.transform(f"bucket.{c}", lambda m: F.struct(m["message_id"], m["timestamp"], m["text"])), empty)
 
-        first = F.concat(slim("bucket.message_scores"), slim("bucket.peak_evidence_messages"))
-        messages = F.transform(first, lambda m: _item(m["message_id"], "chat", rfc3339(m["timestamp"]), compact_text(F.coalesce(m["text"], F.lit("")))))
+    first = F.concat(empty, *[slim(c) for c in lists])
+    messages = F.transform(first, lambda m: _item(m["message_id"], "chat", rfc3339(m["timestamp"]), compact_text(F.coalesce(m["text"], F.lit("")))))
     at = rfc3339(F.coalesce("sub.window_start", "window_start"))
     sub_text = F.format_string("%d messages; reaction_type=%s; score=%s", F.coalesce("sub.message_count", F.lit(0)), F.coalesce("sub.reaction_type", F.lit("")), F.coalesce("sub.reaction_score", F.lit(0.0)).cast("string"))
     sub = F.when(F.col("sub").isNotNull(), F.array(_item(F.lit("reaction_subwindow"), "reaction", at, sub_text)))
@@ -198,7 +198,7 @@ def review_rows(contexts: DataFrame, labels: DataFrame, run_id: str = "run", wid
     """One review per window: suggestion, verdict against the gold label, confidence, reason and evidence."""
     judged = gold_label(contexts, labels, width).withColumn("suggested", suggest_label())
     s, g = F.col("suggested"), F.col("gold_label")
-    has_messages = {"message_scores", "peak_evidence_messages"} <= set(contexts.schema["bucket"].dataType.fieldNames())
+    lists = [c for c in ("message_scores", "peak_evidence_messages") if c in contexts.schema["bucket"].dataType.fieldNames()]
     predicted = F.when(F.col("alignment").isNotNull() & diverged(F.col("alignment.relationship"), F.col("alignment.delta")), "content_audience_divergence").otherwise(s)
     start = F.coalesce("sub.window_start", "bucket.peak_window_start", "window_start")
     blank = F.lit("")
@@ -221,7 +221,7 @@ def review_rows(contexts: DataFrame, labels: DataFrame, run_id: str = "run", wid
         review_confidence(s, g).alias("confidence"),
         usefulness(s).alias("streamer_usefulness"),
         review_reason(s, g).alias("reason"),
-        review_evidence(has_messages).alias("evidence"),
+        review_evidence(lists).alias("evidence"),
         g.alias("reference_event_label"),
     )
 

@@ -27,6 +27,7 @@ from crowdtide.functions.text import (
     valence,
     words_lit,
 )
+from crowdtide.sources.storage import settle
 
 STREAM = ["session_id", "channel_id"]
 BUCKET = [*STREAM, "bucket_start", "bucket_end"]
@@ -127,6 +128,7 @@ def message_features(messages: DataFrame, lex: ReactionLexicon | None = None) ->
             "_caps": uppercase_ratio(text),
             "_punct": punctuation_burst(text),
             "_valence": valence(tok, lex.valence),
+            "_words": F.filter(F.array_except(tok, words_lit(lex.target_stop_words)), lambda t: F.char_length(t) >= 3),
             "_evidence": hype * 1.2
             + confusion * 1.1
             + frustration * 1.1
@@ -156,93 +158,128 @@ def as_current_and_previous(features: DataFrame, seconds: int) -> DataFrame:
     ).drop("_role")
 
 
+MESSAGE = ("message_id", "timestamp", "username", "display_name", "text")
+
+
+def _facts() -> Column:
+    """What a message is counted under: its text, its author, each word it may be about, and itself as evidence."""
+    def fact(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    # messages that share an id are told apart by the rest of them
+    own = F.concat_ws("|", "message_id", F.xxhash64(*MESSAGE).cast("string"))
+    two = F.array(fact("text", F.col("_text")), fact("user", F.col("_chatter")), fact("best", own))
+    return F.concat(two, F.transform("_words", lambda t: fact("token", t)))
+
+
+def _evidence_entry() -> Column:
+    """A message as evidence; the least entry is the strongest, the earliest of equals."""
+    return F.struct((-F.col("_evidence")).alias("neg"), "timestamp", "message_id", "username", "display_name", "text")
+
+
 def reaction_features(features: DataFrame, seconds: int = 5, slide: int = 1, watermark: str | None = None) -> DataFrame:
     """Sums, repeated texts and distinct chatters per sliding window, without a self join.
 
-    Every message is emitted under two keys, its text and its author. The first aggregation is per
-    (window, kind, key) and its counts give both the repeats and the distinct chatters of the second. A batch first adds
-    up its messages in panes, so that panes, not messages, are multiplied into windows; a stream, which cannot chain a
-    third aggregation on another time column, expands its messages.
+    Every message is emitted under several keys, see ``_facts``. The first aggregation is per (window, kind, key) and its
+    counts give both the repeats and the distinct chatters of the second. A batch first adds up its messages in panes, so
+    that panes, not messages, are multiplied into windows; a stream, which cannot chain a third aggregation on another
+    time column, expands its messages. It also reports each window's shared word and strongest messages.
     """
     if watermark is None:
         return _window_totals(_expand_panes(_panes(features, seconds, slide), seconds, slide))
     rows = as_current_and_previous(features, seconds)
     rows = rows.withWatermark("ets", watermark)
-    kinds = F.array(
-        F.struct(F.lit("text").alias("kind"), F.when(F.col("current"), F.col("_text")).alias("key")),
-        F.struct(F.when(F.col("current"), "now").otherwise("before").alias("kind"), F.col("_chatter").alias("key")),
-    )
-    rows = rows.withColumn("_fact", F.explode(kinds))
+    current = F.col("current")
+    facts = F.filter(_facts(), lambda f: current | f["kind"].isin("text", "user"))
+    rows = rows.withColumn("_fact", F.explode(facts))
     is_text = F.col("_fact.kind") == "text"
-    mine = is_text & F.col("current")
+    mine = is_text & current
 
     def total(name: str) -> Column:
         return F.sum(F.when(mine, F.col(name))).alias(name)
 
     window = F.window("ets", f"{seconds} seconds", f"{slide} seconds").alias("window")
-    per_key = rows.groupBy(*STREAM, window, F.col("_fact.kind").alias("kind"), F.col("_fact.key").alias("key")).agg(
-        F.sum(F.when(mine, 1).otherwise(0)).alias("n"),
-        F.sum(F.when(is_text & ~F.col("current"), 1).otherwise(0)).alias("n_prev"),
+    kind = F.when(F.col("_fact.kind") != "user", F.col("_fact.kind")).when(current, "now").otherwise("before")
+    per_key = rows.groupBy(*STREAM, window, kind.alias("kind"), F.when(~is_text | current, F.col("_fact.key")).alias("key")).agg(
+        F.sum(F.when(current & (F.col("_fact.kind") != "user"), 1).otherwise(0)).alias("n"),
+        F.sum(F.when(is_text & ~current, 1).otherwise(0)).alias("n_prev"),
         *[total(c) for c in _SUMS],
         F.sum(F.when(mine & F.col("_valence").isNotNull(), 1).otherwise(0)).alias("_valence_n"),
+        F.min(F.when(F.col("_fact.kind") == "token", F.struct("timestamp", "message_id"))).alias("first"),
+        F.min(F.when(F.col("_fact.kind") == "best", _evidence_entry())).alias("entry"),
     )
-    return _window_totals(per_key)
+    target = F.min(F.when((F.col("kind") == "token") & (F.col("n") >= 2), _target_entry()))
+    # the messages of one window; an entry that occurs several times stands for as many, five at most
+    entries = F.collect_list(F.when(F.col("kind") == "best", F.array_repeat("entry", F.least(F.col("n"), F.lit(TOP)).cast("int"))))
+    return _window_totals(per_key, {"best": target, "entries": F.slice(F.array_sort(F.flatten(entries)), 1, TOP)})
 
 
+#: Evidence messages of a window.
+TOP = 5
 _SUMS = ("_hype", "_confusion", "_frustration", "_short", "_caps", "_punct", "_valence")
 
 
-def _panes(features: DataFrame, seconds: int, slide: int) -> DataFrame:
+def _panes(features: DataFrame, seconds: int, slide: int, kinds: tuple[str, ...] = ("text", "user")) -> DataFrame:
     """Messages added up per (pane, kind, key); a pane is the largest span that no window cuts."""
     pane = math.gcd(seconds, slide)
-    kinds = F.array(F.struct(F.lit("text").alias("kind"), F.col("_text").alias("key")), F.struct(F.lit("user").alias("kind"), F.col("_chatter").alias("key")))
-    rows = features.withColumns({"pane": F.unix_micros(F.window("timestamp", f"{pane} seconds")["start"]), "_fact": F.explode(kinds)})
+    facts = F.filter(_facts(), lambda f: f["kind"].isin(*kinds))
+    rows = features.withColumns({"pane": F.unix_micros(F.window("timestamp", f"{pane} seconds")["start"]), "_fact": F.explode(facts)})
     is_text = F.col("_fact.kind") == "text"
+    more = {
+        "token": F.min(F.when(F.col("_fact.kind") == "token", F.struct("timestamp", "message_id"))).alias("first"),
+        "best": F.min(F.when(F.col("_fact.kind") == "best", _evidence_entry())).alias("entry"),
+    }
     return rows.groupBy(*STREAM, "pane", F.col("_fact.kind").alias("kind"), F.col("_fact.key").alias("key")).agg(
         F.count("*").alias("n"),
         *[F.sum(F.when(is_text, F.col(c))).alias(c) for c in _SUMS],
         F.count(F.when(is_text, F.col("_valence"))).alias("_valence_n"),
+        *[more[k] for k in more if k in kinds],
     )
 
 
-def _expand_panes(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
-    """Each pane in the windows that hold it and, moved by one window length, as the past of the next ones."""
+def _window_starts(at: Column, seconds: int, slide: int) -> Column:
+    """Starts of the windows that hold a pane; windows may leave gaps between them, then some panes are in none."""
     step, span, pane = slide * 1_000_000, seconds * 1_000_000, math.gcd(seconds, slide) * 1_000_000
+    first, last = F.ceil((at + pane - span) / F.lit(step)), F.floor(at / F.lit(step))
+    return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * step)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _window_of(start: Column, seconds: int) -> Column:
+    start = F.timestamp_micros(start)
+    return F.struct(start.alias("start"), (start + F.expr(f"INTERVAL {seconds} SECONDS")).alias("end")).alias("window")
+
 
-    def starts(at: Column) -> Column:
-        first, last = F.ceil((at + pane - span) / F.lit(step)), F.floor(at / F.lit(step))
-        # windows may leave gaps between them: then some panes are in none
-        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * step)).otherwise(F.array().cast("array<bigint>"))
+def _expand_panes(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
+    """Each pane in the windows that hold it and, moved by one window length, as the past of the next ones."""
 
     def role(at: Column, current: bool) -> Column:
-        return F.transform(starts(at), lambda w: F.struct(w.alias("at"), F.lit(current).alias("current")))
+        return F.transform(_window_starts(at, seconds, slide), lambda w: F.struct(w.alias("at"), F.lit(current).alias("current")))
 
     p = F.col("pane").cast("long")
-    rows = panes.withColumn("_in", F.explode(F.concat(role(p, True), role(p + span, False))))
+    rows = panes.withColumn("_in", F.explode(F.concat(role(p, True), role(p + seconds * 1_000_000, False))))
     is_text, current = F.col("kind") == "text", F.col("_in.current")
     mine = is_text & current
     kind = F.when(is_text, "text").when(current, "now").otherwise("before")
-    start = F.timestamp_micros("_in.at")
-    window = F.struct(start.alias("start"), (start + F.expr(f"INTERVAL {seconds} SECONDS")).alias("end")).alias("window")
-    return rows.groupBy(*STREAM, window, kind.alias("kind"), F.when(~is_text | current, F.col("key")).alias("key")).agg(
+    return rows.groupBy(*STREAM, _window_of(F.col("_in.at"), seconds), kind.alias("kind"), F.when(~is_text | current, F.col("key")).alias("key")).agg(
         F.sum(F.when(mine, F.col("n")).otherwise(0)).alias("n"),
         F.sum(F.when(is_text & ~current, F.col("n")).otherwise(0)).alias("n_prev"),
         *[F.sum(F.when(mine, F.col(c))).alias(c) for c in (*_SUMS, "_valence_n")],
     )
 
 
-def _window_totals(per_key: DataFrame) -> DataFrame:
+def _window_totals(per_key: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
     """Windows from their counts per (kind, key)."""
     named = F.col("key").isNotNull() & (F.col("key") != "")
     return (
         per_key.groupBy(*STREAM, "window")
         .agg(
-            F.sum("n").alias("message_count"),
+            F.sum(F.when(F.col("kind") == "text", F.col("n")).otherwise(0)).alias("message_count"),
             F.sum("n_prev").alias("previous_count"),
             F.sum(F.when((F.col("kind") == "text") & named & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("repeated"),
             F.sum(F.when((F.col("kind") == "now") & named, 1).otherwise(0)).alias("unique_chatters"),
             F.sum(F.when((F.col("kind") == "before") & named, 1).otherwise(0)).alias("previous_chatters"),
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c[1:]) for c in (*_SUMS, "_valence_n")],
+            *[c.alias(name) for name, c in (more or {}).items()],
         )
         .transform(_with_window_bounds)
         .where(F.col("message_count") > 0)
@@ -336,72 +373,99 @@ REACTION_COLUMNS = [
 ]
 
 
+def _scored(agg: DataFrame, seconds: int) -> DataFrame:
+    return finish_reaction(reaction_scores(velocity_and_spike(agg, seconds)))
+
+
 def reaction_core(messages: DataFrame, seconds: int = 5, slide: int = 1, lex: ReactionLexicon | None = None, watermark: str | None = None) -> DataFrame:
-    """Scored reaction windows without target and evidence; works on batches and streams."""
-    features = message_features(messages, lex)
-    agg = velocity_and_spike(reaction_features(features, seconds, slide, watermark), seconds)
-    return finish_reaction(reaction_scores(agg))
+    """Scored reaction windows. On a stream (``watermark``) they are whole, with target, hint and evidence; for a batch
+    ``reaction_windows`` adds those."""
+    scored = _scored(reaction_features(message_features(messages, lex), seconds, slide, watermark), seconds)
+    return scored if watermark is None else _with_context(scored)
+
+
+def _target_entry() -> Column:
+    """A shared word; the least entry is in most messages, then seen first."""
+    return F.struct((-F.col("n")).alias("neg"), "first", F.col("key").alias("token"))
+
+
+def _target(total: Column) -> Column:
+    """The word of the best entry, if it is in 40 % of the messages."""
+    return F.when(-F.col("best.neg") / total >= 0.4, F.col("best.token"))
+
+
+def _evidence_ids(entries: str) -> Column:
+    return F.array_distinct(F.filter(F.transform(entries, lambda e: e["message_id"]), lambda i: i != ""))
+
+
+def _evidence_messages(entries: str) -> Column:
+    return F.transform(entries, lambda e: F.struct(*[e[c].alias(c) for c in MESSAGE]))
+
+
+def _pane_targets(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
+    """(window, best): the word that most messages of a window share, of those in two or more."""
+    rows = panes.where("kind = 'token'").withColumn("_at", F.explode(_window_starts(F.col("pane").cast("long"), seconds, slide)))
+    counts = rows.groupBy(*STREAM, _window_of(F.col("_at"), seconds), "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return counts.where("n >= 2").groupBy(*STREAM, "window").agg(F.min(_target_entry()).alias("best")).transform(_with_window_bounds)
+
+
+def _pane_evidence(panes: DataFrame, seconds: int, slide: int, n: int) -> DataFrame:
+    """(window, entries): the strongest messages of a window, from the strongest of each pane."""
+    rows = panes.where("kind = 'best'").select(*STREAM, "pane", "entry", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(n)).cast("int"))).alias("_copy"))
+    best = Window.partitionBy(*STREAM, "pane").orderBy("entry")
+    few = rows.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= n)
+    spread = few.select(*STREAM, "entry", F.explode(_window_starts(F.col("pane").cast("long"), seconds, slide)).alias("_at")).withColumn("window", _window_of(F.col("_at"), seconds))
+    order = Window.partitionBy(*STREAM, "window").orderBy("entry")
+    top = spread.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
+    return top.groupBy(*STREAM, "window").agg(F.array_sort(F.collect_list("entry")).alias("entries")).transform(_with_window_bounds)
 
 
 def window_target(messages: DataFrame, seconds: int = 5, slide: int = 1, lex: ReactionLexicon | None = None) -> DataFrame:
-    """The word most messages of a window share: in at least two messages and 40 % of them.
+    """The word most messages of a window share: in at least two messages and 40 % of them; null without one."""
+    panes = settle(_panes(message_features(messages, lex), seconds, slide, ("token", "text")), "panes")
+    sizes = panes.where("kind = 'text'").groupBy(*STREAM, "pane").agg(F.sum("n").alias("n"))
+    sizes = sizes.withColumn("_at", F.explode(_window_starts(F.col("pane").cast("long"), seconds, slide)))
+    sizes = sizes.groupBy(*STREAM, _window_of(F.col("_at"), seconds)).agg(F.sum("n").alias("total")).transform(_with_window_bounds)
+    found = sizes.join(_pane_targets(panes, seconds, slide), RWINDOW, "left")
+    return found.select(*RWINDOW, _target(F.col("total")).alias("target_text"))
 
-    The window size rides along as the count of an empty word, so no join is needed.
-    """
-    lex = lex or ReactionLexicon()
-    words = F.filter(
-        F.array_except(tokens(F.coalesce("text", F.lit(""))), words_lit(lex.target_stop_words)), lambda t: F.char_length(t) >= 3
-    )
-    rows = sliding(messages, seconds, slide).select(
-        *STREAM, "window", F.struct("timestamp", "message_id").alias("pos"), F.explode(F.concat(F.array(F.lit("")), words)).alias("token")
-    )
-    counts = rows.groupBy(*STREAM, "window", "token").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    best = F.min(F.when((F.col("token") != "") & (F.col("n") >= 2), F.struct((-F.col("n")).alias("neg"), "first", "token")))
-    total = F.max(F.when(F.col("token") == "", F.col("n")))
-    return (
-        counts.groupBy(*STREAM, "window")
-        .agg(best.alias("best"), total.alias("total"))
-        .withColumn("target_text", F.when(-F.col("best.neg") / F.col("total") >= 0.4, F.col("best.token")))
-        .transform(_with_window_bounds)
-        .select(*RWINDOW, "target_text")
-    )
 
+def top_evidence(messages: DataFrame, seconds: int = 5, slide: int = 1, n: int = TOP, lex: ReactionLexicon | None = None) -> DataFrame:
+    """The n messages of each window with the highest evidence score, earliest first on ties, and their ids."""
+    panes = _panes(message_features(messages, lex), seconds, slide, ("best",))
+    found = _pane_evidence(panes, seconds, slide, n)
+    return found.select(*RWINDOW, _evidence_ids("entries").alias("evidence_ids"), _evidence_messages("entries").alias("evidence_messages"))
 
-def top_evidence(messages: DataFrame, seconds: int = 5, slide: int = 1, n: int = 5, lex: ReactionLexicon | None = None) -> DataFrame:
-    """Ids of the n messages of each window with the highest evidence score, earliest first on ties."""
-    rows = sliding(message_features(messages, lex), seconds, slide).select(
-        *STREAM, "window", "message_id", "timestamp", "_evidence"
-    )
-    order = Window.partitionBy(*STREAM, "window").orderBy(F.desc("_evidence"), "timestamp", "message_id")
-    top = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("rn", "message_id"))), lambda s: s["message_id"])
-    return (
-        top.groupBy(*STREAM, "window")
-        .agg(F.array_distinct(F.filter(ids, lambda i: i != "")).alias("evidence_ids"))
-        .transform(_with_window_bounds)
-        .select(*RWINDOW, "evidence_ids")
-    )
+
+CONTEXT_COLUMNS = ["target_type", "target_text", "source", "event_hint", "evidence_ids", "evidence_messages"]
+
+
+def _with_context(scored: DataFrame) -> DataFrame:
+    """Target, hint and evidence from the ``best`` word and the evidence ``entries`` of scored windows."""
+    weak = (F.col("reaction_type") == "neutral") | (F.col("raw_confidence") < 0.35)
+    named = scored.withColumn("target_text", F.when(weak, "").otherwise(F.coalesce(_target(F.col("message_count")), F.lit(""))))
+    named = named.withColumns(
+        {
+            "target_type": F.lit("unknown"), "source": F.lit("chat"), "event_hint": event_hint(F.col("reaction_type"), F.col("target_text")),
+            "evidence_ids": _evidence_ids("entries"), "evidence_messages": _evidence_messages("entries"),
+        }
+    )
+    return named.select(*REACTION_COLUMNS, *CONTEXT_COLUMNS)
 
 
 def reaction_windows(messages: DataFrame, seconds: int = 5, slide: int = 1, lex: ReactionLexicon | None = None) -> DataFrame:
-    """Full reaction windows: scores, type, shared target word, hint and evidence ids."""
-    target = F.when((F.col("reaction_type") == "neutral") | (F.col("raw_confidence") < 0.35), "").otherwise(
-        F.coalesce("target_text", F.lit(""))
-    )
-    return (
-        reaction_core(messages, seconds, slide, lex)
-        .join(window_target(messages, seconds, slide, lex), RWINDOW, "left")
-        .join(top_evidence(messages, seconds, slide, 5, lex), RWINDOW, "left")
-        .withColumn("target_text", target)
-        .withColumns(
-            {
-                "target_type": F.lit("unknown"),
-                "source": F.lit("chat"),
-                "event_hint": event_hint(F.col("reaction_type"), F.col("target_text")),
-            }
-        )
-        .select(*REACTION_COLUMNS, "target_type", "target_text", "source", "event_hint", "evidence_ids")
-    )
+    """Full reaction windows: scores, type, shared target word, hint, evidence ids and messages.
+
+    Messages are read once and added up in panes, which are stored; scores, targets and evidence come from the panes.
+    """
+    panes = settle(_panes(message_features(messages, lex), seconds, slide, ("text", "user", "token", "best")), "panes")
+    counted = panes.where("kind IN ('text', 'user')").drop("first", "entry")
+    scored = _scored(_window_totals(_expand_panes(counted, seconds, slide)), seconds)
+    scored = scored.join(_pane_targets(panes, seconds, slide), RWINDOW, "left").join(_pane_evidence(panes, seconds, slide, TOP), RWINDOW, "left")
+    return _with_context(scored)
+
+
+EVIDENCE_TYPE = "array<struct<message_id:string,timestamp:timestamp,username:string,display_name:string,text:string>>"
 
 
 def peak_score() -> Column:
@@ -421,7 +485,8 @@ def bucket_peaks(windows: DataFrame, seconds: int = 30) -> DataFrame:
         "confusion_score", "frustration_score", "reaction_type", "target_type", "target_text", "source", "event_hint",
         "confidence", "evidence_ids",
     )
-    peak = F.max(F.struct(peak_score().alias("score"), F.col("window_end").alias("at"), sub.alias("w")))
+    messages = F.col("evidence_messages") if "evidence_messages" in windows.columns else F.array().cast(EVIDENCE_TYPE)
+    peak = F.max(F.struct(peak_score().alias("score"), F.col("window_end").alias("at"), sub.alias("w"), messages.alias("m")))
     grouped = inside.groupBy(*STREAM, "bucket_start").agg(F.array_sort(F.collect_list(sub)).alias("subwindows"), peak.alias("peak"))
     return grouped.select(
         *STREAM,
@@ -429,6 +494,7 @@ def bucket_peaks(windows: DataFrame, seconds: int = 30) -> DataFrame:
         "subwindows",
         F.col("peak.score").alias("peak_reaction_score"),
         *[F.col(f"peak.w.{c}").alias(f"peak_{c}") for c in ("reaction_type", "target_type", "target_text", "source", "event_hint", "confidence", "evidence_ids")],
+        F.col("peak.m").alias("peak_evidence_messages"),
         F.col("peak.at").alias("peak_time"),
         F.col("peak.w.window_start").alias("peak_window_start"),
         F.col("peak.w.window_end").alias("peak_window_end"),
@@ -442,6 +508,7 @@ def attach_peaks(buckets: DataFrame, windows: DataFrame, seconds: int = 30) -> D
             "peak_target_type": F.coalesce("peak_target_type", F.lit("unknown")),
             "peak_source": F.coalesce("peak_source", F.lit("chat")),
             "peak_evidence_ids": F.coalesce("peak_evidence_ids", F.array().cast("array<string>")),
+            "peak_evidence_messages": F.coalesce("peak_evidence_messages", F.array().cast(EVIDENCE_TYPE)),
         }
     )
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdtide.operators import windows
-from tests.helpers import at, epoch, message, messages
+from tests.helpers import T0, at, epoch, message, messages
 
 
 def test_bucket_bounds_are_half_open(spark):
@@ -76,3 +76,31 @@ def test_native_operators_have_no_python_or_cross_join(spark):
     df = messages(spark, [message(1, 1, "hi")])
     plan = windows.attach_peaks(windows.chat_buckets(df, 30), windows.reaction_windows(df, 5, 1), 30)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_evidence_messages_of_windows_and_peaks(spark):
+    """The strongest five of a window; the peak's go to its bucket. Equal messages and missing ids stay messages of their own."""
+    rows = [message(i, 10 + i * 0.1, "hello", f"u{i}") for i in range(9)] + [message(20, 12, "NO WAY insane", "v"), message(21, 13, "holy", "w"), message(21, 13, "holy", "w"), message(22, 14, "LFG", "x")]
+    rows = [(*r[:2], "" if r[2] in ("m21", "m22") else r[2], *r[3:]) for r in rows]
+    df = messages(spark, rows)
+    w = windows.reaction_windows(df, 5, 1).where(F.col("window_start") == F.lit(at(10))).first()
+    assert [m["text"] for m in w["evidence_messages"]] == ["LFG", "NO WAY insane", "holy", "holy", "hello"]
+    assert w["evidence_ids"] == ["m20", "m0"]
+    peaks = windows.attach_peaks(windows.chat_buckets(df, 30), windows.reaction_windows(df, 5, 1), 30).first()
+    best = windows.reaction_windows(df, 5, 1).where(F.col("window_start") == F.lit(peaks["peak_window_start"])).first()
+    assert peaks["peak_evidence_messages"] == best["evidence_messages"] != []
+    quiet = windows.attach_peaks(windows.chat_buckets(df, 30), windows.reaction_windows(df, 5, 1).where("false"), 30).first()
+    assert (quiet["peak_evidence_messages"], quiet["peak_evidence_ids"], quiet["peak_target_type"]) == ([], [], "unknown")
+
+
+def test_panes_without_common_measure(spark):
+    """Windows that leave gaps, and panes smaller than both lengths: the same as counting messages window by window."""
+    rng = random.Random(2)
+    rows = [message(i, rng.random() * 40, rng.choice(["W", "dragon fight", "dragon dance", "holy"]), f"u{i % 5}") for i in range(90)]
+    for seconds, slide in ((6, 4), (3, 5)):
+        got = epoch(windows.reaction_windows(messages(spark, rows), seconds, slide), "window_start").collect()
+        starts = sorted({s for r in rows for s in range(-10, 45) if (T0.timestamp() + s) % slide == 0 and s <= (r[3] - T0).total_seconds() < s + seconds})
+        assert sorted(r["window_start"] for r in got) == starts
+        for r in got:
+            inside = [x for x in rows if r["window_start"] <= (x[3] - T0).total_seconds() < r["window_start"] + seconds]
+            assert r["message_count"] == len(inside) and len(r["evidence_messages"]) == min(5, len(inside))
