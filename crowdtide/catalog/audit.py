@@ -593,6 +593,12 @@ def _corr(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
 
+def _counts(keys: str, value: str) -> str:
+    """Counts of the non-empty values as the text of a sorted map."""
+    return f"""SELECT {keys}, '{{' || string_agg('"' || v || '":' || CAST(n AS VARCHAR), ',' ORDER BY v) || '}}' AS {value}_counts
+      FROM (SELECT {keys}, {value} AS v, count(*) AS n FROM co WHERE coalesce({value}, '') <> '' GROUP BY ALL) GROUP BY {keys}"""
+
+
 CORR = f"""rk AS (SELECT *, {_rank("cohort", "chat_sentiment")} AS rx, {_rank("cohort", "transcript_sentiment")} AS ry FROM co),
 cs AS (SELECT cohort, count(*) AS pair_count, {half_away(_corr("chat_sentiment", "transcript_sentiment"), 4)} AS p, {half_away(_corr("rx", "ry"), 4)} AS s, {half_away("avg(chat_sentiment)", 4)} AS mc,
          {half_away("avg(transcript_sentiment)", 4)} AS mt, {half_away("avg(delta)", 4)} AS md, {half_away("avg(ad)", 4)} AS mad, {half_away("avg(quality)", 4)} AS mq,
@@ -603,19 +609,23 @@ cs AS (SELECT cohort, count(*) AS pair_count, {half_away(_corr("chat_sentiment",
     "cohort_summary",
     f"""WITH {PAIRS}, {CORR}, every(cohort) AS (VALUES ('all_aligned'), ('calm_baseline'), ('detected_divergence'), ('labeled_events'), ('labeled_none'))
         SELECT cohort, coalesce(pair_count, 0) AS pair_count, {rnd("CASE WHEN pair_count >= 3 THEN p END")} AS pearson, {rnd("CASE WHEN pair_count >= 3 THEN s END")} AS spearman, {rnd("mc")} AS mean_chat_sentiment, {rnd("mt")} AS mean_transcript_sentiment, {rnd("md")} AS average_delta,
-        {rnd("mad")} AS average_abs_delta, {rnd("mq")} AS average_quality, {rnd("q50")} AS abs_delta_median, {rnd("q90")} AS abs_delta_p90, {rnd("q95")} AS abs_delta_p95 FROM every LEFT JOIN cs USING (cohort)""",
+        {rnd("mad")} AS average_abs_delta, {rnd("mq")} AS average_quality, {rnd("q50")} AS abs_delta_median, {rnd("q90")} AS abs_delta_p90, {rnd("q95")} AS abs_delta_p95,
+        CASE WHEN coalesce(pair_count, 0) < 3 THEN 'insufficient_pairs' WHEN p IS NULL OR s IS NULL THEN 'constant_series' ELSE 'computed' END AS correlation_status, relationship_counts, label_counts
+        FROM every LEFT JOIN cs USING (cohort) LEFT JOIN ({_counts("cohort", "relationship")}) USING (cohort) LEFT JOIN ({_counts("cohort", "label")}) USING (cohort)""",
 )
 def _(spark, sf):
-    return correlation.cohort_summary(pairs(spark, sf), (), CFG).drop("relationship_counts", "label_counts", "correlation_status")
+    return correlation.cohort_summary(pairs(spark, sf), (), CFG)
 
 
 @register(
     "cohort_summary_by_session",
-    f"""WITH {PAIRS} SELECT session_id, cohort, count(*) AS pair_count, {r4("quantile_cont(ad, 0.9)")} AS abs_delta_p90, {r4("avg(delta)")} AS average_delta FROM co GROUP BY ALL""",
+    f"""WITH {PAIRS}, every AS (SELECT DISTINCT session_id, unnest(['all_aligned', 'calm_baseline', 'detected_divergence', 'labeled_events', 'labeled_none']) AS cohort FROM pr),
+        g AS (SELECT session_id, cohort, count(*) AS n, {r4("quantile_cont(ad, 0.9)")} AS p90, {r4("avg(delta)")} AS ad FROM co GROUP BY ALL)
+        SELECT session_id, cohort, coalesce(n, 0) AS pair_count, p90 AS abs_delta_p90, g.ad AS average_delta, label_counts FROM every LEFT JOIN g USING (session_id, cohort) LEFT JOIN ({_counts("session_id, cohort", "label")}) USING (session_id, cohort)""",
 )
 def _(spark, sf):
-    out = correlation.cohort_summary(pairs(spark, sf), ("session_id",), CFG).where(F.col("pair_count") > 0)
-    return out.select("session_id", "cohort", "pair_count", "abs_delta_p90", "average_delta")
+    out = correlation.cohort_summary(pairs(spark, sf), ("session_id",), CFG)
+    return out.select("session_id", "cohort", "pair_count", "abs_delta_p90", "average_delta", "label_counts")
 
 
 @register(
@@ -690,13 +700,14 @@ LAGP = f"""lagp AS (SELECT CAST(l AS BIGINT) AS lag_seconds, {rnd("a.chat_sentim
     "lag_summary",
     f"""WITH {ALIGN}, {LAGP}, r AS (SELECT *, {_rank("lag_seconds", "x")} AS rx, {_rank("lag_seconds", "y")} AS ry FROM lagp),
         s AS (SELECT lag_seconds, count(*) AS pair_count, {half_away("avg(abs(x - y))", 4)} AS ad, {half_away(_corr("x", "y"), 4)} AS p, {half_away(_corr("rx", "ry"), 4)} AS sp FROM r GROUP BY 1)
-        SELECT lag_seconds, pair_count, {rnd("ad")} AS average_abs_delta, {rnd("p")} AS pearson, {rnd("sp")} AS spearman, CAST(row_number() OVER (ORDER BY abs(p) DESC, lag_seconds) = 1 AS BIGINT) AS best FROM s""",
+        SELECT lag_seconds, pair_count, {rnd("ad")} AS average_abs_delta, {rnd("p")} AS pearson, {rnd("sp")} AS spearman, CAST(row_number() OVER (ORDER BY abs(p) DESC, lag_seconds) = 1 AS BIGINT) AS best,
+          CASE WHEN pair_count < 3 THEN 'insufficient_pairs' WHEN p IS NULL OR sp IS NULL THEN 'constant_series' ELSE 'computed' END AS correlation_status FROM s""",
 )
 def _(spark, sf):
     c = chat(spark, sf).withColumn("chat_sentiment", rounded(F.col("chat_sentiment")))
     t = speech(spark, sf).withColumn("sentiment_score", rounded(F.col("sentiment_score")))
     lagged = settle(alignment.lag_pairs(c, t, LAGS, HOUR), "lagged")
-    return correlation.lag_summary(lagged, LAGS).drop("correlation_status")
+    return correlation.lag_summary(lagged, LAGS)
 
 
 ROT = """ro AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY window_start, window_end, channel_id) - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n FROM pr),

@@ -117,18 +117,38 @@ def _(spark, sf):
 
 @register(
     "stream_provisional_then_final",
-    f"""WITH {BUCKETS}, {SEGMENTS} SELECT segment_id FROM seg s WHERE NOT EXISTS (SELECT 1 FROM buckets b WHERE b.session_id = s.session_id AND b.channel_id = s.channel_id AND b.message_count >= 5
+    f"""WITH {BUCKETS}, {SEGMENTS} SELECT segment_id FROM seg s WHERE NOT EXISTS (SELECT 1 FROM buckets b WHERE b.session_id = s.session_id AND b.channel_id = s.channel_id
           AND b.bucket_start <= s.segment_start AND s.segment_end <= b.bucket_end)""",
 )
 def _(spark, sf):
-    committed = settle(chat(spark, sf).where(F.col("message_count") >= 5), "committed")
-    schema = adapters.table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    partials = adapters.segments_from_events(rows).withColumnsRenamed({"segment_start": "window_start", "segment_end": "window_end"})
-    path = fresh_path(spark, "provisional")
-    write = live.log_sink(f"{path}/log")
-    live.run_to_end(partials, path, lambda batch, i: write(live.provisional_then_final(batch, committed, HOUR).select("segment_id"), i))
-    return spark.read.schema("segment_id BIGINT").parquet(f"{path}/log").select("segment_id")
+    """Partial windows and committed buckets come mixed, in three batches."""
+    partials = adapters.segments(spark, sf).withColumnsRenamed({"segment_start": "window_start", "segment_end": "window_end"})
+    committed = chat(spark, sf).select(*windows.BUCKET)
+    one = partials.select(F.struct(*partials.columns).alias("partial"))
+    two = committed.select(F.struct(*committed.columns).alias("bucket"))
+    both = one.unionByName(two, allowMissingColumns=True).repartition(3, F.coalesce("partial.window_start", "bucket.bucket_start"))
+    return live.stream_provisional(stored_stream(both, "feed", 1), fresh_path(spark, "provisional"), HOUR).select("segment_id")
+
+
+@register(
+    "late_data",
+    f"""WITH {BUCKETS}, n AS (SELECT max(ts) - INTERVAL 12 HOUR AS cut FROM msg), l AS (SELECT *, CAST(substr(message_id, 2) AS BIGINT) % 4 = 0 AS late FROM scored, n),
+        o AS (SELECT *, (SELECT max(ts) FROM l WHERE NOT late AND ts < cut) - INTERVAL 1 DAY AS bound FROM l)
+        SELECT session_id, channel_id, {us}(bucket_start) AS bucket_start, {us}(bucket_end) AS bucket_end, count(*) AS message_count FROM o WHERE NOT late OR bucket_end > bound GROUP BY ALL""",
+)
+def _(spark, sf):
+    """A quarter of all messages comes in a third batch, after the others: those of windows that the watermark of the
+    first batch has closed by then are dropped, the rest still count."""
+    m = adapters.messages(spark, sf)
+    late = F.substring("message_id", 2, 20).cast("long") % 4 == 0
+    newest = m.agg(F.max("timestamp").alias("newest"))
+    timed = settle(m.withColumn("late", late).crossJoin(newest).withColumn("recent", F.col("timestamp") >= F.col("newest") - F.expr("INTERVAL 12 HOURS")), "timed")
+    path = fresh_path(spark, "late-feed")
+    closing = timed.limit(1).withColumns({"session_id": F.lit("2100-01-01"), "timestamp": F.col("newest") + F.expr("INTERVAL 3650 DAYS")})
+    for rows in (timed.where("NOT late AND NOT recent"), timed.where("NOT late AND recent"), timed.where("late"), closing):
+        rows.select(m.columns).coalesce(1).write.mode("append").parquet(path)
+    feed = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return played(live.stream_chat_buckets(feed, HOUR, "1 day"), "late-buckets").where(REAL).select(*windows.BUCKET, "message_count")
 
 
 @register(

@@ -275,11 +275,11 @@ def _(spark, sf):
 @register(
     "drop_superseded",
     f"""WITH {BUCKETS}, {SEGMENTS} SELECT segment_id FROM seg s WHERE NOT EXISTS (
-          SELECT 1 FROM buckets b WHERE b.session_id = s.session_id AND b.channel_id = s.channel_id AND b.message_count >= 5
+          SELECT 1 FROM buckets b WHERE b.session_id = s.session_id AND b.channel_id = s.channel_id
              AND b.bucket_start <= s.segment_start AND s.segment_end <= b.bucket_end)""",
 )
 def _(spark, sf):
-    committed = chat(spark, sf).where(F.col("message_count") >= 5)
+    committed = chat(spark, sf)
     segs = adapters.segments(spark, sf)
     out = intervals.drop_superseded(segs, committed, STREAM, ("segment_start", "segment_end"), ("bucket_start", "bucket_end"), HOUR)
     return out.select("segment_id")

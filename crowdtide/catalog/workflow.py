@@ -93,17 +93,26 @@ def _(spark, sf):
 
 @register(
     "timeline_points",
-    f"""WITH {SIGNAL}, a AS (SELECT session_id, channel_id, bucket_start AS s, bucket_end AS e, 'signal' AS source, 0 AS p FROM sx WHERE message_count >= 16 UNION ALL SELECT session_id, channel_id, window_start, window_end, 'alignment', 1 FROM al WHERE quality > 0.8
-          UNION ALL SELECT session_id, channel_id, bucket_start, bucket_end, 'chat', 2 FROM buckets WHERE message_count >= 15 UNION ALL SELECT session_id, channel_id, bucket_start, bucket_end, 'transcript', 3 FROM tbuckets),
+    f"""WITH {SIGNAL}, raw AS (SELECT session_id, channel_id, bucket_start AS s, bucket_end AS e, 0 AS p FROM sx UNION ALL SELECT session_id, channel_id, window_start, window_end, 1 FROM al
+          UNION ALL SELECT session_id, channel_id, bucket_start, bucket_end, 2 FROM buckets UNION ALL SELECT session_id, channel_id, bucket_start, bucket_end, 3 FROM tbuckets),
+        a AS (SELECT * REPLACE (greatest(p, CAST(right(session_id, 2) AS INTEGER) % 4) AS p) FROM raw),
         b AS (SELECT session_id, min(p) AS best FROM a GROUP BY 1)
-        SELECT session_id, channel_id, {us}(s) AS window_start, {us}(e) AS window_end, source FROM a JOIN b USING (session_id) WHERE p = best
+        SELECT session_id, channel_id, {us}(s) AS window_start, {us}(e) AS window_end, CASE p WHEN 0 THEN 'signal' WHEN 1 THEN 'alignment' WHEN 2 THEN 'chat' ELSE 'transcript' END AS source FROM a JOIN b USING (session_id) WHERE p = best
         UNION ALL SELECT session_id, channel_id, {us}(bucket_start), {us}(bucket_end), 'reaction' FROM buckets JOIN b USING (session_id) WHERE best < 3""",
 )
 def _(spark, sf):
+    """Every row of the four tables is in one of the four inputs; the day of a session tells the best source it has."""
     c, t, al = stored(spark, sf)
-    sw = signals.signal_windows(c, al, orphans=False)
-    rw = c.select(*STREAM, F.col("bucket_start").alias("window_start"), F.col("bucket_end").alias("window_end"))
-    return series.timeline_points(sw.where("message_count >= 16"), al.where("quality > 0.8"), c.where("message_count >= 15"), t, rw)
+    b = ("bucket_start", "bucket_end")
+    ranges = [(signals.signal_windows(c, al, orphans=False), ("window_start", "window_end")), (al, ("window_start", "window_end")), (c, b), (t, b)]
+    best = F.substring("session_id", 9, 2).cast("int") % 4
+    rows = [
+        df.select(*STREAM, F.col(s).alias("window_start"), F.col(e).alias("window_end"), F.greatest(F.lit(i), best).alias("p")) for i, (df, (s, e)) in enumerate(ranges)
+    ]
+    every = settle(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), "sources")
+    named = [every.where(F.col("p") == i) for i in range(4)]
+    named[2:] = [df.withColumnsRenamed({"window_start": "bucket_start", "window_end": "bucket_end"}) for df in named[2:]]
+    return series.timeline_points(*named, c.select(*STREAM, F.col("bucket_start").alias("window_start"), F.col("bucket_end").alias("window_end")))
 
 
 @register(
@@ -188,15 +197,19 @@ def contexts(spark, sf):
 
 @register(
     "review_windows",
-    f"""WITH {ALIGN}, a AS (SELECT DISTINCT session_id, 'chat_bucket_30s' AS k, bucket_start AS s, bucket_end AS e FROM buckets WHERE message_count >= 15 UNION SELECT session_id, 'reaction_subwindow', bucket_start, bucket_start + INTERVAL 10 MINUTE FROM buckets WHERE message_count >= 15
-          UNION SELECT session_id, 'alignment_bucket', window_start, window_end FROM al UNION SELECT session_id, 'transcript_bucket_30s', bucket_start, bucket_end FROM tbuckets WHERE session_id NOT IN (SELECT session_id FROM buckets WHERE message_count >= 15))
+    f"""WITH {ALIGN}, ch AS (SELECT * FROM buckets WHERE CAST(right(session_id, 2) AS INTEGER) % 2 = 0), sp AS (SELECT session_id, bucket_start, bucket_end FROM tbuckets
+            UNION ALL SELECT session_id, bucket_start, bucket_end FROM buckets WHERE CAST(right(session_id, 2) AS INTEGER) % 2 = 1),
+        a AS (SELECT DISTINCT session_id, 'chat_bucket_30s' AS k, bucket_start AS s, bucket_end AS e FROM ch UNION SELECT session_id, 'reaction_subwindow', bucket_start, bucket_start + INTERVAL 10 MINUTE FROM ch
+          UNION SELECT session_id, 'alignment_bucket', window_start, window_end FROM al UNION SELECT session_id, 'transcript_bucket_30s', bucket_start, bucket_end FROM sp WHERE session_id NOT IN (SELECT session_id FROM ch))
         SELECT session_id, k AS source_window_type, {us}(s) AS window_start, {us}(e) AS window_end FROM a""",
 )
 def _(spark, sf):
+    """Buckets of odd days go in as speech, so that those sessions have none of chat; every bucket is in one input."""
     c, t, al = stored(spark, sf)
     sub = F.struct(F.col("bucket_start").alias("window_start"), (F.col("bucket_start") + F.expr("INTERVAL 10 MINUTES")).alias("window_end"), F.col("positive").alias("reaction_score"))
-    c = c.where("message_count >= 15").withColumn("subwindows", F.array(sub))
-    return reviews.review_windows(c, al, t).select("session_id", "source_window_type", "window_start", "window_end")
+    even = F.substring("session_id", 9, 2).cast("int") % 2 == 0
+    spoken = t.select(*windows.BUCKET).unionByName(c.where(~even).select(*windows.BUCKET))
+    return reviews.review_windows(c.where(even).withColumn("subwindows", F.array(sub)), al, spoken).select("session_id", "source_window_type", "window_start", "window_end")
 
 
 @register("review_rows")
@@ -260,17 +273,17 @@ def _(spark, sf):
 
 @register(
     "merge_reviews",
-    f"""WITH {BUCKETS}, b AS (SELECT *, CASE WHEN message_count % 2 = 0 THEN 'chat_bucket_30s' ELSE 'reaction_subwindow' END AS k FROM buckets WHERE channel_id = 'c0')
+    f"""WITH {BUCKETS}, b AS (SELECT * REPLACE (session_id || '/' || channel_id AS session_id), CASE WHEN message_count % 2 = 0 THEN 'chat_bucket_30s' ELSE 'reaction_subwindow' END AS k, hour(bucket_start) < 12 AS early FROM buckets)
         SELECT session_id, k AS source_window_type, {us}(bucket_start) AS window_start, {us}(bucket_end) AS window_end, {rnd("CASE WHEN message_count % 3 = 0 THEN 0.9 ELSE sentiment_confidence END")} AS confidence,
-          CASE WHEN message_count % 3 = 0 THEN 'generated' ELSE 'r' END AS reason, 'stored' AS origin FROM b WHERE message_count <= 6
-        UNION ALL SELECT session_id, k, {us}(bucket_start), {us}(bucket_end), {rnd("0.9")}, 'generated', 'generated' FROM b WHERE message_count > 6""",
+          CASE WHEN message_count % 3 = 0 THEN 'generated' ELSE 'r' END AS reason, 'stored' AS origin FROM b WHERE early
+        UNION ALL SELECT session_id, k, {us}(bucket_start), {us}(bucket_end), {rnd("0.9")}, 'generated', 'generated' FROM b WHERE NOT early""",
 )
 def _(spark, sf):
-    b = chat(spark, sf).where(F.col("channel_id") == "c0")
+    """All buckets of all channels are generated; those before noon are stored as well, a third of them half empty."""
+    b = chat(spark, sf).withColumn("session_id", F.concat_ws("/", "session_id", "channel_id"))
     third = F.col("_n") % 3 == 0
-    mine = simple_reviews(b.where(F.col("message_count") <= 6)).join(
-        b.select("session_id", F.col("bucket_start").alias("window_start"), F.col("message_count").alias("_n")), ["session_id", "window_start"]
-    )
+    early = b.where(F.hour("bucket_start") < 12)
+    mine = simple_reviews(early).join(early.select("session_id", F.col("bucket_start").alias("window_start"), F.col("message_count").alias("_n")), ["session_id", "window_start"])
     mine = mine.withColumns({"confidence": F.when(third, 0.0).otherwise(F.col("confidence")), "reason": F.when(third, " ").otherwise(F.col("reason"))}).drop("_n")
     made = simple_reviews(b).withColumns({"confidence": F.lit(0.9), "reason": F.lit("generated")})
     return reviews.merge_reviews(mine, made).select("session_id", "source_window_type", "window_start", "window_end", "confidence", "reason", "origin")

@@ -145,6 +145,29 @@ def provisional_then_final(partials: DataFrame, committed: DataFrame, seconds: i
     return drop_superseded(live, committed, STREAM, ("window_start", "window_end"), ("bucket_start", "bucket_end"), seconds)
 
 
+def stream_provisional(feed: DataFrame, path: str, seconds: int = 30) -> DataFrame:
+    """Partial speech windows of a stream until a committed bucket of the same stream covers them.
+
+    ``feed``: struct columns partial and bucket, one of them null. Committed buckets and the scored partial windows that
+    nothing covered when they came are kept in two logs by batch id below ``path``; what was covered later is left out
+    when the result is read. A replayed batch reads the log up to itself and writes the same again.
+    """
+    spark = feed.sparkSession
+    bucket, kept = f"{path}/committed", f"{path}/provisional"
+    schema = feed.select("bucket.*").schema
+    shown = provisional_then_final(spark.createDataFrame([], feed.select("partial.*").schema), spark.createDataFrame([], schema), seconds).schema
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        log_sink(bucket)(batch.where("bucket IS NOT NULL").select("bucket.*"), batch_id)
+        committed = read_log(spark, schema, bucket, batch_id).drop("batch")
+        log_sink(kept)(provisional_then_final(batch.where("partial IS NOT NULL").select("partial.*"), committed, seconds), batch_id)
+
+    run_to_end(feed, path, sink)
+    committed = read_log(spark, schema, bucket).drop("batch")
+    rows = read_log(spark, shown, kept).drop("batch")
+    return drop_superseded(rows, committed, STREAM, ("window_start", "window_end"), ("bucket_start", "bucket_end"), seconds)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows the watermark dropped so far, from the query's progress reports."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in (p["stateOperators"] if isinstance(p, dict) else p.stateOperators))
