@@ -40,14 +40,13 @@ def session_report(
     windows = evaluation.evaluation_windows(analyze_sessions(chat, transcripts, alignments, width), chat)
     judged = evaluation.session_evaluation(windows, labels).withColumnRenamed("coverage", "evaluation_coverage")
     audit = proof.session_proof(sessions, chat, transcripts, alignments, labels).drop("unmatched_labels")
-    stored = proof.latest_metric(metrics).groupBy(sid).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(c) for c, n in STORAGE_METRICS.items()]
+    named = metrics.groupBy(sid, "name").agg(F.max_by("value", F.struct("recorded_at", "value")).alias("value"), F.count("*").alias("n"))
+    stored = named.groupBy(sid).agg(
+        F.sum("n").alias("persistence_metric_count"), *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(c) for c, n in STORAGE_METRICS.items()]
     )
-    counted = metrics.groupBy(sid).agg(F.count("*").alias("persistence_metric_count"))
-    out = audit.join(judged, sid, "left").join(proof.reaction_and_peak_counts(chat), sid, "left").join(stored, sid, "left").join(counted, sid, "left")
-    loaded = F.col("loaded_transcript_bucket_count")
     recorded = sessions.select(sid, F.col("transcript_bucket_count").alias("_recorded"))
-    out = out.join(recorded, sid, "left")
+    out = audit.join(judged, sid, "left").join(stored, sid, "left").join(recorded, sid, "left")
+    loaded = F.col("loaded_transcript_bucket_count")
 
     def share(total: Column) -> Column:
         return round_half_away(ratio(loaded, F.when(total > 0, total)), 4)
