@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdtide.catalog.common import TBUCKETS, half_away, register, rnd, rounded, us
+from crowdtide.catalog.common import BUCKETS, ORACLES, TBUCKETS, half_away, register, rnd, rounded, us
 from crowdtide.catalog.timeline import ALIGN, LABELS, LAGS, SIGNAL, STREAM, chat, signal, speech, window_labels
 from crowdtide.operators import alignment, correlation, evaluation, proof
 from crowdtide.sources import adapters
@@ -478,30 +478,96 @@ def _(spark, sf):
     return proof.replay_speeds(totals, (10, 1, 2.5, 1))
 
 
-@register("session_proof")
+def _map_sql(status: str, rows: str, out: str) -> str:
+    """Counts of a status per session, as the text of a sorted map."""
+    return f"""SELECT session_id, '{{' || string_agg('"' || v || '":' || CAST(n AS VARCHAR), ',' ORDER BY v) || '}}' AS {out}
+      FROM (SELECT session_id, {status} AS v, count(*) AS n FROM {rows} GROUP BY ALL) GROUP BY session_id"""
+
+
+LATENCY_FIELDS = ("available_count", "missing_count", "min", "max", "average", "p50", "p95")
+
+
+def _latency_sql(name: str, value: str, rows: str) -> str:
+    figures = ("count(v)", "count(*) - count(v)", "min(v)", "max(v)", r4("avg(v)"), "CAST(quantile_disc(v, 0.5) AS DOUBLE)", "CAST(quantile_disc(v, 0.95) AS DOUBLE)")
+    columns = ", ".join(f"{f} AS {name}_{c}" for f, c in zip(figures, LATENCY_FIELDS, strict=True))
+    return f"SELECT session_id, {columns} FROM (SELECT session_id, {value} AS v FROM {rows}) GROUP BY 1"
+
+
+_COVERAGE = ("audio_seconds", "expected_audio_seconds", "segment_count", "word_count", "repair_added_words", "empty_ratio", "average_repair_changed_ratio", "audio_coverage", "repair_improvement")
+_LATENCY_SQL = {
+    "chat_analysis": ("message_count * 7", "buckets"), "transcript_sentiment": ("asr_latency_ms + segment_count", "tbuckets"), "transcript_asr": ("asr_latency_ms", "tbuckets"),
+    "transcript_pipeline": ("CASE WHEN segment_count % 2 = 0 THEN asr_latency_ms * 2 END", "tbuckets"),
+}
+# The audit of each session, from the SQL of its parts.
+PROOF = f"""{ALIGN}, {SESS}, {CNT.split(", ca AS")[0]}, ca AS (SELECT session_id, count(*) AS n FROM al GROUP BY 1),
+ch AS (SELECT session_id, min(channel_id) AS channel_id FROM buckets GROUP BY 1),
+p1 AS ({ORACLES["session_totals"]}), p2 AS ({ORACLES["timeline_bounds"]}), p3 AS ({ORACLES["distinct_windows"]}), p4 AS ({ORACLES["label_coverage"]}), p5 AS ({ORACLES["transcript_coverage"]}),
+p6 AS ({_map_sql("CASE WHEN segment_count % 3 <> 0 THEN 'final' WHEN segment_count % 5 = 0 THEN 'final' ELSE 'local' END", "tbuckets", "transcript_status_counts")}),
+p7 AS ({_map_sql("'python'", "buckets", "chat_analysis_status_counts")}), p8 AS ({_map_sql("'local'", "tbuckets", "transcript_sentiment_status_counts")}),
+{", ".join(f"q{i} AS ({_latency_sql(n, *x)})" for i, (n, x) in enumerate(_LATENCY_SQL.items()))},
+pf AS (SELECT s.session_id, ch.channel_id, p1.* EXCLUDE (session_id), cc.n AS loaded_chat_bucket_count, ct.n AS loaded_transcript_bucket_count, ca.n AS loaded_alignment_count,
+         p1.chat_bucket_count + p1.transcript_bucket_count AS source_bucket_count,
+         concat_ws('|', CASE WHEN cc.n < rec_chat THEN 'chat_buckets:' || cc.n || ':' || rec_chat END, CASE WHEN ct.n < rec_t THEN 'transcript_buckets:' || ct.n || ':' || rec_t END) AS truncated_sources,
+         p2.* EXCLUDE (session_id), p3.* EXCLUDE (session_id), p4.* EXCLUDE (session_id, total_windows),
+         {", ".join(f"p5.{c} AS transcript_{c}" for c in _COVERAGE)}, transcript_status_counts, chat_analysis_status_counts, transcript_sentiment_status_counts,
+         {", ".join(f"q{i}.* EXCLUDE (session_id)" for i in range(len(_LATENCY_SQL)))}
+       FROM sess s JOIN ch USING (session_id) JOIN cc USING (session_id) JOIN ct USING (session_id) JOIN ca USING (session_id) {" ".join(f"JOIN p{i} USING (session_id)" for i in range(1, 9))}
+       {" ".join(f"JOIN q{i} USING (session_id)" for i in range(len(_LATENCY_SQL)))})"""
+
+
+def audited_chat(buckets):
+    return buckets.withColumns({"analysis_latency_ms": F.col("message_count") * 7, "analysis_status": F.lit("python")})
+
+
+@register("session_proof", f"WITH {PROOF} SELECT * FROM pf")
 def _(spark, sf):
     b, t, al = stored(spark, sf)
-    c = b.withColumns({"analysis_latency_ms": F.col("message_count") * 7, "analysis_status": F.lit("python")})
-    return proof.session_proof(sessions(b), c, stored_speech(t), al, window_labels(b))
+    found = proof.session_proof(sessions(b), audited_chat(b), stored_speech(t), al, window_labels(b)).drop("reaction_window_count", "peak_reaction_count")
+    latency = {f"{n}_{c}": F.col(f"{n}_latency.{c}") for n in proof.LATENCIES for c in LATENCY_FIELDS}
+    short = F.transform("truncated_sources", lambda x: F.concat_ws(":", x["source"], x["loaded_count"].cast("string"), x["total_count"].cast("string")))
+    return found.withColumns({"truncated_sources": short, **latency}).drop(*[f"{n}_latency" for n in proof.LATENCIES])
+
+
+# The report joins the audit with the evaluation against the human labels.
+REPORT = f"""{PROOF}, hw AS (SELECT session_id, bucket_start AS s, bucket_end AS e FROM buckets UNION SELECT session_id, window_start, window_end FROM al),
+hk AS (SELECT DISTINCT session_id, window_start AS s, window_end AS e FROM (WITH {BUCKETS}, {HLABELS} SELECT * FROM hl)),
+hc AS (SELECT session_id, {r4("count(*) FILTER (hk.s IS NOT NULL) / count(*)")} AS proof_label_coverage FROM hw LEFT JOIN hk USING (session_id, s, e) GROUP BY 1),
+e1 AS ({ORACLES["session_evaluation"]}), e2 AS ({ORACLES["peak_recall"]}), e3 AS ({ORACLES["onset_latency"]}),
+e4 AS (WITH {EVW}, rr AS (SELECT session_id, ra AS actual, rp AS predicted FROM ev WHERE ra <> ''), keys AS (SELECT session_id, actual AS label FROM rr UNION SELECT session_id, predicted FROM rr),
+       cls AS (SELECT k.session_id, k.label, count(*) FILTER (actual = k.label AND predicted = k.label) AS tp, count(*) FILTER (predicted = k.label AND actual <> k.label) AS fp,
+                 count(*) FILTER (actual = k.label AND predicted <> k.label) AS fn FROM keys k JOIN rr USING (session_id) GROUP BY ALL), m AS (SELECT session_id, {F1} AS f1 FROM ({PRF} cls))
+       SELECT session_id, {r4("avg(f1)")} AS reaction_type_f1 FROM m GROUP BY 1)"""
 
 
-@register("session_report")
+@register(
+    "session_report",
+    f"""WITH {REPORT} SELECT pf.session_id, channel_id, proof_label_coverage, e1.coverage AS evaluation_coverage, event_accuracy, event_precision, event_recall, event_f1, peak_recall, hype_peak_recall,
+        onset_latency_ms, reaction_type_accuracy, reaction_type_f1, target_accuracy, target_accuracy AS target_extraction_accuracy, divergence_accuracy, false_positives_normal_chat, e1.total_windows,
+        total_labeled_windows, evaluated_windows, e1.unmatched_labels, uncertain_labels, invalid_labels, 0 AS reaction_window_count,
+        (SELECT count(*) FROM buckets b WHERE b.session_id = pf.session_id AND b.message_count > 5) AS peak_reaction_count,
+        {r4("loaded_transcript_bucket_count / 10")} AS transcript_bucket_coverage, transcript_audio_coverage AS transcript_coverage, transcript_audio_coverage, transcript_empty_ratio, transcript_word_count,
+        transcript_repair_added_words, transcript_average_repair_changed_ratio AS transcript_repair_changed_ratio, transcript_repair_improvement, loaded_alignment_count AS alignment_count,
+        matched_windows AS matched_window_count, 2 AS persistence_metric_count, CAST(NULL AS DOUBLE) AS storage_write_failures, CAST(NULL AS DOUBLE) AS storage_dropped_writes, CAST(0.5 AS DOUBLE) AS storage_queue_depth, CAST(NULL AS DOUBLE) AS reaction_window_metric_count,
+        CASE WHEN truncated_sources = '' THEN 0 ELSE len(string_split(truncated_sources, '|')) END AS truncated_source_count, partial,
+        {", ".join(f'{n}_p95 AS "latency_p95_ms.{n}"' for n in ("chat_analysis", "transcript_asr", "transcript_pipeline", "transcript_sentiment"))}
+        FROM pf JOIN hc USING (session_id) JOIN e1 USING (session_id) LEFT JOIN e2 USING (session_id) LEFT JOIN e3 USING (session_id) LEFT JOIN e4 USING (session_id)""",
+)
 def _(spark, sf):
     from crowdtide.plans import reports
 
     b, t, al = stored(spark, sf)
-    c = chat_with_subwindows(b).withColumns(
+    c = chat_with_subwindows(audited_chat(b)).withColumns(
         {
-            "analysis_latency_ms": F.col("message_count") * 7,
-            "analysis_status": F.lit("python"),
-            "peak_reaction_score": F.lit(None).cast("double"),
+            "peak_reaction_score": F.when(F.col("message_count") > 5, 0.5),
             "peak_window_start": F.lit(None).cast("timestamp"),
             "peak_reaction_type": F.lit(""),
             "peak_evidence_messages": F.lit(None).cast("array<struct<message_id:string,text:string>>"),
         }
     )
     sess = sessions(b)
-    metrics = sess.select("session_id", F.lit("storage.queue_depth").alias("name"), F.lit(0.0).alias("value"), F.col("started_at").alias("recorded_at"))
+    # an older depth and a newer one
+    depths = F.explode(F.array(*[F.struct((F.col("started_at") + F.expr(f"INTERVAL {i} HOURS")).alias("recorded_at"), F.lit(v).alias("value")) for i, v in ((2, 0.5), (1, 9.0))]))
+    metrics = sess.select("session_id", F.lit("storage.queue_depth").alias("name"), depths.alias("d")).select("session_id", "name", "d.*")
     return reports.session_report(sess, c, stored_speech(t), al, human_labels(b), metrics, HOUR)
 
 
