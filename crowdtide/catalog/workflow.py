@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from crowdtide.catalog.timeline import ALIGN, KEY, LABELS, SIGNAL, STREAM, chat,
 from crowdtide.operators import filters, models, reviews, series, signals, windows
 from crowdtide.operators.alignment import offset_relationship
 from crowdtide.sources import adapters, chat_log, contracts, envelopes, replays, storage
+from crowdtide.sources import payloads as payload_contracts
 from crowdtide.sources.storage import settle
 
 HOUR = adapters.HOUR
@@ -687,6 +690,65 @@ def _(spark, sf):
     return contracts.check_contract(t, rules)
 
 
+@register(
+    "check_payloads",
+    f"""WITH {ALIGN}, v(payload, path, rule, violations) AS (
+          SELECT 'chat_message', '$.username', 'required', count(*) FILTER (is_bot_likely) FROM scored UNION ALL SELECT 'chat_message', '$.emotes[]', 'type', count(*) FILTER (text = 'error') FROM scored
+          UNION ALL SELECT 'chat_bucket', '$.chat_sentiment', 'maximum', count(*) FILTER (message_count > 10) FROM buckets
+          UNION ALL SELECT 'chat_bucket', '$.message_scores[].confidence', 'maximum', count(*) FILTER (unique_chatters % 2 = 0) * 2 FROM buckets
+          UNION ALL SELECT 'chat_bucket', '$.language_mix.*', 'type', count(*) FROM buckets
+          UNION ALL SELECT 'reaction_window', '$.window_end', 'format', count(*) FILTER (message_count % 3 = 0) FROM buckets UNION ALL SELECT 'reaction_window', '$.evidence_messages[]', 'unknown_field', count(*) FROM buckets
+          UNION ALL SELECT 'transcript_update', '$.segments[].words[].probability', 'maximum', count(*) FILTER (confidence > 0.5) FROM seg
+          UNION ALL SELECT 'transcript_update', '$.segments[].text', 'type', count(*) FROM seg
+          UNION ALL SELECT 'transcript_bucket', '$.segments[].confidence', 'maximum', count(*) FILTER (text LIKE 'error%') FROM seg
+          UNION ALL SELECT 'alignment_bucket', '$.quality_flags', 'required', count(*) FILTER (relationship = 'diverged') FROM al UNION ALL SELECT 'alignment_bucket', '$.type', 'enum', count(*) FILTER (chat_message_count > 10) FROM al
+          UNION ALL SELECT 'signal_window', '$.events[].confidence', 'minimum', count(*) FILTER (message_count > 10) FROM buckets UNION ALL SELECT 'signal_window', '$.events', 'required', count(*) FILTER (message_count <= 10) FROM buckets)
+        SELECT * FROM v""",
+)
+def _(spark, sf):
+    """All seven payloads as JSON texts, each with a few rules broken, some of them deep inside."""
+
+    def stamp(c):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+    def times(df, *names):
+        return df.withColumns({c: stamp(c) for c in names})
+
+    def broken(name, df, **fields):
+        row = F.to_json(F.struct(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in fields.items()]))
+        found = payload_contracts.check_payloads(df.select(row.alias("payload")), payload_contracts.contract(name))
+        return found.where("violations > 0").select(F.lit(name).alias("payload"), "path", "rule", "violations")
+
+    c, t, al = stored(spark, sf)
+    m = times(adapters.messages(spark, sf), "timestamp").select(*STREAM, "message_id", "timestamp", "username", "text", "emotes", "is_bot_likely")
+    m = m.withColumns({"username": F.when(~F.col("is_bot_likely"), F.col("username")), "emotes": F.when(F.col("text") == "error", F.array(F.lit(None).cast("string"))).otherwise(F.col("emotes"))})
+    b = times(c, "bucket_start", "bucket_end").select(*windows.BUCKET, "message_count", "unique_chatters", "chat_sentiment", "positive", "neutral", "negative")
+    odd = F.struct(F.lit("m").alias("message_id"), (1.0 + F.col("unique_chatters") % 2 * -0.5 + 0.25).alias("confidence"))
+    mix = F.create_map(F.lit("en"), F.lit("much"))
+    high = b.withColumn("chat_sentiment", F.when(F.col("message_count") > 10, 5.0).otherwise(F.col("chat_sentiment")))
+    w = b.select(*STREAM, F.col("bucket_start").alias("window_start"), F.col("bucket_end").alias("window_end"), "message_count")
+    late = w.withColumn("window_end", F.when(F.col("message_count") % 3 == 0, "noon").otherwise(F.col("window_end")))
+    seg = times(adapters.segments(spark, sf), "segment_start", "segment_end").withColumnsRenamed({"segment_start": "transcript_start", "segment_end": "transcript_end"})
+    word = F.struct(F.lit(0.0).alias("start"), F.lit(0.5).alias("end"), "text", F.when(F.col("confidence") > 0.5, 1.5).otherwise(0.5).alias("probability"))
+    said = seg.select(*STREAM, "transcript_start", "transcript_end", "text", F.array(F.struct(F.lit(0).alias("start"), F.lit(7).alias("text"), F.array(word).alias("words"))).alias("segments"))
+    spoken = times(t, "bucket_start", "bucket_end").select(
+        *windows.BUCKET, "text", F.transform("segments", lambda s: s.withField("confidence", F.when(s["text"].startswith("error"), 2.0).otherwise(s["confidence"]))).alias("segments")
+    )
+    pair = times(al, "window_start", "window_end").select(*windows.RWINDOW, "delta", "similarity", "relationship", "chat_message_count", "quality_flags")
+    pair = pair.withColumn("quality_flags", F.when(F.col("relationship") != "diverged", F.col("quality_flags")))
+    event = F.array(F.struct(F.lit("hype_spike").alias("type"), F.lit(-0.5).alias("confidence"), F.array(F.lit("m")).alias("evidence_ids")))
+    parts = [
+        broken("chat_message", m),
+        broken("chat_bucket", high, type=F.lit("chat_bucket"), message_scores=F.array(odd, odd), language_mix=mix),
+        broken("reaction_window", late, type=F.lit("reaction_window"), reaction_type=F.lit("hype"), confidence=F.lit(0.5), evidence_messages=F.array(F.struct(F.lit("m").alias("message_id"), F.lit(1).alias("odd")))),
+        broken("transcript_update", said, type=F.lit("transcript_segment")),
+        broken("transcript_bucket", spoken, type=F.lit("transcript_bucket")),
+        broken("alignment_bucket", pair, type=F.when(F.col("chat_message_count") > 10, "pair").otherwise("alignment_bucket")),
+        broken("signal_window", w, type=F.lit("signal_window"), reaction_type=F.lit("hype"), events=F.when(F.col("message_count") > 10, event)),
+    ]
+    return functools.reduce(lambda a, x: a.unionByName(x), parts)
+
+
 @register(
     "backpressure_events",
     f"""WITH {MSG} SELECT session_id, 'asr.backpressure_count' AS name, 1.0::DOUBLE AS value, 'events' AS unit, {us}(ts) AS recorded_at FROM msg WHERE text = 'error'""",

@@ -105,8 +105,11 @@ def sentiment_label(score: Column, given: Column | None = None) -> Column:
 
 
 def _hit_weights(token_list: Column, weights: Mapping[str, float]) -> Column:
+    """Weights of the tokens that have one. A hash set tells them first, so that the table is walked for hits only."""
+    if not weights:
+        return F.array().cast("array<double>")
     table = weights_lit(weights)
-    return F.filter(F.transform(token_list, lambda t: F.try_element_at(table, t)), lambda v: v.isNotNull())
+    return F.transform(F.filter(token_list, lambda t: t.isin(*weights)), lambda t: F.try_element_at(table, t))
 
 
 def _scored(hit_values: Column, step: float, cap: float, idle_confidence: float) -> Column:
