@@ -12,7 +12,6 @@ from crowdtide.functions.lexicons import LABEL_TERMS
 from crowdtide.functions.numbers import ratio
 from crowdtide.functions.text import label_value, lexicon_label
 from crowdtide.operators.filters import prediction_distribution
-from crowdtide.operators.ranks import row_positions
 
 BUCKET = ["session_id", "channel_id", "bucket_start", "bucket_end"]
 
@@ -79,10 +78,35 @@ def bucket_sentiment(messages: DataFrame, predictions: DataFrame) -> DataFrame:
     return out.na.fill(0, ["analyzed_count"]).na.fill(0.0, ["chat_sentiment", "sentiment_confidence", "positive", "negative"])
 
 
+#: A text is frequent if more than one row in this many has it, so at most as many texts are; places they are dealt to.
+FREQUENT, PLACES = 1000, 64
+
+
+def frequent_texts(rows: DataFrame, column: str = "text") -> list[int]:
+    """Hashes of the texts that more than one row in ``FREQUENT`` has; at most ``FREQUENT`` numbers, whatever the input."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.xxhash64(column).alias("h")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    # a single row beside the counts, as a scalar
+    return sorted(r["h"] for r in counts.crossJoin(F.broadcast(total)).where(F.col("n") * FREQUENT > F.col("total")).select("h").collect())
+
+
+def join_by_text(rows: DataFrame, table: DataFrame, column: str = "text") -> DataFrame:
+    """Inner join on a text column, where ``table`` has each text once.
+
+    Rows of frequent texts are dealt to ``PLACES`` places, and so is their one row of ``table``; the others join as they
+    are. A text that half of all rows have then fills many tasks.
+    """
+    hot = F.xxhash64(column).isin(frequent_texts(rows, column)) if column in rows.columns else F.lit(False)
+    names = [c for c in rows.columns if c != column]
+    dealt = rows.withColumn("_place", F.when(hot, F.pmod(F.xxhash64(*names), F.lit(PLACES))).otherwise(0).cast("int"))
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.withColumn("_place", F.explode(every)), [column, "_place"]).drop("_place")
+
+
 def message_scores(messages: DataFrame, predictions: DataFrame) -> DataFrame:
     """Messages with label, confidence and sign-of-label score."""
     p = predictions.select("text", F.col("label").alias("_l"), F.col("confidence").alias("_c"))
-    j = messages.drop("label", "confidence", "score").join(p, "text")
+    j = join_by_text(messages.drop("label", "confidence", "score"), p)
     return j.withColumns({"label": F.col("_l"), "confidence": F.col("_c"), "score": label_value(F.col("_l")) * F.col("_c")}).drop("_l", "_c")
 
 
@@ -100,33 +124,34 @@ def trace_sample(messages: DataFrame, n: int = 18) -> DataFrame:
 def peak_first_sample(messages: DataFrame, n: int = 32, peak_start: str | None = None, peak_end: str | None = None, slice_seconds: float = 1.0) -> DataFrame:
     """At most n messages per bucket for an expensive model: the peak window first, the rest evenly spaced.
 
-    Positions come from sliced counts, so no task sorts a whole hot bucket.
+    Messages are counted per slice of time. Which positions are wanted follows from the counts alone, and each falls into
+    one slice, so messages only ever meet their slice: no task sorts or joins a whole bucket.
     """
     if peak_start is None or peak_end is None:
         marked = messages.withColumn("_peak", F.lit(False))
     else:
         inside = (F.col("timestamp") >= F.col(peak_start)) & (F.col("timestamp") < F.col(peak_end))
         marked = messages.withColumn("_peak", F.coalesce(inside, F.lit(False)))
-    placed = row_positions(marked, [*BUCKET, "_peak"], "timestamp", "message_id", slice_seconds, "_pos", "_size")
-    sizes = marked.groupBy(*BUCKET).agg(F.count("*").alias("_total"), F.count_if("_peak").alias("_npeak"))
-    j = placed.join(sizes, BUCKET)
-    whole = F.col("_total") <= n
+    marked = marked.withColumn("_slice", F.floor(F.unix_micros("timestamp") / F.lit(slice_seconds * 1_000_000)))
+    key = [*BUCKET, "_peak", "_slice"]
+    counts = marked.groupBy(*key).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*BUCKET, "_peak")
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bucket = Window.partitionBy(*BUCKET)
+    slices = counts.withColumns({"_before": before, "_total": F.sum("_n").over(bucket), "_npeak": F.sum(F.when(F.col("_peak"), F.col("_n")).otherwise(0)).over(bucket)})
     peak_taken = F.least(F.col("_npeak"), F.lit(n))
-    if n == 1:
-        # one message: the first of the peak, else the middle one
-        keep = F.when(F.col("_npeak") > 0, F.col("_peak") & (F.col("_pos") == 0)).otherwise(F.col("_pos") == F.floor(F.col("_total") / 2))
-        return j.where(whole | keep).drop("_peak", "_pos", "_size", "_total", "_npeak")
     # the candidates for even spacing are all messages outside the chosen peak ones, in time order
-    slots = F.lit(n) - peak_taken
-    m = F.col("_total") - peak_taken
+    slots, m = F.lit(n) - peak_taken, F.col("_total") - peak_taken
     step = (m - 1) / F.when(slots > 1, slots - 1)
+    none = F.array().cast("array<bigint>")
     spots = F.transform(F.sequence(F.lit(0), F.greatest(slots - 1, F.lit(0))), lambda i: F.rint(i * step).cast("long"))
-    even = (
-        F.when(slots <= 0, F.lit(False))
-        .when(m <= slots, F.lit(True))
-        .when(slots == 1, F.col("_pos") == F.floor(m / 2))
-        .otherwise(F.array_contains(spots, F.col("_pos").cast("long")))
-    )
-    keep = F.when(F.col("_peak"), F.col("_pos") < n).otherwise(even)
-    chosen = j.where(whole | keep)
-    return chosen.withColumns({"in_peak": F.col("_peak"), "position": F.col("_pos")}).drop("_peak", "_pos", "_size", "_total", "_npeak")
+    even = F.when(slots <= 0, none).when(slots == 1, F.array(F.floor(m / 2))).otherwise(spots)
+    whole = (F.col("_total") <= n) | (~F.col("_peak") & (slots > 0) & (m <= slots))
+    places = F.when(F.col("_peak"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("long"))).otherwise(even)
+    here = F.filter(F.transform(places, lambda p: p - F.col("_before")), lambda p: (p >= 0) & (p < F.col("_n")))
+    wanted = slices.select(*key, "_before", whole.alias("_whole"), here.alias("_places")).where(F.col("_whole") | (F.size("_places") > 0))
+    inside = Window.partitionBy(*key).orderBy("timestamp", "message_id")
+    met = marked.join(wanted, key).withColumn("_at", F.row_number().over(inside).cast("long") - 1)
+    chosen = met.where(F.col("_whole") | F.array_contains("_places", F.col("_at")))
+    out = chosen.withColumns({"in_peak": F.col("_peak"), "position": F.col("_before") + F.col("_at")})
+    return out.drop("_peak", "_slice", "_before", "_whole", "_places", "_at")
