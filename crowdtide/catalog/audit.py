@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crowdtide.catalog.common import BUCKETS, ORACLES, TBUCKETS, half_away, register, rnd, rounded, us
 from crowdtide.catalog.timeline import ALIGN, LABELS, LAGS, SIGNAL, STREAM, chat, signal, speech, window_labels
 from crowdtide.operators import alignment, correlation, evaluation, proof
+from crowdtide.operators.windows import with_bucket
 from crowdtide.sources import adapters
 from crowdtide.sources.storage import settle
 
@@ -832,15 +833,16 @@ def _(spark, sf):
 
 @register(
     "pair_evidence",
-    f"""WITH {ALIGN} SELECT a.session_id, a.channel_id, {us}(a.window_start) AS window_start, len(list_filter([1, 1, CASE WHEN b.positive > 0 THEN 1 END], lambda x: x IS NOT NULL)) AS n,
-        printf('relationship=%s; delta=%.4f; quality=%.4f', a.relationship, a.delta, a.quality) AS first_text FROM al a JOIN buckets b ON b.session_id = a.session_id AND b.channel_id = a.channel_id AND b.bucket_start = a.chat_bucket_start""",
+    f"""WITH {ALIGN}, sm AS (SELECT session_id, channel_id, bucket_start, text, row_number() OVER (PARTITION BY session_id, channel_id, bucket_start ORDER BY abs(score) DESC, ts, text) AS rn FROM scored),
+        ms AS (SELECT session_id, channel_id, bucket_start, string_agg('chat: ' || text, '|' ORDER BY rn) AS said FROM sm WHERE rn <= 3 GROUP BY ALL)
+        SELECT a.session_id, a.channel_id, {us}(a.window_start) AS window_start, concat_ws('|', 'alignment: ' || printf('relationship=%s; delta=%.4f; quality=%.4f', a.relationship, a.delta, a.quality), ms.said,
+          CASE WHEN b.positive > 0 THEN 'chat_terms: a, b' END, 'transcript: ' || trim(a.text)) AS evidence
+        FROM al a JOIN buckets b ON b.session_id = a.session_id AND b.channel_id = a.channel_id AND b.bucket_start = a.chat_bucket_start
+        JOIN ms ON ms.session_id = a.session_id AND ms.channel_id = a.channel_id AND ms.bucket_start = a.chat_bucket_start""",
 )
 def _(spark, sf):
-    b = chat(spark, sf).withColumns(
-        {
-            "message_scores": F.lit(None).cast("array<struct<message_id:string,timestamp:timestamp,text:string,sentiment_score:double>>"),
-            "top_terms": F.when(F.col("positive") > 0, F.array(F.lit("a"), F.lit("b"))),
-        }
-    )
+    message = F.struct("message_id", "timestamp", "text", F.col("score").alias("sentiment_score"))
+    said = with_bucket(adapters.messages(spark, sf), HOUR).groupBy(*STREAM, "bucket_start").agg(F.collect_list(message).alias("message_scores"))
+    b = chat(spark, sf).withColumn("top_terms", F.when(F.col("positive") > 0, F.array(F.lit("a"), F.lit("b")))).join(said, [*STREAM, "bucket_start"])
     out = correlation.pair_evidence(aligned(spark, sf), b, speech(spark, sf))
-    return out.select(*STREAM, "window_start", F.size("evidence").alias("n"), F.col("evidence")[0]["text"].alias("first_text"))
+    return out.select(*STREAM, "window_start", F.transform("evidence", lambda e: F.concat(e["source"], F.lit(": "), e["text"])).alias("evidence"))

@@ -34,10 +34,18 @@ def speech(spark, sf):
 @register(
     "transcript_buckets",
     f"""WITH {TBUCKETS} SELECT {KEY}, text, {us}(audio_started_at) AS audio_started_at, {us}(audio_ended_at) AS audio_ended_at,
-        {rnd("transcript_confidence")} AS transcript_confidence, segment_count, asr_latency_ms FROM tbuckets""",
+        {rnd("transcript_confidence")} AS transcript_confidence, segment_count, asr_latency_ms, segments FROM tbuckets JOIN (
+          SELECT session_id, channel_id, bucket_start, string_agg(CAST(s AS VARCHAR) || ' ' || CAST(e AS VARCHAR) || ' ' || text || ' ' || c, '|' ORDER BY s, e, text, c) AS segments FROM (
+            SELECT session_id, channel_id, audio_start + to_seconds(idx * 3600) AS bucket_start, epoch_us(segment_start) - epoch_us(audio_start) - idx * 3600000000 AS s,
+              epoch_us(segment_end) - epoch_us(audio_start) - idx * 3600000000 AS e, text, CAST(CAST(floor(confidence * 1e6 + 0.5) AS BIGINT) AS VARCHAR) AS c FROM segidx) GROUP BY ALL) USING (session_id, channel_id, bucket_start)""",
 )
 def _(spark, sf):
-    return transcripts.transcript_buckets(adapters.segments(spark, sf), HOUR).drop("segments")
+    def micros(c):
+        return F.rint(c * 1e6).cast("long").cast("string")
+
+    found = transcripts.transcript_buckets(adapters.segments(spark, sf), HOUR)
+    confidence = lambda s: F.floor(s["confidence"] * 1e6 + 0.5).cast("string")
+    return found.withColumn("segments", F.transform("segments", lambda s: F.concat_ws(" ", micros(s["start"]), micros(s["end"]), s["text"], confidence(s))))
 
 
 @register(
@@ -472,10 +480,12 @@ def _(spark, sf):
     f"""WITH {SIGNAL} SELECT session_id, channel_id, {us}(bucket_start) AS window_start, {us}(bucket_end) AS window_end, type, {rnd("severity")} AS severity,
         CASE type WHEN 'hype_spike' THEN 'hype' WHEN 'frustration_spike' THEN 'frustration' ELSE reaction_type END AS reaction_type,
         CASE WHEN type = 'content_audience_divergence' THEN 'alignment' ELSE 'chat' END AS source,
-        {rnd(half_away("CASE WHEN type = 'content_audience_divergence' THEN CASE WHEN sentiment_confidence > 0 THEN (alignment_quality + sentiment_confidence) / 2 ELSE alignment_quality END WHEN sentiment_confidence > 0 THEN sentiment_confidence ELSE severity END"))} AS confidence FROM evs""",
+        {rnd(half_away("CASE WHEN type = 'content_audience_divergence' THEN CASE WHEN sentiment_confidence > 0 THEN (alignment_quality + sentiment_confidence) / 2 ELSE alignment_quality END WHEN sentiment_confidence > 0 THEN sentiment_confidence ELSE severity END"))} AS confidence,
+        'unknown' AS target_type, '' AS target_text, type AS event_hint, '' AS text, '' AS evidence_ids FROM evs""",
 )
 def _(spark, sf):
-    return signals.signal_events(signal(spark, sf)).select(*windows.RWINDOW, "type", "severity", "reaction_type", "source", "confidence")
+    context = ["target_type", "target_text", "event_hint", "text", "evidence_ids"]
+    return signals.signal_events(signal(spark, sf)).select(*windows.RWINDOW, "type", "severity", "reaction_type", "source", "confidence", *context)
 
 
 @register(
@@ -491,9 +501,15 @@ def _(spark, sf):
 
 
 _TS = r"regexp_replace(strftime({c}, '%Y-%m-%dT%H:%M:%S.%f'), '\.?0+$', '') || 'Z'"
+_TITLE = "CASE type " + " ".join(f"WHEN '{k}' THEN '{head}'" for k, (head, _) in signals.TITLES.items()) + " END"
+_TEXT = "CASE WHEN type = 'content_audience_divergence' AND relationship <> '' THEN 'Chat and transcript sentiment relationship is ' || relationship || ' in this replay window.' " + " ".join(
+    f"WHEN type = '{k}' THEN '{body}'" for k, (_, body) in signals.TITLES.items()
+) + " END"
+_VALUES = {"chat_sentiment": "chat_sentiment", "previous_chat_sentiment": "previous_sentiment", "transcript_sentiment": "transcript_sentiment", "alignment_delta": "alignment_delta"}
 INSIGHT = f"""{SIGNAL},
 ins AS (SELECT session_id, channel_id, type AS kind, bucket_start AS window_start, bucket_end AS window_end, severity,
-          CASE WHEN alignment_quality IS NULL THEN sentiment_confidence ELSE (sentiment_confidence + alignment_quality) / 2 END AS confidence,
+          CASE WHEN alignment_quality IS NULL THEN sentiment_confidence ELSE (sentiment_confidence + alignment_quality) / 2 END AS confidence, {_TITLE} AS title, {_TEXT} AS description,
+          concat_ws('|', {", ".join(f"'{n} ' || CAST(CAST(floor({c} * 1e6 + 0.5) AS BIGINT) AS VARCHAR)" for n, c in _VALUES.items())}) AS evidence,
           'ins_' || left(sha1(session_id || '|' || channel_id || '|' || type || '|' || {_TS.format(c="bucket_start")} || '|' || {_TS.format(c="bucket_end")} || '|' || printf('%.3f', {half_away("severity")})), 16) AS insight_id
         FROM evs),
 inr AS (SELECT *, {half_away("severity * 0.7 + confidence * 0.3")} AS rank FROM ins)"""
@@ -501,12 +517,13 @@ inr AS (SELECT *, {half_away("severity * 0.7 + confidence * 0.3")} AS rank FROM
 
 @register(
     "insights",
-    f"""WITH {INSIGHT} SELECT {WKEY}, insight_id, kind, {rnd("severity")} AS severity, {rnd("confidence")} AS confidence, {rnd("rank")} AS rank,
+    f"""WITH {INSIGHT} SELECT {WKEY}, insight_id, kind, {rnd("severity")} AS severity, {rnd("confidence")} AS confidence, {rnd("rank")} AS rank, title, description, evidence,
         row_number() OVER (PARTITION BY session_id ORDER BY window_start, severity DESC, insight_id) AS position FROM inr""",
 )
 def _(spark, sf):
     found = signals.order_insights(signals.insights(signal(spark, sf)))
-    return found.select(*windows.RWINDOW, "insight_id", "kind", "severity", "confidence", "rank", "position")
+    shown = F.transform("evidence", lambda e: F.concat_ws(" ", e["type"], F.floor(e["value"] * 1e6 + 0.5).cast("string")))
+    return found.select(*windows.RWINDOW, "insight_id", "kind", "severity", "confidence", "rank", "title", "description", shown.alias("evidence"), "position")
 
 
 @register(
@@ -518,16 +535,20 @@ def _(spark, sf):
     return signals.top_insights(signals.insights(signal(spark, sf))).select("session_id", "place", "insight_id", "rank")
 
 
+_BEST_OF = {"biggest_divergence": "content_audience_divergence", "highest_hype": "hype_spike", "highest_frustration": "frustration_spike"}
+
+
 @register(
     "insight_summary",
     f"""WITH {INSIGHT}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank DESC, window_start, severity DESC, insight_id) AS place FROM inr),
         lc AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank DESC, window_start, severity DESC, insight_id) AS place FROM inr WHERE confidence < 0.55)
         SELECT * EXCLUDE (lcf), coalesce(lcf, '') AS low_confidence_flags FROM (SELECT session_id, count(*) AS insight_count, count(*) FILTER (severity >= 0.7) AS high_severity_count, {rnd("max(severity)")} AS max_severity,
           {rnd(half_away("avg(severity)"))} AS average_severity, arg_min(kind, (-severity, insight_id)) AS primary_insight_kind, arg_min(insight_id, (-severity, insight_id)) AS top_insight_id,
-          string_agg(insight_id, '|' ORDER BY place) FILTER (place <= 3) AS top_moments,
+          string_agg(insight_id, '|' ORDER BY place) FILTER (place <= 3) AS top_moments, count(*) AS event_count,
+          {", ".join(f"arg_max(insight_id, (rank, -epoch_us(window_start), severity, insight_id)) FILTER (kind = '{k}') AS {n}" for n, k in _BEST_OF.items())},
           (SELECT string_agg(insight_id, '|' ORDER BY place) FROM lc WHERE lc.session_id = r.session_id AND place <= 3) AS lcf FROM r GROUP BY session_id)""",
 )
 def _(spark, sf):
     return signals.insight_summary(signals.insights(signal(spark, sf))).select(
-        "session_id", "insight_count", "high_severity_count", "max_severity", "average_severity", "primary_insight_kind", "top_insight_id", "top_moments", "low_confidence_flags"
+        "session_id", "insight_count", "high_severity_count", "event_count", "max_severity", "average_severity", "primary_insight_kind", "top_insight_id", *_BEST_OF, "top_moments", "low_confidence_flags"
     )

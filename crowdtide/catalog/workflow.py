@@ -262,11 +262,16 @@ _ARM = """count(*) AS review_count, count(ref) AS evaluated_windows, count(*) FI
 
 @register(
     "agent_review_metrics",
-    f"""WITH {BUCKETS}, {REVIEWS}, m AS (SELECT session_id, {_ARM} FROM rv GROUP BY ROLLUP (session_id)), p AS (SELECT *, true_positive / nullif(true_positive + false_positive, 0) AS p, true_positive / nullif(true_positive + false_negative, 0) AS r FROM m)
-        SELECT * EXCLUDE (p, r), {rnd("round_even(p, 4)")} AS precision, {rnd("round_even(r, 4)")} AS recall FROM p""",
+    f"""WITH {BUCKETS}, {REVIEWS}, rw AS (SELECT *, CASE WHEN ref IS NULL THEN 'uncertain' WHEN sug = ref THEN 'correct' ELSE 'wrong' END AS verdict FROM rv),
+        m AS (SELECT session_id, {_ARM}, avg(conf) AS c FROM rv GROUP BY ROLLUP (session_id)), p AS (SELECT *, true_positive / nullif(true_positive + false_positive, 0) AS p, true_positive / nullif(true_positive + false_negative, 0) AS r FROM m),
+        x AS ({" UNION ALL ".join(f"SELECT {who} AS session_id, '{side}' AS side, {v} AS v, count(*) AS n FROM rw GROUP BY ALL" for who in ("session_id", "NULL") for side, v in (("s", "sug"), ("v", "verdict")))}),
+        t AS (SELECT session_id, side, '{{' || string_agg('"' || v || '":' || CAST(n AS VARCHAR), ',' ORDER BY v) || '}}' AS t FROM x GROUP BY ALL)
+        SELECT p.* EXCLUDE (p, r, c), {rnd("round_even(p, 4)")} AS precision, {rnd("round_even(r, 4)")} AS recall, {rnd("round_even(2 * p * r / nullif(p + r, 0), 4)")} AS f1, {rnd("round_even(c, 4)")} AS average_confidence,
+          a.t AS suggested_event_counts, b.t AS correctness_counts, CASE WHEN evaluated_windows > 0 THEN 'computed_against_available_window_labels' ELSE 'pending_human_labels' END AS status
+        FROM p JOIN t a ON a.session_id IS NOT DISTINCT FROM p.session_id AND a.side = 's' JOIN t b ON b.session_id IS NOT DISTINCT FROM p.session_id AND b.side = 'v'""",
 )
 def _(spark, sf):
-    return reviews.agent_review_metrics(simple_reviews(chat(spark, sf))).drop("average_confidence", "f1")
+    return reviews.agent_review_metrics(simple_reviews(chat(spark, sf)))
 
 
 @register("prescore_reviews")
@@ -600,14 +605,20 @@ def _(spark, sf):
 
 @register(
     "decode_envelope",
-    f"""WITH {BUCKETS} SELECT session_id, channel_id, count(*) AS n, count(*) FILTER (message_count % 4 = 0) AS bad FROM buckets GROUP BY ALL""",
+    f"""WITH {BUCKETS} SELECT session_id, channel_id, {_T.format(c="bucket_start")} AS bucket_start, CAST(message_count % 4 = 0 AS BIGINT) AS bad, CASE WHEN message_count % 4 <> 0 THEN 'chat_bucket' END AS event_type,
+          CASE WHEN message_count % 4 <> 0 THEN 'tests' END AS source, CASE WHEN message_count % 4 <> 0 THEN message_count END AS message_count FROM buckets""",
 )
 def _(spark, sf):
+    """Every fourth envelope has a field too much; what is left of each line is compared field by field."""
     made = envelopes.make_envelope(payloads(spark, sf), "chat_bucket", "tests")
     n = F.get_json_object("payload", "$.message_count").cast("int")
     lines = made.select(F.when(n % 4 == 0, F.regexp_replace("value", r"^\{", '{"extra":1,')).otherwise(F.col("value")).alias("value"))
     d = envelopes.decode_envelope(lines)
-    return d.groupBy("session_id", "channel_id").agg(F.count("*").alias("n"), F.count("decode_error").alias("bad"))
+    own = F.col("decode_error").isNull()
+    return d.select(
+        "session_id", "channel_id", F.get_json_object("payload", "$.bucket_start").alias("bucket_start"), F.col("decode_error").isNotNull().alias("bad"), F.when(own, F.col("event_type")).alias("event_type"),
+        F.when(own, F.col("source")).alias("source"), F.when(own, F.get_json_object("payload", "$.message_count").cast("long")).alias("message_count"),
+    )
 
 
 @register(
@@ -666,15 +677,19 @@ def _(spark, sf):
 
 @register(
     "write_reports",
-    f"""WITH {BUCKETS} SELECT session_id, 'chat' AS name, {rnd("arg_max(chat_sentiment, (bucket_start, chat_sentiment))")} AS value FROM buckets GROUP BY 1""",
+    f"""WITH {BUCKETS} SELECT session_id, 'chat' AS name, {rnd("arg_max(chat_sentiment, (bucket_start, chat_sentiment))")} AS value, count(*) AS detail_rows, CAST(sum(message_count) AS BIGINT) AS messages, CAST(max(unique_chatters) AS BIGINT) AS most_chatters
+        FROM buckets GROUP BY 1""",
 )
 def _(spark, sf):
+    """The report read back, beside figures of the detail rows read back."""
     from crowdtide.operators import proof
 
     b = settle(chat(spark, sf), "chat")
     path = storage.fresh_path(spark, "report")
     storage.write_reports(proof.latest_metric(b.select("session_id", F.lit("chat").alias("name"), F.col("chat_sentiment").alias("value"), F.col("bucket_start").alias("recorded_at"))), b, path)
-    return spark.read.schema("session_id STRING, name STRING, value DOUBLE").json(f"{path}/report")
+    detail = spark.read.schema(b.schema).json(f"{path}/rows").groupBy("session_id")
+    detail = detail.agg(F.count("*").alias("detail_rows"), F.sum("message_count").alias("messages"), F.max("unique_chatters").alias("most_chatters"))
+    return spark.read.schema("session_id STRING, name STRING, value DOUBLE").json(f"{path}/report").join(detail, "session_id")
 
 
 @register(

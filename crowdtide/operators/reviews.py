@@ -227,22 +227,37 @@ def review_rows(contexts: DataFrame, labels: DataFrame, run_id: str = "run", wid
 
 
 def agent_review_metrics(reviews: DataFrame) -> DataFrame:
-    """Hits, misses and scores against the gold labels, per session and (session NULL) overall; NULL when undefined."""
+    """Hits, misses and scores against the gold labels, per session and (session NULL) overall; NULL when undefined.
+
+    ``status`` tells whether there was any gold label to score against; the counts are sorted maps.
+    """
     s, g = F.col("suggested_event_label"), F.col("reference_event_label")
     gold = g.isNotNull()
     hit = gold & (s == g) & (s != "none")
-    out = reviews.rollup("session_id").agg(
-        F.count("*").alias("review_count"),
-        F.count_if(gold).alias("evaluated_windows"),
-        F.count_if(hit).alias("true_positive"),
-        F.count_if(gold & ~hit & (s != "none")).alias("false_positive"),
-        F.count_if(gold & ~hit & (g != "none")).alias("false_negative"),
-        *[F.count_if(F.col("correctness") == c).alias(c) for c in ("correct", "wrong", "uncertain")],
-        bround4(F.avg("confidence")).alias("average_confidence"),
+    suggested, verdict = F.coalesce(s, F.lit("none")), F.coalesce("correctness", F.lit("uncertain"))
+    # one row per session and pair of values first, so that the maps come from counted values
+    figures = {
+        "review_count": F.lit(True), "evaluated_windows": gold, "true_positive": hit, "false_positive": gold & ~hit & (s != "none"), "false_negative": gold & ~hit & (g != "none"),
+        **{c: F.col("correctness") == c for c in ("correct", "wrong", "uncertain")},
+    }
+    counted = reviews.groupBy("session_id", suggested.alias("_s"), verdict.alias("_v")).agg(
+        *[F.count_if(c).alias(n) for n, c in figures.items()], F.sum("confidence").alias("_confidence"), F.count("confidence").alias("_rated")
     )
+    sides = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("_s").alias("v")), F.struct(F.lit("v").alias("side"), F.col("_v").alias("v"))))
+    values = counted.select("session_id", sides.alias("x"), "review_count").groupBy("session_id", "x").agg(F.sum("review_count").alias("n"))
+
+    def counts(side: str, name: str) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("x.side") == side, F.struct(F.col("x.v"), "n"))))).alias(name)
+
+    maps = values.groupBy("session_id").agg(counts("s", "suggested_event_counts"), counts("v", "correctness_counts"))
+    overall = values.groupBy("x").agg(F.sum("n").alias("n")).groupBy().agg(counts("s", "suggested_event_counts"), counts("v", "correctness_counts")).select(F.lit(None).cast("string").alias("session_id"), "*")
+    out = counted.rollup("session_id").agg(*[F.sum(c).alias(c) for c in figures], bround4(ratio(F.sum("_confidence"), F.sum("_rated"))).alias("average_confidence"), F.grouping("session_id").alias("_all"))
     tp, fp, fn = (F.col(f"{c}") for c in ("true_positive", "false_positive", "false_negative"))
     p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    return out.withColumns({"precision": bround4(p), "recall": bround4(r), "f1": bround4(F.try_divide(p * r * 2, p + r))})
+    both = maps.withColumn("_all", F.lit(0)).unionByName(overall.withColumn("_all", F.lit(1))).withColumnRenamed("session_id", "_sid").withColumnRenamed("_all", "_top")
+    out = out.join(both, F.col("session_id").eqNullSafe(F.col("_sid")) & (F.col("_all") == F.col("_top"))).drop("_sid", "_all", "_top")
+    out = out.withColumns({"precision": bround4(p), "recall": bround4(r), "f1": bround4(F.try_divide(p * r * 2, p + r))})
+    return out.withColumn("status", F.when(F.col("evaluated_windows") > 0, "computed_against_available_window_labels").otherwise("pending_human_labels"))
 
 
 # --- quick scoring of stored sessions ---------------------------------------
