@@ -13,6 +13,7 @@ from crowdtide.sources import adapters, envelopes
 from crowdtide.sources.storage import fresh_path, settle
 from crowdtide.streaming import pipelines as live
 from crowdtide.streaming import retention
+from crowdtide.streaming.alignment import stream_align
 
 HOUR = adapters.HOUR
 
@@ -101,7 +102,7 @@ def _(spark, sf):
     one = c.select(F.lit("chat").alias("kind"), F.lit(1).cast("long").alias("version"), F.struct(*c.columns).alias("chat"))
     two = t.select(F.lit("transcript").alias("kind"), F.lit(1).cast("long").alias("version"), F.struct(*t.columns).alias("speech"))
     both = one.unionByName(two, allowMissingColumns=True).repartition(3, F.coalesce("chat.bucket_start", "speech.bucket_start"))
-    out = live.stream_align(stored_stream(both, "feed", 2), fresh_path(spark, "live-align"), HOUR)
+    out = stream_align(stored_stream(both, "feed", 2), fresh_path(spark, "live-align"), HOUR)
     return out.select(*windows.RWINDOW, "chat_bucket_start", "transcript_bucket_start", "delta", "relationship")
 
 

@@ -12,10 +12,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from crowdtide.functions.lexicons import ReactionLexicon
-from crowdtide.operators import alignment, transcripts, windows
+from crowdtide.operators import transcripts, windows
 from crowdtide.operators.intervals import STREAM, drop_superseded
 from crowdtide.operators.series import transcript_reaction
 from crowdtide.sources.storage import upsert
@@ -110,35 +110,6 @@ def stream_upsert_latest(changes: DataFrame, path: str, keys: Sequence[str], ver
     return latest_rows(read_log(changes.sparkSession, changes.schema, f"{path}/log"), keys, version)
 
 
-def stream_align(feed: DataFrame, path: str, seconds: int) -> DataFrame:
-    """Alignment of two bucket streams: a micro-batch re-aligns the sessions it touches.
-
-    ``feed``: kind (chat or transcript), version, and struct columns chat and speech. A better partner may turn up later,
-    so the pairs of a touched session are written anew as a whole; the batch that touched it last counts. All state is
-    in three parquet logs by batch id below ``path``, read up to the batch at hand, so that a replayed batch writes the same.
-    """
-    spark, schema = feed.sparkSession, feed.schema
-    log, aligned, touched = (f"{path}/{name}" for name in ("log", "aligned", "touched"))
-    session = F.coalesce("chat.session_id", "speech.session_id").alias("session_id")
-
-    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return tuple(latest_rows(rows.where(F.col("kind") == kind).select(f"{name}.*", "version"), BUCKET, "version") for kind, name in (("chat", "chat"), ("transcript", "speech")))
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        log_sink(log)(batch, batch_id)
-        rows = read_log(spark, schema, log, batch_id)
-        now = rows.where(F.col("batch") == batch_id).select(session).distinct()
-        log_sink(touched)(now, batch_id)
-        c, t = sides(rows.withColumn("session_id", session).join(now, "session_id", "left_semi"))
-        log_sink(aligned)(alignment.align(c, t, seconds), batch_id)
-
-    run_to_end(feed, path, sink)
-    last = read_log(spark, StructType([StructField("session_id", StringType())]), touched).groupBy("session_id").agg(F.max("batch").alias("batch"))
-    empty = spark.createDataFrame([], schema)
-    pairs = read_log(spark, alignment.align(*sides(empty), seconds).schema, aligned)
-    return pairs.join(last, ["session_id", "batch"]).drop("batch")
-
-
 def provisional_then_final(partials: DataFrame, committed: DataFrame, seconds: int = 30) -> DataFrame:
     """Partial speech windows no committed bucket covers yet; called per micro-batch."""
     live = transcript_reaction(partials)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from crowdtide.operators import windows
@@ -79,6 +81,7 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
 
 def test_alignment_goes_on_after_a_restart(spark, tmp_path):
     from crowdtide.operators import alignment
+    from crowdtide.streaming import alignment as sliced
     from tests.test_alignment import chat, speech
 
     c = chat(spark, [("s", 0, 30, 0.1), ("s", 30, 60, 0.2), ("t", 0, 30, 0.3)])
@@ -93,7 +96,7 @@ def test_alignment_goes_on_after_a_restart(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        out = live.stream_align(stream, path, 30)
+        out = sliced.stream_align(stream, path, 30, 2)
         return sorted((r["session_id"], r["chat_bucket_start"], r["transcript_bucket_start"]) for r in out.collect())
 
     def want(speeches):
@@ -151,3 +154,52 @@ def test_retention_keeps_the_last_minutes_in_state(spark, tmp_path):
     assert gone.count() == 311 and gone.select("start", "stop").distinct().count() == 311
     row = run().where("message_count = 700").first()
     assert (row["reaction_type"], row["window_end"]) == ("hype", at(700).replace(tzinfo=None))
+
+
+def test_a_batch_realigns_the_slices_it_touches(spark, tmp_path):
+    """A long session in slices of four windows: contested chains across borders, late and updated buckets. The result is that
+    of aligning everything, and a batch that touches one slice reads and writes that one and its neighbours."""
+    from crowdtide.operators import alignment
+    from crowdtide.streaming import alignment as sliced
+    from tests.test_alignment import chat, speech
+
+    rng = random.Random(8)
+    chats = [("s", i * 30, i * 30 + 30, 0.1) for i in range(80)] + [("long", i * 30, i * 30 + 30, 0.2) for i in range(1, 40)]
+    speeches = [("s", a, a + rng.choice((30, 45)), 0.4) for a in range(5, 2400, 40)] + [("long", i * 30 + 15, i * 30 + 45, 0.3) for i in range(40)]
+    late = [speeches.pop(i) for i in (50, 30, 10)]
+    source, path = str(tmp_path / "in"), str(tmp_path / "query")
+    schema = None
+
+    def rows(kind, name, df):
+        return df.select(F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("version"), F.struct(*df.columns).alias(name))
+
+    def bring(cs, ts):
+        nonlocal schema
+        feed = rows("chat", "chat", chat(spark, cs)).unionByName(rows("transcript", "speech", speech(spark, ts)), allowMissingColumns=True)
+        schema = feed.schema
+        feed.coalesce(1).write.mode("append").parquet(source)
+
+    def got():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        out = sliced.stream_align(stream, path, 30, 4)
+        return sorted((r["session_id"], r["chat_bucket_start"], r["transcript_bucket_start"], r["quality"]) for r in out.collect())
+
+    def want(cs, ts):
+        return sorted((r["session_id"], r["chat_bucket_start"], r["transcript_bucket_start"], r["quality"]) for r in alignment.align(chat(spark, cs), speech(spark, ts), 30).collect())
+
+    bring(chats[1::2], speeches)
+    bring(chats[::2], [])
+    assert got() == want(chats, speeches)
+    bring([], late[:1])
+    bring([], late[1:])
+    assert got() == want(chats, speeches + late)
+    state = sliced.SlicedAlignment(spark, schema, path, 30, 4)
+    touched = spark.read.parquet(f"{path}/touched/batch=2")
+    places = [tuple(r) for r in touched.select("session_id", "slice").distinct().collect()]
+    assert 1 <= len(places) <= 2 and {p[0] for p in places} == {late[0][0]}
+    around = touched.select("session_id", "channel_id", F.explode(F.array(F.col("slice") - 1, F.col("slice"), F.col("slice") + 1)).alias("slice"))
+    whole = spark.read.parquet(f"{path}/log").count()
+    assert 0 < state.read(around, 9).count() < whole / 5
+    files = state.read(around, 9)._jdf.queryExecution().sparkPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "slice" in files and "part" in files
+    assert spark.read.parquet(f"{path}/aligned/batch=2").count() < len(want(chats, speeches)) / 5
