@@ -799,9 +799,13 @@ def _(spark, sf):
     return correlation.negative_control(pairs(spark, sf))
 
 
+SAMPLED = 10
+_WHY = {"detected_divergence": "dd", "labeled_event": "le", "low_chat_volume": "chat_message_count < 5", "low_quality": "quality < 0.5", "short_transcript": "len < 40"}
+_EACH = ", ".join(f"""CASE WHEN count(*) FILTER ({c}) > 0 THEN '"{n}":' || count(*) FILTER ({c}) END""" for n, c in _WHY.items())
+_REASONS = f""", '{{' || concat_ws(',', {_EACH}) || '}}' AS baseline_exclusion_counts"""
 QUAL = f"""count(*) AS alignment_pair_count, count(*) FILTER (calm) AS baseline_pair_count, count(*) FILTER (dd) AS detected_divergence_count, count(*) FILTER (le) AS labeled_event_pair_count,
   count(*) FILTER (label = 'none') AS labeled_none_pair_count, count(*) FILTER (quality < 0.5) AS low_quality_alignment_count, count(*) FILTER (chat_message_count < 5) AS low_chat_volume_count,
-  count(*) FILTER (len < 40) AS short_transcript_count, count(*) FILTER (transcript_confidence < 0.7) AS low_transcript_confidence_count, count(*) FILTER (o / 3600 < 0.9) AS partial_overlap_count, {r4("avg(quality)")} AS average_alignment_quality"""
+  count(*) FILTER (len < 40) AS short_transcript_count, count(*) FILTER (transcript_confidence < 0.7) AS low_transcript_confidence_count, count(*) FILTER (o / 3600 < 0.9) AS partial_overlap_count, {r4("avg(quality)")} AS average_alignment_quality{_REASONS}"""
 
 
 @register(
@@ -831,6 +835,58 @@ def _(spark, sf):
     return correlation.validation_sample(pairs(spark, sf)).select("sample_cohort", "place", *STREAM, "window_start", "delta")
 
 
+def _long_sql(section: str, item: str, query: str, drop: str) -> str:
+    return f"""SELECT '{section}' AS section, {item} AS item, name, value FROM (UNPIVOT (SELECT {drop}, CAST(COLUMNS(* EXCLUDE ({drop})) AS DOUBLE) FROM ({query})) ON COLUMNS(* EXCLUDE ({drop})) INTO NAME name VALUE value)"""
+
+
+_QUALITY = f"""WITH {PAIRS} SELECT 'x' AS k, (SELECT count(DISTINCT session_id) FROM buckets) AS session_count, (SELECT count(*) FROM buckets) AS chat_bucket_count, (SELECT count(*) FROM tbuckets) AS transcript_bucket_count,
+  (SELECT count(*) FROM tbuckets WHERE trim(text) = '') AS empty_transcript_count, 0 AS missing_transcript_sentiment_count, {QUAL.replace(_REASONS, "")} FROM pr"""
+
+
+@register(
+    "correlation_report",
+    " UNION ALL ".join(
+        [
+            _long_sql("data_quality", "''", _QUALITY, "k"),
+            _long_sql("aggregate", "cohort", f"SELECT * EXCLUDE (correlation_status, relationship_counts, label_counts) FROM ({ORACLES['cohort_summary']})", "cohort"),
+            _long_sql("comparison", "status", ORACLES["compare_cohorts"], "status"),
+            _long_sql("calibration", "status", f"SELECT * EXCLUDE (threshold_assessment) FROM ({ORACLES['calibrate_threshold']})", "status"),
+            _long_sql("lag_analysis", "CAST(lag_seconds AS VARCHAR)", f"SELECT * EXCLUDE (correlation_status, best) FROM ({ORACLES['lag_summary']})", "lag_seconds"),
+            f"SELECT 'best_lag', '', 'lag_seconds', CAST(lag_seconds AS DOUBLE) FROM ({ORACLES['lag_summary']}) WHERE best = 1",
+            _long_sql("negative_control", "status", ORACLES["negative_control"], "status"),
+            f"""SELECT 'validation_sample', sample_cohort || ' ' || place || ' ' || session_id || ' ' || channel_id, 'window_start', {rnd('window_start / 1e6')} FROM ({ORACLES["validation_sample"]})""",
+        ]
+    ),
+)
+def _(spark, sf):
+    """The nested report, read back section by section as (section, item, name, value)."""
+    from crowdtide.plans import reports
+
+    c = settle(chat(spark, sf).withColumn("chat_sentiment", rounded(F.col("chat_sentiment"))), "chat")
+    t = settle(speech(spark, sf).withColumn("sentiment_score", rounded(F.col("sentiment_score"))), "speech")
+    lagged = settle(alignment.lag_pairs(c, t, LAGS, HOUR), "lagged")
+    report = settle(reports.correlation_report(c, t, pairs(spark, sf), lagged, LAGS, CFG, SAMPLED), "report")
+
+    def long(df, section, item, figures):
+        kinds = dict(df.select(f"{figures}.*").dtypes)
+        numbers = [F.struct(F.lit(n).alias("name"), F.col(f"{figures}.{n}").cast("double").alias("value")) for n, k in kinds.items() if k in ("bigint", "int", "double")]
+        return df.select(F.lit(section).alias("section"), item.alias("item"), F.inline(F.array(*numbers))).where("value IS NOT NULL")
+
+    def rows(name):
+        return report.select(F.explode(name).alias("r"))
+
+    status = {n: F.col(f"{n}.status") for n in ("comparison", "calibration", "negative_control")}
+    parts = [long(report, n, status.get(n, F.lit("")), n) for n in ("data_quality", *status)]
+    parts += [long(rows("aggregate"), "aggregate", F.col("r.cohort"), "r.figures"), long(rows("lag_analysis"), "lag_analysis", F.col("r.lag_seconds").cast("string"), "r.figures")]
+    parts.append(report.select(F.lit("best_lag").alias("section"), F.lit("").alias("item"), F.lit("lag_seconds").alias("name"), F.col("best_lag").cast("double").alias("value")))
+    who = F.concat_ws(" ", "r.sample_cohort", F.col("r.place").cast("string"), "r.figures.session_id", "r.figures.channel_id")
+    parts.append(rows("validation_sample").select(F.lit("validation_sample").alias("section"), who.alias("item"), F.lit("window_start").alias("name"), (F.unix_micros("r.figures.window_start") / 1e6).alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @register(
     "pair_evidence",
     f"""WITH {ALIGN}, sm AS (SELECT session_id, channel_id, bucket_start, text, row_number() OVER (PARTITION BY session_id, channel_id, bucket_start ORDER BY abs(score) DESC, ts, text) AS rn FROM scored),

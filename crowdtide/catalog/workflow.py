@@ -431,21 +431,25 @@ def _(spark, sf):
     return reviews.repair_change(pairs, "live", "final").select("session_id", "turn", "repair_added_words", "repair_changed_ratio")
 
 
-MAN = """man AS (SELECT lang AS task, printf('d%09d', d.doc_id) AS example_id, CAST(quality AS VARCHAR) AS gold, CASE WHEN quality IS NOT NULL THEN CASE WHEN n_chars > 1500 THEN '1' ELSE '0' END END AS predicted, quality IS NOT NULL AS has_output FROM documents d LEFT JOIN labels USING (doc_id))"""
+MAN = """man AS (SELECT lang AS task, printf('d%09d', d.doc_id) AS example_id, CAST(quality AS VARCHAR) AS gold, CASE WHEN quality IS NOT NULL THEN CASE WHEN n_chars > 1500 THEN '1' ELSE '0' END END AS predicted, quality IS NOT NULL AS has_output, n_chars % 2 = 0 AS audio, quality = 1 AND regexp_matches(text, '\\S') AS ref FROM documents d LEFT JOIN labels USING (doc_id))"""
 
 
 def manifest(spark, sf):
-    d = adapters.documents(spark, sf).select("doc_id", "lang", "n_chars").join(adapters.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = adapters.documents(spark, sf).select("doc_id", "lang", "n_chars", F.col("text").alias("reference_text")).join(adapters.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     q = F.col("quality")
-    return d.select(F.col("lang").alias("task"), F.format_string("d%09d", "doc_id").alias("example_id"), q.cast("string").alias("gold"), F.when(q.isNotNull(), F.when(F.col("n_chars") > 1500, "1").otherwise("0")).alias("predicted"), q.isNotNull().alias("has_output"))
+    return d.select(F.col("lang").alias("task"), F.format_string("d%09d", "doc_id").alias("example_id"), q.cast("string").alias("gold"), F.when(q.isNotNull(), F.when(F.col("n_chars") > 1500, "1").otherwise("0")).alias("predicted"), q.isNotNull().alias("has_output"),
+        (F.col("n_chars") % 2 == 0).alias("audio_available"), F.when(q == 1, F.col("reference_text")).otherwise(" ").alias("reference_text"),
+    )
 
 
 @register(
     "manifest_summary",
     f"""WITH {MAN}, s AS (SELECT task, count(*) AS records, count(*) FILTER (has_output) AS model_outputs_present, count(*) FILTER (NOT has_output) AS model_outputs_missing, count(*) FILTER (has_output) AS evaluated_records,
             {rnd(half_away("count(*) FILTER (gold = predicted) / nullif(count(*) FILTER (has_output), 0)", 4))} AS accuracy FROM man GROUP BY 1),
-        m AS (SELECT task, string_agg(example_id, '|' ORDER BY example_id) AS missing_examples FROM man WHERE NOT has_output GROUP BY 1)
-        SELECT s.*, missing_examples, 'computed' AS status FROM s LEFT JOIN m USING (task)""",
+        m AS (SELECT task, string_agg(example_id, '|' ORDER BY example_id) AS missing_examples FROM man WHERE NOT has_output GROUP BY 1),
+        g AS (SELECT task, '{{' || string_agg('"' || gold || '":' || CAST(n AS VARCHAR), ',' ORDER BY gold) || '}}' AS label_counts FROM (SELECT task, gold, count(*) AS n FROM man WHERE gold IS NOT NULL GROUP BY ALL) GROUP BY 1),
+        a AS (SELECT task, count(*) FILTER (audio) AS audio_available, count(*) FILTER (NOT audio) AS audio_missing, count(*) FILTER (ref) AS reference_text_count FROM man GROUP BY 1)
+        SELECT s.*, missing_examples, label_counts, audio_available, audio_missing, reference_text_count, 'computed' AS status FROM s LEFT JOIN m USING (task) LEFT JOIN g USING (task) JOIN a USING (task)""",
 )
 def _(spark, sf):
     return reviews.manifest_summary(manifest(spark, sf))

@@ -246,8 +246,14 @@ def pair_data_quality(pairs: DataFrame, config: CohortConfig | None = None, by_s
     low_quality = F.col("quality") < cfg.minimum_quality
     few = F.col("chat_message_count") < cfg.minimum_messages
     short = F.col("transcript_text_length") < cfg.minimum_text
+    excluded = {
+        "detected_divergence": F.col("detected_divergence"), "labeled_event": F.col("labeled_event"), "low_chat_volume": few, "low_quality": low_quality, "short_transcript": short,
+    }
+    # why pairs are no calm baseline: a pair counts under each of its reasons
+    reasons = F.array_compact(F.array(*[F.when(F.count_if(c) > 0, F.struct(F.lit(n).alias("key"), F.count_if(c).alias("value"))) for n, c in excluded.items()]))
     grouped = pairs.rollup("session_id") if by_session else pairs.groupBy()
     return grouped.agg(
+        F.when(F.size(reasons) > 0, F.map_from_entries(reasons)).alias("baseline_exclusion_counts"),
         F.count("*").alias("alignment_pair_count"),
         F.count_if("calm_baseline").alias("baseline_pair_count"),
         F.count_if("detected_divergence").alias("detected_divergence_count"),

@@ -12,6 +12,7 @@ from crowdtide.functions.keys import rfc3339
 from crowdtide.functions.numbers import clamp01, ratio, round_half_away
 from crowdtide.functions.text import collapse_spaces, first_non_empty, key_text, strip
 from crowdtide.operators.alignment import gold_label
+from crowdtide.operators.correlation import count_map
 from crowdtide.operators.evaluation import reaction_event_time
 from crowdtide.operators.intervals import best_overlap
 
@@ -498,19 +499,31 @@ def repair_change(pairs: DataFrame, live: str, final: str) -> DataFrame:
 
 
 def manifest_summary(records: DataFrame) -> DataFrame:
-    """Per task: records, outputs present, missing ids, accuracy. ``records``: task, example_id, gold, predicted, has_output."""
+    """Per task: records, counts of the gold labels, outputs present, missing ids, accuracy.
+
+    ``records``: task, example_id, gold, predicted, has_output. Manifests of speech also carry audio_available and
+    reference_text; their summary tells how many recordings and reference texts there are.
+    """
     both = (F.coalesce("gold", F.lit("")) != "") & (F.coalesce("predicted", F.lit("")) != "")
     right = F.count_if(both & (F.col("gold") == F.col("predicted")))
+    speech = []
+    if {"audio_available", "reference_text"} <= set(records.columns):
+        there = F.coalesce("audio_available", F.lit(False))
+        speech = [
+            F.count_if(there).alias("audio_available"), F.count_if(~there).alias("audio_missing"),
+            F.count_if(strip(F.coalesce("reference_text", F.lit(""))) != "").alias("reference_text_count"),
+        ]
     out = records.groupBy("task").agg(
         F.count("*").alias("records"),
         F.count_if("has_output").alias("model_outputs_present"),
         F.count_if(~F.col("has_output")).alias("model_outputs_missing"),
         F.count_if(both).alias("evaluated_records"),
         round_half_away(ratio(right, F.count_if(both)), 4).alias("accuracy"),
+        *speech,
     )
     ids = records.where(~F.col("has_output")).groupBy("task").agg(F.array_sort(F.collect_list("example_id")).alias("missing_examples"))
     status = F.when(F.col("evaluated_records") > 0, "computed").otherwise("pending_model_outputs")
-    return out.join(ids, "task", "left").withColumn("status", status)
+    return out.join(ids, "task", "left").join(count_map(records, ["task"], "gold", "label_counts"), "task", "left").withColumn("status", status)
 
 
 def manifest_confusion(records: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdtide.functions.numbers import ratio, round_half_away
-from crowdtide.operators import evaluation, proof, signals
+from crowdtide.operators import correlation, evaluation, proof, signals
+from crowdtide.sources.storage import settle
 
 STORAGE_METRICS = {
     "storage_write_failures": "storage.write_failures",
@@ -72,3 +75,48 @@ def report_metrics(report: DataFrame) -> DataFrame:
     """The report as long-format (session_id, name, value) rows, ready for the baseline comparison."""
     items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c in SUMMARY])
     return report.select("session_id", F.inline(items)).where(F.col("value").isNotNull())
+
+
+def correlation_report(chat: DataFrame, transcripts: DataFrame, pairs: DataFrame, lagged: DataFrame, lags: Sequence[int], config: correlation.CohortConfig | None = None, sample: int = 10) -> DataFrame:
+    """How chat and speech go together over all sessions, as one row of nested sections.
+
+    ``pairs``: ``correlation.sentiment_pairs``, stored; ``lagged``: ``alignment.lag_pairs``, stored. Each section is one
+    row, or one for each of the five cohorts, the lags and the sampled pairs, before it is put in.
+    """
+    cfg = config or correlation.CohortConfig()
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.first(F.struct(*df.columns)).alias(name))
+
+    def many(df: DataFrame, name: str, *order: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in order]
+
+        def place(x: Column) -> Column:
+            return F.struct(*[x[c].alias(c) for c in order])
+
+        # maps have no order, so the places alone are compared
+        rows = F.collect_list(F.struct(*order, F.struct(*rest).alias("figures")))
+        return df.agg(F.array_sort(rows, lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)).alias(name))
+
+    heard = correlation.source_data_quality(transcripts).where("session_id IS NULL").drop("session_id")
+    seen = chat.agg(F.count("*").alias("chat_bucket_count"))
+    weak = correlation.pair_data_quality(pairs, cfg, by_session=False)
+    people = chat.select("session_id").unionByName(transcripts.select("session_id")).agg(F.countDistinct("session_id").alias("session_count"))
+    quality = people.crossJoin(seen).crossJoin(heard).crossJoin(weak)
+    cohorts = settle(correlation.cohort_summary(pairs, (), cfg), "cohorts")
+    by_lag = settle(correlation.lag_summary(lagged, lags), "by_lag")
+    sampled = correlation.validation_sample(pairs, sample).select("sample_cohort", "place", "session_id", "channel_id", "window_start", "window_end", "delta", "quality")
+    sections = [
+        one(quality, "data_quality"),
+        many(cohorts, "aggregate", "cohort"),
+        one(correlation.compare_cohorts(cohorts), "comparison"),
+        one(correlation.calibrate_threshold(pairs, (), cfg), "calibration"),
+        many(by_lag.drop("best"), "lag_analysis", "lag_seconds"),
+        by_lag.where("best").agg(F.first("lag_seconds").alias("best_lag")),
+        one(correlation.negative_control(pairs, (), cfg.minimum_pairs), "negative_control"),
+        many(sampled, "validation_sample", "sample_cohort", "place"),
+    ]
+    report = sections[0]
+    for section in sections[1:]:
+        report = report.crossJoin(section)  # single rows
+    return report

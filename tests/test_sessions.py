@@ -175,3 +175,28 @@ def test_reviews(tables):
     assert (hype["suggested_event_label"], hype["reaction_type"], hype["streamer_usefulness"]) == ("hype_spike", "hype", 0.95)
     assert (quiet["suggested_event_label"], quiet["confidence"], quiet["streamer_usefulness"]) == ("none", 0.8, 0.08)
     assert (burst["suggested_event_label"], burst["confidence"], burst["event_peak"].second) == ("audience_shift", 0.8, 43)
+
+
+def test_correlation_report_of_a_small_session(spark):
+    """One row whose sections hold what the operators give on their own; pairs count under each reason of exclusion."""
+    from crowdtide.operators import alignment, correlation
+    from tests.test_alignment import chat, speech
+
+    scores = [-0.5, 0.0, 0.5, 0.3, -0.2, 0.6]
+    c = chat(spark, [("s", i * 30, i * 30 + 30, v) for i, v in enumerate(scores)])
+    t = speech(spark, [("s", i * 30, i * 30 + 30, v / 2 + (0.9 if i == 3 else 0)) for i, v in enumerate(scores)])
+    labels = spark.createDataFrame([], schemas.WINDOW_LABEL)
+    cfg = correlation.CohortConfig()
+    pairs = correlation.sentiment_pairs(alignment.align(c, t, 30), labels, cfg, 30)
+    report = reports.correlation_report(c, t, pairs, alignment.lag_pairs(c, t), alignment.DEFAULT_LAGS, cfg, 2).collect()
+    assert len(report) == 1
+    r = report[0]
+    assert (r["data_quality"]["session_count"], r["data_quality"]["chat_bucket_count"], r["data_quality"]["alignment_pair_count"]) == (1, 6, 6)
+    assert r["data_quality"]["baseline_exclusion_counts"].get("detected_divergence") == 1
+    assert {a["cohort"]: a["figures"]["pair_count"] for a in r["aggregate"]}["all_aligned"] == 6
+    want = correlation.lag_summary(alignment.lag_pairs(c, t), alignment.DEFAULT_LAGS).where("best").first()["lag_seconds"]
+    assert r["best_lag"] == want and len(r["lag_analysis"]) == 5
+    assert r["calibration"]["baseline_pair_count"] == r["data_quality"]["baseline_pair_count"]
+    assert {(v["sample_cohort"], v["place"]) for v in r["validation_sample"]} <= {("detected_divergence", 1), ("stable_baseline", 1), ("stable_baseline", 2)}
+    empty = reports.correlation_report(c.limit(0), t.limit(0), pairs.limit(0), alignment.lag_pairs(c, t).limit(0), alignment.DEFAULT_LAGS, cfg).collect()
+    assert len(empty) <= 1
