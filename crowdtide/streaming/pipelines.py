@@ -94,6 +94,59 @@ def latest_rows(log: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     return upsert(rows.where(F.lit(False)), rows, keys, version)
 
 
+class LevelledLog:
+    """Newest versions per key, in runs of growing size.
+
+    Batch n is run n of level 0, reduced to one row per key. Whenever ``fanout`` runs of a level are complete they are
+    merged into one of the next level, so the batches so far are always covered by fewer than fanout runs of each level,
+    named by the digits of their number. A read merges those instead of every version ever written, and a row is written
+    once per level. A replayed batch writes the same runs again.
+    """
+
+    def __init__(self, spark: SparkSession, schema: StructType, path: str, keys: Sequence[str], version: str, fanout: int = 8):
+        self.spark, self.schema, self.path, self.keys, self.version, self.fanout = spark, schema, path, keys, version, fanout
+
+    def _run(self, level: int, number: int) -> str:
+        return f"{self.path}/level={level}/run={number}"
+
+    def _merged(self, runs: Sequence[tuple[int, int]]) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(*[self._run(*r) for r in runs])
+        return latest_rows(rows, self.keys, self.version)
+
+    def append(self, batch: DataFrame, batch_id: int) -> None:
+        latest_rows(batch, self.keys, self.version).write.mode("overwrite").parquet(self._run(0, batch_id))
+        level, done = 0, batch_id + 1
+        while done % self.fanout == 0:
+            done //= self.fanout
+            below = [(level, (done - 1) * self.fanout + i) for i in range(self.fanout)]
+            level += 1
+            self._merged(below).write.mode("overwrite").parquet(self._run(level, done - 1))
+
+    def runs(self, batches: int) -> list[tuple[int, int]]:
+        """The runs that cover the first batches, the largest first."""
+        found, start = [], 0
+        size, level = 1, 0
+        while size * self.fanout <= batches:
+            size, level = size * self.fanout, level + 1
+        while start < batches:
+            if start + size <= batches:
+                found.append((level, start // size))
+                start += size
+            else:
+                size, level = size // self.fanout, level - 1
+        return found
+
+    def batches(self) -> int:
+        """How many batches there are, from the folders of level 0."""
+        folder = StructType([StructField("run", LongType())])
+        last = self.spark.read.schema(folder).parquet(f"{self.path}/level=0").agg(F.max("run")).first()[0]
+        return 0 if last is None else last + 1
+
+    def read(self, batches: int) -> DataFrame:
+        runs = self.runs(batches)
+        return self._merged(runs) if runs else self.spark.createDataFrame([], self.schema)
+
+
 def run_to_end(df: DataFrame, path: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> StreamingQuery:
     """Process everything available. ``path`` belongs to the query: its checkpoint lies below, and so does its table
     unless ``sink`` is given. A query started again with the same path goes on where the last one stopped."""
@@ -104,10 +157,19 @@ def run_to_end(df: DataFrame, path: str, sink: Callable[[DataFrame, int], None]
     return query
 
 
-def stream_upsert_latest(changes: DataFrame, path: str, keys: Sequence[str], version: str) -> DataFrame:
+def stream_upsert_latest(changes: DataFrame, path: str, keys: Sequence[str], version: str, fanout: int = 8) -> DataFrame:
     """Newest version per key of everything the stream has brought so far, in this and earlier runs."""
-    run_to_end(changes, path, log_sink(f"{path}/log"))
-    return latest_rows(read_log(changes.sparkSession, changes.schema, f"{path}/log"), keys, version)
+    spark = changes.sparkSession
+    log = LevelledLog(spark, changes.schema, f"{path}/log", keys, version, fanout)
+    last = [-1]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, batch_id)
+        last[0] = batch_id
+
+    run_to_end(changes, path, sink)
+    # without a new batch the folders tell how many there were
+    return log.read(last[0] + 1 if last[0] >= 0 else log.batches())
 
 
 def provisional_then_final(partials: DataFrame, committed: DataFrame, seconds: int = 30) -> DataFrame:

@@ -75,7 +75,7 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
     assert run() == run() == {"a": "new", "b": "b", "c": "c"}
     # a batch that is written again replaces itself
     again = spark.createDataFrame([("a", "new", 2), ("b", "stale", 0), ("c", "c", 1)], schema)
-    live.log_sink(f"{path}/log")(again, 1)
+    live.LevelledLog(spark, again.schema, f"{path}/log", ["k"], "version").append(again, 1)
     assert run() == {"a": "new", "b": "b", "c": "c"}
 
 
@@ -203,3 +203,23 @@ def test_a_batch_realigns_the_slices_it_touches(spark, tmp_path):
     files = state.read(around, 9)._jdf.queryExecution().sparkPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert "slice" in files and "part" in files
     assert spark.read.parquet(f"{path}/aligned/batch=2").count() < len(want(chats, speeches)) / 5
+
+
+def test_levelled_log_reads_few_runs(spark, tmp_path):
+    """Fourteen batches at a fanout of three: a read meets the runs named by the digits of 14, whose rows are one per key."""
+    schema = "k long, x string, version long"
+    log = live.LevelledLog(spark, spark.createDataFrame([], schema).schema, str(tmp_path / "log"), ["k"], "version", 3)
+    rng, want = random.Random(1), {}
+    for n in range(14):
+        rows = [(rng.randrange(6), f"{n}-{i}", rng.randrange(100) * 100 + n * 7 + i) for i in range(5)]
+        for k, x, v in rows:
+            want[k] = max(want.get(k, (-1, "")), (v, x))
+        log.append(spark.createDataFrame(rows, schema), n)
+    assert log.runs(14) == [(2, 0), (1, 3), (0, 12), (0, 13)] and log.batches() == 14
+    assert {r["k"]: (r["version"], r["x"]) for r in log.read(14).collect()} == want
+    assert {len(log.runs(n)) for n in range(1, 200)} == set(range(1, 10))
+    assert all(sum(3**level for level, _ in log.runs(n)) == n for n in range(200))
+    level_two = spark.read.parquet(f"{tmp_path}/log/level=2")
+    assert level_two.count() == level_two.select("k").distinct().count() <= 6
+    log.append(spark.createDataFrame([(0, "again", 10**6)], schema), 8)
+    assert {r["k"]: r["x"] for r in log.read(14).collect()}[0] == "again"
