@@ -515,7 +515,31 @@ def rebuilt_parts(pieces: DataFrame, group: int = 20, most: int = 4) -> DataFram
     )
 
 
-@register("op12_prefix_trie")
+#: crc32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+ORACLE = f"""
+WITH g AS (SELECT conv_id, turn, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS p FROM g),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+head AS (SELECT c.conv_id, t.p, t.digest, t.words FROM c JOIN t ON t.conv_id = c.base AND t.p <= c.h),
+taken AS (SELECT conv_id, count(*) AS n FROM head GROUP BY 1),
+r AS (SELECT * FROM head UNION ALL SELECT t.conv_id, t.p - c.h + coalesce(taken.n, 0), t.digest, t.words FROM t JOIN c USING (conv_id) LEFT JOIN taken USING (conv_id) WHERE t.p > c.h),
+m AS (SELECT conv_id, 0 AS d, '' AS k, 0 AS words FROM c UNION ALL SELECT conv_id, p, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY p)), words FROM r),
+sized AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS n FROM m),
+nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM sized GROUP BY d, k),
+above AS (SELECT v.d, v.k, m.k AS ak FROM nodes v JOIN m ON m.conv_id = v.conv_id AND m.d = v.d - 1),
+kids AS (SELECT d - 1 AS d, ak AS k, count(*) AS kids FROM above GROUP BY ALL),
+sub AS (SELECT a.d, a.k, sum((v.n_convs - 1) * v.words) AS saved, count(*) FILTER (kids IS NULL) AS leaves
+        FROM nodes v LEFT JOIN kids USING (d, k) JOIN m a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, pn.conv_id AS parent_conv_id, n.n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sub USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN above USING (d, k) LEFT JOIN nodes pn ON pn.d = n.d - 1 AND pn.k = above.ak
+"""
+
+
+@register("op12_prefix_trie", ORACLE)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = numbered_pieces(digested_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), SEGMENT)
     return trie_nodes(rebuilt_parts(pieces))

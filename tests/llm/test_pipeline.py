@@ -65,7 +65,7 @@ def test_run_equals_its_stages(spark):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
-    assert set(ORACLES) == {"op2_line_dedup", "op8_exact_top_k"}
+    assert set(ORACLES) == {"op2_line_dedup", "op8_exact_top_k", "op12_prefix_trie"}
 
 
 def test_entry_without_this_package(tmp_path):
