@@ -274,6 +274,29 @@ def event_for_reaction(kind: Column) -> Column:
     )
 
 
+def _second(at: str | Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _prescored() -> dict[str, Column]:
+    """What all prescored rows have in common; texts are fixed values."""
+    ident = F.concat_ws(":", F.lit("auto-prescore"), "session_id", "source_window_type", _second("window_start"), _second("window_end"))
+    fixed = {"run_id": "auto-prescore", "reviewer": "auto-prescore-agent", "model": "heuristic-replay-prescore", "prompt_version": "stream-evaluation-v1", "status": "suggested", "correctness": "correct"}
+    return {"review_id": ident, **{n: F.lit(v) for n, v in fixed.items()}}
+
+
+def _peak_messages(contexts: DataFrame) -> Column:
+    """Evidence items of the bucket's peak messages."""
+    if "peak_evidence_messages" not in contexts.schema["bucket"].dataType.fieldNames():
+        return F.array().cast(EVIDENCE)
+    items = F.transform("bucket.peak_evidence_messages", lambda m: _item(m["message_id"], "chat", _second(m["timestamp"]), m["text"]))
+    return F.coalesce(items, F.array().cast(EVIDENCE))
+
+
+def _plain(ident: str, source: str, text: Column) -> Column:
+    return _item(F.lit(ident), source, F.lit(None), text)
+
+
 def prescore_buckets(contexts: DataFrame) -> DataFrame:
     """Heuristic review of whole chat buckets. ``contexts``: windows with bucket, transcript and alignment."""
     b = contexts.where(F.col("source_window_type") == "chat_bucket_30s")
@@ -307,17 +330,29 @@ def prescore_buckets(contexts: DataFrame) -> DataFrame:
     said = strip(F.coalesce("transcript.text", F.lit("")))
     speech = F.when(said != "", F.concat(F.lit(" Transcript context: "), said)).otherwise("")
     rel = F.when(F.col("alignment").isNotNull(), F.format_string(" Alignment relationship is %s with delta %.2f.", F.col("alignment.relationship"), F.col("alignment.delta"))).otherwise("")
+    none_yet = F.array().cast(EVIDENCE)
+    figures = F.format_string(
+        "messages=%d, unique_chatters=%d, sentiment=%.2f, positive=%.2f, neutral=%.2f, negative=%.2f", n, "bucket.unique_chatters", chat, "bucket.positive", "bucket.neutral", "bucket.negative"
+    )
+    spoken = F.when(said != "", F.array(_plain("transcript_bucket", "transcript", said)))
+    al = "alignment"
+    matched = F.format_string("relationship=%s, delta=%.2f, similarity=%.2f, quality=%.2f", f"{al}.relationship", f"{al}.delta", f"{al}.similarity", f"{al}.quality")
+    paired = F.when(F.col(al).isNotNull(), F.array(_plain("alignment", "alignment", matched)))
+    evidence = F.concat(F.array(_plain("chat_bucket", "chat", figures)), _peak_messages(contexts), F.coalesce(spoken, none_yet), F.coalesce(paired, none_yet))
     return b.select(
         *WKEY,
+        *[c.alias(k) for k, c in _prescored().items()],
+        F.col("label").alias("predicted_event"),
         F.col("label").alias("suggested_event_label"),
         reaction.alias("reaction_type"),
+        F.coalesce("bucket.peak_target_type", F.lit("")).alias("target_type"),
+        F.coalesce("bucket.peak_target_text", F.lit("")).alias("target_text"),
         F.when(strong, F.col("bucket.peak_window_start")).alias("event_start"),
         F.when(strong, F.col("bucket.peak_time")).alias("event_peak"),
         clamp01(F.when(none, F.greatest(confidence, F.lit(0.75))).otherwise(confidence)).alias("confidence"),
         F.when(none, 0.08).otherwise(clamp01(use)).alias("streamer_usefulness"),
         F.when(none, routine).otherwise(F.concat(candidate, speech, rel)).alias("reason"),
-        F.lit("suggested").alias("status"),
-        F.lit("auto-prescore").alias("run_id"),
+        evidence.alias("evidence"),
     )
 
 
@@ -330,17 +365,26 @@ def prescore_subwindows(contexts: DataFrame) -> DataFrame:
         'Short reaction window with %d messages, reaction score %.2f, hype %.2f, confusion %.2f, frustration %.2f, and event hint "%s".',
         "sub.message_count", "sub.reaction_score", "sub.hype_score", "sub.confusion_score", "sub.frustration_score", "sub.event_hint",
     )
+    label = F.when((named == "none") & (score >= 0.35), "audience_shift").otherwise(named)
+    # the peak messages that the window names, all of them if it names none
+    named_ids = F.coalesce("sub.evidence_ids", F.array().cast("array<string>"))
+    messages = F.filter(_peak_messages(contexts), lambda e: (F.size(named_ids) == 0) | F.array_contains(named_ids, e["id"]))
+    hint, target = F.coalesce("sub.event_hint", F.lit("")), F.coalesce("sub.target_text", F.lit(""))
+    own = _plain("subwindow", "reaction", F.format_string("reaction_score=%.2f, event_hint=%s, target=%s", score, hint, target))
     return s.select(
         *WKEY,
-        F.when((named == "none") & (score >= 0.35), "audience_shift").otherwise(named).alias("suggested_event_label"),
+        *[c.alias(k) for k, c in _prescored().items()],
+        label.alias("predicted_event"),
+        label.alias("suggested_event_label"),
         F.col("sub.reaction_type").alias("reaction_type"),
+        F.coalesce("sub.target_type", F.lit("")).alias("target_type"),
+        target.alias("target_text"),
         F.col("sub.window_start").alias("event_start"),
         reaction_event_time(F.col("bucket.peak_time"), F.col("sub.window_start"), F.col("sub.window_end")).alias("event_peak"),
         clamp01(F.greatest(F.coalesce("sub.confidence", F.lit(0.0)), score)).alias("confidence"),
         clamp01(F.lit(0.35) + score * 0.6).alias("streamer_usefulness"),
         reason.alias("reason"),
-        F.lit("suggested").alias("status"),
-        F.lit("auto-prescore").alias("run_id"),
+        F.concat(messages, F.array(own)).alias("evidence"),
     )
 
 

@@ -175,6 +175,26 @@ def test_reviews(tables):
     assert (hype["suggested_event_label"], hype["reaction_type"], hype["streamer_usefulness"]) == ("hype_spike", "hype", 0.95)
     assert (quiet["suggested_event_label"], quiet["confidence"], quiet["streamer_usefulness"]) == ("none", 0.8, 0.08)
     assert (burst["suggested_event_label"], burst["confidence"], burst["event_peak"].second) == ("audience_shift", 0.8, 43)
+    assert hype["review_id"] == "auto-prescore:night:chat_bucket_30s:2026-01-01T12:00:00Z:2026-01-01T12:00:30Z"
+    assert (burst["target_type"], burst["target_text"], burst["predicted_event"], burst["reviewer"]) == ("unknown", "map swap", "audience_shift", "auto-prescore-agent")
+    assert [(e["id"], e["source"], e["text"]) for e in hype["evidence"]] == [
+        ("chat_bucket", "chat", "messages=20, unique_chatters=9, sentiment=0.70, positive=0.80, neutral=0.20, negative=0.00"),
+        ("transcript_bucket", "transcript", "the new map is here today"),
+    ]
+    assert [(e["id"], e["text"]) for e in burst["evidence"]] == [("subwindow", "reaction_score=0.80, event_hint=confusion:map swap, target=map swap")]
+
+
+def test_prescored_evidence_names_the_peak_messages(tables):
+    """A reaction window brings the peak messages it names; a bucket brings all, and its alignment."""
+    c, t, al = (tables[x].drop("pos") for x in ("chat_buckets", "transcript_buckets", "alignments"))
+    message = lambda i: F.struct(F.lit(i).alias("message_id"), F.lit("2026-01-01 12:00:41").cast("timestamp").alias("timestamp"), F.lit("u").alias("username"), F.lit("U").alias("display_name"), F.lit(f"text {i}").alias("text"))
+    c = c.withColumn("peak_evidence_messages", F.when(F.size("subwindows") > 0, F.array(message("m7"), message("m8"))))
+    ctx = reviews.with_context(reviews.review_windows(c, al, t), c, al, t)
+    pre = {(r["source_window_type"], r["window_start"].second, r["window_start"].minute): r for r in reviews.prescore_reviews(ctx).collect()}
+    assert [e["id"] for e in pre["reaction_subwindow", 40, 0]["evidence"]] == ["m7", "subwindow"]
+    bucket = pre["chat_bucket_30s", 30, 0]["evidence"]
+    assert [e["id"] for e in bucket] == ["chat_bucket", "m7", "m8", "transcript_bucket"]
+    assert (bucket[1]["timestamp"], bucket[1]["text"]) == ("2026-01-01T12:00:41Z", "text m7")
 
 
 def test_correlation_report_of_a_small_session(spark):
