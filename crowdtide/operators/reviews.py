@@ -153,6 +153,7 @@ def _item(ident: Column, source: str, at: Column, text: Column) -> Column:
 
 
 def review_reason(suggested: Column, gold: Column) -> Column:
+    """Why a label was suggested, in sentences of fixed wording."""
     verdict = F.concat(
         F.lit("suggested "), suggested, F.when(gold.isNotNull(), F.concat(F.lit(" against gold label "), gold)).otherwise(" with no human label on this exact window")
     )
@@ -298,7 +299,7 @@ def _plain(ident: str, source: str, text: Column) -> Column:
 
 
 def prescore_buckets(contexts: DataFrame) -> DataFrame:
-    """Heuristic review of whole chat buckets. ``contexts``: windows with bucket, transcript and alignment."""
+    """Heuristic review of whole chat buckets, with sentences of fixed wording. ``contexts``: windows with bucket, transcript and alignment."""
     b = contexts.where(F.col("source_window_type") == "chat_bucket_30s")
     score, peak, chat = F.col("bucket.peak_reaction_score"), F.col("bucket.peak_reaction_type"), F.col("bucket.chat_sentiment")
     strong = F.coalesce(score >= 0.35, F.lit(False))
@@ -357,7 +358,7 @@ def prescore_buckets(contexts: DataFrame) -> DataFrame:
 
 
 def prescore_subwindows(contexts: DataFrame) -> DataFrame:
-    """Heuristic review of reaction windows."""
+    """Heuristic review of reaction windows, with sentences of fixed wording."""
     s = contexts.where(F.col("source_window_type") == "reaction_subwindow")
     score = F.coalesce("sub.reaction_score", F.lit(0.0))
     named = event_for_reaction(F.col("sub.reaction_type"))

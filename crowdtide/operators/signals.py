@@ -333,6 +333,7 @@ def signal_events(windows: DataFrame) -> DataFrame:
     return windows.select(*STREAM, "window_start", "window_end", F.inline("events"))
 
 
+# Titles and sentences of findings are output values: fixed.
 TITLES = {
     "audience_shift": ("Audience sentiment shifted", "Chat sentiment changed sharply from the previous replay window."),
     "hype_spike": ("Audience hype spike", "Positive chat reaction exceeded the deterministic spike threshold."),
@@ -353,7 +354,7 @@ def _finding(kind: str, summary: str, value: Column) -> Column:
 
 
 def event_insights(windows: DataFrame) -> DataFrame:
-    """Findings from detected events, with title, confidence and evidence."""
+    """Findings from detected events, with title, confidence and evidence. The sentences are fixed values."""
     rows = windows.withColumn("event", F.explode("events"))
     kind = F.col("event.type")
     quality, sure = F.col("alignment_quality"), clamp01(F.coalesce("sentiment_confidence", F.lit(0.0)))
@@ -381,7 +382,7 @@ def event_insights(windows: DataFrame) -> DataFrame:
 
 
 def gap_insights(transcripts: DataFrame) -> DataFrame:
-    """Findings for buckets without usable speech."""
+    """Findings for buckets without usable speech. The sentences are fixed values."""
     gap = clamp01(1 - F.coalesce("transcript_confidence", F.lit(0.0)))
     rows = transcript_gaps(transcripts).withColumns({"window_start": F.col("bucket_start"), "window_end": F.col("bucket_end")})
     evidence = F.array(

@@ -13,12 +13,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def work_dir(spark: SparkSession) -> str:
-    """One folder per application below ``spark.checkpoint.dir``, else below the session's warehouse.
+def shared_base(checkpoint_dir: str | None, warehouse: str, master: str) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, which a cluster names, else the warehouse.
 
-    Both are shared by all executors. Spark's file system deletes the folder when the application ends.
+    The default warehouse is a folder of the driver's machine. Executors elsewhere would write to folders of their own,
+    so it is refused unless everything runs on one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if checkpoint_dir:
+        return checkpoint_dir
+    on_disk = warehouse.startswith(("file:", "/"))
+    if on_disk and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse
+
+
+def work_dir(spark: SparkSession) -> str:
+    """One folder per application below the shared one. Spark's file system deletes it when the application ends."""
+    base = shared_base(spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
     folder = f"{base.rstrip('/')}/crowdtide-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

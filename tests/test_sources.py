@@ -151,3 +151,12 @@ def test_repeated_tags_and_raw_payloads(spark):
     made = envelopes.make_envelope(rows, "chat_bucket", "t").collect()
     assert len(made) == 1 and made[0]["value"].endswith(',"payload":{"b": 1.50, "a": 2, "session_id": "s"}}')
     assert sorted(str(r["payload"]) for r in envelopes.malformed_payloads(rows).collect()) == ["None", "{broken"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert storage.shared_base("/shared/x", "file:/home/w", "spark://h:7077") == "/shared/x"
+    assert storage.shared_base(None, "file:/home/w", "local[4]") == "file:/home/w"
+    assert storage.shared_base(None, "hdfs://n/w", "yarn") == "hdfs://n/w"
+    for warehouse in ("file:/home/w", "/home/w", "file:///w/x"):
+        with pytest.raises(ValueError):
+            storage.shared_base("", warehouse, "yarn")
