@@ -187,7 +187,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     shingle; texts without a word, null or empty, are in a class of their own. Rows that repeat a doc_id are one document,
     in the least of its texts' classes; rows without an id get a null class and are kept. Other columns are ignored.
 
-    Two texts of similarity s meet in a bucket with probability 1-(1-s**rows)**bands: at 0.8 all but 3 in a million.
+    Two texts of similarity s meet in a bucket with probability 1-(1-s**rows)**bands: at 0.8 all but 3 in a million. In
+    buckets that links leave in several parts, pairs with far too few equal darts are not compared; that loses one pair
+    of similarity 0.8 in some 10**10, so it adds nothing to those 3.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     sound = source.where("doc IS NOT NULL")
@@ -212,9 +214,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, bands: i
     opened = opened.withColumn("own", F.pmod(F.xxhash64("doc"), n_blocks).cast("int"))
     carried = opened.join(reps.select("doc", "sig"), "doc").join(sets, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     carried = carried.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    # at similarity ``least`` the number of equal darts falls below this about once in 50000 pairs
+    # at similarity ``least`` the number of equal darts falls below this once in some 10**10 pairs (binomial)
     k = bands * rows
-    agree = int(k * least - 4.1 * (k * least * (1 - least)) ** 0.5)
+    agree = int(k * least - 7 * (k * least * (1 - least)) ** 0.5)
     more = carried.groupBy("key", "low", "high").applyInArrow(_block_links(least, counted, agree), "a long, b long")
     classes = connected(links.unionByName(settle(more.distinct(), "links")))
 
