@@ -507,23 +507,28 @@ def word_edit_distance(left: Column, right: Column) -> Column:
     """Levenshtein distance of two word arrays.
 
     The distinct words of the pair become code points (from 256 on, without the surrogates), so the built-in distance of
-    strings counts words.
+    strings counts words. They are bound once per pair: an expression inside a lambda is worked out for every word.
     """
-    known = F.array_distinct(F.concat(left, right))
 
-    def coded(given: Column) -> Column:
+    def coded(given: Column, known: Column) -> Column:
         def point(w: Column) -> Column:
             n = F.array_position(known, w) + 255
             return F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")
 
         return F.decode(F.unhex(F.array_join(F.transform(given, point), "")), "UTF-32")
 
-    return F.levenshtein(coded(left), coded(right)).cast("long")
+    known = F.array(F.array_distinct(F.concat(left, right)))
+    return F.transform(known, lambda k: F.levenshtein(coded(left, k), coded(right, k)))[0].cast("long")
+
+
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt to all shuffle partitions: few bytes of text are much work, so sizes of files or joins don't tell it."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def word_error_rate(pairs: DataFrame, reference: str = "reference_text", hypothesis: str = "hypothesis") -> DataFrame:
     """Distance and rate per pair; the pairs are a table, so the work is spread over its rows."""
-    w = pairs.withColumns({"_r": words(F.col(reference)), "_h": words(F.col(hypothesis))})
+    w = spread(pairs).withColumns({"_r": words(F.col(reference)), "_h": words(F.col(hypothesis))})
     w = w.withColumn("word_distance", word_edit_distance(F.col("_r"), F.col("_h")))
     n = F.size("_r")
     rate = F.when(n == 0, F.when(F.size("_h") == 0, 0.0).otherwise(1.0)).otherwise(ratio(F.col("word_distance"), n))
@@ -532,7 +537,7 @@ def word_error_rate(pairs: DataFrame, reference: str = "reference_text", hypothe
 
 def repair_change(pairs: DataFrame, live: str, final: str) -> DataFrame:
     """Added words and changed share of a repaired transcript."""
-    w = pairs.withColumns({"_l": speech_words(F.col(live)), "_f": speech_words(F.col(final))})
+    w = spread(pairs).withColumns({"_l": speech_words(F.col(live)), "_f": speech_words(F.col(final))})
     w = w.withColumn("_d", word_edit_distance(F.col("_l"), F.col("_f")))
     longest = F.greatest(F.size("_l"), F.size("_f"))
     return w.withColumns(

@@ -159,6 +159,16 @@ def test_repair_change(spark):
     assert (r["repair_added_words"], r["repair_changed_ratio"]) == (1, 0.25)
 
 
+def test_word_errors_number_words_once_and_spread_pairs(spark):
+    rows = [(" ".join(f"w{(i * k) % 97}" for k in range(60)), " ".join(f"w{(i + k) % 89}" for k in range(50))) for i in range(40)]
+    df = spark.createDataFrame(rows, "reference_text string, hypothesis string").coalesce(1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for out in (reviews.word_error_rate(df), reviews.repair_change(df, "reference_text", "hypothesis")):
+        # the words of a pair are not numbered again for every word, and one task does not get all pairs
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+        assert out.rdd.getNumPartitions() == n > 1
+
+
 def test_reviews(tables):
     c, t, al = (tables[x].drop("pos") for x in ("chat_buckets", "transcript_buckets", "alignments"))
     ctx = reviews.with_context(reviews.review_windows(c, al, t), c, al, t)
