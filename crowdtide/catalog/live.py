@@ -45,6 +45,21 @@ def stored_stream(df, name, per_trigger=None):
     return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path)
 
 
+def fed(rows, parts, last, name, least=2000):
+    """The rows of each condition as a batch of a stream, in order, and then those of ``last`` as one more.
+
+    Every part is written as the same number of files, which is what a batch reads, so that no task writes or reads a
+    whole part. Files hold ``least`` rows or more on average, hence none is empty and left out.
+    """
+    spark = rows.sparkSession
+    path = fresh_path(spark, name)
+    files = max(1, min(rows.agg(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(parts)]).first()) // least)
+    for p in parts:
+        rows.where(p).select(last.columns).repartition(files).write.mode("append").parquet(path)
+    last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(last.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 REAL = "session_id <> '2100-01-01'"
 
 
@@ -144,11 +159,8 @@ def _(spark, sf):
     late = F.substring("message_id", 2, 20).cast("long") % 4 == 0
     newest = m.agg(F.max("timestamp").alias("newest"))
     timed = settle(m.withColumn("late", late).crossJoin(newest).withColumn("recent", F.col("timestamp") >= F.col("newest") - F.expr("INTERVAL 12 HOURS")), "timed")
-    path = fresh_path(spark, "late-feed")
     closing = timed.limit(1).withColumns({"session_id": F.lit("2100-01-01"), "timestamp": F.col("newest") + F.expr("INTERVAL 3650 DAYS")})
-    for rows in (timed.where("NOT late AND NOT recent"), timed.where("NOT late AND recent"), timed.where("late"), closing):
-        rows.select(m.columns).coalesce(1).write.mode("append").parquet(path)
-    feed = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    feed = fed(timed, [F.expr("NOT late AND NOT recent"), F.expr("NOT late AND recent"), F.expr("late")], closing.select(m.columns), "late-feed")
     return played(live.stream_chat_buckets(feed, HOUR, "1 day"), "late-buckets").where(REAL).select(*windows.BUCKET, "message_count")
 
 
@@ -157,18 +169,14 @@ def _(spark, sf):
     f"""WITH {REACT}, n AS (SELECT session_id, channel_id, max(window_end) AS newest FROM rw GROUP BY ALL) SELECT {WKEY}, message_count FROM rw JOIN n USING (session_id, channel_id) WHERE window_end >= newest - INTERVAL 60 MINUTE""",
 )
 def _(spark, sf):
-    """Windows arrive in four files by time, one to a batch, and then one of the far future, which lets every timer run."""
+    """Windows arrive in four batches by time, and then one of the far future, which lets every timer run."""
     found = settle(windows.reaction_core(adapters.messages(spark, sf), W, SLIDE, EVENT_LEXICON).select(*windows.RWINDOW, "message_count"), "windows")
-    path = fresh_path(spark, "window-feed")
     micros = F.unix_micros("window_end")
     low, high = found.agg(F.min(micros), F.max(micros)).first()
     part = F.least(F.lit(3), F.floor((micros - F.lit(low)) * 4 / F.lit(max(high - low, 1))))
-    for i in range(4):
-        found.where(part == i).coalesce(1).write.mode("append").parquet(path)
     closing = F.to_timestamp(F.lit("2100-01-01 01:00:00"))
     last = spark.range(1).select(F.lit("2100-01-01").alias("session_id"), F.lit("c0").alias("channel_id"), closing.alias("window_start"), closing.alias("window_end"), F.lit(1).cast("long").alias("message_count"))
-    last.write.mode("append").parquet(path)
-    feed = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    feed = fed(found, [part == i for i in range(4)], last, "window-feed")
     return retention.stream_retention(feed, fresh_path(spark, "retention"), 60, "1 hour").where(REAL).select(*windows.RWINDOW, "message_count")
 
 

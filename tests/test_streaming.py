@@ -225,3 +225,28 @@ def test_levelled_log_reads_few_runs(spark, tmp_path):
     assert level_two.count() == level_two.select("k").distinct().count() <= 6
     log.append(spark.createDataFrame([(0, "again", 10**6)], schema), 8)
     assert {r["k"]: r["x"] for r in log.read(14).collect()}[0] == "again"
+
+
+def test_late_feed_is_cut_into_files_and_batches(spark, tmp_path):
+    import glob
+
+    import duckdb
+
+    from crowdtide.catalog import ORACLES, QUERIES
+    from crowdtide.sources.storage import work_dir
+
+    day = 86_400_000_000
+    ts = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("id") * 7919 % 400_000) * F.lit(10 * day // 400_000))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("view", "click", "error")]), (F.col("id") % 3 + 1).cast("int"))
+    spark.range(400_000).select(
+        F.col("id").alias("event_id"), ts.cast("timestamp_ntz").alias("ts"), (F.col("id") * 31 % 5000).alias("user_id"), kinds.alias("event_type"),
+        (F.col("id") % 100).cast("double").alias("value"), F.format_string('{"k": %d}', F.col("id") % 100).alias("props"),
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    before = set(glob.glob(f"{work_dir(spark).removeprefix('file:')}/late-feed-*"))
+    got = sorted(map(tuple, QUERIES["late_data"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(db.sql(ORACLES["late_data"]).fetchall())
+    (feed,) = set(glob.glob(f"{work_dir(spark).removeprefix('file:')}/late-feed-*")) - before
+    sizes = [spark.read.parquet(f).count() for f in glob.glob(f"{feed}/*.parquet")]
+    assert sum(sizes) == 400_001 and max(sizes) < 50_000
