@@ -169,6 +169,15 @@ def test_word_errors_number_words_once_and_spread_pairs(spark):
         assert out.rdd.getNumPartitions() == n > 1
 
 
+def test_review_evidence_is_made_once_per_row(tables):
+    c, t, al = (tables[x].drop("pos") for x in ("chat_buckets", "transcript_buckets", "alignments"))
+    ctx = reviews.with_context(reviews.review_windows(c, al, t), c, al, t)
+    out = reviews.review_rows(ctx, tables["window_labels"])
+    # an item's text inside the lambda that drops repeated items would be made again for every item
+    assert out.select("evidence")._jdf.queryExecution().optimizedPlan().toString().count("; quality=") == 1
+    assert all(len(e) == len({(x["source"], x["id"], x["text"]) for x in e}) for (e,) in out.select("evidence").collect())
+
+
 def test_reviews(tables):
     c, t, al = (tables[x].drop("pos") for x in ("chat_buckets", "transcript_buckets", "alignments"))
     ctx = reviews.with_context(reviews.review_windows(c, al, t), c, al, t)
