@@ -8,9 +8,14 @@ is therefore spread over many tasks. The same code runs on streams: no DISTINCT
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crowdtide.functions.lexicons import BUCKET_STOP_WORDS, ReactionLexicon
 from crowdtide.functions.numbers import clamp, clamp01, ratio, round_half_away
@@ -184,34 +189,111 @@ def reaction_features(features: DataFrame, seconds: int = 5, slide: int = 1, wat
     counts give both the repeats and the distinct chatters of the second. A batch first adds up its messages in panes, so
     that panes, not messages, are multiplied into windows; a stream, which cannot chain a third aggregation on another
     time column, expands its messages. It also reports each window's shared word and strongest messages.
+
+    The state of a stream has no row per message or chatter: tasks hand on the strongest messages of a pane only, and the
+    chatters of a window are sets, one to each of ``PLACES`` places by hash.
     """
     if watermark is None:
         return _window_totals(_expand_panes(_panes(features, seconds, slide), seconds, slide))
-    rows = as_current_and_previous(features, seconds)
+    rows = as_current_and_previous(_with_strongest(features, math.gcd(seconds, slide)), seconds)
     rows = rows.withWatermark("ets", watermark)
-    current = F.col("current")
-    facts = F.filter(_facts(), lambda f: current | f["kind"].isin("text", "user"))
-    rows = rows.withColumn("_fact", F.explode(facts))
-    is_text = F.col("_fact.kind") == "text"
+    current, strong = F.col("current"), F.col("_strong")
+    # the messages' own rows count, those repeated as strongest are evidence only
+    wanted = F.filter(_stream_facts(), lambda f: F.when(strong, current & (f["kind"] == "best")).otherwise(f["kind"].isin("text", "user") | (current & (f["kind"] == "token"))))
+    rows = rows.select(*STREAM, "ets", "current", F.explode(wanted).alias("_fact"))
+    is_text, is_user = F.col("_fact.kind") == "text", F.col("_fact.kind") == "user"
     mine = is_text & current
 
     def total(name: str) -> Column:
-        return F.sum(F.when(mine, F.col(name))).alias(name)
+        return F.sum(F.when(mine, F.col(f"_fact.sums.{name}"))).alias(name)
 
     window = F.window("ets", f"{seconds} seconds", f"{slide} seconds").alias("window")
-    kind = F.when(F.col("_fact.kind") != "user", F.col("_fact.kind")).when(current, "now").otherwise("before")
+    kind = F.when(~is_user, F.col("_fact.kind")).when(current, "now").otherwise("before")
     per_key = rows.groupBy(*STREAM, window, kind.alias("kind"), F.when(~is_text | current, F.col("_fact.key")).alias("key")).agg(
-        F.sum(F.when(current & (F.col("_fact.kind") != "user"), 1).otherwise(0)).alias("n"),
+        F.sum(F.when(current & ~is_user, 1).otherwise(0)).alias("n"),
         F.sum(F.when(is_text & ~current, 1).otherwise(0)).alias("n_prev"),
         *[total(c) for c in _SUMS],
-        F.sum(F.when(mine & F.col("_valence").isNotNull(), 1).otherwise(0)).alias("_valence_n"),
-        F.min(F.when(F.col("_fact.kind") == "token", F.struct("timestamp", "message_id"))).alias("first"),
-        F.min(F.when(F.col("_fact.kind") == "best", _evidence_entry())).alias("entry"),
+        F.sum(F.when(mine & F.col("_fact.sums._valence").isNotNull(), 1).otherwise(0)).alias("_valence_n"),
+        F.min("_fact.first").alias("first"),
+        F.collect_list("_fact.entry").alias("entries"),
+        F.collect_set(F.when(F.col("_fact.user") != "", F.col("_fact.user"))).alias("users"),
     )
     target = F.min(F.when((F.col("kind") == "token") & (F.col("n") >= 2), _target_entry()))
-    # the messages of one window; an entry that occurs several times stands for as many, five at most
-    entries = F.collect_list(F.when(F.col("kind") == "best", F.array_repeat("entry", F.least(F.col("n"), F.lit(TOP)).cast("int"))))
-    return _window_totals(per_key, {"best": target, "entries": F.slice(F.array_sort(F.flatten(entries)), 1, TOP)})
+    entries = F.flatten(F.collect_list(F.when(F.col("kind") == "best", F.col("entries"))))
+    return _window_totals(per_key, {"best": target, "entries": F.slice(F.array_sort(entries), 1, TOP)}, F.size("users"))
+
+
+#: Places that the chatters of a streamed window are dealt to.
+PLACES = 64
+#: Messages a task of a stream holds while it looks for the strongest.
+HELD = 1 << 16
+
+
+def _stream_facts() -> Column:
+    """``_facts`` with what each is aggregated from, and nothing else, so that rows stay narrow."""
+
+    def fact(kind: str, key: Column) -> Column:
+        def only(of: str, value: Column) -> Column:
+            return F.when(F.lit(kind == of), value)
+
+        return F.struct(
+            F.lit(kind).alias("kind"), key.cast("string").alias("key"), only("user", F.col("_chatter")).alias("user"),
+            only("text", F.struct(*_SUMS)).alias("sums"), only("token", F.struct("timestamp", "message_id")).alias("first"), only("best", _evidence_entry()).alias("entry"),
+        )
+
+    place = F.pmod(F.xxhash64("_chatter"), F.lit(PLACES))
+    three = F.array(fact("text", F.col("_text")), fact("user", place), fact("best", F.lit("")))
+    return F.concat(three, F.transform("_words", lambda t: fact("token", t)))
+
+
+def _strongest(held: pa.Table, pane: int) -> pa.Table:
+    """The ``TOP`` strongest messages of each stream and pane, as ``_evidence_entry`` orders them."""
+    at = held["timestamp"].cast(pa.int64()).to_numpy() // pane
+    groups = [pc.fill_null(held[c].combine_chunks().dictionary_encode().indices, -1) for c in STREAM]
+    texts = ("message_id", "username", "display_name", "text")
+    rows = pa.table([*groups, pa.array(at), pc.negate(held["_evidence"]), held["timestamp"], *(held[c] for c in texts)], names=[*STREAM, "pane", "neg", "timestamp", *texts])
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in rows.column_names], null_placement="at_start").to_numpy()
+    first = np.ones(len(order), bool)
+    first[1:] = False
+    for g in (*(np.asarray(x) for x in groups), at):
+        first[1:] |= np.diff(g[order]) != 0
+    starts = np.flatnonzero(first)
+    rank = np.arange(len(order)) - starts[np.cumsum(first) - 1]
+    return held.take(pa.array(order[rank < TOP]))
+
+
+def _with_strongest(features: DataFrame, pane: int) -> DataFrame:
+    """All messages, and once more, marked ``_strong``, those that are among the strongest of their pane in their task.
+
+    The strongest of a window are among the strongest of its panes, whichever task holds them.
+    """
+    columns = [*STREAM, *MESSAGE, "_chatter", "_text", "_words", "_evidence", *_SUMS]
+    rows = features.where("timestamp IS NOT NULL").select(*columns, F.lit(False).alias("_strong"))
+    rows = rows.withColumn("_evidence", F.col("_evidence").cast("double"))
+    width = pane * 1_000_000
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marked(few: pa.Table) -> list[pa.RecordBatch]:
+            at = few.column_names.index("_strong")
+            return few.set_column(at, few.schema.field(at), pa.array(np.ones(few.num_rows, bool))).to_batches()
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            yield batch
+            held.append(batch)
+            size += batch.num_rows
+            if size > HELD:
+                few = _strongest(pa.Table.from_batches(held), width)
+                held, size = few.to_batches(), few.num_rows
+                if size > HELD // 2:
+                    yield from marked(few)
+                    held, size = [], 0
+        if size:
+            yield from marked(_strongest(pa.Table.from_batches(held), width))
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    return rows.mapInArrow(mark, schema)
 
 
 #: Evidence messages of a window.
@@ -267,8 +349,9 @@ def _expand_panes(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
     )
 
 
-def _window_totals(per_key: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
-    """Windows from their counts per (kind, key)."""
+def _window_totals(per_key: DataFrame, more: dict[str, Column] | None = None, chatters: Column | None = None) -> DataFrame:
+    """Windows from their counts per (kind, key). ``chatters``: how many a key stands for, else one."""
+    chatters = F.lit(1) if chatters is None else chatters
     named = F.col("key").isNotNull() & (F.col("key") != "")
     return (
         per_key.groupBy(*STREAM, "window")
@@ -276,8 +359,8 @@ def _window_totals(per_key: DataFrame, more: dict[str, Column] | None = None) ->
             F.sum(F.when(F.col("kind") == "text", F.col("n")).otherwise(0)).alias("message_count"),
             F.sum("n_prev").alias("previous_count"),
             F.sum(F.when((F.col("kind") == "text") & named & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("repeated"),
-            F.sum(F.when((F.col("kind") == "now") & named, 1).otherwise(0)).alias("unique_chatters"),
-            F.sum(F.when((F.col("kind") == "before") & named, 1).otherwise(0)).alias("previous_chatters"),
+            F.sum(F.when((F.col("kind") == "now") & named, chatters).otherwise(0)).alias("unique_chatters"),
+            F.sum(F.when((F.col("kind") == "before") & named, chatters).otherwise(0)).alias("previous_chatters"),
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c[1:]) for c in (*_SUMS, "_valence_n")],
             *[c.alias(name) for name, c in (more or {}).items()],
         )

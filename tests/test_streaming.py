@@ -46,6 +46,22 @@ def test_reaction_windows_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_stream_state_has_no_row_per_message_or_chatter(spark, tmp_path):
+    rnd = random.Random(3)
+    words = ["W", "what??", "no way", "dragon", "bad throw", "LET'S GO!!!"]
+    rows = [message(i if i % 50 else 0, rnd.randrange(4000) / 1000, words[rnd.randrange(6)], f"u{rnd.randrange(900)}") for i in range(3000)]
+    rows += rows[:4]
+    stream = feed(spark, tmp_path, rows[:1500], rows[1500:], [CLOSING])
+    out = live.stream_reaction_windows(stream, 5, 1)
+    path = str(tmp_path / "query")
+    query = live.run_to_end(out, path)
+    got = result(spark, out, path).where(F.col("window_start") < F.lit(at(90000)))
+    want = windows.reaction_windows(messages(spark, rows), 5, 1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    kept = max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+    assert kept < len(rows)
+
+
 def test_late_messages_count_within_the_watermark_only(spark, tmp_path):
     first = [message(1, 10, "a", "u1"), message(2, 70, "b", "u2")]
     # 45 s behind is inside the one-minute delay
