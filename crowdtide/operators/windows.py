@@ -194,7 +194,7 @@ def reaction_features(features: DataFrame, seconds: int = 5, slide: int = 1, wat
     chatters of a window are sets, one to each of ``PLACES`` places by hash.
     """
     if watermark is None:
-        return _window_totals(_expand_panes(_panes(features, seconds, slide), seconds, slide))
+        return _window_totals(_expand_panes(_panes(features, seconds, slide), seconds, slide), F.col("people"))
     rows = as_current_and_previous(_with_strongest(features, math.gcd(seconds, slide)), seconds)
     rows = rows.withWatermark("ets", watermark)
     current, strong = F.col("current"), F.col("_strong")
@@ -220,7 +220,7 @@ def reaction_features(features: DataFrame, seconds: int = 5, slide: int = 1, wat
     )
     target = F.min(F.when((F.col("kind") == "token") & (F.col("n") >= 2), _target_entry()))
     entries = F.flatten(F.collect_list(F.when(F.col("kind") == "best", F.col("entries"))))
-    return _window_totals(per_key, {"best": target, "entries": F.slice(F.array_sort(entries), 1, TOP)}, F.size("users"))
+    return _window_totals(per_key, F.size("users"), {"best": target, "entries": F.slice(F.array_sort(entries), 1, TOP)})
 
 
 #: Places that the chatters of a streamed window are dealt to.
@@ -331,27 +331,46 @@ def _window_of(start: Column, seconds: int) -> Column:
     return F.struct(start.alias("start"), (start + F.expr(f"INTERVAL {seconds} SECONDS")).alias("end")).alias("window")
 
 
-def _expand_panes(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
+def _in_windows(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
     """Each pane in the windows that hold it and, moved by one window length, as the past of the next ones."""
 
     def role(at: Column, current: bool) -> Column:
         return F.transform(_window_starts(at, seconds, slide), lambda w: F.struct(w.alias("at"), F.lit(current).alias("current")))
 
     p = F.col("pane").cast("long")
-    rows = panes.withColumn("_in", F.explode(F.concat(role(p, True), role(p + seconds * 1_000_000, False))))
-    is_text, current = F.col("kind") == "text", F.col("_in.current")
-    mine = is_text & current
-    kind = F.when(is_text, "text").when(current, "now").otherwise("before")
-    return rows.groupBy(*STREAM, _window_of(F.col("_in.at"), seconds), kind.alias("kind"), F.when(~is_text | current, F.col("key")).alias("key")).agg(
-        F.sum(F.when(mine, F.col("n")).otherwise(0)).alias("n"),
-        F.sum(F.when(is_text & ~current, F.col("n")).otherwise(0)).alias("n_prev"),
-        *[F.sum(F.when(mine, F.col(c))).alias(c) for c in (*_SUMS, "_valence_n")],
+    return panes.withColumn("_in", F.explode(F.concat(role(p, True), role(p + seconds * 1_000_000, False))))
+
+
+def _pane_chatters(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
+    """Distinct chatters per window and of its past, without a row per window and chatter.
+
+    A chatter counts in the first pane of a window that has them: the one whose predecessor lies before the window. So
+    chatters are first counted per pane and predecessor.
+    """
+    span = seconds * 1_000_000
+    users = panes.where((F.col("kind") == "user") & (F.col("key") != "")).select(*STREAM, F.col("pane").cast("long").alias("pane"), "key")
+    before = F.lag("pane").over(Window.partitionBy(*STREAM, "key").orderBy("pane"))
+    users = users.withColumn("_last", before).withColumn("_last", F.when(F.col("pane") - F.col("_last") < span, F.col("_last")))
+    rows = _in_windows(users.groupBy(*STREAM, "pane", "_last").agg(F.count("*").alias("people")), seconds, slide)
+    current, at = F.col("_in.current"), F.col("_in.at")
+    rows = rows.where(F.col("_last").isNull() | (F.col("_last") < F.when(current, at).otherwise(at - span)))
+    return rows.groupBy(*STREAM, _window_of(at, seconds), F.when(current, "now").otherwise("before").alias("kind"), F.lit("all").alias("key")).agg(F.sum("people").alias("people"))
+
+
+def _expand_panes(panes: DataFrame, seconds: int, slide: int) -> DataFrame:
+    """Counts per (window, kind, key): texts, and the chatters of a window as one."""
+    rows = _in_windows(panes.where("kind = 'text'"), seconds, slide)
+    current = F.col("_in.current")
+    texts = rows.groupBy(*STREAM, _window_of(F.col("_in.at"), seconds), F.col("kind"), F.when(current, F.col("key")).alias("key")).agg(
+        F.sum(F.when(current, F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.when(~current, F.col("n")).otherwise(0)).alias("n_prev"),
+        *[F.sum(F.when(current, F.col(c))).alias(c) for c in (*_SUMS, "_valence_n")],
     )
+    return texts.unionByName(_pane_chatters(panes, seconds, slide), allowMissingColumns=True)
 
 
-def _window_totals(per_key: DataFrame, more: dict[str, Column] | None = None, chatters: Column | None = None) -> DataFrame:
-    """Windows from their counts per (kind, key). ``chatters``: how many a key stands for, else one."""
-    chatters = F.lit(1) if chatters is None else chatters
+def _window_totals(per_key: DataFrame, chatters: Column, more: dict[str, Column] | None = None) -> DataFrame:
+    """Windows from their counts per (kind, key). ``chatters``: how many a key stands for."""
     named = F.col("key").isNotNull() & (F.col("key") != "")
     return (
         per_key.groupBy(*STREAM, "window")
@@ -543,7 +562,7 @@ def reaction_windows(messages: DataFrame, seconds: int = 5, slide: int = 1, lex:
     """
     panes = settle(_panes(message_features(messages, lex), seconds, slide, ("text", "user", "token", "best")), "panes")
     counted = panes.where("kind IN ('text', 'user')").drop("first", "entry")
-    scored = _scored(_window_totals(_expand_panes(counted, seconds, slide)), seconds)
+    scored = _scored(_window_totals(_expand_panes(counted, seconds, slide), F.col("people")), seconds)
     scored = scored.join(_pane_targets(panes, seconds, slide), RWINDOW, "left").join(_pane_evidence(panes, seconds, slide, TOP), RWINDOW, "left")
     return _with_context(scored)
 

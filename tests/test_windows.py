@@ -104,3 +104,22 @@ def test_panes_without_common_measure(spark):
         for r in got:
             inside = [x for x in rows if r["window_start"] <= (x[3] - T0).total_seconds() < r["window_start"] + seconds]
             assert r["message_count"] == len(inside) and len(r["evidence_messages"]) == min(5, len(inside))
+
+
+def test_chatters_are_counted_without_a_row_per_window_and_chatter(spark):
+    rnd = random.Random(11)
+    sent = [(rnd.randrange(60), f"u{rnd.randrange(40)}" if i % 9 else "") for i in range(500)]
+    rows = [message(i, second, f"t{i % 3}", user) for i, (second, user) in enumerate(sent)]
+    feats = windows.message_features(messages(spark, rows).withColumn("display_name", F.lit("")), None)
+    for seconds, slide in ((6, 2), (5, 3), (4, 10)):
+        per_key = windows._expand_panes(windows._panes(feats, seconds, slide), seconds, slide)
+        got = windows.reaction_features(feats, seconds, slide).collect()
+        assert got and per_key.where("kind <> 'text'").count() <= 2 * (60 + 2 * seconds)
+
+        def among(low, high):
+            return len({u for at_, u in sent if low <= at_ < high and u})
+
+        zero = at(0).replace(tzinfo=None)
+        for r in got:
+            low = round((r["window_start"] - zero).total_seconds())
+            assert (r["unique_chatters"], r["previous_chatters"]) == (among(low, low + seconds), among(low - seconds, low))
