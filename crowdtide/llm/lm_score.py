@@ -12,22 +12,22 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdtide.llm.arrays import chunks, lists
-from crowdtide.llm.mixing import BLOCK, N_CELLS, Block, Memo, Model
+from crowdtide.llm.arrays import LOWER, SOLID, chunks
+from crowdtide.llm.mixing import BLOCK, N_CELLS, PIECE, Block, Memo, Model
 from crowdtide.llm.registry import register, table
 from crowdtide.llm.toxicity import fold
 from crowdtide.sources.storage import settle
 
-#: Distinct words a task counts before it hands them on, and the longest word that is broadcast.
-COUNTED, LONGEST = 1 << 17, 32
+#: Bytes of text whose words a task counts before it hands them on, and the longest word that is broadcast.
+COUNTED, LONGEST = 1 << 22, 32
 #: Cells of a model that are added up together; places in a range fit 16 bits.
 RANGE = 1 << 16
 
@@ -50,7 +50,7 @@ def train(docs: DataFrame) -> Model:
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model().learn_all((data, offsets) for batch in batches for _, data, offsets in chunks(batch, "text", BLOCK))
+        model = Model().learn_all((data, offsets) for batch in batches for _, data, offsets in chunks(batch, "text", PIECE))
         if not model.used.any():
             return
         cells = model.cells()
@@ -87,22 +87,30 @@ def train(docs: DataFrame) -> Model:
     return Model.of(cells[:N_CELLS])
 
 
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, A-Z folded, with an empty token at the end of each text; and the index of each token's text."""
+    solid = SOLID.take(data)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    cuts = offsets[:-1][offsets[:-1] < len(data)]
+    begins[cuts] = solid[cuts]
+    begins = np.flatnonzero(begins)
+    before = np.concatenate(([0], np.cumsum(solid)))  # solid bytes before each place
+    after = np.searchsorted(begins, offsets[1:])  # words up to the end of each text
+    starts = np.insert(before[begins], after, before[offsets[1:]])
+    doc = np.repeat(np.arange(len(after)), np.diff(after, prepend=0) + 1)
+    buffers = [None, pa.py_buffer(np.append(starts, before[-1]).astype(np.int32)), pa.py_buffer(LOWER.take(data[solid]))]
+    return pa.Array.from_buffers(pa.string(), len(starts), buffers), doc
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, n): how often each word of the texts occurs, A-Z folded; the empty token is the end of a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([t.decode() for t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-
-        counts: Counter = Counter()
         for batch in batches:
-            for value in batch.column("text"):
-                counts.update((value.as_py() or "").encode().lower().split())
-                counts[b""] += 1
-                if len(counts) > COUNTED:
-                    yield out(counts)
-                    counts = Counter()
-        yield out(counts)
+            for _, data, offsets in chunks(batch, "text", COUNTED):
+                token, n = tokens(data, offsets)[0].value_counts().flatten()
+                yield pa.RecordBatch.from_arrays([token, n], ["token", "n"])
 
     return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -111,18 +119,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
 _MEMO: dict[str, Memo] = {}
 
 
-class _Terms(dict):
-    """Term of each frequent word; other words are noted and add nothing."""
-
-    def __init__(self, known: dict[bytes, float]):
-        super().__init__(known)
-        self.rare: list[bytes] = []
-
-    def __missing__(self, token: bytes) -> float:
-        self.rare.append(token)
-        return 0.0
-
-
 def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int = 1 << 16) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte.
@@ -139,35 +135,34 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int =
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, divisor = size["n"], size["n"] + size["v"] + 1
     top = vocabulary.where(F.octet_length("token") <= LONGEST).orderBy(F.desc("n"), "token").limit(frequent).toArrow()
-    terms = {t.encode(): math.log10((n + 1) / divisor) for t, n in zip(top.column("token").to_pylist(), top.column("n").to_pylist(), strict=True)}
-    shared, name = spark.sparkContext.broadcast((train(known), terms)), uuid.uuid4().hex
+    terms = np.log10((top.column("n").to_numpy() + 1) / divisor)
+    frequent_words = top.column("token").to_pylist()
+    shared, name = spark.sparkContext.broadcast((train(known), frequent_words, terms)), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known_terms = shared.value
+        model, words, terms = shared.value
+        words, terms = pa.array(words, pa.string()), np.append(terms, 0.0)
         if name not in _MEMO:
             _MEMO.clear()
             _MEMO[name] = Memo(model)
         memo = _MEMO[name]
-        terms = _Terms(known_terms)
-        term = terms.__getitem__
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text", BLOCK):
-                block = Block(data, offsets)
-                total = np.bincount(block.doc, memo.log10(block)[block.which], minlength=part.num_rows)
-                raw = data.tobytes()
-                n_tokens, n_known, base, rare, cuts = [], [], [], [], [0]
-                for i in range(part.num_rows):
-                    tokens = [*raw[offsets[i] : offsets[i + 1]].lower().split(), b""]
-                    terms.rare = []
-                    base.append(math.fsum(map(term, tokens)))
-                    n_tokens.append(len(tokens))
-                    n_known.append(len(tokens) - len(terms.rare))
-                    rare += terms.rare
-                    cuts.append(len(rare))
+            for part, data, offsets in chunks(batch, "text", COUNTED):
+                token, doc = tokens(data, offsets)
+                at = pc.fill_null(pc.index_in(token, words), len(words)).to_numpy()
+                rare = at == len(words)
+                count = lambda weights=None, doc=doc, n=part.num_rows: np.bincount(doc, weights, minlength=n)
+                n_rare = count(rare).astype(np.int64)
+                total = []
+                for _, own, cuts in chunks(part, "text", BLOCK):
+                    block = Block(own, cuts)
+                    total.append(np.bincount(block.doc, memo.log10(block)[block.which], minlength=block.n_docs))
+                total = np.concatenate(total)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(part.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                        pa.array(base, pa.float64()), pa.array(total), pa.array(-total / math.log10(2) / (np.diff(offsets) + 1)), lists([t.decode() for t in rare], np.array(cuts), pa.string()),
+                        *(part.column(c) for c in ("row", "doc_id", "held_out")), pa.array(count(), pa.int64()), pa.array(count() - n_rare, pa.int64()),
+                        pa.array(count(terms.take(at))), pa.array(total), pa.array(-total / math.log10(2) / (np.diff(offsets) + 1)),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)).astype(np.int32)), token.filter(pa.array(rare))),
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "bits_per_byte", "rare"],
                 )

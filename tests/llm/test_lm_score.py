@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdtide.llm import lm_score
-from crowdtide.llm.mixing import END, Block, Memo, Model
+from crowdtide.llm.arrays import mix
+from crowdtide.llm.mixing import BIT, END, FIRST, N_INPUTS, NODE, PLACES, RARE, STEP, Block, Memo, Model, Places, base
 from tests.llm.helpers import DOCS, documents, sentence
 
 
@@ -83,6 +84,44 @@ def test_merged_blocks_count_alike():
     assert dict(zip(merged.key.tolist(), merged.count.tolist(), strict=True)) == dict(zip(both.key.tolist(), both.count.tolist(), strict=True))
 
 
+def test_counts_equal_those_of_every_decision_taken_alone():
+    rng = np.random.default_rng(6)
+    raw = [x.encode() for x in [*(sentence(rng, 90, 40) for _ in range(60)), "", "Née le 3.\n", "x" * 300]]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    places = Places(data, offsets)
+    assert STEP < 2 * len(places.byte)
+    model = Model().learn_all(iter([(data, offsets)]))
+    recent, word, counts = places.recent.tolist(), mix(places.word), np.zeros(model.counts.size, np.float32)
+    for i, byte in enumerate(places.byte.tolist()):
+        contexts = [np.array([recent[i] & ((1 << 8 * k) - 1)], np.uint64) for k in range(5)] + [word[i : i + 1]]
+        starts = [int(base(j, contexts[j])[0]) for j in range(N_INPUTS)]
+        for t in range(PLACES if RARE[byte] else FIRST):
+            for start in starts:
+                counts[start ^ int(2 * NODE[byte, t] + BIT[byte, t])] += 1
+    assert np.array_equal(model.counts.reshape(-1), counts)
+
+
+def test_a_short_context_is_read_once_a_step():
+    rng = np.random.default_rng(8)
+    b = block(*(sentence(rng, 60, 200) for _ in range(40)))
+    sizes = []
+    for k, (first, run, start) in enumerate(b.runs()):
+        same = list(zip((b.recent & np.uint64((1 << 8 * k) - 1)).tolist(), b.byte.tolist(), strict=True))
+        assert len(first) == len(start) == len(set(same))
+        assert [same[i] for i in first[run]] == same
+        sizes.append(len(first))
+    assert sizes[0] < sizes[1] < sizes[2] < sizes[3] < len(b.byte) / 2 < len(b.byte)
+
+
+def test_tokens_are_those_of_split():
+    texts = [None, "", " ", "\tA b\x0b", "éÉ x\x1cy", " z", "q ", " "]
+    for own in (texts, texts[2:6], texts[:2]):
+        raw = [(x or "").encode() for x in own]
+        token, doc = lm_score.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        token.validate(full=True)
+        assert [*zip(doc.tolist(), token.to_pylist(), strict=True)] == [(i, w.decode()) for i, x in enumerate(raw) for w in [*x.lower().split(), b""]]
+
+
 def expected(rows):
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
     tokens = lambda t: [x.decode() for x in (t or "").encode().lower().split()] + [""]
