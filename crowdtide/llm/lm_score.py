@@ -30,6 +30,8 @@ from crowdtide.sources.storage import settle
 COUNTED, LONGEST = 1 << 22, 32
 #: Cells of a model that are added up together; places in a range fit 16 bits.
 RANGE = 1 << 16
+#: The memo of this worker, kept from task to task.
+_MEMO: dict[str, Memo] = {}
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -95,11 +97,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
     begins[cuts] = solid[cuts]
     begins = np.flatnonzero(begins)
-    before = np.concatenate(([0], np.cumsum(solid)))  # solid bytes before each place
+    before = np.zeros(len(data) + 1, np.int32)  # solid bytes before each place
+    np.cumsum(solid, out=before[1:])
     after = np.searchsorted(begins, offsets[1:])  # words up to the end of each text
     starts = np.insert(before[begins], after, before[offsets[1:]])
     doc = np.repeat(np.arange(len(after)), np.diff(after, prepend=0) + 1)
-    buffers = [None, pa.py_buffer(np.append(starts, before[-1]).astype(np.int32)), pa.py_buffer(LOWER.take(data[solid]))]
+    buffers = [None, pa.py_buffer(np.append(starts, before[-1:])), pa.py_buffer(LOWER.take(data[solid]))]
     return pa.Array.from_buffers(pa.string(), len(starts), buffers), doc
 
 
@@ -115,10 +118,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-#: The memo of this worker, kept from task to task.
-_MEMO: dict[str, Memo] = {}
-
-
 def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int = 1 << 16) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte.
@@ -140,24 +139,20 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, frequent: int =
     shared, name = spark.sparkContext.broadcast((train(known), frequent_words, terms)), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _MEMO:
+            _MEMO.clear()  # before another model is loaded
         model, words, terms = shared.value
+        memo = _MEMO.setdefault(name, Memo(model))
         words, terms = pa.array(words, pa.string()), np.append(terms, 0.0)
-        if name not in _MEMO:
-            _MEMO.clear()
-            _MEMO[name] = Memo(model)
-        memo = _MEMO[name]
         for batch in batches:
-            for part, data, offsets in chunks(batch, "text", COUNTED):
+            for part, data, offsets in chunks(batch, "text", BLOCK):
                 token, doc = tokens(data, offsets)
                 at = pc.fill_null(pc.index_in(token, words), len(words)).to_numpy()
                 rare = at == len(words)
                 count = lambda weights=None, doc=doc, n=part.num_rows: np.bincount(doc, weights, minlength=n)
                 n_rare = count(rare).astype(np.int64)
-                total = []
-                for _, own, cuts in chunks(part, "text", BLOCK):
-                    block = Block(own, cuts)
-                    total.append(np.bincount(block.doc, memo.log10(block)[block.which], minlength=block.n_docs))
-                total = np.concatenate(total)
+                block = Block(data, offsets)
+                total = np.bincount(block.doc, memo.log10(block)[block.which], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("row", "doc_id", "held_out")), pa.array(count(), pa.int64()), pa.array(count() - n_rare, pa.int64()),
